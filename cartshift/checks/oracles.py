@@ -519,10 +519,12 @@ POINTS_BODY = """'{"value":' || cast(point_diff as varchar)
 ORACLES["points_outbox"] = _and(
     with_tables("plan"),
     _outbox(
-        "plan where outcome = 'change' and customer_id < 'P5'", "customer", "customer_id", "POST",
+        "plan where outcome = 'change'", "customer", "customer_id", "POST",
         "'/customers/' || customer_id || '/member_points'", POINTS_BODY,
     ),
 ) + OUTBOX_SELECT
+ORACLES["points_below_id"] = with_tables("plan") + """
+select customer_id, point_diff, outcome from plan where customer_id < 'P5'"""
 ORACLES["points_verdict"] = with_tables("recon", "answers") + """
 select r.customer_id, http_status, point_balance, legacy_points,
     case when http_status <> 200 then 'fail' when point_balance = legacy_points then 'success'

@@ -21,7 +21,7 @@ from cartshift.operators import (
     reconcile,
     status,
 )
-from cartshift.session import tune
+from cartshift.session import checkpointed, tune
 from cartshift.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,8 @@ def query(build: Query) -> Query:
 
 def _items(spark, folder, basis):
     lines = given.order_lines(spark, folder)
-    folded = orders.fold_orders(lines, given.order_headers(spark, folder, lines), basis)
+    heads = given.amount_headers(spark, folder)
+    folded = orders.book_amounts(given.summed_orders(heads, folder), basis)
     return orders.order_items(lines, folded).select(
         "order_uid",
         "position",
@@ -68,8 +69,8 @@ def order_items_long_line_total(spark, folder):
 
 @query
 def order_headers(spark, folder):
-    lines = given.order_lines(spark, folder)
-    folded = orders.fold_orders(lines, given.order_headers(spark, folder, lines))
+    heads = given.legacy_orders(spark, folder)
+    folded = orders.book_amounts(given.summed_orders(heads, folder))
     return folded.select(
         "order_uid",
         orders.customer_email(F.col("customer_email")).alias("customer_email"),
@@ -83,7 +84,7 @@ def order_headers(spark, folder):
 
 def _balance(spark, folder, basis):
     lines = given.order_lines(spark, folder)
-    folded = orders.fold_orders(lines, given.order_headers(spark, folder, lines), basis)
+    folded = orders.fold_orders(lines, given.order_headers(spark, folder), basis)
     return folded.select("order_uid", "subtotal_rounded", "unit_sum", "line_sum", "balance")
 
 
@@ -100,8 +101,8 @@ def order_balance_line(spark, folder):
 @query
 def create_order_json(spark, folder):
     lines = given.order_lines(spark, folder)
-    headers = cleaning.order_city(given.order_headers(spark, folder, lines))
-    folded = orders.fold_orders(lines, headers)
+    heads = cleaning.order_city(given.legacy_orders(spark, folder))
+    folded = orders.book_amounts(given.summed_orders(heads, folder))
     documents = orders.order_documents(lines, folded, SETTINGS)
     return outbox.create_order_requests(documents, "first")
 
@@ -463,6 +464,11 @@ def _recon(spark, folder, how="full"):
     return reconcile.points_recon(legacy, given.platform_customers(spark, folder), how)
 
 
+def _stored_recon(spark, folder):
+    """The plans read the reconciliation several times, so it is a stored table."""
+    return checkpointed(_recon(spark, folder))
+
+
 @query
 def recon_inner(spark, folder):
     legacy = given.legacy_customers(spark, folder).withColumn("email", F.lower("email"))
@@ -495,17 +501,29 @@ def balances_latest(spark, folder):
     return _balances(spark, folder)
 
 
+def _points_plan(spark, folder):
+    return reconcile.points_plan(_stored_recon(spark, folder), _balances(spark, folder))
+
+
 @query
 def points_plan(spark, folder):
-    return reconcile.points_plan(_recon(spark, folder), _balances(spark, folder)).select(
+    return _points_plan(spark, folder).select(
         "customer_id", "email", "legacy_points", "balance", "point_diff", "outcome"
     )
 
 
 @query
 def points_outbox(spark, folder):
-    plan = reconcile.points_plan(_recon(spark, folder), _balances(spark, folder), "P5")
-    return outbox.points_requests(plan)
+    return outbox.points_requests(_points_plan(spark, folder))
+
+
+@query
+def points_below_id(spark, folder):
+    """The id bound is the operator: customers up to a given id."""
+    plan = reconcile.points_plan(
+        _stored_recon(spark, folder), _balances(spark, folder), below_id="P5"
+    )
+    return plan.select("customer_id", "point_diff", "outcome")
 
 
 @query

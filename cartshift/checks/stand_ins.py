@@ -12,7 +12,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartshift.operators.orders import with_line_seq
+from cartshift.operators.orders import line_sum_columns, with_line_seq
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -126,6 +126,26 @@ STATES = {
 }
 
 
+def order_amounts() -> dict[str, Column]:
+    k = F.col("o_orderkey")
+    return {
+        "total_amount": F.floor("o_totalprice").cast("bigint"),
+        "discount_amount": (k % 50).cast("bigint"),
+        "shipping_amount": (k % 3 * 20 + 60).cast("bigint"),
+        "shipping_fee": text(k % 3 * 20 + 60),
+    }
+
+
+def named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
+
+
+def amount_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Only the amounts of the order headers."""
+    orders = table(spark, folder, "orders")
+    return orders.select(F.col("o_orderkey").alias("order_uid"), *named(order_amounts()))
+
+
 def legacy_orders(spark: SparkSession, folder: str) -> DataFrame:
     """One header row per order, as on an order's first line."""
     k, c, priority = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
@@ -165,10 +185,7 @@ def legacy_orders(spark: SparkSession, folder: str) -> DataFrame:
             {0: None, 1: "", 2: F.concat(F.lit("x"), text(k), F.lit("註銷本帳號"))},
             F.concat(F.lit("c"), text(c), F.lit("@example.com")),
         ).alias("customer_email"),
-        F.floor("o_totalprice").cast("bigint").alias("total_amount"),
-        (k % 50).cast("bigint").alias("discount_amount"),
-        (k % 3 * 20 + 60).cast("bigint").alias("shipping_amount"),
-        text(k % 3 * 20 + 60).alias("shipping_fee"),
+        *named(order_amounts()),
     )
 
 
@@ -188,34 +205,56 @@ LINE_ORDER = [
 
 def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items in file order; the table has no line key, so all columns order it."""
-    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "order_uid")
-    return with_line_seq(lines, LINE_ORDER)
+    return with_line_seq(_line_items(spark, folder), LINE_ORDER)
 
 
-def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+def parsed(lines: DataFrame, *more: str) -> DataFrame:
     """Line items as parsed order lines."""
-    return numbered_lines(spark, folder).select(
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return lines.select(
         "order_uid",
-        "line_seq",
+        *more,
         F.col("l_partkey").alias("item_code"),
         F.col("l_suppkey").alias("item_name"),
-        F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5)
-        .cast("bigint")
-        .alias("unit_amount"),
+        F.floor(price + 0.5).cast("bigint").alias("unit_amount"),
         F.col("l_quantity").cast("bigint").alias("units"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("line_amount"),
     )
 
 
-def order_headers(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
-    """Order headers with the subtotal their lines add up to."""
-    subtotal = F.sum("line_amount").cast("decimal(28,6)")
-    subtotals = lines.groupBy("order_uid").agg(subtotal.alias("subtotal_amount"))
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return parsed(numbered_lines(spark, folder), "line_seq")
+
+
+def _line_items(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "order_uid")
+
+
+def _with_subtotal(headers: DataFrame, sums: DataFrame) -> DataFrame:
     half = F.lit(0.5).cast("decimal(2,1)")
     rounded = F.floor(F.col("subtotal_amount") + half).cast("bigint")
-    return legacy_orders(spark, folder).join(
-        subtotals.withColumn("subtotal_rounded", rounded), "order_uid"
-    )
+    return headers.join(sums.withColumn("subtotal_rounded", rounded), "order_uid")
+
+
+def _subtotal() -> Column:
+    return F.sum("line_amount").cast("decimal(28,6)").alias("subtotal_amount")
+
+
+def order_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Order headers with the subtotal their lines add up to."""
+    subtotals = parsed(_line_items(spark, folder)).groupBy("order_uid").agg(_subtotal())
+    return _with_subtotal(legacy_orders(spark, folder), subtotals)
+
+
+def summed_orders(headers: DataFrame, folder: str) -> DataFrame:
+    """Order headers with all their line sums, from one aggregate.
+
+    Freshly numbered lines have no gaps, so the number of lines is the last line's.
+    """
+    lines = parsed(_line_items(headers.sparkSession, folder))
+    last = F.count("*").alias("last_seq")
+    sums = lines.groupBy("order_uid").agg(*line_sum_columns(), last, _subtotal())
+    return _with_subtotal(headers, sums)
 
 
 # --- answers and ledger --------------------------------------------------------

@@ -30,7 +30,8 @@ from cartshift.functions.coercion import (
 )
 from cartshift.operators.grouping import number_within
 
-BLOCK_LINES = 10_000
+# A block is 2**13 lines: what one task may hold of one order, and one request's items.
+BLOCK_BITS = 13
 UNIT = "unit"
 LINE_TOTAL = "line_total"
 
@@ -49,7 +50,7 @@ class OrderSettings:
     placeholder_email: str = fixed.PLACEHOLDER_EMAIL
     balance_basis: str = UNIT
     null_text: str = "null"
-    block_lines: int = BLOCK_LINES
+    block_bits: int = BLOCK_BITS
 
 
 # --- lines ---------------------------------------------------------------------
@@ -88,22 +89,22 @@ def in_duplicate_months(
     return F.coalesce(inside, F.lit(False))
 
 
-def line_block(seq: Column, block_lines: int = BLOCK_LINES) -> Column:
-    return F.floor((seq - 1) / F.lit(block_lines)).cast("bigint")
+def line_block(seq: Column, block_bits: int = BLOCK_BITS) -> Column:
+    return F.shiftright(seq - 1, block_bits)
 
 
-def per_block(orders: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def per_block(orders: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Per-order rows repeated for each block of the order's lines."""
-    blocks = F.sequence(F.lit(0).cast("bigint"), line_block(F.col("last_seq"), block_lines))
+    blocks = F.sequence(F.lit(0).cast("bigint"), line_block(F.col("last_seq"), block_bits))
     return orders.withColumn("block", F.explode(blocks))
 
 
 def onto_lines(
-    lines: DataFrame, orders: DataFrame, block_lines: int = BLOCK_LINES
+    lines: DataFrame, orders: DataFrame, block_bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Inner join of per-order rows (with ``last_seq``) and lines, block by block."""
-    return lines.withColumn("block", line_block(F.col("line_seq"), block_lines)).join(
-        per_block(orders, block_lines), ["order_uid", "block"]
+    return lines.withColumn("block", line_block(F.col("line_seq"), block_bits)).join(
+        per_block(orders, block_bits), ["order_uid", "block"]
     )
 
 
@@ -140,15 +141,20 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line_seq") == 1)
 
 
-def line_sums(lines: DataFrame) -> DataFrame:
-    """Per order: sums of the rounded prices, last line, lines without a number."""
+def line_sum_columns() -> list[Column]:
+    """Sums of the rounded prices, and lines without a number."""
     price, units = F.col("unit_amount"), F.col("units")
-    return lines.groupBy("order_uid").agg(
+    return [
         F.sum(price).alias("unit_sum"),
         F.sum(price * units).alias("line_sum"),
-        F.max("line_seq").alias("last_seq"),
         F.count_if(price.isNull() | units.isNull()).alias("bad_lines"),
-    )
+    ]
+
+
+def line_sums(lines: DataFrame) -> DataFrame:
+    """Per order: :func:`line_sum_columns` and the last line."""
+    last = F.max("line_seq").alias("last_seq")
+    return lines.groupBy("order_uid").agg(*line_sum_columns(), last)
 
 
 def fold_orders(
@@ -156,6 +162,11 @@ def fold_orders(
 ) -> DataFrame:
     """One row per order: header fields, amounts and the balance still to book."""
     headers = first_lines(lines).drop("line_seq") if headers is None else headers
+    return book_amounts(headers.join(line_sums(lines), "order_uid"), basis)
+
+
+def book_amounts(orders: DataFrame, basis: str = UNIT) -> DataFrame:
+    """Bonus, subtotal, total and balance of orders that have their line sums."""
     compared = {UNIT: "unit_sum", LINE_TOTAL: "line_sum"}[basis]
     implied = (
         F.col("subtotal_amount")
@@ -164,8 +175,7 @@ def fold_orders(
         - F.col("discount_amount")
     )
     return (
-        headers.join(line_sums(lines), "order_uid")
-        .withColumn("bonus", F.when(implied > 0, implied).otherwise(0))
+        orders.withColumn("bonus", F.when(implied > 0, implied).otherwise(0))
         .withColumn("bonus_whole", F.floor("bonus").cast("bigint"))
         .withColumn("deducted", F.col("discount_amount") + F.col("bonus_whole"))
         .withColumn("subtotal", F.col("total_amount") + F.col("deducted"))
@@ -307,14 +317,14 @@ def order_items(lines: DataFrame, orders: DataFrame, null_text: str = "null") ->
 def order_documents(
     lines: DataFrame, orders: DataFrame, settings: OrderSettings
 ) -> DataFrame:
-    """Nested order documents: ``order_uid, part, parts, order``."""
-    size = settings.block_lines
+    """Nested order documents: ``order_uid, part, order``, one part per block of lines."""
+    bits = settings.block_bits
     line = F.struct("line_seq", "item_code", "item_name", "unit_amount", "units")
-    blocks = lines.groupBy("order_uid", line_block(F.col("line_seq"), size).alias("block")).agg(
+    blocks = lines.groupBy("order_uid", line_block(F.col("line_seq"), bits).alias("block")).agg(
         F.sort_array(F.collect_list(line)).alias("lines")
     )
-    joined = blocks.join(per_block(orders, size), ["order_uid", "block"])
-    last_block = line_block(F.col("last_seq"), size)
+    joined = blocks.join(per_block(orders, bits), ["order_uid", "block"])
+    last_block = line_block(F.col("last_seq"), bits)
     products = F.transform("lines", lambda row: product_item(row.getField, settings.null_text))
     items = F.when(F.col("block") == last_block, F.concat(products, closing_items()))
     document = F.struct(
@@ -332,7 +342,6 @@ def order_documents(
     return joined.select(
         "order_uid",
         (F.col("block") + 1).alias("part"),
-        (last_block + 1).alias("parts"),
         document.alias("order"),
     )
 
