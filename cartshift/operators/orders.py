@@ -237,6 +237,8 @@ def subtotal_fraction(subtotal: Column) -> tuple[Column, Column]:
 
 # --- items ---------------------------------------------------------------------
 
+ITEM_COLUMNS = ("line_seq", "item_code", "item_name", "unit_amount", "units")
+
 
 def _item(kind: str, price: Column, name: Column, text: Column, units: Column, total: Column):
     return F.struct(
@@ -301,6 +303,7 @@ def order_items(lines: DataFrame, orders: DataFrame, null_text: str = "null") ->
 
     The closing items come out of the order's last line, so orders are folded once.
     """
+    lines = lines.select("order_uid", *ITEM_COLUMNS)
     facts = orders.select(
         "order_uid", "last_seq", "balance", "shipping_amount", "shipping_fee", "deducted"
     )
@@ -319,7 +322,7 @@ def order_documents(
 ) -> DataFrame:
     """Nested order documents: ``order_uid, part, order``, one part per block of lines."""
     bits = settings.block_bits
-    line = F.struct("line_seq", "item_code", "item_name", "unit_amount", "units")
+    line = F.struct(*ITEM_COLUMNS)
     blocks = lines.groupBy("order_uid", line_block(F.col("line_seq"), bits).alias("block")).agg(
         F.sort_array(F.collect_list(line)).alias("lines")
     )
