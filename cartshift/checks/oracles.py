@@ -327,6 +327,8 @@ def _outbox(
 OUTBOX_SELECT = f"""select {REQUEST_ID} as request_id, entity, entity_id, seq, method, path,
     body_json, phase from requests"""
 
+# A larger order is several requests.
+LINES_PER_REQUEST = 8192
 ITEM_JSON = """'{"item_type":"' || item_type || '","item_price":' || cast(item_price as varchar)
     || ',"item_data":{"name":"' || item_name || '"'
     || coalesce(',"price":"' || price_text || '"', '') || '}'
@@ -336,9 +338,11 @@ ORACLES["create_order_json"] = (
     _and(
         _and(_and(ORDER_TABLES, _items("unit_sum")), ADDRESS),
         f"""
-    texts as (select order_uid, string_agg({ITEM_JSON}, ',' order by position) as items_text
-        from items group by order_uid),
-    bodies as (select f.order_uid, '{{"order":{{"delivery_option_id":"delivery-1",'
+    texts as (select i.order_uid, least(position - 1, last_seq - 1) // {LINES_PER_REQUEST} as part,
+            string_agg({ITEM_JSON}, ',' order by position) as items_text
+        from items i join folded o on i.order_uid = o.order_uid
+        group by i.order_uid, least(position - 1, last_seq - 1) // {LINES_PER_REQUEST}),
+    bodies as (select f.order_uid, part + 1 as part, '{{"order":{{"delivery_option_id":"delivery-1",'
         || '"payment_method_id":"payment-1","customer_email":"' || f.customer_email
         || '","subtotal":' || cast(subtotal as varchar) || ',"total":'
         || cast(f.total_amount as varchar) || ',"items":[' || items_text
@@ -351,7 +355,8 @@ ORACLES["create_order_json"] = (
         from f join texts t on f.order_uid = t.order_uid
         join addressed a on f.order_uid = a.order_uid
         join (select order_uid as uid, {REMARK} as remarks from heads) r on f.order_uid = r.uid),"""
-        + _outbox("bodies", "order", "order_uid", "POST", "'/orders'", "body", phase="'first'"),
+        + _outbox("bodies", "order", "order_uid", "POST", "'/orders'", "body",
+                  seq="part", phase="'first'"),
     )
     + OUTBOX_SELECT
 )

@@ -75,12 +75,16 @@ def with_global_index(
     """Exact zero-based position in the global order, without a one-task window.
 
     A range sort cuts the rows into slices; the slice sizes (one number per slice)
-    give each slice its start. The row id at the end of the sort key spreads exact
-    copies over several slices. The sorted rows are checkpointed because both uses of
+    give each slice its start. The sorted rows are checkpointed because both uses of
     them must see the same slices.
+
+    All other columns break ties, so the positions are the same in every run. The row
+    id at the very end only spreads exact copies over several slices; it is stable
+    under a lost executor when ``rows`` is read from stored files.
     """
     slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = [*order_by, "spread"]
+    ties = [c for c in rows.columns if c not in order_by]
+    key = [*order_by, *ties, "spread"]
     cut = checkpointed(
         rows.withColumn("spread", F.monotonically_increasing_id())
         .repartitionByRange(slices, *key)
