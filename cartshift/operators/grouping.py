@@ -22,13 +22,24 @@ def all_present(*keys: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
+def join_side(facts: DataFrame) -> DataFrame:
+    """``facts`` without a known partitioning, to be joined to possibly skewed rows.
+
+    AQE splits a hot key only between two shuffles that were made for the join. Facts
+    fresh from an aggregate on the join key would be joined where they are, and the
+    hot key's rows with them; this narrow no-op makes the join shuffle both sides.
+    Small facts are still broadcast, by Spark's own check of their size.
+    """
+    return facts.coalesce(2**20)
+
+
 def attach(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
     """Left join of per-key ``facts`` (one row per key) onto ``rows``.
 
     Rows with a NULL key can match nothing; they skip the join instead of meeting in
     one partition.
     """
-    keyed = rows.where(all_present(*keys)).join(facts, list(keys), "left")
+    keyed = rows.where(all_present(*keys)).join(join_side(facts), list(keys), "left")
     return keyed.unionByName(rows.where(~all_present(*keys)), allowMissingColumns=True)
 
 
@@ -121,6 +132,7 @@ def number_within(
     hot = sizes.where(F.col("n") > hot_rows).select(*[F.col(k).alias(f"hot_{k}") for k in keys])
     if hot.isEmpty():
         return rows.withColumn(name, position.cast("bigint"))
+    hot = join_side(hot)
     same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
     cold = rows.join(hot, same, "left_anti").withColumn(name, position.cast("bigint"))
     indexed = with_global_index(
@@ -129,7 +141,7 @@ def number_within(
     firsts = indexed.groupBy(*[F.col(k).alias(f"hot_{k}") for k in keys]).agg(
         F.min("place_in_all").alias("first_place")
     )
-    numbered = indexed.join(firsts, same).select(
+    numbered = indexed.join(join_side(firsts), same).select(
         *rows.columns, (F.col("place_in_all") - F.col("first_place") + 1).alias(name)
     )
     return cold.unionByName(numbered)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
 from cartshift.functions.coercion import has_text
-from cartshift.operators.grouping import attach
+from cartshift.operators.grouping import attach, join_side
 
 LEDGER_SCHEMA = "entity string, entity_id string, field string, value string, ts timestamp"
 
@@ -48,7 +48,7 @@ def pending(
     open_rows = rows if state is None else rows.where(F.col(state).isNull())
     done = ledger.where((F.col("entity") == entity) & (F.col("field") == field))
     done = done.select(F.col("entity_id").alias(key)).distinct()
-    return open_rows.join(done, key, "left_anti")
+    return open_rows.join(join_side(done), key, "left_anti")
 
 
 def write_back(rows: DataFrame, ledger: DataFrame, entity: str, field: str, key: str) -> DataFrame:

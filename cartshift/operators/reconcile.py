@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
 from cartshift.functions.coercion import has_text
-from cartshift.operators.grouping import attach, duplicate_report
+from cartshift.operators.grouping import attach, duplicate_report, join_side
 from cartshift.operators.status import NO_PLATFORM_ID, OK
 
 
@@ -21,7 +21,7 @@ def full_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
     def unmatched(rows: DataFrame, others: DataFrame) -> DataFrame:
         others = others.select(key).where(F.col(key).isNotNull()).distinct()
-        keyed = rows.where(F.col(key).isNotNull()).join(others, key, "left_anti")
+        keyed = rows.where(F.col(key).isNotNull()).join(join_side(others), key, "left_anti")
         return keyed.unionByName(rows.where(F.col(key).isNull()))
 
     return (
@@ -140,7 +140,9 @@ def points_plan(recon: DataFrame, balances: DataFrame, below_id: str | None = No
     with_id = recon.where(F.col("customer_id").isNotNull())
     repeated = duplicate_report(with_id, "customer_id").select("customer_id", "n")
     current = balances.select("customer_id", "balance")
-    known = with_id.join(repeated, "customer_id", "left").join(current, "customer_id", "left")
+    known = with_id.join(join_side(repeated), "customer_id", "left").join(
+        join_side(current), "customer_id", "left"
+    )
     diff = F.coalesce(F.col("legacy_points"), F.lit(0)) - F.col("balance")
     outcome = (
         F.when(F.col("customer_id").isNull(), NO_PLATFORM_ID)
