@@ -126,9 +126,9 @@ def email_fallback(spark, folder):
 @query
 def lines_deduped_window(spark, folder):
     dates = given.legacy_orders(spark, folder).select("order_uid", "created_at")
-    lines = given.numbered_lines(spark, folder).join(dates, "order_uid")
-    repeated = orders.in_duplicate_months(F.col("created_at"), 1995, (1, 6))
-    return orders.drop_repeated_lines(lines, repeated, "l_linenumber")
+    affected = dates.where(orders.in_duplicate_months(F.col("created_at"), 1995, (1, 6)))
+    lines = given.numbered_lines(spark, folder)
+    return orders.drop_repeated_lines(lines, affected, "l_linenumber").join(dates, "order_uid")
 
 
 @query

@@ -28,7 +28,7 @@ from cartshift.functions.coercion import (
     round_half_up,
     whole_number,
 )
-from cartshift.operators.grouping import number_within
+from cartshift.operators.grouping import join_side, number_within
 
 # A block is 2**13 lines: what one task may hold of one order, and one request's items.
 BLOCK_BITS = 13
@@ -109,28 +109,31 @@ def onto_lines(
 
 
 def drop_repeated_lines(
-    lines: DataFrame, repeated: Column | None = None, line_no: str = "line_order_no"
+    lines: DataFrame, affected: DataFrame | None = None, line_no: str = "line_order_no"
 ) -> DataFrame:
-    """Keep the first line per line number, in orders whose first line says so.
+    """Keep the first line per line number, in the ``affected`` orders.
 
-    ``repeated`` is tested on an order's first line only; other orders pass whole.
-    A missing line number is a value of its own.
+    Those are by default the orders whose first line was created in the months that
+    were exported twice; other orders pass whole. A missing line number is a value of
+    its own. What is joined to the lines is only the list of line numbers that really
+    occur twice in such orders.
     """
-    repeated = in_duplicate_months(F.col("created_at")) if repeated is None else repeated
-    orders = lines.groupBy("order_uid").agg(
-        F.max("line_seq").alias("last_seq"),
-        F.max((F.col("line_seq") == 1) & repeated).alias("is_repeated"),
+    if affected is None:
+        affected = first_lines(lines).where(in_duplicate_months(F.col("created_at")))
+    affected = affected.select("order_uid")
+    twice = (
+        lines.groupBy("order_uid", F.col(line_no).alias("number"))
+        .agg(F.count("*").alias("n"), F.min("line_seq").alias("first_seq"))
+        .where("n > 1")
+        .join(affected, "order_uid")
+        .select(F.col("order_uid").alias("uid"), "number", "first_seq")
     )
-    flagged = onto_lines(lines, orders).select(*lines.columns, "is_repeated")
-    passed = flagged.where(~F.col("is_repeated"))
-    rest = [c for c in lines.columns if c != "line_seq"]
-    first = (
-        flagged.where("is_repeated")
-        .groupBy(F.col("order_uid").alias("uid"), F.col(line_no).alias("no"))
-        .agg(F.min(F.struct("line_seq", *rest)).alias("line"))
-        .select("line.*")
+    same_line = (
+        (F.col("order_uid") == F.col("uid"))
+        & F.col(line_no).eqNullSafe(F.col("number"))
+        & (F.col("line_seq") > F.col("first_seq"))
     )
-    return passed.select(*lines.columns).unionByName(first)
+    return lines.join(join_side(twice), same_line, "left_anti")
 
 
 # --- orders --------------------------------------------------------------------

@@ -9,13 +9,23 @@ from cartshift import fixed_values as fixed
 from cartshift.operators.grouping import with_global_index
 
 
-def id_range(rows: DataFrame, key: str, start: str, end: str, collation: str | None = None):
-    """Rows with ``start <= key < end`` as text.
+def id_range(
+    rows: DataFrame,
+    key: str,
+    start: str | None = None,
+    end: str | None = None,
+    collation: str | None = None,
+) -> DataFrame:
+    """Rows with ``start <= key < end`` as text; a bound left out is open.
 
     The order is binary unless a collation is named.
     """
     text = F.col(key) if collation is None else F.collate(F.col(key), collation)
-    return rows.where((text >= F.lit(start)) & (text < F.lit(end)))
+    if start is not None:
+        rows = rows.where(text >= F.lit(start))
+    if end is not None:
+        rows = rows.where(text < F.lit(end))
+    return rows
 
 
 def with_headings(rows: DataFrame, headings: dict[str, str] | None = None) -> DataFrame:

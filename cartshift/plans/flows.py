@@ -55,9 +55,9 @@ def create_orders(
     order_uids: DataFrame,
     ledger: DataFrame,
     settings: OrderSettings,
-    start: str,
-    end: str,
     phase: str,
+    start: str | None = None,
+    end: str | None = None,
 ) -> Plan:
     """Create requests for the orders of an id range that do not exist yet.
 
@@ -66,11 +66,14 @@ def create_orders(
     """
     wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
     wanted = books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid")
-    chosen = lines_of_orders(lines, wanted)
-    kept = drop_repeated_lines(parse_amounts(chosen))
-    orders = books.not_created(fold_orders(kept, basis=settings.balance_basis))
+    in_range = parse_amounts(id_range(lines, "order_uid", start, end))
+    heads = lines_of_orders(first_lines(in_range), wanted)
+    open_heads = books.not_created(heads)
+    # An order's first line is never a repeated one, so the heads need no clean-up.
+    kept = drop_repeated_lines(lines_of_orders(in_range, open_heads))
+    orders = fold_orders(kept, open_heads.drop("line_seq"), settings.balance_basis)
     documents = order_documents(kept, orders.where(~bad_amounts()), settings)
-    no_lines = wanted.join(first_lines(chosen).select("order_uid"), "order_uid", "left_anti")
+    no_lines = wanted.join(heads.select("order_uid"), "order_uid", "left_anti")
     rejects = _rejected(no_lines, ORDER, "order_uid", "no_lines").unionByName(
         _rejected(orders.where(bad_amounts()), ORDER, "order_uid", "bad_amount")
     )
@@ -91,11 +94,16 @@ def record_created(responses: DataFrame) -> DataFrame:
 
 
 def sync_statuses(
-    lines: DataFrame, order_uids: DataFrame, ledger: DataFrame, start: str, end: str, phase: str
+    lines: DataFrame,
+    order_uids: DataFrame,
+    ledger: DataFrame,
+    phase: str,
+    start: str | None = None,
+    end: str | None = None,
 ) -> Plan:
     """All three status requests of every order in an id range, decided in one pass."""
     wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
-    heads = lines_of_orders(first_lines(lines), wanted)
+    heads = lines_of_orders(id_range(first_lines(lines), "order_uid", start, end), wanted)
     heads = books.write_back(heads, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid")
     changes = status.status_changes(status.decide_statuses(heads))
     refused = changes.where(F.col("outcome") != status.OK)

@@ -36,7 +36,7 @@ def store(order_lines, rows):
 
 
 def create(store, ledger):
-    return flows.create_orders(*store, ledger, SETTINGS, "U1", "U9", "first")
+    return flows.create_orders(*store, ledger, SETTINGS, "first", "U1", "U9")
 
 
 def answer(requests, rows, status=200, body='{"id":"%s"}', at=NOW):
@@ -76,7 +76,7 @@ def test_a_rerun_creates_nothing_twice(store, empty_ledger, rows, collect):
 
 def test_statuses_use_the_recorded_ids(store, rows, collect):
     ledger = rows(LEDGER_SCHEMA, ("order", "U2", "platform_order_id", "P2", NOW))
-    plan = flows.sync_statuses(*store, ledger, "U2", "U6", "first")
+    plan = flows.sync_statuses(*store, ledger, "first", "U2", "U6")
     assert collect(plan.requests, "entity_id", "seq") == [
         ("P2", 1), ("P2", 2), ("P2", 3), ("P3", 1), ("P3", 2), ("P3", 3)
     ]
