@@ -33,6 +33,20 @@ def join_side(facts: DataFrame) -> DataFrame:
     return facts.coalesce(2**20)
 
 
+# The largest list of keys that is sent to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def key_list(keys: DataFrame) -> DataFrame:
+    """A list of keys to look up from very wide rows: broadcast if it is counted small.
+
+    AQE would also see that it is small, but only after the wide rows were shuffled.
+    Counting stops at the limit; a larger list is joined by a shuffle of both sides.
+    """
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(keys) if small else join_side(keys)
+
+
 def attach(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
     """Left join of per-key ``facts`` (one row per key) onto ``rows``.
 
@@ -125,14 +139,15 @@ def number_within(
     """Exact 1-based position of every row within its key.
 
     Groups up to ``hot_rows`` go through a window. Larger ones, if there are any, are
-    numbered from the global index, so they are sorted by many tasks.
+    numbered from the global index, so they are sorted by many tasks. A key is hot only
+    with that many rows, so a trillion rows have at most a million hot keys.
     """
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > hot_rows).select(*[F.col(k).alias(f"hot_{k}") for k in keys])
     if hot.isEmpty():
         return rows.withColumn(name, position.cast("bigint"))
-    hot = join_side(hot)
+    hot = F.broadcast(hot)
     same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
     cold = rows.join(hot, same, "left_anti").withColumn(name, position.cast("bigint"))
     indexed = with_global_index(

@@ -28,7 +28,7 @@ from cartshift.functions.coercion import (
     round_half_up,
     whole_number,
 )
-from cartshift.operators.grouping import join_side, number_within
+from cartshift.operators.grouping import key_list, number_within
 
 # A block is 2**13 lines: what one task may hold of one order, and one request's items.
 BLOCK_BITS = 13
@@ -120,20 +120,19 @@ def drop_repeated_lines(
     """
     if affected is None:
         affected = first_lines(lines).where(in_duplicate_months(F.col("created_at")))
-    affected = affected.select("order_uid")
+    affected = key_list(affected.select("order_uid"))
     twice = (
-        lines.groupBy("order_uid", F.col(line_no).alias("number"))
+        lines.join(affected, "order_uid", "left_semi")
+        .groupBy(F.col("order_uid").alias("uid"), F.col(line_no).alias("number"))
         .agg(F.count("*").alias("n"), F.min("line_seq").alias("first_seq"))
         .where("n > 1")
-        .join(affected, "order_uid")
-        .select(F.col("order_uid").alias("uid"), "number", "first_seq")
     )
     same_line = (
         (F.col("order_uid") == F.col("uid"))
         & F.col(line_no).eqNullSafe(F.col("number"))
         & (F.col("line_seq") > F.col("first_seq"))
     )
-    return lines.join(join_side(twice), same_line, "left_anti")
+    return lines.join(key_list(twice), same_line, "left_anti")
 
 
 # --- orders --------------------------------------------------------------------

@@ -18,10 +18,12 @@ from cartshift.operators.orders import (
     drop_repeated_lines,
     first_lines,
     fold_orders,
+    in_duplicate_months,
     order_documents,
     parse_amounts,
 )
 from cartshift.operators.paging import id_range
+from cartshift.session import checkpointed
 from cartshift.sources.readers import lines_of_orders
 
 ORDER, CUSTOMER = "order", "customer"
@@ -68,10 +70,12 @@ def create_orders(
     wanted = books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid")
     in_range = parse_amounts(id_range(lines, "order_uid", start, end))
     heads = lines_of_orders(first_lines(in_range), wanted)
-    open_heads = books.not_created(heads)
+    # The work list, one row per order, is read several times below.
+    open_heads = checkpointed(books.not_created(heads).drop("line_seq"))
+    affected = open_heads.where(in_duplicate_months(F.col("created_at")))
     # An order's first line is never a repeated one, so the heads need no clean-up.
-    kept = drop_repeated_lines(lines_of_orders(in_range, open_heads))
-    orders = fold_orders(kept, open_heads.drop("line_seq"), settings.balance_basis)
+    kept = drop_repeated_lines(lines_of_orders(in_range, open_heads), affected)
+    orders = fold_orders(kept, open_heads, settings.balance_basis)
     documents = order_documents(kept, orders.where(~bad_amounts()), settings)
     no_lines = wanted.join(heads.select("order_uid"), "order_uid", "left_anti")
     rejects = _rejected(no_lines, ORDER, "order_uid", "no_lines").unionByName(

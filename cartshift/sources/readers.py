@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
-from cartshift.operators.grouping import join_side
+from cartshift.operators.grouping import key_list
 from cartshift.sources.schemas import text_schema
 
 
@@ -58,7 +58,7 @@ def of_phase(table: DataFrame, phase: str) -> DataFrame:
 def lines_of_orders(lines: DataFrame, order_uids: DataFrame) -> DataFrame:
     """Lines of the given orders: one join instead of one query per order."""
     wanted = order_uids.select("order_uid").distinct()
-    return lines.join(join_side(wanted), "order_uid", "left_semi")
+    return lines.join(key_list(wanted), "order_uid", "left_semi")
 
 
 def read_products_csv(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import compare  # noqa: E402
-from cartshift.operators import grouping, ledger, reconcile  # noqa: E402
+from cartshift.operators import grouping, ledger, orders, reconcile  # noqa: E402
 from cartshift.sources import readers  # noqa: E402
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -72,8 +72,9 @@ def test_query_agrees_with_sql(spark, database, skewed, monkeypatch, name):
 
 
 @pytest.fixture
-def large_scale(spark):
+def large_scale(spark, monkeypatch):
     """Treat small tables as large ones: no broadcasts, skew starts at a few rows."""
+    monkeypatch.setattr(grouping, "BROADCAST_ROWS", 0)
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -138,3 +139,25 @@ def test_ledger_and_line_lookups_split_the_hot_key(large_scale):
     assert splits(ledger.write_back(lines, book, *key)) == 1
     wanted = book.select(F.col("entity_id").alias("order_uid"))
     assert splits(readers.lines_of_orders(lines, wanted)) == 1
+
+
+def test_a_short_key_list_leaves_the_lines_where_they_are(large_scale, monkeypatch):
+    monkeypatch.setattr(grouping, "BROADCAST_ROWS", 1000)
+    lines = hot_rows(large_scale).select(F.col("k").alias("order_uid"), "v")
+    wanted = large_scale.range(5).select(F.col("id").cast("string").alias("order_uid"))
+    plan = final_plan(readers.lines_of_orders(lines, wanted))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_repeated_lines_of_one_order_with_and_without_a_broadcast(large_scale, monkeypatch):
+    lines = large_scale.range(0, 3000, 1, 6).select(
+        F.when(F.col("id") < 1000, "hot").otherwise(F.col("id").cast("string")).alias("order_uid"),
+        F.when(F.col("id") < 1000, F.col("id") + 1).otherwise(1).alias("line_seq"),
+        (F.col("id") % 10).cast("string").alias("line_order_no"),
+        F.lit("2023/02/01 00:00:00").alias("created_at"),
+    )
+    for most in (0, 10_000):
+        monkeypatch.setattr(grouping, "BROADCAST_ROWS", most)
+        left = orders.drop_repeated_lines(lines)
+        assert left.where("order_uid = 'hot'").agg(F.max("line_seq")).first()[0] == 10
+        assert left.count() == 2010
