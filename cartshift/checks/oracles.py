@@ -452,6 +452,11 @@ from legacy"""
 ORACLES["customers_cleaned"] = with_tables("cleaned") + "select * from cleaned"
 ORACLES["birthday_rejects"] = with_tables("legacy") + """
 select email, birthday from legacy where birthday <> '' and born is null"""
+ORACLES["customers_too_long"] = """
+select doc_id, 'address_1' as "column", cast(length(text) as int) as length
+from documents where length(text) > 255
+union all
+select doc_id, 'full_name', cast(length(source) as int) from documents where length(source) > 100"""
 ORACLES["date_cutoff_null"] = """
 select o_orderkey, case when cast(o_orderdate as date) < date '1996-01-01'
     then cast(o_orderdate as date) end as birthday from orders"""
@@ -572,6 +577,10 @@ select o_orderkey as order_uid, count(l_partkey) as n_hits,
         as outcome,
     case when count(l_partkey) = 1 then min(l_partkey) end as platform_order_id
 from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey"""
+ORACLES["found_balances"] = """
+select min(l_partkey) as customer_id, cast(min(l_quantity) as int) as balance,
+    date '2024-01-01' as fetched_at
+from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey having count(*) = 1"""
 ORACLES["rows_per_customer"] = """
 select c_custkey as user_id, count(o_orderkey) as n_rows,
     case count(o_orderkey) when 0 then 'missing' when 1 then 'ok' else 'duplicate' end as outcome

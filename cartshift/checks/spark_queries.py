@@ -359,6 +359,18 @@ def birthday_rejects(spark, folder):
     return rejects.select("email", "birthday")
 
 
+@query
+def customers_too_long(spark, folder):
+    """Page addresses, names and whole documents against the customer table's limits."""
+    documents = given.table(spark, folder, "documents").select(
+        "doc_id", F.col("text").alias("address_1"), F.col("source").alias("full_name")
+    )
+    limits = cleaning.customer_length_limits()
+    return cleaning.too_long(
+        documents, {name: limits[name] for name in ("address_1", "full_name")}, "doc_id"
+    )
+
+
 @query
 def date_cutoff_null(spark, folder):
     dates = given.table(spark, folder, "orders").select(
@@ -580,6 +592,19 @@ def search_resolution(spark, folder):
     return reconcile.resolve_hits(wanted, hits, "order_uid", "platform_order_id")
 
 
+@query
+def found_balances(spark, folder):
+    """Orders found by exactly one line, with the line's quantity as the balance."""
+    wanted = given.table(spark, folder, "orders").select(F.col("o_orderkey").alias("query"))
+    hits = given.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("query"),
+        F.col("l_partkey").alias("customer_id"),
+        F.col("l_quantity").cast("int").alias("balance"),
+    )
+    at = F.lit("2024-01-01").cast("date")
+    return reconcile.found_balances(wanted, hits, "query", at)
+
+
 @query
 def rows_per_customer(spark, folder):
     customers = given.table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))

@@ -219,6 +219,22 @@ TARGET_CUSTOMER_TYPES = {
     "member_points": "int",
 }
 
+# Longest texts the target customer table takes; 20 where not listed.
+TARGET_CUSTOMER_LENGTHS = {
+    "full_name": 100,
+    "email_address": 255,
+    "mobile_number": 255,
+    "contact_phone": 100,
+    "address_recipient_name": 100,
+    "address_recipient_phone_number": 100,
+    "address_1": 255,
+    "address_2": 255,
+    "original_address": 255,
+}
+TARGET_CUSTOMER_LENGTH = 20
+# Target customer texts of any length.
+TARGET_CUSTOMER_LONG_TEXTS = ("tags", "note")
+
 # Target product columns, in table order.
 TARGET_PRODUCT_COLUMNS = """
 product_handle product_name_english product_name_chinese product_summary_english

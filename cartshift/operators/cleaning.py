@@ -212,6 +212,27 @@ def clean_customers(projected: DataFrame, city_fixes: DataFrame | None = None) -
     return reduce(lambda d, rule: rule(d), then, df)
 
 
+def too_long(df: DataFrame, limits: dict[str, int], *keys: str) -> DataFrame:
+    """One row per text over its column's limit: the keys, the column and the length."""
+    over = [
+        F.when(
+            F.length(name) > limit,
+            F.struct(F.lit(name).alias("column"), F.length(name).alias("length")),
+        )
+        for name, limit in limits.items()
+    ]
+    return df.select(*keys, F.inline(F.array_compact(F.array(*over))))
+
+
+def customer_length_limits() -> dict[str, int]:
+    return {
+        name: fixed.TARGET_CUSTOMER_LENGTHS.get(name, fixed.TARGET_CUSTOMER_LENGTH)
+        for name in [*fixed.UPLOAD_HEADINGS, fixed.ORIGINAL_ADDRESS]
+        if name not in fixed.TARGET_CUSTOMER_TYPES
+        and name not in fixed.TARGET_CUSTOMER_LONG_TEXTS
+    }
+
+
 # --- cities --------------------------------------------------------------------
 
 

@@ -118,6 +118,19 @@ def resolve_hits(wanted: DataFrame, hits: DataFrame, key: str, found: str) -> Da
     )
 
 
+def found_balances(wanted: DataFrame, hits: DataFrame, key: str, found_at: Column) -> DataFrame:
+    """Snapshot rows of customers found by exactly one hit.
+
+    ``hits`` are search results with ``customer_id`` and ``balance``; the rows returned
+    are to be appended to the balance snapshot.
+    """
+    resolved = resolve_hits(wanted, hits, key, "customer_id")
+    known = resolved.where(F.col("outcome") == "matched").select(key, "customer_id")
+    return known.join(hits, [key, "customer_id"]).select(
+        "customer_id", "balance", found_at.alias("fetched_at")
+    )
+
+
 def one_row_each(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """How many rows answer each id: ``ok``, ``missing`` or ``duplicate``."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n_rows"))

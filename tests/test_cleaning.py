@@ -160,6 +160,16 @@ def test_recipient_needs_city_and_phone_and_survives_a_shared_phone(customers, c
     assert len(phones) == len(set(phones))
 
 
+def test_texts_over_the_limits_are_reported(customers, collect):
+    df = cleaning.project_customers(
+        customers({"name": "x" * 101}, {"name": "x" * 100, "address": "y" * 256}, {"name": None})
+    )
+    report = cleaning.too_long(df, cleaning.customer_length_limits(), "email_address")
+    assert collect(report) == [
+        ("user1@example.com", "full_name", 101), ("user2@example.com", "original_address", 256)
+    ]
+
+
 def test_city_report_and_fixes(customers, rows, collect):
     df = cleaning.customer_city(
         cleaning.project_customers(

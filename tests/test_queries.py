@@ -36,3 +36,16 @@ def test_query_agrees_with_sql(spark, database, name):
 
 def test_entry_has_rows(spark):
     assert not entry.entry(spark).isEmpty()
+
+
+# One row or one small page of output; every other query must have no one-task step.
+REPORTS = {"lines_without_recipient_count", "page_slice", "products_first_page"}
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_plan_has_no_cross_join_no_python_and_no_one_task_step(spark, name):
+    df = entry.queries()[name](spark, str(FOLDER))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
+        assert bad not in plan
+    assert ("SinglePartition" in plan) <= (name in REPORTS)

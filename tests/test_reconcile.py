@@ -202,6 +202,18 @@ def test_search_resolution(rows, collect):
     ]
 
 
+def test_found_balances_become_snapshot_rows(rows, collect):
+    wanted = rows("q string", ("none",), ("one",), ("two",))
+    hits = rows(
+        "q string, customer_id string, balance int",
+        ("one", "c1", 5), ("two", "c2", 6), ("two", "c3", 7),
+    )
+    at = F.lit(datetime(2024, 1, 1))
+    assert collect(reconcile.found_balances(wanted, hits, "q", at)) == [
+        ("c1", 5, datetime(2024, 1, 1))
+    ]
+
+
 def test_one_row_each(rows, collect):
     ids = rows("id string", ("a",), ("b",), ("c",))
     table = rows("id string", ("a",), ("b",), ("b",))
