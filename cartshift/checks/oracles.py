@@ -83,7 +83,8 @@ TABLES = {
         case when c_custkey % 11 <> 0 and c_custkey % 13 < 12 then
             make_date(cast(1950 + c_custkey % 70 as int), cast(1 + c_custkey % 13 as int),
                 cast(1 + c_custkey % 28 as int)) end as born,
-        case c_nationkey % 4 when 0 then '' when 1 then null else 'note ' || c_mktsegment end as note,
+        case c_nationkey % 4 when 0 then '' when 1 then null
+            else 'note ' || c_mktsegment end as note,
         case when c_nationkey <> 3 then cast(floor(c_acctbal / 1000) as int) end as points,
         cast(c_nationkey % 3 as int) as credits,
         {_address("c_nationkey", "c_custkey")} as address,
@@ -183,7 +184,8 @@ TABLES = {
             else strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') end as paid_at,
         case o_custkey % 4 when 0 then '' when 1 then null
             else strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') end as shipped_at,
-        case when o_orderpriority = '5-LOW' then '尚未選擇' else o_orderpriority end as delivery_type,
+        case when o_orderpriority = '5-LOW' then '尚未選擇' else o_orderpriority end
+            as delivery_type,
         case o_orderkey % 5 when 0 then '' when 1 then null
             else 'memo ' || cast(o_orderkey as varchar) end as shop_note,
         case when o_custkey % 25 = 0 then '' else 'Name ' || cast(o_custkey as varchar) end

@@ -138,6 +138,7 @@ def line_numbers(spark, folder):
 
 @query
 def order_lines_of_ids(spark, folder):
+    """All lines of all finished orders: the list of ids is the operator's input."""
     returned = given.table(spark, folder, "orders").where("o_orderstatus = 'F'")
     lines = given.table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "order_uid")
     wanted = returned.select(F.col("o_orderkey").alias("order_uid"))
@@ -218,6 +219,7 @@ def _composed(spark, folder):
 
 @query
 def order_uid_range(spark, folder):
+    """The id range is the operator."""
     uids = _composed(spark, folder).select("order_uid", "transaction_no")
     return paging.id_range(uids, "order_uid", "F100", "F200")
 
@@ -225,7 +227,8 @@ def order_uid_range(spark, folder):
 @query
 def order_uids_distinct(spark, folder):
     lines = given.table(spark, folder, "lineitem").select(
-        F.col("l_returnflag").alias("platform"), given.text(F.col("l_orderkey")).alias("transaction_no")
+        F.col("l_returnflag").alias("platform"),
+        given.text(F.col("l_orderkey")).alias("transaction_no"),
     )
     return cleaning.distinct_order_uids(cleaning.compose_order_uid(lines))
 
@@ -275,13 +278,10 @@ def phone_restored(spark, folder):
 
 @query
 def segment_tail_token(spark, folder):
-    customers = given.table(spark, folder, "customer").withColumn("city", F.lit(None))
+    no_city = F.lit(None).cast("string")
+    customers = given.table(spark, folder, "customer").withColumn("city", no_city)
     found = cleaning.customer_city(
-        customers.withColumn("city", F.col("city").cast("string")),
-        "c_mktsegment",
-        "city",
-        marks=("T", "E"),
-        barred="CHI",
+        customers, "c_mktsegment", "city", marks=("T", "E"), barred="CHI"
     )
     return found.select("c_custkey", "city")
 
@@ -751,12 +751,14 @@ def phase_union_pruned(spark, folder):
 
 @query
 def purge_plan(spark, folder):
+    """The id bound is the operator: customers above a given id."""
     customers = given.platform_customers(spark, folder)
     return outbox.purge_requests(customers, "P2", enabled=True)
 
 
 @query
 def customers_above(spark, folder):
+    """The id bound is the operator: customers above a given id."""
     return readers.customers_above(given.platform_customers(spark, folder), "P2")
 
 

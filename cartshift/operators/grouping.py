@@ -41,9 +41,9 @@ def key_list(keys: DataFrame) -> DataFrame:
     """A list of keys to look up from very wide rows: broadcast if it is counted small.
 
     AQE would also see that it is small, but only after the wide rows were shuffled.
-    Counting stops at the limit; a larger list is joined by a shuffle of both sides.
+    A larger list is joined by a shuffle of both sides.
     """
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = keys.count() <= BROADCAST_ROWS
     return F.broadcast(keys) if small else join_side(keys)
 
 

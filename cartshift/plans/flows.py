@@ -129,8 +129,8 @@ def recover_orders(
 
     ``found(query, platform_order_id)`` holds the hits; one hit settles the order.
     """
-    current = books.write_back(lines, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid")
-    lost = books.unrecorded_orders(current, platform)
+    lost = books.unrecorded_orders(lines, platform)
+    lost = books.pending(lost, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid")
     hits = found.withColumnRenamed("query", "order_uid")
     resolved = reconcile.resolve_hits(lost, hits, "order_uid", PLATFORM_ORDER_ID)
     matched = resolved.where(F.col("outcome") == "matched")

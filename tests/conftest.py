@@ -45,7 +45,7 @@ def order_lines(spark):
     schema = "line_seq long, " + ", ".join(f"{c} string" for c in columns)
     usual = {
         "item_code": "A1",
-        "item_name": "cookie",
+        "item_name": "cake",
         "unit_price": "10",
         "quantity": "1",
         "items_subtotal": "10",
@@ -72,7 +72,8 @@ def order_lines(spark):
 def collect(df, *columns):
     """Rows as a sorted list of tuples."""
     chosen = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in chosen.collect()), key=lambda t: [(x is None, str(x)) for x in t])
+    found = [tuple(r) for r in chosen.collect()]
+    return sorted(found, key=lambda t: [(x is None, str(x)) for x in t])
 
 
 @pytest.fixture(name="collect")

@@ -57,7 +57,7 @@ def test_every_order_is_created_settled_or_rejected(store, empty_ledger, collect
         ("order", "U1", "bad_amount"), ("order", "U5", "no_lines")
     ]
     bodies = {r.entity_id: json.loads(r.body_json)["order"] for r in plan.requests.collect()}
-    products = [i for i in bodies["U2"]["items"] if i["item_data"]["name"] == "A1-cookie"]
+    products = [i for i in bodies["U2"]["items"] if i["item_data"]["name"] == "A1-cake"]
     assert len(products) == 1
 
 

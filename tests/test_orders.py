@@ -41,7 +41,7 @@ def test_item_order_and_positive_balance(order_lines):
         {"order_uid": "U1", "item_code": None, "item_name": "tea", "unit_price": "12"},
     )
     assert items_of(lines) == [
-        ("A1-cookie", 10, "10", 1, 10),
+        ("A1-cake", 10, "10", 1, 10),
         ("null-tea", 12, "12", 1, 12),
         ("差額", 3, "3", 1, 3),
         ("運費", 60, "60", 1, 60),
@@ -55,7 +55,7 @@ def test_negative_balance_lowers_the_last_line_but_not_its_price_text(order_line
         {"order_uid": "U1", "items_subtotal": "19", "order_total": "19"},
         {"order_uid": "U1"},
     )
-    assert items_of(lines)[:2] == [("A1-cookie", 10, "10", 1, 10), ("A1-cookie", 9, "10", 1, 9)]
+    assert items_of(lines)[:2] == [("A1-cake", 10, "10", 1, 10), ("A1-cake", 9, "10", 1, 9)]
     assert len(items_of(lines)) == 5
 
 
@@ -64,7 +64,7 @@ def test_balance_basis(order_lines):
     assert [i[0] for i in items_of(lines)][1] == "差額"
     assert items_of(lines)[1][1] == 20
     corrected = items_of(lines, orders.LINE_TOTAL)
-    assert [i[0] for i in corrected] == ["A1-cookie", "運費", "折扣及紅利點數", "舊站訂單-U1"]
+    assert [i[0] for i in corrected] == ["A1-cake", "運費", "折扣及紅利點數", "舊站訂單-U1"]
 
 
 @pytest.mark.parametrize(
@@ -204,7 +204,7 @@ def test_document(order_lines):
     assert (document["subtotal"], document["total"]) == (70, 65)
     assert document["items"] == [
         {"item_type": "CustomProduct", "item_price": 10,
-         "item_data": {"name": "A1-cookie", "price": "10"}, "quantity": 1, "total": 10},
+         "item_data": {"name": "A1-cake", "price": "10"}, "quantity": 1, "total": 10},
         {"item_type": "CustomProduct", "item_price": 60,
          "item_data": {"name": "運費", "price": "60"}, "quantity": 1, "total": 60},
         {"item_type": "CustomDiscount", "item_price": 5,
