@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
 from cartshift.operators.grouping import key_list
+from cartshift.operators.ledger import LEDGER_SCHEMA
 from cartshift.sources.schemas import text_schema
 
 
@@ -16,6 +17,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,

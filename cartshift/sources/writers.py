@@ -26,6 +26,14 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+# A lookup names the entity and the field, so it reads one folder of the ledger.
+LEDGER_FOLDERS = ("entity", "field")
+
+
+def append_ledger(entries: DataFrame, path: str) -> None:
+    entries.write.mode("append").partitionBy(*LEDGER_FOLDERS).parquet(path)
+
+
 def write_first_rows_csv(customers: DataFrame, path: str, rows: int = fixed.CSV_EXPORT_ROWS):
     """One CSV file with the upload headings: the first rows by e-mail."""
     first = slice_of(customers, ["email_address", *customers.columns], rows)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cartshift.sources.schemas import RESPONSES
+from cartshift.sources.writers import LEDGER_FOLDERS
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +37,7 @@ def write_back(
         judge(arriving)
         .writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
+        .partitionBy(*LEDGER_FOLDERS)
         .format("parquet")
     )
     if once:

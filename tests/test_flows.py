@@ -4,9 +4,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from cartshift.operators import ledger
 from cartshift.operators.ledger import LEDGER_SCHEMA
 from cartshift.operators.orders import OrderSettings
 from cartshift.plans import flows
+from cartshift.sources import readers, writers
 from cartshift.sources.schemas import RESPONSES
 from cartshift.streaming import answers
 
@@ -35,8 +37,8 @@ def store(order_lines, rows):
     return lines, uids
 
 
-def create(store, ledger):
-    return flows.create_orders(*store, ledger, SETTINGS, "first", "U1", "U9")
+def create(store, book):
+    return flows.create_orders(*store, book, SETTINGS, "first", "U1", "U9")
 
 
 def answer(requests, rows, status=200, body='{"id":"%s"}', at=NOW):
@@ -75,8 +77,8 @@ def test_a_rerun_creates_nothing_twice(store, empty_ledger, rows, collect):
 
 
 def test_statuses_use_the_recorded_ids(store, rows, collect):
-    ledger = rows(LEDGER_SCHEMA, ("order", "U2", "platform_order_id", "P2", NOW))
-    plan = flows.sync_statuses(*store, ledger, "first", "U2", "U6")
+    book = rows(LEDGER_SCHEMA, ("order", "U2", "platform_order_id", "P2", NOW))
+    plan = flows.sync_statuses(*store, book, "first", "U2", "U6")
     assert collect(plan.requests, "entity_id", "seq") == [
         ("P2", 1), ("P2", 2), ("P2", 3), ("P3", 1), ("P3", 2), ("P3", 3)
     ]
@@ -87,13 +89,13 @@ def test_statuses_use_the_recorded_ids(store, rows, collect):
 
 
 def test_recovery_settles_single_hits(store, rows, collect):
-    ledger = rows(LEDGER_SCHEMA, ("order", "U9", "platform_order_id", "P9", NOW))
+    book = rows(LEDGER_SCHEMA, ("order", "U9", "platform_order_id", "P9", NOW))
     found = rows("query string, platform_order_id string", ("U1", "a"), ("U2", "b"), ("U2", "c"))
-    plan = flows.recover_orders(store[0], ledger, found, F.lit(NOW))
+    plan = flows.recover_orders(store[0], book, found, F.lit(NOW))
     assert collect(plan.settled, "entity_id", "value") == [("U1", "a")]
     assert collect(plan.rejects, "entity_id", "reason") == [("U2", "ambiguous")]
     again = flows.recover_orders(
-        store[0], ledger.unionByName(plan.settled), found, F.lit(LATER)
+        store[0], book.unionByName(plan.settled), found, F.lit(LATER)
     )
     assert again.settled.count() == 0
 
@@ -117,7 +119,9 @@ def snapshot(rows):
     return rows(SNAPSHOT, ("same", 5, NOW), ("more", 0, NOW), ("more", 4, LATER))
 
 
-def test_points_from_plan_to_audit(recon, snapshot, empty_ledger, rows, collect):
+def test_points_from_plan_to_audit(
+    spark, tmp_path, recon, snapshot, empty_ledger, rows, collect
+):
     plan = flows.plan_points(recon, empty_ledger, snapshot, F.lit(NOW))
     assert collect(plan.requests, "entity_id") == [("more",)]
     assert json.loads(plan.requests.first().body_json)["value"] == 5
@@ -133,12 +137,15 @@ def test_points_from_plan_to_audit(recon, snapshot, empty_ledger, rows, collect)
     failed = flows.record_points(answer(plan.requests, rows, status=500, body="{}"), recon)
     assert collect(failed, "value") == [("fail",)]
 
-    ledger = plan.settled.unionByName(done)
-    again = flows.plan_points(recon, ledger, snapshot, F.lit(LATER))
+    path = str(tmp_path / "ledger")
+    writers.append_ledger(plan.settled, path)
+    writers.append_ledger(done, path)
+    book = readers.read_ledger(spark, path)
+    again = flows.plan_points(recon, book, snapshot, F.lit(LATER))
     assert again.requests.count() == 0 and again.settled.count() == 0
 
     after = rows(SNAPSHOT, ("same", 5, LATER), ("more", 8, LATER))
-    audit = flows.audit_points(recon, ledger, after, F.lit(LATER))
+    audit = flows.audit_points(recon, book, after, F.lit(LATER))
     assert collect(audit, "entity_id", "value") == [
         ("lost", "false"), ("more", "false"), ("same", "true")
     ]
@@ -186,8 +193,12 @@ def test_answers_are_written_back_once_as_they_arrive(spark, tmp_path, recon, co
     drop("r2", "same", 4)
     run()
     run()
-    written = spark.read.schema(LEDGER_SCHEMA).parquet(book)
+    written = readers.read_ledger(spark, book)
     assert collect(written, "entity_id", "value") == [("more", "success"), ("same", "wrong")]
+    left = ledger.pending(recon, written, "customer", "points_status", "customer_id")
+    assert collect(left, "customer_id") == [("lost",), (None,)]
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(entity" in plan
 
 
 def test_customers_end_to_end(rows, collect):
