@@ -233,7 +233,8 @@ def _line_items(spark: SparkSession, folder: str) -> DataFrame:
 def _with_subtotal(headers: DataFrame, sums: DataFrame) -> DataFrame:
     half = F.lit(0.5).cast("decimal(2,1)")
     rounded = F.floor(F.col("subtotal_amount") + half).cast("bigint")
-    return headers.join(sums.withColumn("subtotal_rounded", rounded), "order_uid")
+    sums = sums.withColumn("subtotal_rounded", rounded)
+    return headers.join(sums.hint("merge"), "order_uid")
 
 
 def _subtotal() -> Column:

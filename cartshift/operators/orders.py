@@ -102,9 +102,12 @@ def per_block(orders: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
 def onto_lines(
     lines: DataFrame, orders: DataFrame, block_bits: int = BLOCK_BITS
 ) -> DataFrame:
-    """Inner join of per-order rows (with ``last_seq``) and lines, block by block."""
+    """Inner join of per-order rows (with ``last_seq``) and lines, block by block.
+
+    Both sides grow with the data, so neither may be broadcast.
+    """
     return lines.withColumn("block", line_block(F.col("line_seq"), block_bits)).join(
-        per_block(orders, block_bits), ["order_uid", "block"]
+        per_block(orders, block_bits).hint("merge"), ["order_uid", "block"]
     )
 
 
@@ -164,7 +167,7 @@ def fold_orders(
 ) -> DataFrame:
     """One row per order: header fields, amounts and the balance still to book."""
     headers = first_lines(lines).drop("line_seq") if headers is None else headers
-    return book_amounts(headers.join(line_sums(lines), "order_uid"), basis)
+    return book_amounts(headers.join(line_sums(lines).hint("merge"), "order_uid"), basis)
 
 
 def book_amounts(orders: DataFrame, basis: str = UNIT) -> DataFrame:
@@ -328,7 +331,7 @@ def order_documents(
     blocks = lines.groupBy("order_uid", line_block(F.col("line_seq"), bits).alias("block")).agg(
         F.sort_array(F.collect_list(line)).alias("lines")
     )
-    joined = blocks.join(per_block(orders, bits), ["order_uid", "block"])
+    joined = blocks.join(per_block(orders, bits).hint("merge"), ["order_uid", "block"])
     last_block = line_block(F.col("last_seq"), bits)
     products = F.transform("lines", lambda row: product_item(row.getField, settings.null_text))
     items = F.when(F.col("block") == last_block, F.concat(products, closing_items()))
