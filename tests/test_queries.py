@@ -26,10 +26,10 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_agrees_with_sql(spark, database, name):
     assert compare.compare(spark, database, str(FOLDER), name) is None
 
@@ -42,7 +42,7 @@ def test_entry_has_rows(spark):
 REPORTS = {"lines_without_recipient_count", "page_slice", "products_first_page"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_plan_has_no_cross_join_no_python_and_no_one_task_step(spark, name):
     df = entry.queries()[name](spark, str(FOLDER))
     plan = df._jdf.queryExecution().executedPlan().toString()
