@@ -126,20 +126,14 @@ def shrunk_rates(counts: DataFrame, names: list[str], rules: HostRules) -> DataF
     prior = counts.agg(
         *[F.avg(F.col(f"k_{r}") / F.col("n")).alias(f"m_{r}") for r in names],
         *[F.var_pop(F.col(f"k_{r}") / F.col("n")).alias(f"v_{r}") for r in names],
-    )
+    ).first()  # a few numbers
     for r in names:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        s = F.when(v > 0, m * (1 - m) / v - 1).otherwise(high)
-        prior = prior.withColumn(f"s_{r}", F.greatest(F.lit(low), F.least(F.lit(high), s)))
-    one = F.broadcast(prior)  # one row by construction
-    with_prior = counts.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one")
-    return with_prior.select(
-        *counts.columns,
-        *[
-            ((F.col(f"k_{r}") + F.col(f"m_{r}") * F.col(f"s_{r}")) / (F.col("n") + F.col(f"s_{r}"))).alias(f"rate_{r}")
-            for r in names
-        ],
-    )
+        m, v = prior[f"m_{r}"], prior[f"v_{r}"]
+        if m is None:  # no hosts
+            m = 0.0
+        s = max(low, min(high, m * (1 - m) / v - 1)) if v else high
+        counts = counts.withColumn(f"rate_{r}", (F.col(f"k_{r}") + F.lit(m * s)) / (F.col("n") + F.lit(s)))
+    return counts
 
 
 def judge(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source", id_column: str = "doc_id",
