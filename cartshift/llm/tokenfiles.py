@@ -15,6 +15,8 @@ totals are read without the codes.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -23,12 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .automaton import byte_names
 from .common import scratch, ship
 
 MAGIC = 0x31434144
 BLOCK = 512  # entries per rank directory entry
 SHARD_IDS = 1_000_000
-CHUNKS_KEPT = 400_000
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch  # letters with one code point each in normal form
+CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which may start a piece
+CHUNKS_KEPT = 1_200_000  # runs whose ids a worker keeps, some 200 bytes each
 
 
 def shard_bytes(documents: list[np.ndarray]) -> bytes:
@@ -99,30 +104,53 @@ class Shard:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-class ChunkEncoder:
+class ChunkEncoder(dict):
     """Encodes texts with the tokenizers library, each run of other characters than ASCII white space once.
 
-    That is exact for vocabularies whose pieces never hold white space: nothing then reaches across it.
+    That is exact for byte-level vocabularies that lower-case, whose pieces never hold white space, and that part
+    letters from punctuation after them: nothing then reaches across such a place. Runs are kept with their ids.
+    A-Z are lower-cased beforehand, unless the text may hold an added token; ASCII punctuation after plain letters
+    is looked up by itself; and plain letters, which are one piece already in normal form, go to the library's
+    model without its normalising and splitting.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(new) > CHUNKS_KEPT:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
+        self.model = self.tokenizer.model
+        self.shown = {byte: char for char, byte in byte_names().items()}
+
+    def piece(self, letters: str) -> list[int]:
+        if not letters.isascii():
+            letters = "".join(map(self.shown.__getitem__, letters.encode("utf-8")))
+        return [t.id for t in self.model.tokenize(letters)]
+
+    def __missing__(self, run: bytes) -> bytes:
+        if len(self) > CHUNKS_KEPT:
+            self.clear()
+        head = run.rstrip(CLOSING)
+        text = head.decode("utf-8")
+        if not PLAIN(text):
+            ids = self.tokenizer.encode(run.decode("utf-8"), add_special_tokens=False).ids
+        elif len(head) < len(run):
+            self[run] = found = self[head] + self[run[len(head) :]]
+            return found
+        else:
+            ids = self.piece(text.lower())
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        self[run] = found
+        return found
+
+    def encode(self, text: str | None) -> np.ndarray:
+        data = (text or "").encode("utf-8")
+        if b"<|" not in data:
+            data = data.lower()  # bytes: A-Z only
+        return np.frombuffer(b"".join(map(self.__getitem__, data.split())), "<u4")
 
 
 ENCODERS: dict[str, ChunkEncoder] = {}
@@ -174,7 +202,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 ids.append(batch.column(0))
-                for found in encoder.encode(batch.column(1).to_pylist()):
+                for text in batch.column(1).to_pylist():
+                    found = encoder.encode(text)
                     documents.append(np.concatenate((found, end)))
                     size += len(found) + 1
                 if size >= shard_ids:
