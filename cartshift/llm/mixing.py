@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import row_digest, stored
 
+FEW_SOURCES = 20_000  # up to so many, rows about sources (some 100 bytes each) are broadcast; else joined by shuffles
 BINS = 1024  # rank ranges per source; only the range that the budget ends in is sorted
 
 
@@ -86,7 +87,8 @@ def sampled(docs: DataFrame, mix: Mix = Mix(), size=None, row=None) -> DataFrame
         )
     )
     totals = sized.groupBy("_source").agg(F.sum("_s").alias("_size"), F.count("*").alias("_docs"))
-    targets = source_targets(totals, mix)
+    targets = stored(source_targets(totals, mix))
+    few = targets.count() <= FEW_SOURCES
     mean = F.greatest(F.lit(1), F.expr("_size div _docs"))
     targets = targets.withColumn("_mean", mean.cast("long")).withColumn(
         "_whole",
@@ -96,6 +98,7 @@ def sampled(docs: DataFrame, mix: Mix = Mix(), size=None, row=None) -> DataFrame
 
     def with_source(rows, facts):
         facts = facts.withColumnRenamed("_source", "_of")
+        facts = F.broadcast(facts) if few else facts  # a row per source at most
         return rows.join(facts, rows["_source"].eqNullSafe(facts["_of"]), "left").drop("_of")
 
     ranked = with_source(sized, targets).withColumn("_w", F.expr("(1000 * _s) div (_s + _mean)"))
