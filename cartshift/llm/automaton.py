@@ -5,7 +5,8 @@ encoding. It is built by one gadget per merge, in order. At first one state has
 itself. The gadget of the merge (a, b) -> ab
 
 * gives the arcs of a a target of their own: the state reached by b's arcs where it starts, less the arc b;
-* adds an arc ab wherever there is an arc a, to a copy of the state that b's arcs lead to.
+* adds an arc ab wherever there is an arc a, to a copy of the state that b's arcs lead to; none if a's state has
+  no arc b by then, because earlier gadgets never let the two meet.
 
 So every token has one target state, all arcs of a token lead there, and a state is a copy of an earlier
 state less the arcs that later gadgets took. That is how the table is kept: for each token the states
@@ -17,6 +18,7 @@ entry through the copies; entries that have been used are kept.
 from __future__ import annotations
 
 import json
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .common import ship
 
 # Fixed value: how byte-level vocabularies split text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORDS_KEPT = 300_000  # words whose encoding a worker keeps
+WORDS_KEPT = 600_000  # of pieces, of runs and of table entries that a worker keeps
 
 
 def byte_names() -> dict[str, int]:
@@ -61,7 +63,7 @@ class Automaton:
         for gadget, (a, b) in enumerate(map(self.parts, spec["model"]["merges"]), 1):
             self.merge(gadget, ids[a], ids[b], ids[a + b])
         self.longest = max(map(len, self.arcs))
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     @staticmethod
     def parts(merge) -> list[str]:
@@ -70,17 +72,20 @@ class Automaton:
     def merge(self, gadget: int, a: int, b: int, ab: int) -> None:
         if a not in self.born or b not in self.born or ab in self.born:
             raise ValueError("merges must come after their parts and make each token once")
+        reached = self.labels[a] in self.arcs and self.labels[b] in self.arcs and self.entry(a, b)
         self.taken[a, b] = gadget
         self.born[ab], self.left[ab], self.right[ab] = gadget, a, b
-        self.arcs[self.labels[ab]] = ab
+        if reached:
+            self.arcs[self.labels[ab]] = ab
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the state that ``state``'s arcs lead to has an arc ``token``."""
-        known = self.table.get((state, token))
+        place = state << 20 | token
+        known = self.table.get(place)
         if known is None:
-            if len(self.table) > 4 * WORDS_KEPT:
+            if len(self.table) > WORDS_KEPT:
                 self.table.clear()
-            known = self.table[state, token] = self.entry(state, token)
+            known = self.table[place] = self.entry(state, token)
         return known
 
     def entry(self, state: int, token: int) -> bool:
@@ -99,32 +104,48 @@ class Automaton:
     def tokens(self, word: bytes) -> list[int]:
         """The tokens on the path that spells ``word``.
 
-        For every prefix there is one path, so the last arc of each is found from left to right.
+        Every prefix is spelt by one path at most, so the state at a place does not depend on how it was reached
+        and a place that leads nowhere is tried once. Longer arcs are tried first.
         """
-        whole = self.arcs.get(word)
-        last, arcs, has_arc, longest = [0] * (len(word) + 1), self.arcs, self.has_arc, self.longest
-        if whole is not None and len(word) == 1:
-            return [whole]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = arcs.get(word[start:end])
-                if token is not None and (start == 0 or has_arc(last[start], token)):
-                    last[end] = token
+        arcs, has_arc, longest, n = self.arcs, self.has_arc, self.longest, len(word)
+        whole = arcs.get(word)
+        if whole is not None or not n:
+            return [whole] if n else []
+        path: list[int] = []  # tokens
+        ends: list[int] = [0]
+        dead: set[int] = set()
+        reach = min(n, longest)
+        while ends[-1] < n:
+            at = ends[-1]
+            last = path[-1] if path else None
+            for end in range(min(reach, n), at, -1):
+                token = arcs.get(word[at:end])
+                if token is not None and end not in dead and (last is None or has_arc(last, token)):
+                    path.append(token)
+                    ends.append(end)
+                    reach = end + longest
                     break
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
+            else:  # nothing goes on from here: back to the place before, and on with shorter arcs
+                dead.add(at)
+                path.pop()
+                ends.pop()
+                reach = at - 1
+        return path
 
 
 class Codec(dict):
-    """Words to their ids as little-endian bytes; the words of a text are looked up at once."""
+    """Pieces to their ids as little-endian bytes, kept; the pieces of a text are looked up at once.
+
+    Most texts part at single spaces, and a space before other characters always begins a piece; so a run between
+    two spaces is looked up as a whole, with the space before it. A text where a space meets other white space is
+    split by the pattern alone.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.automaton = Automaton(path)
         self.pieces = regex.compile(PIECES).findall
+        self.runs = Runs(self)
         added = sorted(self.automaton.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.special_ids = {s: np.array([i], "<u4").tobytes() for s, i in self.automaton.added.items()}
@@ -132,25 +153,54 @@ class Codec(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > WORDS_KEPT:
             self.clear()
-        self[word] = found = np.array(self.automaton.tokens(word.encode("utf-8")), "<u4").tobytes()
+        ids = self.automaton.tokens(word.encode("utf-8"))
+        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
+    def plain(self, text: str) -> bytes:
+        runs = text.split(" ")
+        if len(runs) > 1 and not irregular(runs[0]):
+            try:
+                return self.split(runs[0]) + b"".join(map(self.runs.__getitem__, runs[1:]))
+            except TypeError:  # a run that cannot be looked up alone
+                pass
+        return self.split(text)
+
+    def split(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.pieces(text)))
+
     def encode(self, text: str) -> bytes:
         if self.special is None or not any(s in text for s in self.special_ids):
-            return b"".join(map(self.__getitem__, self.pieces(text)))
-        out = []
-        for piece in self.special.split(text):
-            if piece in self.special_ids:
-                out.append(self.special_ids[piece])
-            else:
-                out.extend(map(self.__getitem__, self.pieces(piece)))
-        return b"".join(out)
+            return self.plain(text)
+        return b"".join(self.special_ids.get(part) or self.plain(part) for part in self.special.split(text))
 
     def decode(self, ids: bytes) -> str:
         labels = self.automaton.labels
         return b"".join(map(labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def irregular(run: str) -> bool:
+    return not run or run[0].isspace() or run[-1].isspace()
+
+
+class Runs(dict):
+    """Runs between single spaces to the ids of the run with the space before it; None for irregular ones."""
+
+    def __init__(self, pieces: Codec):
+        super().__init__()
+        self.split = pieces.split
+
+    def __missing__(self, run: str) -> bytes | None:
+        if irregular(run):
+            return None
+        found = self.split(" " + run)
+        if len(run) < 40:
+            if len(self) > WORDS_KEPT:
+                self.clear()
+            self[run] = found
+        return found
+
+
 CODECS: dict[str, Codec] = {}
 
 
