@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, ship, stored
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 2_000_000  # tokens of the corpus for each part of an n-gram table
 HOT_SHARE = 1000  # a context is spread if it has more than one in so many tokens
 LOW = 5  # counts up to this are discounted by Good-Turing
@@ -226,9 +226,8 @@ class Block:
 
     def __init__(self, data: bytes):
         self.codes, self.names, self.lengths, held = unpacked(data, np.uint32, np.uint64, np.int64, np.uint8)
-        self.codes = self.codes.astype(np.int64)
         self.held = held.astype(bool)
-        self.text_of = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.text_of = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.trained = ~self.held[self.text_of]
         self.gram = self.codes  # number of the n-gram that ends at each token
@@ -253,18 +252,18 @@ class Block:
         """The n-grams one longer: distinct pairs of a context (what ended one token earlier) and a word.
         ``starts``: how many training texts there are, the count of the context before the first token."""
         n = len(self.digests)
-        context = np.empty_like(self.gram)
-        context[1:] = self.gram[:-1]
-        context[self.first] = n  # before the first token
-        pairs, where, inverse = np.unique(
-            context * len(self.names) + self.codes, return_index=True, return_inverse=True
-        )
-        self.context, self.word = pairs // len(self.names), pairs % len(self.names)
+        pairs = np.empty(len(self.gram), np.int64)
+        pairs[1:] = self.gram[:-1]
+        pairs[self.first] = n  # before the first token
+        pairs *= len(self.names)
+        pairs += self.codes
+        pairs, where, inverse = np.unique(pairs, return_index=True, return_inverse=True)
+        self.context, self.word = ((f(pairs, len(self.names))).astype(np.int32) for f in (np.floor_divide, np.remainder))
         self.context_digests = np.append(self.digests, start_digest)
         self.context_counts = np.append(self.counts, starts)
         self.complete = np.append(self.counts_all == self.local_all, False)[self.context]
         self.lower = self.p[self.gram[where]]
-        self.gram = inverse
+        self.gram = inverse.astype(np.int32)
         self.digests = mix(self.context_digests[self.context], self.names[self.word])
         self.local = np.bincount(inverse, weights=self.trained, minlength=len(pairs)).astype(np.int64)
         self.local_all = np.bincount(inverse, minlength=len(pairs)).astype(np.int64)
@@ -279,34 +278,36 @@ class Block:
     def settle(self, order: Order, owner: np.ndarray, answers: dict, hot: dict) -> None:
         """Probabilities of this order, from the parts' answers and the block's own counts."""
         self.counts, self.counts_all = self.local.copy(), self.local_all.copy()
-        numbers = np.zeros((len(owner), LOW + 1), np.int64)
-        mass = np.zeros(len(owner))
+        left, mass = np.zeros(len(owner)), np.zeros(len(owner))  # of the contexts of unseen n-grams
+        by_part = np.argsort(owner, kind="stable")
+        edges = np.searchsorted(owner[by_part], np.arange(-1, owner.max(initial=-1) + 2))
         for part, data in answers.items():
-            asked = np.flatnonzero(owner == part)
+            asked = by_part[edges[part + 1] : edges[part + 2]]
             counts, counts_all, unseen, lower = unpacked(data, np.int64, np.int64, np.int64, np.float64)
             self.counts[asked] = counts
             if len(counts_all):
                 self.counts_all[asked] = counts_all
             new = asked[counts == 0]
-            numbers[new] = unseen.reshape(-1, LOW + 1)
+            left[new] = left_over(unseen.reshape(-1, LOW + 1), order)
             mass[new] = lower
-        own = np.flatnonzero(owner < 0)
+        own = by_part[: edges[1]]
         if len(own):
             which, index = np.unique(self.context[own], return_inverse=True)
             counts = self.counts[own]
-            numbers[own] = histogram(counts, index, len(which))[index]
+            left[own] = left_over(histogram(counts, index, len(which)), order)[index]
             mass[own] = np.bincount(index, weights=np.where(counts > 0, self.lower[own], 0), minlength=len(which))[index]
         unseen = np.flatnonzero(self.counts == 0)
         contexts = self.context_digests[self.context[unseen]]
         for key in hot:
             if key in order.spread:
                 here = unseen[contexts == np.uint64(int(key))]
-                numbers[here], mass[here] = order.spread[key]
-        c = self.context_counts[self.context]
-        seen = self.counts > 0
+                left[here], mass[here] = left_over(order.spread[key][0], order), order.spread[key][1]
+        c = self.context_counts[self.context].astype(np.float64)
         with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(c > 0, left_over(numbers, order) / c / np.maximum(1 - mass, 1e-300), 1.0)
-            self.p = np.where(seen, kept_counts(self.counts, order) / c, alpha * self.lower)
+            self.p = kept_counts(self.counts, order) / c
+            c, mass = c[unseen], mass[unseen]
+            alpha = np.where(c > 0, left[unseen] / c / np.maximum(1 - mass, 1e-300), 1.0)
+        self.p[unseen] = alpha * self.lower[unseen]
 
     def scores(self) -> np.ndarray:
         return np.bincount(self.text_of, weights=np.log10(self.p)[self.gram], minlength=len(self.lengths))
