@@ -53,6 +53,20 @@ def mix(a, b):
         return x ^ (x >> np.uint64(31))
 
 
+WORD = np.uint64((1 << 48) - 1)  # bits of a word's digest that tell the words after one context apart
+
+
+def short(digests: np.ndarray) -> np.ndarray:
+    """48-bit digests as six bytes each."""
+    return np.ascontiguousarray(digests).view(np.uint8).reshape(-1, 8)[:, :6].copy()
+
+
+def long(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def packed(*arrays) -> bytes:
     sizes = np.array([a.nbytes for a in arrays], np.int64)
     return zstandard.compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
@@ -264,7 +278,7 @@ class Block:
         self.complete = np.append(self.counts_all == self.local_all, False)[self.context]
         self.lower = self.p[self.gram[where]]
         self.gram = inverse.astype(np.int32)
-        self.digests = mix(self.context_digests[self.context], self.names[self.word])
+        self.digests = mix(self.context_digests[self.context], self.names[self.word] & WORD)
         self.local = np.bincount(inverse, weights=self.trained, minlength=len(pairs)).astype(np.int64)
         self.local_all = np.bincount(inverse, minlength=len(pairs)).astype(np.int64)
 
@@ -320,14 +334,15 @@ ANSWERED = "block long, part int, answer binary"
 
 
 def word_requests(blocks: DataFrame, parts: int) -> DataFrame:
+    def one(number, data):
+        block = Block(data)
+        owner = (block.names % np.uint64(parts)).astype(np.int64)
+        return sent_batch(number, owner, lambda i: packed(block.names[i], block.local[i], block.local_all[i]))
+
     def work(batches):
         for batch in batches:
-            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block = Block(data.as_py())
-                owner = (block.names % np.uint64(parts)).astype(np.int64)
-                yield sent_batch(
-                    number, owner, lambda i: packed(block.names[i], block.local[i], block.local_all[i])
-                )
+            for row, number in enumerate(batch.column(0).to_pylist()):
+                yield one(number, batch.column(1)[row].as_py())
 
     return blocks.select("block", "data").mapInArrow(work, SENT)
 
@@ -382,12 +397,12 @@ def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool) -
             return answer_frame(group, [b""] * len(group), stats).iloc[-1:]
         rows = []
         for s in group["sent"]:
-            contexts, runs, words, local, local_all, lower = unpacked(s, np.uint64, np.int64, np.uint64, np.int64, np.int64, np.float64)
-            rows.append((np.repeat(contexts, runs), words, local, local_all, lower))
+            contexts, runs, words, local, local_all, lower = unpacked(s, np.uint64, np.int64, np.uint8, np.int64, np.int64, np.float64)
+            rows.append((np.repeat(contexts, runs), long(words), local, local_all, lower))
         context, word, local, local_all, lower = (np.concatenate([r[i] for r in rows]) for i in range(5))
         keys, where, index = np.unique(mix(context, word), return_index=True, return_inverse=True)
         counts = summed(index, local, len(keys))
-        counts_all = summed(index, local_all, len(keys))
+        counts_all = counts if last else summed(index, local_all, len(keys))
         below = np.zeros(len(keys))
         below[index[local > 0]] = lower  # equal in all blocks
         contexts, context_of = np.unique(context[where], return_inverse=True)
@@ -467,33 +482,35 @@ def gram_requests(blocks: DataFrame, steps: list[Step], hot: dict, parts: int, h
     known = [(s.order, s.hot) for s in steps]
     digest = start_digests(len(known))[len(known) - 1]
 
-    def work(batches):
+    def one(batch, row, number):
+        block, end = restored(batch, row, known, parts, 2)
+        block.next_order(end, digest)
+        owner = block.owners(parts, hot)
+        contexts = block.context_digests[block.context]
+
+        def payload(i):  # sorted by context, as n-grams are numbered
+            starts = np.flatnonzero(np.append(True, contexts[i][1:] != contexts[i][:-1]))
+            runs = np.diff(np.append(starts, len(i)))
+            all_ = np.empty(0, np.int64) if last else block.local_all[i]
+            seen = i[block.local[i] > 0]
+            return packed(
+                contexts[i][starts], runs, short(block.names[block.word[i]]), block.local[i], all_, block.lower[seen]
+            )
+
+        own = owner < 0
+        stats = count_stats(block.local[own])
+        if not last:
+            stats["hot"] = [str(k) for k in block.digests[own & (block.local_all > hot_above)]]
+        settled = pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([json.dumps(stats).encode()], pa.binary())],
+            ["block", "part", "sent"],
+        )
+        return sent_batch(number, owner, payload), settled
+
+    def work(batches):  # a block's arrays are gone before the next one's are made
         for batch in batches:
             for row, number in enumerate(batch.column("block").to_pylist()):
-                block, end = restored(batch, row, known, parts, 2)
-                block.next_order(end, digest)
-                owner = block.owners(parts, hot)
-                contexts = block.context_digests[block.context]
-
-
-                def payload(i):  # sorted by context, as n-grams are numbered
-                    starts = np.flatnonzero(np.append(True, contexts[i][1:] != contexts[i][:-1]))
-                    runs = np.diff(np.append(starts, len(i)))
-                    all_ = np.zeros(len(i), np.int64) if last else block.local_all[i]
-                    seen = i[block.local[i] > 0]
-                    return packed(
-                        contexts[i][starts], runs, block.names[block.word[i]], block.local[i], all_, block.lower[seen]
-                    )
-
-                yield sent_batch(number, owner, payload)
-                own = owner < 0
-                stats = count_stats(block.local[own])
-                if not last:
-                    stats["hot"] = [str(k) for k in block.digests[own & (block.local_all > hot_above)]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([json.dumps(stats).encode()], pa.binary())],
-                    ["block", "part", "sent"],
-                )
+                yield from one(batch, row, number)
 
     return with_answers(blocks.select("block", "data"), steps).mapInArrow(work, SENT)
 
@@ -533,24 +550,27 @@ def score_texts(docs: DataFrame, held_out, order: int = 2, block_tokens: int = B
     base = total + 0.1 * (distinct + 1)
     kind = dict(docs.dtypes)["doc_id"]
 
+    def one(batch, row):
+        block, _ = restored(batch, row, known, parts, 3)
+        n = len(block.lengths)
+        seen, base_p = block.known > 0, np.log10((block.known + 0.1) / base)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("ids")[row].values,
+                pa.array(block.held),
+                pa.array(block.lengths),
+                pa.array(np.bincount(block.text_of, weights=seen[block.codes], minlength=n).astype(np.int64)),
+                pa.array(np.full(n, total, np.int64)),
+                pa.array(np.bincount(block.text_of, weights=base_p[block.codes], minlength=n)),
+                pa.array(block.scores()),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
     def work(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                block, _ = restored(batch, row, known, parts, 3)
-                n = len(block.lengths)
-                base_p = np.log10((block.known + 0.1) / base)[block.codes]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("ids")[row].values,
-                        pa.array(block.held),
-                        pa.array(block.lengths),
-                        pa.array(np.bincount(block.text_of, weights=(block.known > 0)[block.codes], minlength=n).astype(np.int64)),
-                        pa.array(np.full(n, total, np.int64)),
-                        pa.array(np.bincount(block.text_of, weights=base_p, minlength=n)),
-                        pa.array(block.scores()),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                yield one(batch, row)
 
     return with_answers(blocks.select("block", "ids", "data"), steps).mapInArrow(
         work,
