@@ -312,25 +312,23 @@ select order_uid, recipient_name, phone as recipient_phone,
     case when city is not null then 'TW' end as country_code
 from addressed"""
 
-REQUEST_ID = """sha256(entity || '|' || entity_id || '|' || cast(seq as varchar)
-        || coalesce('|' || body_json, ''))"""
+REQUEST_ID = "sha256(entity || '|' || entity_id || '|' || method || '|' || path || '|' || content)"
 
 
 def _outbox(
     rows: str, entity: str, entity_id: str, method: str, path: str, body: str,
-    seq: str = "1", phase: str = "cast(null as varchar)",
+    seq: str = "1", phase: str = "cast(null as varchar)", content: str | None = None,
 ) -> str:
     return f"""
     requests as (select '{entity}' as entity, cast({entity_id} as varchar) as entity_id,
         cast({seq} as int) as seq, '{method}' as method, {path} as path, {body} as body_json,
-        {phase} as phase from {rows})"""
+        {phase} as phase, {content or f"cast(cast({seq} as int) as varchar) || coalesce('|' || {body}, '')"} as content
+        from {rows})"""
 
 
 OUTBOX_SELECT = f"""select {REQUEST_ID} as request_id, entity, entity_id, seq, method, path,
     body_json, phase from requests"""
 
-# A larger order is several requests.
-LINES_PER_REQUEST = 8192
 ITEM_JSON = """'{"item_type":"' || item_type || '","item_price":' || cast(item_price as varchar)
     || ',"item_data":{"name":"' || item_name || '"'
     || coalesce(',"price":"' || price_text || '"', '') || '}'
@@ -340,25 +338,26 @@ ORACLES["create_order_json"] = (
     _and(
         _and(_and(ORDER_TABLES, _items("unit_sum")), ADDRESS),
         f"""
-    texts as (select i.order_uid, least(position - 1, last_seq - 1) // {LINES_PER_REQUEST} as part,
-            string_agg({ITEM_JSON}, ',' order by position) as items_text
-        from items i join folded o on i.order_uid = o.order_uid
-        group by i.order_uid, least(position - 1, last_seq - 1) // {LINES_PER_REQUEST}),
-    bodies as (select f.order_uid, part + 1 as part, '{{"order":{{"delivery_option_id":"delivery-1",'
+    texts as (select order_uid, string_agg({ITEM_JSON}, ',' order by position) as items_text
+        from items group by order_uid),
+    around as (select f.order_uid, last_seq, unit_sum, line_sum,
+        '{{"order":{{"delivery_option_id":"delivery-1",'
         || '"payment_method_id":"payment-1","customer_email":"' || f.customer_email
         || '","subtotal":' || cast(subtotal as varchar) || ',"total":'
-        || cast(f.total_amount as varchar) || ',"items":[' || items_text
-        || '],"delivery_address":{{"recipient_name":"' || f.recipient_name
-        || '","recipient_phone":"' || phone || '"'
+        || cast(f.total_amount as varchar) || ',"items":[' as before,
+        '],"delivery_address":{{"recipient_name":' || coalesce('"' || f.recipient_name || '"', 'null')
+        || ',"recipient_phone":"' || phone || '"'
         || case when city is not null then ',"address_1":"' || f.recipient_address
             || '","postcode":"' || f.postcode || '","city":"' || city
             || '","country_code":"TW"' else '' end
-        || '}},"order_remarks":"' || r.remarks || '"}}}}' as body
-        from f join texts t on f.order_uid = t.order_uid
-        join addressed a on f.order_uid = a.order_uid
-        join (select order_uid as uid, {REMARK} as remarks from heads) r on f.order_uid = r.uid),"""
+        || '}},"order_remarks":"' || r.remarks || '"}}}}' as after
+        from f join addressed a on f.order_uid = a.order_uid
+        join (select order_uid as uid, {REMARK} as remarks from heads) r on f.order_uid = r.uid),
+    bodies as (select order_uid, before || items_text || after as body, before || '|' || after || '|'
+        || last_seq || '|' || cast(unit_sum as bigint) || '|' || cast(line_sum as bigint) as facts
+        from around join texts using (order_uid)),"""
         + _outbox("bodies", "order", "order_uid", "POST", "'/orders'", "body",
-                  seq="part", phase="'first'"),
+                  phase="'first'", content="facts"),
     )
     + OUTBOX_SELECT
 )

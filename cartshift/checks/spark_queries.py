@@ -104,7 +104,7 @@ def create_order_json(spark, folder):
     heads = cleaning.order_city(given.legacy_orders(spark, folder))
     folded = orders.book_amounts(given.summed_orders(heads, folder))
     documents = orders.order_documents(lines, folded, SETTINGS)
-    return outbox.create_order_requests(documents, "first")
+    return outbox.whole_bodies(outbox.create_order_requests(documents, "first"))
 
 
 @query
@@ -149,7 +149,7 @@ def order_lines_of_ids(spark, folder):
 def amounts_parsed(spark, folder):
     events = given.table(spark, folder, "events").select(
         "event_id",
-        F.substring("props", 7, 100).alias("quantity"),
+        F.regexp_extract("props", r":\s*([^}]*)", 1).alias("quantity"),
         F.when(F.col("event_type") == "click", "")
         .when(F.col("event_type") == "error", F.col("props"))
         .otherwise(given.text(F.col("value").cast("decimal(18,2)")))

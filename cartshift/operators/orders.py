@@ -6,8 +6,7 @@ given once at ingest. The first line is then ``line_seq = 1`` and needs no sort,
 
 * per-order facts are aggregates, repeated once per block and joined on (order, block);
 * a document is folded per block, so no task ever holds more than one block of lines.
-  An order of one block (all but giants) is one request; a giant is several ``part``s
-  whose ``items`` follow each other.
+  An order is one request at any size; the body of a giant is several pieces of text.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from cartshift.functions.coercion import (
 )
 from cartshift.operators.grouping import key_list, number_within
 
-# A block is 2**13 lines: what one task may hold of one order, and one request's items.
+# A block is 2**13 lines: what one task may hold of one order.
 BLOCK_BITS = 13
 UNIT = "unit"
 LINE_TOTAL = "line_total"
@@ -322,34 +321,64 @@ def order_items(lines: DataFrame, orders: DataFrame, null_text: str = "null") ->
     )
 
 
+def delivery_address_json() -> Column:
+    """The address as JSON: a missing recipient is an explicit null, other missing fields are left out."""
+    address = delivery_address()
+    name = F.to_json(F.array("recipient_name"), {"ignoreNullFields": "false"})
+    rest = F.to_json(address.dropFields("recipient_name"))
+    return F.concat(
+        F.lit('{"recipient_name":'),
+        F.substr(name, F.lit(2), F.length(name) - 2),
+        F.lit(","),
+        F.substr(rest, F.lit(2)),
+    )
+
+
 def order_documents(
     lines: DataFrame, orders: DataFrame, settings: OrderSettings
 ) -> DataFrame:
-    """Nested order documents: ``order_uid, part, order``, one part per block of lines."""
+    """Order documents as text: ``order_uid, piece, body_text, facts``.
+
+    The texts of an order's pieces, joined in order, are one JSON document: everything before the items
+    stands in the first piece, everything after them in the last, and each piece has the items of one block of
+    lines. ``facts`` are the order's own fields and sums, the same whatever the size of a block.
+    """
     bits = settings.block_bits
     line = F.struct(*ITEM_COLUMNS)
     blocks = lines.groupBy("order_uid", line_block(F.col("line_seq"), bits).alias("block")).agg(
         F.sort_array(F.collect_list(line)).alias("lines")
     )
     joined = blocks.join(per_block(orders, bits).hint("merge"), ["order_uid", "block"])
-    last_block = line_block(F.col("last_seq"), bits)
+    is_first, is_last = F.col("block") == 0, F.col("block") == line_block(F.col("last_seq"), bits)
     products = F.transform("lines", lambda row: product_item(row.getField, settings.null_text))
-    items = F.when(F.col("block") == last_block, F.concat(products, closing_items()))
-    document = F.struct(
-        F.lit(settings.delivery_option_id).alias("delivery_option_id"),
-        F.lit(settings.payment_method_id).alias("payment_method_id"),
-        customer_email(F.col("customer_email"), settings.placeholder_email).alias(
-            "customer_email"
-        ),
-        F.col("subtotal"),
-        F.col("total"),
-        items.otherwise(products).alias("items"),
-        delivery_address().alias("delivery_address"),
-        remark().alias("order_remarks"),
+    items = F.to_json(F.when(is_last, F.concat(products, closing_items())).otherwise(products))
+    start = F.to_json(
+        F.struct(
+            F.lit(settings.delivery_option_id).alias("delivery_option_id"),
+            F.lit(settings.payment_method_id).alias("payment_method_id"),
+            customer_email(F.col("customer_email"), settings.placeholder_email).alias(
+                "customer_email"
+            ),
+            F.col("subtotal"),
+            F.col("total"),
+        )
+    )
+    before = F.concat(F.lit('{"order":'), F.substr(start, F.lit(1), F.length(start) - 1), F.lit(',"items":['))
+    remarks = F.to_json(F.struct(remark().alias("order_remarks")))
+    after = F.concat(
+        F.lit('],"delivery_address":'),
+        delivery_address_json(),
+        F.lit(","),
+        F.substr(remarks, F.lit(2)),
+        F.lit("}"),
     )
     return joined.select(
         "order_uid",
-        (F.col("block") + 1).alias("part"),
-        document.alias("order"),
+        (F.col("block") + 1).alias("piece"),
+        F.concat(
+            F.when(is_first, before).otherwise(","),
+            F.substr(items, F.lit(2), F.length(items) - 2),
+            F.when(is_last, after).otherwise(""),
+        ).alias("body_text"),
+        F.concat_ws("|", before, after, "last_seq", "unit_sum", "line_sum").alias("facts"),
     )
-

@@ -27,8 +27,11 @@ def requests(
     body: Column,
     seq: Column | None = None,
     phase: str | None = None,
+    content: Column | None = None,
 ) -> DataFrame:
-    """Outbox rows. The id is a digest of the content, so sending again is harmless."""
+    """Outbox rows. The id is a digest of method, path and content (``seq`` and body unless ``content`` is
+    given), so a sender that drops ids it has sent may be given a request again."""
+    own = F.concat_ws("|", "seq", "body_json") if content is None else F.col("content")
     built = rows.select(
         F.lit(entity).alias("entity"),
         F.col(entity_id).cast("string").alias("entity_id"),
@@ -37,25 +40,37 @@ def requests(
         path_for(path, F.col(entity_id).cast("string")).alias("path"),
         body.alias("body_json"),
         F.lit(phase).cast("string").alias("phase"),
+        (F.lit(None).cast("string") if content is None else content).alias("content"),
     )
-    content = F.concat_ws("|", "entity", "entity_id", F.col("seq").cast("string"), "body_json")
-    return built.withColumn("request_id", F.sha2(content, 256)).select(*OUTBOX_COLUMNS)
+    digest = F.sha2(F.concat_ws("|", "entity", "entity_id", "method", "path", own), 256)
+    return built.withColumn("request_id", digest).select(*OUTBOX_COLUMNS)
 
 
 def create_order_requests(documents: DataFrame, phase: str | None = None) -> DataFrame:
-    """One request per order; ``seq`` counts the parts of a giant order."""
+    """One request per order. The body of a very long order stands in several rows of one
+    ``request_id``: the texts in the order of ``seq`` are one JSON document."""
     return requests(
         documents,
         "order",
         "order_uid",
         "POST",
         fixed.CREATE_ORDER_PATH,
-        F.to_json(F.struct("order")),
-        seq=F.col("part"),
+        F.col("body_text"),
+        seq=F.col("piece"),
         phase=phase,
+        content=F.col("facts"),
     )
 
 
+def whole_bodies(pieces: DataFrame) -> DataFrame:
+    """Requests with their bodies in one text each, as the sender needs them; ``seq`` is 1."""
+    rest = [c for c in OUTBOX_COLUMNS if c not in ("seq", "body_json")]
+    texts = F.sort_array(F.collect_list(F.struct("seq", "body_json")))
+    return pieces.groupBy(*rest).agg(
+        F.lit(1).alias("seq"), F.array_join(texts["body_json"], "").alias("body_json")
+    ).select(*OUTBOX_COLUMNS)
+
+
 def status_requests(changes: DataFrame, phase: str | None = None) -> DataFrame:
     return requests(
         changes.where(F.col("outcome") == OK),

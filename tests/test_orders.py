@@ -23,7 +23,8 @@ def document_of(lines, settings=SETTINGS):
     parsed = orders.parse_amounts(lines)
     folded = orders.fold_orders(parsed, basis=settings.balance_basis)
     requests = outbox.create_order_requests(orders.order_documents(parsed, folded, settings))
-    return [json.loads(r.body_json)["order"] for r in requests.orderBy("entity_id", "seq").collect()]
+    whole = outbox.whole_bodies(requests).orderBy("entity_id").collect()
+    return [json.loads(r.body_json)["order"] for r in whole]
 
 
 @pytest.mark.parametrize(
@@ -214,18 +215,25 @@ def test_document(order_lines):
     ]
 
 
-def test_a_giant_order_becomes_parts_with_the_same_items(order_lines):
+def test_a_giant_order_is_one_request_at_any_block_size(order_lines):
     lines = order_lines(
         *[{"order_uid": "U1", "unit_price": str(i), "items_subtotal": "9"} for i in range(1, 12)],
-        {"order_uid": "U2"},
+        {"order_uid": "U2", "recipient_name": None},
     )
-    whole = document_of(lines)
-    parts = document_of(lines, OrderSettings("delivery", "payment", block_bits=2))
-    assert len(whole) == 2 and len(parts) == 4
-    assert whole[0]["items"] == sum((p["items"] for p in parts[:3]), [])
-    assert {k: v for k, v in whole[0].items() if k != "items"} == {
-        k: v for k, v in parts[1].items() if k != "items"
-    }
+    parsed = orders.parse_amounts(lines)
+    folded = orders.fold_orders(parsed)
+
+    def requests(bits):
+        settings = OrderSettings("delivery", "payment", block_bits=bits)
+        return outbox.create_order_requests(orders.order_documents(parsed, folded, settings))
+
+    whole = {r.entity_id: (r.request_id, r.body_json) for r in requests(13).collect()}
+    pieces = requests(2)
+    assert pieces.where("entity_id = 'U1'").count() == 3
+    joined = {r.entity_id: (r.request_id, r.body_json) for r in outbox.whole_bodies(pieces).collect()}
+    assert joined == whole and len(whole) == 2
+    assert len(json.loads(whole["U1"][1])["order"]["items"]) == 14
+    assert '"recipient_name":null' in whole["U2"][1]
 
 
 def test_items_agree_with_the_documents(order_lines):
