@@ -24,7 +24,7 @@ from cartshift.operators.orders import (
 )
 from cartshift.operators.paging import id_range
 from cartshift.session import checkpointed
-from cartshift.sources.readers import lines_of_orders
+from cartshift.sources.readers import known_phase, lines_of_orders, of_phase
 
 ORDER, CUSTOMER = "order", "customer"
 PLATFORM_ORDER_ID = "platform_order_id"
@@ -49,6 +49,12 @@ def _rejected(rows: DataFrame, entity: str, key: str, reason: str | Column) -> D
     )
 
 
+def in_phase(table: DataFrame, phase: str) -> DataFrame:
+    """The rows of a known phase; a table without that column is of one phase."""
+    known_phase(phase)
+    return of_phase(table, phase) if "phase" in table.columns else table
+
+
 # --- orders --------------------------------------------------------------------
 
 
@@ -63,9 +69,10 @@ def create_orders(
 ) -> Plan:
     """Create requests for the orders of an id range that do not exist yet.
 
-    ``lines`` are the phase's cleaned, numbered lines. Orders already created, by
+    ``lines`` are cleaned, numbered lines; of a table of all phases only the asked one counts. Orders already created, by
     their own column or by the ledger, need nothing.
     """
+    lines, order_uids = in_phase(lines, phase), in_phase(order_uids, phase)
     wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
     wanted = books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid")
     in_range = parse_amounts(id_range(lines, "order_uid", start, end))
@@ -106,6 +113,7 @@ def sync_statuses(
     end: str | None = None,
 ) -> Plan:
     """All three status requests of every order in an id range, decided in one pass."""
+    lines, order_uids = in_phase(lines, phase), in_phase(order_uids, phase)
     wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
     heads = lines_of_orders(id_range(first_lines(lines), "order_uid", start, end), wanted)
     heads = books.write_back(heads, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid")
@@ -200,7 +208,9 @@ def plan_tags(recon: DataFrame, ledger: DataFrame) -> Plan:
 
 
 def record_tags(responses: DataFrame) -> DataFrame:
-    """Ledger rows ``success`` or ``fail`` from the answers to tag requests."""
+    """Ledger rows ``success`` or ``fail`` from the answers to tag requests; a call that
+    failed leaves none and is planned again."""
+    responses = responses.where(status.failure_class(F.col("http_status")) == "success")
     tags = F.from_json(F.get_json_object("answer", "$.tags"), "array<string>")
     judged = reconcile.tag_verdict(responses.withColumn("tags", tags))
     return books.entries(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cartshift.sources.schemas import RESPONSES
-from cartshift.sources.writers import LEDGER_FOLDERS
+from cartshift.sources.writers import append_ledger
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,14 +32,17 @@ def write_back(
     ``judge`` is one of the ``record_`` flows; it needs no state, so a stored table
     joined inside it stays an ordinary stream-static join. With ``once`` the query
     ends when all files present are read.
+
+    Each batch is appended like any other ledger rows, so what batch jobs write to the same
+    folder stays visible. A batch that is written twice after a failure does no harm, as
+    the ledger's latest value is a maximum.
     """
     writer = (
         judge(arriving)
         .writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .partitionBy(*LEDGER_FOLDERS)
-        .format("parquet")
+        .foreachBatch(lambda entries, _: append_ledger(entries, ledger_path))
     )
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start(ledger_path)
+    return writer.start()

@@ -163,6 +163,8 @@ def test_tags_from_plan_to_ledger(rows, empty_ledger, collect):
     assert collect(done, "entity_id", "value") == [("p1", "success")]
     empty = flows.record_tags(answer(plan.requests, rows, body='{"tags":[]}'))
     assert collect(empty, "entity_id", "value") == [("p1", "fail")]
+    failed = flows.record_tags(answer(plan.requests, rows, status=500, body="{}"))
+    assert failed.count() == 0  # planned again by the next run
     assert flows.plan_tags(recon, done).requests.count() == 0
 
 
@@ -201,6 +203,35 @@ def test_answers_are_written_back_once_as_they_arrive(spark, tmp_path, recon, co
     assert "PartitionFilters: [isnotnull(entity" in plan
 
 
+def test_streamed_and_appended_ledger_rows_are_all_read(spark, tmp_path, recon, rows, collect):
+    inbox, book, marks = (str(tmp_path / d) for d in ("inbox", "ledger", "marks"))
+    (tmp_path / "inbox").mkdir()
+    entry = lambda i: rows(LEDGER_SCHEMA, ("customer", i, "points_status", "no_diff", NOW))
+    writers.append_ledger(entry("first"), book)
+    line = {
+        "request_id": "r", "entity": "customer", "entity_id": "more", "http_status": 200,
+        "answer": json.dumps({"point_balance": 9}), "answered_at": "2024-01-01T00:00:00",
+    }
+    (tmp_path / "inbox" / "r.json").write_text(json.dumps(line) + "\n")
+    arriving = answers.answers(spark, inbox)
+    judge = lambda df: flows.record_points(df, recon)
+    answers.write_back(arriving, judge, book, marks, once=True).awaitTermination()
+    writers.append_ledger(entry("last"), book)
+    read = readers.read_ledger(spark, book)
+    assert collect(read, "entity_id") == [("first",), ("last",), ("more",)]
+
+
+def test_phase_is_checked_and_filtered(store, empty_ledger, collect):
+    lines, uids = store
+    with pytest.raises(ValueError):
+        flows.create_orders(lines, uids, empty_ledger, SETTINGS, phase="no-such-phase")
+    both = lines.withColumn("phase", F.lit("first")).unionByName(lines.withColumn("phase", F.lit("second")))
+    ids = uids.withColumn("phase", F.lit("first"))
+    got = flows.create_orders(both, ids, empty_ledger, SETTINGS, phase="first").requests
+    one = flows.create_orders(lines, uids, empty_ledger, SETTINGS, phase="first").requests
+    assert collect(got, "entity_id", "body_json") == collect(one, "entity_id", "body_json")
+
+
 def test_customers_end_to_end(rows, collect):
     from cartshift.sources.schemas import LEGACY_CUSTOMERS
 
