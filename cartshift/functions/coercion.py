@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 LEADING_INTEGER = r"^\s*([+-]?[0-9]+)"
 LEADING_NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
-AMOUNT = "decimal(28,6)"
+# Every digit of an amount that fits 64 bits counts; larger ones are refused.
+AMOUNT = "decimal(38,18)"
+BLANK = " \t\n\x0b\f\r"
 
 
 def leading_int(text: Column) -> Column:
@@ -26,7 +28,7 @@ def leading_number(text: Column) -> Column:
 
 def whole_number(text: Column) -> Column:
     """The whole text as a decimal: missing and blank give 0, ``'12abc'`` NULL."""
-    blank = text.isNull() | (F.trim(text) == "")
+    blank = text.isNull() | (F.btrim(text, F.lit(BLANK)) == "")
     return F.when(blank, F.lit(0).cast(AMOUNT)).otherwise(text.try_cast(AMOUNT))
 
 

@@ -50,11 +50,12 @@ def key_list(keys: DataFrame) -> DataFrame:
 def attach(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
     """Left join of per-key ``facts`` (one row per key) onto ``rows``.
 
-    Rows with a NULL key can match nothing; they skip the join instead of meeting in
-    one partition.
+    Rows with a NULL key match nothing; AQE splits the partition they meet in like that of
+    any other hot key, so ``rows`` are read once.
     """
-    keyed = rows.where(all_present(*keys)).join(join_side(facts), list(keys), "left")
-    return keyed.unionByName(rows.where(~all_present(*keys)), allowMissingColumns=True)
+    return rows.join(join_side(facts), list(keys), "left").select(
+        *rows.columns, *[c for c in facts.columns if c not in keys]
+    )
 
 
 def duplicate_report(rows: DataFrame, *keys: str) -> DataFrame:
@@ -142,7 +143,8 @@ def number_within(
     numbered from the global index, so they are sorted by many tasks. A key is hot only
     with that many rows, so a trillion rows have at most a million hot keys.
     """
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+    rest = [c for c in rows.columns if c not in (*keys, *order_by)]  # ties, as in the global index
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by, *rest))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > hot_rows).select(*[F.col(k).alias(f"hot_{k}") for k in keys])
     if hot.isEmpty():

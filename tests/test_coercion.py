@@ -57,3 +57,10 @@ def test_texts_and_zeros(rows):
     assert evaluate(rows, zeros, ["0", "5", None]) == [None, 5, None]
     fractions = evaluate(rows, coercion.fraction_of, ["10.25", "10", "10."])
     assert fractions == [Decimal("0.25"), 0, 0]
+
+
+def test_every_digit_of_an_amount_counts(rows):
+    texts = ["0.4999999", "0.49999999999", "0.5", "\t", "123456789012345.5", "1e30"]
+    frame = rows("t string", *[(t,) for t in texts])
+    got = [r[0] for r in frame.select(coercion.round_half_up(coercion.whole_number(F.col("t")))).collect()]
+    assert got == [0, 0, 1, 0, 123456789012346, None]  # beyond 64 bits: refused

@@ -96,3 +96,12 @@ def test_no_window_without_a_key(skewed):
     _, df = skewed
     plan = grouping.with_global_index(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_tied_rows_are_numbered_alike_at_every_group_size(rows, collect):
+    tied = rows("k string, at int, v int", *[("a", 1, v) for v in (3, 1, 5, 2, 4)])
+    small, large = (
+        collect(grouping.number_within(tied, "k", order_by=["at"], name="n", hot_rows=h), "v", "n")
+        for h in (1_000_000, 2)
+    )
+    assert small == large == [(v, v) for v in range(1, 6)]
