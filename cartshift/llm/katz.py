@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import scratch, ship, stored
 
 BLOCK_TOKENS = 1_000_000
-PART_TOKENS = 2_000_000  # tokens of the corpus for each part of an n-gram table
+PART_TOKENS = 1_000_000  # tokens of the corpus for each part of an n-gram table
 HOT_SHARE = 1000  # a context is spread if it has more than one in so many tokens
 LOW = 5  # counts up to this are discounted by Good-Turing
 HELD_BACK = 1e-3  # of one count, taken from higher counts, so that no context leaves nothing over
@@ -400,11 +400,14 @@ def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool) -
             contexts, runs, words, local, local_all, lower = unpacked(s, np.uint64, np.int64, np.uint8, np.int64, np.int64, np.float64)
             rows.append((np.repeat(contexts, runs), long(words), local, local_all, lower))
         context, word, local, local_all, lower = (np.concatenate([r[i] for r in rows]) for i in range(5))
+        asked = [len(r[1]) for r in rows]
+        del rows
         keys, where, index = np.unique(mix(context, word), return_index=True, return_inverse=True)
         counts = summed(index, local, len(keys))
         counts_all = counts if last else summed(index, local_all, len(keys))
         below = np.zeros(len(keys))
         below[index[local > 0]] = lower  # equal in all blocks
+        del local, local_all, lower
         contexts, context_of = np.unique(context[where], return_inverse=True)
         numbers = histogram(counts, context_of, len(contexts))
         mass = np.bincount(context_of, weights=np.where(counts > 0, below, 0), minlength=len(contexts))
@@ -415,7 +418,7 @@ def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool) -
         stats["spread"] = [
             (str(k), n.tolist(), float(m)) for k, n, m in zip(contexts[shared], numbers[shared], mass[shared])
         ]
-        edges = np.cumsum([len(r[1]) for r in rows])[:-1]
+        edges = np.cumsum(asked)[:-1]
         answers = []
         for i in np.split(index, edges):
             new = context_of[i[counts[i] == 0]]
