@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import scratch, ship, stored
 
 BLOCK_TOKENS = 1_000_000
-PART_TOKENS = 1_000_000  # tokens of the corpus for each part of an n-gram table
+PART_TOKENS = 1_500_000  # tokens of the corpus for each part of an n-gram table
 HOT_SHARE = 1000  # a context is spread if it has more than one in so many tokens
 LOW = 5  # counts up to this are discounted by Good-Turing
 HELD_BACK = 1e-3  # of one count, taken from higher counts, so that no context leaves nothing over
@@ -69,7 +69,7 @@ def long(data: np.ndarray) -> np.ndarray:
 
 def packed(*arrays) -> bytes:
     sizes = np.array([a.nbytes for a in arrays], np.int64)
-    return zstandard.compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    return zstandard.compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays), 6)
 
 
 def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
