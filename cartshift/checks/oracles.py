@@ -11,19 +11,24 @@ from cartshift import fixed_values as fixed
 ORACLES: dict[str, str] = {}
 
 
-def with_tables(*names: str) -> str:
-    """The WITH clause holding the named stand-in tables and what they need."""
+def with_tables(*names: str, instead: dict[str, tuple[str, ...]] | None = None) -> str:
+    """The WITH clause holding the named stand-in tables and what they need.
+
+    ``instead`` gives other SQL for some of them, followed by the tables that this needs.
+    """
+    instead = instead or {}
     needed: list[str] = []
 
     def add(name: str) -> None:
-        for other in NEEDS.get(name, ()):
+        for other in instead[name][1:] if name in instead else NEEDS.get(name, ()):
             add(other)
         if name not in needed:
             needed.append(name)
 
     for name in names:
         add(name)
-    return "with " + ",\n".join(f"{n} as ({TABLES[n]})" for n in needed) + "\n"
+    sql = {n: instead[n][0] if n in instead else TABLES[n] for n in needed}
+    return "with " + ",\n".join(f"{n} as ({sql[n]})" for n in needed) + "\n"
 
 
 def _address(spread: str, number: str) -> str:
@@ -334,9 +339,11 @@ ITEM_JSON = """'{"item_type":"' || item_type || '","item_price":' || cast(item_p
     || coalesce(',"price":"' || price_text || '"', '') || '}'
     || coalesce(',"quantity":' || cast(quantity as varchar), '')
     || ',"total":' || cast(total as varchar) || '}'"""
-ORACLES["create_order_json"] = (
-    _and(
-        _and(_and(ORDER_TABLES, _items("unit_sum")), ADDRESS),
+
+
+def _create_requests(tables: str, addressed: str) -> str:
+    return _and(
+        _and(_and(tables, _items("unit_sum")), addressed),
         f"""
     texts as (select order_uid, string_agg({ITEM_JSON}, ',' order by position) as items_text
         from items group by order_uid),
@@ -347,8 +354,8 @@ ORACLES["create_order_json"] = (
         || cast(f.total_amount as varchar) || ',"items":[' as before,
         '],"delivery_address":{{"recipient_name":' || coalesce('"' || f.recipient_name || '"', 'null')
         || ',"recipient_phone":"' || phone || '"'
-        || case when city is not null then ',"address_1":"' || f.recipient_address
-            || '","postcode":"' || f.postcode || '","city":"' || city
+        || case when a.city is not null then ',"address_1":"' || f.recipient_address
+            || '","postcode":"' || f.postcode || '","city":"' || a.city
             || '","country_code":"TW"' else '' end
         || '}},"order_remarks":"' || r.remarks || '"}}}}' as after
         from f join addressed a on f.order_uid = a.order_uid
@@ -358,9 +365,10 @@ ORACLES["create_order_json"] = (
         from around join texts using (order_uid)),"""
         + _outbox("bodies", "order", "order_uid", "POST", "'/orders'", "body",
                   phase="'first'", content="facts"),
-    )
-    + OUTBOX_SELECT
-)
+    ) + OUTBOX_SELECT
+
+
+ORACLES["create_order_json"] = _create_requests(ORDER_TABLES, ADDRESS)
 ORACLES["email_fallback"] = with_tables("heads") + "select order_uid, customer_email from heads"
 
 ORACLES["line_numbers"] = f"""
@@ -378,7 +386,7 @@ where copy = 1 or o_orderdate < timestamp '1995-01-01 00:00:00'
     or o_orderdate >= timestamp '1995-07-01 00:00:00'"""
 ORACLES["order_lines_of_ids"] = f"""
 select l_orderkey as order_uid, {LINE_ORDER} from lineitem
-where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')"""
+where l_orderkey in (select o_orderkey * 2 from orders)"""
 ORACLES["amounts_parsed"] = """
 select event_id,
     case event_type when 'click' then 0 when 'error' then null
@@ -685,3 +693,166 @@ ORACLES["cancel_plan"] = _and(
             || '","cancelled_reason":{"key":"other","message":"刪除測試商店訂單"}}'""",
     ),
 ) + OUTBOX_SELECT
+
+ORACLES["export_first_rows"] = (
+    ORACLES["export_headings"] + f" order by email_address limit {fixed.CSV_EXPORT_ROWS}"
+)
+ORACLES["export_page_rows"] = ORACLES["export_headings"].replace(
+    " from projected",
+    ", cast(floor((row_number() over (order by email_address) - 1) / 100) as bigint) + 1 as page"
+    " from projected",
+)
+
+# --- whole flows
+EXPORTED_AT = """cast(year(o_orderdate) + 24 as varchar) || strftime(o_orderdate, '/%m/%d %H:%M:%S')"""
+TABLES["export_heads"] = f"""
+    select * replace (
+        case when order_uid % 43 <> 0 then platform || transaction_no end as order_uid,
+        case order_uid % 10 when 0 then 'S' || cast(order_uid as varchar) when 1 then '' end
+            as platform_order_id,
+        {EXPORTED_AT} as created_at,
+        case when {EXPORTED_AT} like '2023%' then
+            case when {_has("recipient_phone_no0")} then '0' || recipient_phone_no0 else '' end
+            else recipient_phone end as recipient_phone,
+        {FIXED_ADDRESS} as recipient_address,
+        case when order_uid % 41 <> 0 then discount_amount end as discount_amount),
+        order_uid as order_key, {_order_city("recipient_address")} as city,
+        year(o_orderdate) = 1999 and month(o_orderdate) <= 6 as exported_twice,
+        case when order_uid % 37 > 1 then cast(o_totalprice as decimal(18,2)) end
+            as subtotal_amount,
+        case order_uid % 37 when 0 then null when 1 then 0
+            else cast(floor(cast(o_totalprice as decimal(18,2)) + 0.5) as bigint) end
+            as subtotal_rounded
+    from ({TABLES["heads"]}) h join orders on o_orderkey = h.order_uid"""
+TABLES["export_uids"] = """
+    select distinct order_uid from export_heads where not (order_uid is not null
+        and recipient_name = '' and delivery_type = '尚未選擇'
+        and order_key in (select l_orderkey from lineitem))"""
+TABLES["export_ledger"] = """
+    select o_orderstatus || cast(o_orderkey as varchar) as uid, 'L' || cast(o_custkey as varchar)
+        as recorded from orders where o_custkey % 3 = 0"""
+TABLES["export_open"] = """
+    select u.order_uid, h.order_key, h.exported_twice, h.platform_order_id,
+        h.order_key in (select l_orderkey from lineitem) as has_lines
+    from export_uids u left join export_heads h on u.order_uid = h.order_uid
+    where u.order_uid is null or u.order_uid not in (select uid from export_ledger)"""
+TABLES["export_lines"] = f"""
+    select *, count(*) filter (price is null) over (partition by order_uid) as bad_lines from (
+        select o.order_uid, l_partkey, l_suppkey, l_linenumber, exported_twice,
+            row_number() over (partition by l_orderkey order by {LINE_ORDER}) as line_seq,
+            row_number() over (partition by l_orderkey, l_linenumber order by {LINE_ORDER}) as copy,
+            case when not (l_linenumber = 7 and l_quantity > 40) then
+                cast(floor(cast(l_extendedprice as decimal(18,2)) + 0.5) as bigint) end as price,
+            cast(l_quantity as bigint) as units
+        from lineitem join export_open o on l_orderkey = order_key
+        where o.platform_order_id is null or o.platform_order_id = '')
+    where copy = 1 or not exported_twice"""
+NEEDS |= {
+    "export_uids": ("export_heads",),
+    "export_open": ("export_uids", "export_heads", "export_ledger"),
+    "export_lines": ("export_open",),
+}
+EXPORTED_ORDERS = {
+    "heads": (
+        "select * exclude (subtotal_amount, subtotal_rounded) from export_heads", "export_heads",
+    ),
+    "lines": ("select * from export_lines", "export_lines"),
+    "sums": (
+        """select l.order_uid, h.subtotal_amount, max(line_seq) as last_seq, h.subtotal_rounded,
+            cast(sum(price) as bigint) as unit_sum, cast(sum(price * units) as bigint) as line_sum
+        from lines l join export_heads h on l.order_uid = h.order_uid
+        where bad_lines = 0 and h.subtotal_rounded is not null and h.discount_amount is not null
+        group by all""",
+        "lines", "export_heads",
+    ),
+}
+ORACLES["flow_create_orders"] = _create_requests(
+    with_tables("folded", "lines", instead=EXPORTED_ORDERS),
+    f"""
+    addressed as (select *, case when {_has("recipient_phone")} then recipient_phone
+        else '0000000000' end as phone from heads)""",
+)
+ORACLES["flow_create_rejects"] = with_tables("export_lines", "export_heads") + """
+select 'order' as entity, order_uid as entity_id, 'no_lines' as reason from export_open
+where order_uid is null or not has_lines
+union all
+select distinct 'order', l.order_uid, 'bad_amount'
+from export_lines l join export_heads h on l.order_uid = h.order_uid
+where bad_lines > 0 or h.subtotal_rounded is null or h.discount_amount is null"""
+SYNCED = {
+    "heads": (
+        """select * replace (coalesce(recorded, platform_order_id) as platform_order_id)
+        from export_heads left join export_ledger on uid = order_uid
+        where order_uid in (select order_uid from export_uids)
+            and order_key in (select l_orderkey from lineitem)""",
+        "export_heads", "export_ledger", "export_uids",
+    ),
+}
+ORACLES["flow_sync_statuses"] = _and(
+    _and(with_tables("decided", instead=SYNCED), CHANGES),
+    _outbox(
+        "changes where outcome = 'ok'", "order", "id", "PATCH",
+        "'/orders/' || id || '/' || call", """'{"status":"' || status || '"}'""",
+        seq="n", phase="'second'",
+    ),
+) + OUTBOX_SELECT
+ORACLES["flow_sync_rejects"] = _and(with_tables("decided", instead=SYNCED), CHANGES) + """
+select 'order' as entity, order_uid as entity_id, outcome as reason from changes
+where outcome <> 'ok'
+union all
+select 'order', u.order_uid, 'no_lines' from export_uids u
+where u.order_uid is null or u.order_uid not in (select order_uid from heads)"""
+ORACLES["flow_recover_orders"] = with_tables("heads") + """,
+    lost as (select order_uid, count(l_partkey) as n, min(l_partkey) as hit
+        from heads left join lineitem on l_orderkey = order_uid
+        where platform_order_id is null and platform = 'P' and order_uid not in (
+            select l_orderkey from lineitem where l_returnflag = 'R')
+        group by order_uid)
+select case n when 1 then 'settled' else 'reject' end as part,
+    cast(order_uid as varchar) as entity_id,
+    case n when 0 then 'not_found' when 1 then cast(hit as varchar) else 'ambiguous' end as detail
+from lost"""
+SHARED_EMAILS = """
+    select * replace (case when n % 40 = 1 then 'U' || cast(n - 1 as varchar) || '@Example.com'
+        else email end as email)
+    from (select *, cast(regexp_extract(email, '[0-9]+') as bigint) as n
+        from ({legacy}))""".replace("{legacy}", TABLES["legacy"])
+
+
+def _open_customers(table: str, event_type: str) -> dict[str, tuple[str, ...]]:
+    """Customers without an outcome in the ledger, some of them under a shared e-mail."""
+    return {
+        "legacy": (SHARED_EMAILS,),
+        table: (
+            f"""select * from ({TABLES[table]}) t where t.customer_id is null
+            or t.customer_id not in (select 'P' || cast(user_id * 3 as varchar) from events
+                where event_type = '{event_type}')""",
+            *NEEDS[table],
+        ),
+    }
+
+
+ORACLES["flow_plan_points"] = (
+    with_tables("plan", instead=_open_customers("recon", "purchase"))
+    + f"""
+select case outcome when 'change' then 'request' when 'no_diff' then 'settled' else 'reject' end
+    as part, customer_id as entity_id,
+    case outcome when 'change' then {POINTS_BODY} else outcome end as detail from plan"""
+)
+ORACLES["flow_audit_points"] = (
+    with_tables("recon", "balances", instead=_open_customers("recon", "error"))
+    + """
+select 'customer' as entity, r.customer_id as entity_id, 'points_verified' as field,
+    case when coalesce(balance = legacy_points, false) then 'true' else 'false' end as value
+from recon r left join balances b on r.customer_id = b.customer_id
+where r.customer_id is not null"""
+)
+ORACLES["flow_plan_tags"] = (
+    with_tables("tags", instead=_open_customers("tags", "click"))
+    + """
+select case when customer_id is null then 'reject' else 'request' end as part,
+    coalesce(customer_id, email) as entity_id,
+    case when customer_id is null then 'no_platform_id'
+        else '{"tags":["0325-' || tier || '"],"update_mode":"add"}' end as detail
+from tags"""
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ from cartshift.operators import (
     reconcile,
     status,
 )
+from cartshift.plans import flows
 from cartshift.session import checkpointed, tune
-from cartshift.sources import readers
+from cartshift.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,10 +140,11 @@ def line_numbers(spark, folder):
 
 @query
 def order_lines_of_ids(spark, folder):
-    """All lines of all finished orders: the list of ids is the operator's input."""
-    returned = given.table(spark, folder, "orders").where("o_orderstatus = 'F'")
+    """The lines of a list of ids, which also names orders that do not exist."""
+    wanted = given.table(spark, folder, "orders").select(
+        (F.col("o_orderkey") * 2).alias("order_uid")
+    )
     lines = given.table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "order_uid")
-    wanted = returned.select(F.col("o_orderkey").alias("order_uid"))
     return readers.lines_of_orders(lines, wanted)
 
 
@@ -768,3 +771,113 @@ def cancel_plan(spark, folder):
         coercion.has_text(F.col("platform_order_id"))
     )
     return outbox.cancel_requests(created, enabled=True)
+
+
+@query
+def export_first_rows(spark, folder):
+    """The rows of the one-file export; the limit is the operator."""
+    return writers.first_rows(cleaning.project_customers(given.legacy_customers(spark, folder)))
+
+
+@query
+def export_page_rows(spark, folder):
+    """The rows of the export by pages."""
+    customers = cleaning.project_customers(given.legacy_customers(spark, folder))
+    return writers.page_rows(customers, rows_per_page=100)
+
+
+# --- whole flows ---------------------------------------------------------------
+
+
+def _exported(spark, folder):
+    """Lines and ids of the raw export, ready for the flows."""
+    lines = flows.prepare_orders(given.export_lines(spark, folder), given.LINE_ORDER)
+    heads = cleaning.compose_order_uid(given.export_heads(spark, folder))
+    return lines, flows.prepare_order_uids(lines, heads)
+
+
+def _create_plan(spark, folder):
+    lines, uids = _exported(spark, folder)
+    recorded = given.export_ledger(spark, folder)
+    return flows.create_orders(lines, uids, recorded, SETTINGS, phase="first")
+
+
+@query
+def flow_create_orders(spark, folder):
+    return outbox.whole_bodies(_create_plan(spark, folder).requests)
+
+
+@query
+def flow_create_rejects(spark, folder):
+    return _create_plan(spark, folder).rejects
+
+
+def _status_plan(spark, folder):
+    lines, uids = _exported(spark, folder)
+    return flows.sync_statuses(lines, uids, given.export_ledger(spark, folder), phase="second")
+
+
+@query
+def flow_sync_statuses(spark, folder):
+    return _status_plan(spark, folder).requests
+
+
+@query
+def flow_sync_rejects(spark, folder):
+    return _status_plan(spark, folder).rejects
+
+
+def _plan_rows(plan):
+    """A plan's parts as one table: ``part, entity_id, detail``."""
+    parts = {"request": (plan.requests, "body_json"), "settled": (plan.settled, "value"),
+             "reject": (plan.rejects, "reason")}
+    chosen = [
+        rows.select(F.lit(part).alias("part"), "entity_id", F.col(detail).alias("detail"))
+        for part, (rows, detail) in parts.items()
+        if rows is not None
+    ]
+    return reduce(DataFrame.unionByName, chosen)
+
+
+def _searched_at():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
+@query
+def flow_recover_orders(spark, folder):
+    found = given.search_hits(spark, folder).select(
+        given.text(F.col("order_uid")).alias("query"), "platform_order_id"
+    )
+    recorded = given.order_ledger(spark, folder)
+    lines = _text_keyed_orders(spark, folder)
+    return _plan_rows(flows.recover_orders(lines, recorded, found, _searched_at(), "P"))
+
+
+def _shared_recon(spark, folder):
+    legacy = given.customers_sharing_emails(spark, folder)
+    return reconcile.points_recon(legacy, given.platform_customers(spark, folder))
+
+
+@query
+def flow_plan_points(spark, folder):
+    recorded = given.customer_ledger(spark, folder)
+    snapshot = given.balance_snapshot(spark, folder)
+    return _plan_rows(
+        flows.plan_points(_shared_recon(spark, folder), recorded, snapshot, _searched_at())
+    )
+
+
+@query
+def flow_audit_points(spark, folder):
+    recorded = given.customer_ledger(spark, folder)
+    snapshot = given.balance_snapshot(spark, folder)
+    audited = flows.audit_points(_shared_recon(spark, folder), recorded, snapshot, _searched_at())
+    return audited.select("entity", "entity_id", "field", "value")
+
+
+@query
+def flow_plan_tags(spark, folder):
+    recon = reconcile.tag_recon(
+        given.customers_sharing_emails(spark, folder), given.platform_customers(spark, folder)
+    )
+    return _plan_rows(flows.plan_tags(recon, given.customer_ledger(spark, folder)))

@@ -78,6 +78,15 @@ def legacy_customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def customers_sharing_emails(spark: SparkSession, folder: str) -> DataFrame:
+    """Legacy customers of which some have the e-mail of the one before."""
+    n = F.regexp_extract("email", "[0-9]+", 0).cast("bigint")
+    shared = F.concat(F.lit("U"), text(n - 1), F.lit("@Example.com"))
+    return legacy_customers(spark, folder).withColumn(
+        "email", F.when(n % 40 == 1, shared).otherwise(F.col("email"))
+    )
+
+
 def platform_customers(spark: SparkSession, folder: str) -> DataFrame:
     users = table(spark, folder, "events").groupBy("user_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("bought")
@@ -258,6 +267,73 @@ def summed_orders(headers: DataFrame, folder: str) -> DataFrame:
     return _with_subtotal(headers, sums)
 
 
+# --- the raw order export --------------------------------------------------------
+
+# The test orders are this much older than the months that were exported twice.
+EXPORT_YEARS_LATER = 24
+
+
+def _money(column: str) -> Column:
+    return text(F.col(column).cast("decimal(18,2)"))
+
+
+def _order_key() -> Column:
+    return F.col("transaction_no").cast("bigint")
+
+
+def export_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """Order headers as exported: amounts are texts, some unreadable, and some platforms are missing."""
+    k = _order_key()
+    prices = table(spark, folder, "orders").select(
+        text(F.col("o_orderkey")).alias("transaction_no"), _money("o_totalprice").alias("price")
+    )
+    year = F.left("created_at", F.lit(4)).cast("int") + EXPORT_YEARS_LATER
+    heads = legacy_orders(spark, folder).drop(
+        "order_uid", "total_amount", "discount_amount", "shipping_amount"
+    )
+    return (
+        heads.join(prices, "transaction_no")
+        .withColumns(
+            {
+                "platform": F.when(k % 43 != 0, F.col("platform")),
+                "platform_order_id": by_case(k % 10, {0: F.concat(F.lit("S"), text(k)), 1: ""}),
+                "created_at": F.concat(text(year), F.substring("created_at", 5, 100)),
+                "items_subtotal": by_case(k % 37, {0: "x", 1: ""}, F.col("price")),
+                "order_total": F.col("price"),
+                "discount_total": F.when(k % 41 == 0, "").otherwise(text(k % 50)),
+            }
+        )
+        .drop("price")
+    )
+
+
+def export_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as exported: each line repeats its order's columns."""
+    unreadable = (F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40)
+    items = table(spark, folder, "lineitem").select(
+        text(F.col("l_orderkey")).alias("transaction_no"),
+        *LINE_ORDER,
+        text(F.col("l_linenumber")).alias("line_order_no"),
+        text(F.col("l_partkey")).alias("item_code"),
+        text(F.col("l_suppkey")).alias("item_name"),
+        F.when(unreadable, "n/a").otherwise(_money("l_extendedprice")).alias("unit_price"),
+        F.concat(text(F.col("l_quantity").cast("bigint")), F.lit(" pcs")).alias("quantity"),
+    )
+    return items.join(export_heads(spark, folder), "transaction_no")
+
+
+def export_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """What is recorded about each exported order: its platform id, or something else."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, folder, "orders").select(
+        F.lit("order").alias("entity"),
+        F.concat("o_orderstatus", text(k)).alias("entity_id"),
+        F.when(c % 3 == 0, "platform_order_id").otherwise("note").alias("field"),
+        F.concat(F.lit("L"), text(c)).alias("value"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"),
+    )
+
+
 # --- answers and ledger --------------------------------------------------------
 
 
@@ -280,13 +356,24 @@ def event_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def customer_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as outcomes of every third customer, each kind in a field of its own."""
+    fields = {"purchase": "points_status", "error": "points_verified", "click": "tag_status"}
+    return table(spark, folder, "events").select(
+        F.lit("customer").alias("entity"),
+        F.concat(F.lit("P"), text(F.col("user_id") * 3)).alias("entity_id"),
+        by_case(F.col("event_type"), fields, F.col("event_type")).alias("field"),
+        text(F.col("event_id")).alias("value"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
 def order_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Returned lines as recorded platform ids of their orders."""
-    lines = table(spark, folder, "lineitem").where(F.col("l_returnflag") == "R")
-    return lines.select(
+    """Lines as outcomes of their orders: returned ones are recorded platform ids."""
+    return table(spark, folder, "lineitem").select(
         F.lit("order").alias("entity"),
         text(F.col("l_orderkey")).alias("entity_id"),
-        F.lit("platform_order_id").alias("field"),
+        F.when(F.col("l_returnflag") == "R", "platform_order_id").otherwise("note").alias("field"),
         F.concat(F.lit("L"), F.lpad(text(F.col("l_partkey")), 9, "0")).alias("value"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
     )

@@ -101,8 +101,11 @@ def tag_recon(
 
 
 def latest_balances(snapshot: DataFrame, *tie_break: str) -> DataFrame:
-    """The newest balance per customer of ``(customer_id, balance, fetched_at)``."""
-    newest = F.max_by("balance", F.struct("fetched_at", *tie_break)).alias("balance")
+    """The newest balance per customer of ``(customer_id, balance, fetched_at)``.
+
+    Equal times fall to the larger ``tie_break``, at last to the larger balance.
+    """
+    newest = F.max_by("balance", F.struct("fetched_at", *tie_break, "balance")).alias("balance")
     return snapshot.groupBy("customer_id").agg(newest)
 
 

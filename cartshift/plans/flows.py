@@ -11,7 +11,14 @@ from cartshift import fixed_values as fixed
 from cartshift.operators import ledger as books
 from cartshift.operators import outbox, reconcile, status
 from cartshift.operators.catalog import flag_variants, project_products
-from cartshift.operators.cleaning import clean_customers, project_customers
+from cartshift.operators.cleaning import (
+    clean_customers,
+    clean_orders,
+    distinct_order_uids,
+    project_customers,
+    purge_order_uids,
+    without_recipient,
+)
 from cartshift.operators.orders import (
     OrderSettings,
     bad_amounts,
@@ -21,10 +28,11 @@ from cartshift.operators.orders import (
     in_duplicate_months,
     order_documents,
     parse_amounts,
+    with_line_seq,
 )
 from cartshift.operators.paging import id_range
 from cartshift.session import checkpointed
-from cartshift.sources.readers import known_phase, lines_of_orders, of_phase
+from cartshift.sources.readers import FILE_ORDER, known_phase, lines_of_orders, of_phase
 
 ORDER, CUSTOMER = "order", "customer"
 PLATFORM_ORDER_ID = "platform_order_id"
@@ -58,6 +66,24 @@ def in_phase(table: DataFrame, phase: str) -> DataFrame:
 # --- orders --------------------------------------------------------------------
 
 
+def prepare_orders(
+    exported: DataFrame, file_order: list[str] | None = None, normalize_first: bool = False
+) -> DataFrame:
+    """Exported order lines, cleaned and numbered within their order.
+
+    ``file_order`` names the columns that give the place of a line in the export; those of
+    ``readers.read_order_lines`` by default. They are not part of the result.
+    """
+    file_order = list(FILE_ORDER) if file_order is None else file_order
+    return with_line_seq(clean_orders(exported, normalize_first), file_order).drop(*file_order)
+
+
+def prepare_order_uids(lines: DataFrame, order_uids: DataFrame | None = None) -> DataFrame:
+    """The ids to migrate: those of ``lines`` (or a given list), without orders that have no recipient."""
+    order_uids = lines if order_uids is None else order_uids
+    return purge_order_uids(distinct_order_uids(order_uids), without_recipient(lines))
+
+
 def create_orders(
     lines: DataFrame,
     order_uids: DataFrame,

@@ -66,6 +66,33 @@ def lines_of_orders(lines: DataFrame, order_uids: DataFrame) -> DataFrame:
     return lines.join(key_list(wanted), "order_uid", "left_semi")
 
 
+# The place of a line in an export: the file, the part of it that one task reads, the row there.
+FILE_ORDER = ("file_path", "file_part", "file_row")
+
+
+def read_order_lines(
+    spark: SparkSession, path: str, platform_order_id: str, multi_line: bool = False
+) -> DataFrame:
+    """Order lines of CSV exports as text, with the columns of :data:`FILE_ORDER`.
+
+    ``platform_order_id`` is the heading of the new platform's order id. Headings that an
+    export lacks are NULL. Within a file the rows are in file order whatever the number of tasks.
+    """
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    names = spark.read.options(**options).csv(path).columns
+    raw = spark.read.options(**options).schema(text_schema(names)).csv(path)
+    wanted = fixed.ORDER_LINE_COLUMNS | {platform_order_id: "platform_order_id"}
+    return raw.select(
+        *[
+            (F.col(f"`{old}`") if old in names else F.lit(None).cast("string")).alias(new)
+            for old, new in wanted.items()
+        ],
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("file_part"),
+        F.monotonically_increasing_id().alias("file_row"),
+    )
+
+
 def read_products_csv(
     spark: SparkSession, path: str, multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:

@@ -34,14 +34,32 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").partitionBy(*LEDGER_FOLDERS).parquet(path)
 
 
+def first_rows(customers: DataFrame, rows: int = fixed.CSV_EXPORT_ROWS) -> DataFrame:
+    """The first rows by e-mail under the upload headings."""
+    return with_headings(slice_of(customers, ["email_address", *customers.columns], rows))
+
+
 def write_first_rows_csv(customers: DataFrame, path: str, rows: int = fixed.CSV_EXPORT_ROWS):
     """One CSV file with the upload headings: the first rows by e-mail."""
-    first = slice_of(customers, ["email_address", *customers.columns], rows)
-    with_headings(first).coalesce(1).write.mode("overwrite").options(
+    first_rows(customers, rows).coalesce(1).write.mode("overwrite").options(
         header=True, escape='"'
     ).csv(path)
 
 
+def page_rows(
+    customers: DataFrame,
+    order_by: list[str] | None = None,
+    rows_per_page: int = fixed.ROWS_PER_PAGE,
+) -> DataFrame:
+    """All rows under the upload headings with their ``page``; each page is in upload order."""
+    paged = with_pages(customers, order_by or ["email_address"], rows_per_page)
+    return (
+        paged.repartition("page")
+        .sortWithinPartitions("page", "row_index")
+        .transform(with_headings, fixed.UPLOAD_HEADINGS | {"page": "page"})
+    )
+
+
 def write_pages_csv(
     customers: DataFrame,
     path: str,
@@ -49,15 +67,10 @@ def write_pages_csv(
     rows_per_page: int = fixed.ROWS_PER_PAGE,
 ) -> None:
     """One CSV file per page under ``page=<n>``, rows in upload order."""
-    order_by = order_by or ["email_address"]
-    paged = with_pages(customers, order_by, rows_per_page)
     (
-        paged.repartition("page")
-        .sortWithinPartitions("page", "row_index")
-        .transform(with_headings, fixed.UPLOAD_HEADINGS | {"page": "page"})
+        page_rows(customers, order_by, rows_per_page)
         .write.mode("overwrite")
         .partitionBy("page")
         .options(header=True, escape='"')
         .csv(path)
     )
-

@@ -39,7 +39,12 @@ def test_entry_has_rows(spark):
 
 
 # One row or one small page of output; every other query must have no one-task step.
-REPORTS = {"lines_without_recipient_count", "page_slice", "products_first_page"}
+REPORTS = {
+    "export_first_rows",
+    "lines_without_recipient_count",
+    "page_slice",
+    "products_first_page",
+}
 
 
 @pytest.mark.parametrize("name", sorted(entry.QUERIES))
