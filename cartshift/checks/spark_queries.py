@@ -23,7 +23,7 @@ from cartshift.operators import (
     status,
 )
 from cartshift.plans import flows
-from cartshift.session import checkpointed, tune
+from cartshift.session import tune
 from cartshift.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,11 +479,6 @@ def _recon(spark, folder, how="full"):
     return reconcile.points_recon(legacy, given.platform_customers(spark, folder), how)
 
 
-def _stored_recon(spark, folder):
-    """The plans read the reconciliation several times, so it is a stored table."""
-    return checkpointed(_recon(spark, folder))
-
-
 @query
 def recon_inner(spark, folder):
     legacy = given.legacy_customers(spark, folder).withColumn("email", F.lower("email"))
@@ -517,7 +512,7 @@ def balances_latest(spark, folder):
 
 
 def _points_plan(spark, folder):
-    return reconcile.points_plan(_stored_recon(spark, folder), _balances(spark, folder))
+    return reconcile.points_plan(_recon(spark, folder), _balances(spark, folder))
 
 
 @query
@@ -536,7 +531,7 @@ def points_outbox(spark, folder):
 def points_below_id(spark, folder):
     """The id bound is the operator: customers up to a given id."""
     plan = reconcile.points_plan(
-        _stored_recon(spark, folder), _balances(spark, folder), below_id="P5"
+        _recon(spark, folder), _balances(spark, folder), below_id="P5"
     )
     return plan.select("customer_id", "point_diff", "outcome")
 

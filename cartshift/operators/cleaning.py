@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,9 +182,9 @@ def fill_recipient(df: DataFrame) -> DataFrame:
     )
 
 
-def unique_phones(df: DataFrame) -> DataFrame:
+def unique_phones(df: DataFrame, collation: str | None = None) -> DataFrame:
     """A phone stays only with the smallest e-mail address that has it."""
-    return keep_on_smallest(df, "mobile_number", "email_address")
+    return keep_on_smallest(df, "mobile_number", "email_address", collation)
 
 
 # The phone is noted before it is cleaned, and the recipient block is filled before
@@ -203,9 +203,16 @@ CUSTOMER_RULES = (
 )
 
 
-def clean_customers(projected: DataFrame, city_fixes: DataFrame | None = None) -> DataFrame:
-    """All customer rules in order; ``city_fixes`` are applied once the city is set."""
-    first, then = CUSTOMER_RULES[:2], CUSTOMER_RULES[2:]
+def clean_customers(
+    projected: DataFrame, city_fixes: DataFrame | None = None, collation: str | None = None
+) -> DataFrame:
+    """All customer rules in order; ``city_fixes`` are applied once the city is set.
+
+    ``collation`` orders the e-mail addresses that share a phone.
+    """
+    by_email = partial(unique_phones, collation=collation)
+    rules = [by_email if rule is unique_phones else rule for rule in CUSTOMER_RULES]
+    first, then = rules[:2], rules[2:]
     df = reduce(lambda d, rule: rule(d), first, projected)
     if city_fixes is not None:
         df = apply_city_fixes(df, city_fixes, "address_city")

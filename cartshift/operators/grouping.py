@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cartshift.session import checkpointed
 
@@ -37,12 +38,14 @@ def join_side(facts: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def key_list(keys: DataFrame) -> DataFrame:
+def key_list(keys: DataFrame, stored: bool = False) -> DataFrame:
     """A list of keys to look up from very wide rows: broadcast if it is counted small.
 
     AQE would also see that it is small, but only after the wide rows were shuffled.
-    A larger list is joined by a shuffle of both sides.
+    A larger list is joined by a shuffle of both sides. The list is computed once: unless
+    it comes from ``stored`` rows it is stored here, and its size is that of the stored rows.
     """
+    keys = keys if stored else checkpointed(keys)
     small = keys.count() <= BROADCAST_ROWS
     return F.broadcast(keys) if small else join_side(keys)
 
@@ -70,19 +73,31 @@ def flag_repeated(rows: DataFrame, *keys: str, name: str) -> DataFrame:
     return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def keep_on_smallest(rows: DataFrame, key: str, order: str) -> DataFrame:
+def collated(rows: DataFrame, columns: list[str], collation: str | None) -> list[Column]:
+    """``columns``, texts compared by ``collation``; without one the order is binary."""
+    texts = {f.name for f in rows.schema if isinstance(f.dataType, StringType)}
+    return [
+        F.collate(F.col(c), collation) if collation and c in texts else F.col(c) for c in columns
+    ]
+
+
+def keep_on_smallest(
+    rows: DataFrame, key: str, order: str, collation: str | None = None
+) -> DataFrame:
     """Blank ``key`` on every row whose ``order`` is above the key's smallest one.
 
-    Ties on the smallest keep the key, and so does a NULL ``order``.
+    Ties on the smallest keep the key, and so does a NULL ``order``. Under a
+    ``collation`` texts that compare as equal are ties.
     """
+    [place] = collated(rows, [order], collation)
     shared = (
         rows.where(all_present(key))
         .groupBy(key)
-        .agg(F.count("*").alias("n"), F.min(order).alias("smallest"))
+        .agg(F.count("*").alias("n"), F.min(place).alias("smallest"))
         .where("n > 1")
         .select(key, "smallest")
     )
-    kept = F.when(F.col(order) > F.col("smallest"), F.lit(None)).otherwise(F.col(key))
+    kept = F.when(place > F.col("smallest"), F.lit(None)).otherwise(F.col(key))
     return attach(rows, shared, key).withColumn(key, kept).select(*rows.columns)
 
 
@@ -96,7 +111,11 @@ def first_per_key(rows: DataFrame, *keys: str, order_by: list[str]) -> DataFrame
 
 
 def with_global_index(
-    rows: DataFrame, order_by: list[str], name: str = "row_index", slices: int | None = None
+    rows: DataFrame,
+    order_by: list[str],
+    name: str = "row_index",
+    slices: int | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """Exact zero-based position in the global order, without a one-task window.
 
@@ -110,7 +129,8 @@ def with_global_index(
     """
     slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ties = [c for c in rows.columns if c not in order_by]
-    key = [*order_by, *ties, "spread"]
+    binary = order_by if collation else []  # texts that are equal under the collation
+    key = [*collated(rows, order_by, collation), *binary, *ties, "spread"]
     cut = checkpointed(
         rows.withColumn("spread", F.monotonically_increasing_id())
         .repartitionByRange(slices, *key)

@@ -111,18 +111,21 @@ def onto_lines(
 
 
 def drop_repeated_lines(
-    lines: DataFrame, affected: DataFrame | None = None, line_no: str = "line_order_no"
+    lines: DataFrame,
+    affected: DataFrame | None = None,
+    line_no: str = "line_order_no",
+    stored: bool = False,
 ) -> DataFrame:
     """Keep the first line per line number, in the ``affected`` orders.
 
     Those are by default the orders whose first line was created in the months that
     were exported twice; other orders pass whole. A missing line number is a value of
     its own. What is joined to the lines is only the list of line numbers that really
-    occur twice in such orders.
+    occur twice in such orders. ``stored`` says that ``affected`` comes from stored rows.
     """
     if affected is None:
         affected = first_lines(lines).where(in_duplicate_months(F.col("created_at")))
-    affected = key_list(affected.select("order_uid"))
+    affected = key_list(affected.select("order_uid"), stored)
     twice = (
         lines.join(affected, "order_uid", "left_semi")
         .groupBy(F.col("order_uid").alias("uid"), F.col(line_no).alias("number"))

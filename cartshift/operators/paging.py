@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
-from cartshift.operators.grouping import with_global_index
+from cartshift.operators.grouping import collated, with_global_index
 
 
 def id_range(
@@ -34,14 +34,20 @@ def with_headings(rows: DataFrame, headings: dict[str, str] | None = None) -> Da
     return rows.select(*[F.col(name).alias(heading) for name, heading in headings.items()])
 
 
-def slice_of(rows: DataFrame, order_by: list[str], size: int, skip: int = 0) -> DataFrame:
+def slice_of(
+    rows: DataFrame, order_by: list[str], size: int, skip: int = 0, collation: str | None = None
+) -> DataFrame:
     """``size`` rows in order after the first ``skip``; for small reports."""
-    return rows.orderBy(*order_by).offset(skip).limit(size)
+    place = [*collated(rows, order_by, collation), *order_by]
+    return rows.orderBy(*place).offset(skip).limit(size)
 
 
 def with_pages(
-    rows: DataFrame, order_by: list[str], rows_per_page: int = fixed.ROWS_PER_PAGE
+    rows: DataFrame,
+    order_by: list[str],
+    rows_per_page: int = fixed.ROWS_PER_PAGE,
+    collation: str | None = None,
 ) -> DataFrame:
     """``page`` 1..n of every row, all pages from one sort."""
     page = F.floor(F.col("row_index") / F.lit(rows_per_page)).cast("bigint") + 1
-    return with_global_index(rows, order_by).withColumn("page", page)
+    return with_global_index(rows, order_by, collation=collation).withColumn("page", page)

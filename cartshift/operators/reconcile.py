@@ -15,14 +15,13 @@ def full_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer equi join in three parts: matched, left only, right only.
 
     AQE can split a hot key in an inner and in an anti join but not in a full outer
-    one, filters reach each side's scan, and NULL keys, which match nothing, skip the
-    shuffle of the anti joins.
+    one, and filters reach each side's scan. NULL keys match nothing, so the anti joins
+    keep them; AQE splits the partition they meet in like that of any other hot key.
     """
 
     def unmatched(rows: DataFrame, others: DataFrame) -> DataFrame:
         others = others.select(key).where(F.col(key).isNotNull()).distinct()
-        keyed = rows.where(F.col(key).isNotNull()).join(join_side(others), key, "left_anti")
-        return keyed.unionByName(rows.where(F.col(key).isNull()))
+        return rows.join(join_side(others), key, "left_anti")
 
     return (
         left.join(right, key)
@@ -156,9 +155,7 @@ def points_plan(recon: DataFrame, balances: DataFrame, below_id: str | None = No
     with_id = recon.where(F.col("customer_id").isNotNull())
     repeated = duplicate_report(with_id, "customer_id").select("customer_id", "n")
     current = balances.select("customer_id", "balance")
-    known = with_id.join(join_side(repeated), "customer_id", "left").join(
-        join_side(current), "customer_id", "left"
-    )
+    known = attach(attach(recon, repeated, "customer_id"), current, "customer_id")
     diff = F.coalesce(F.col("legacy_points"), F.lit(0)) - F.col("balance")
     outcome = (
         F.when(F.col("customer_id").isNull(), NO_PLATFORM_ID)
@@ -168,8 +165,7 @@ def points_plan(recon: DataFrame, balances: DataFrame, below_id: str | None = No
         .otherwise("change")
     )
     return (
-        known.unionByName(recon.where(F.col("customer_id").isNull()), allowMissingColumns=True)
-        .withColumn("point_diff", diff)
+        known.withColumn("point_diff", diff)
         .withColumn("outcome", outcome)
         .drop("n")
     )

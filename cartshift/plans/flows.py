@@ -19,6 +19,7 @@ from cartshift.operators.cleaning import (
     purge_order_uids,
     without_recipient,
 )
+from cartshift.operators.grouping import join_side
 from cartshift.operators.orders import (
     OrderSettings,
     bad_amounts,
@@ -96,21 +97,23 @@ def create_orders(
     """Create requests for the orders of an id range that do not exist yet.
 
     ``lines`` are cleaned, numbered lines; of a table of all phases only the asked one counts. Orders already created, by
-    their own column or by the ledger, need nothing.
+    their own column or by the ledger, need nothing. Wanted ids, heads and folded orders are
+    stored while the plan is built, so the rejects read no line and the requests read them once.
     """
     lines, order_uids = in_phase(lines, phase), in_phase(order_uids, phase)
     wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
-    wanted = books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid")
+    wanted = checkpointed(books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid"))
     in_range = parse_amounts(id_range(lines, "order_uid", start, end))
-    heads = lines_of_orders(first_lines(in_range), wanted)
-    # The work list, one row per order, is read several times below.
-    open_heads = checkpointed(books.not_created(heads).drop("line_seq"))
+    # Lists of one row per order, each read several times below.
+    heads = checkpointed(lines_of_orders(first_lines(in_range), wanted, stored=True))
+    open_heads = books.not_created(heads).drop("line_seq")
     affected = open_heads.where(in_duplicate_months(F.col("created_at")))
     # An order's first line is never a repeated one, so the heads need no clean-up.
-    kept = drop_repeated_lines(lines_of_orders(in_range, open_heads), affected)
-    orders = fold_orders(kept, open_heads, settings.balance_basis)
+    ours = lines_of_orders(in_range, open_heads, stored=True)
+    kept = drop_repeated_lines(ours, affected, stored=True)
+    orders = checkpointed(fold_orders(kept, open_heads, settings.balance_basis))
     documents = order_documents(kept, orders.where(~bad_amounts()), settings)
-    no_lines = wanted.join(heads.select("order_uid"), "order_uid", "left_anti")
+    no_lines = wanted.join(join_side(heads.select("order_uid")), "order_uid", "left_anti")
     rejects = _rejected(no_lines, ORDER, "order_uid", "no_lines").unionByName(
         _rejected(orders.where(bad_amounts()), ORDER, "order_uid", "bad_amount")
     )
@@ -247,9 +250,11 @@ def record_tags(responses: DataFrame) -> DataFrame:
 # --- customers and products ----------------------------------------------------
 
 
-def prepare_customers(legacy: DataFrame, city_fixes: DataFrame | None = None) -> DataFrame:
+def prepare_customers(
+    legacy: DataFrame, city_fixes: DataFrame | None = None, collation: str | None = None
+) -> DataFrame:
     """Legacy customers, cleaned, in the target layout."""
-    return clean_customers(project_customers(legacy), city_fixes)
+    return clean_customers(project_customers(legacy), city_fixes, collation)
 
 
 def prepare_products(legacy: DataFrame, image_url: str) -> DataFrame:

@@ -60,10 +60,12 @@ def of_phase(table: DataFrame, phase: str) -> DataFrame:
     return table.where(F.col("phase") == known_phase(phase))
 
 
-def lines_of_orders(lines: DataFrame, order_uids: DataFrame) -> DataFrame:
+def lines_of_orders(
+    lines: DataFrame, order_uids: DataFrame, stored: bool = False
+) -> DataFrame:
     """Lines of the given orders: one join instead of one query per order."""
     wanted = order_uids.select("order_uid").distinct()
-    return lines.join(key_list(wanted), "order_uid", "left_semi")
+    return lines.join(key_list(wanted, stored), "order_uid", "left_semi")
 
 
 # The place of a line in an export: the file, the part of it that one task reads, the row there.
@@ -76,9 +78,11 @@ def read_order_lines(
     """Order lines of CSV exports as text, with the columns of :data:`FILE_ORDER`.
 
     ``platform_order_id`` is the heading of the new platform's order id. Headings that an
-    export lacks are NULL. Within a file the rows are in file order whatever the number of tasks.
+    export lacks are NULL, and so are cells with nothing in them; ``""`` is an empty text.
+    Within a file the rows are in file order whatever the number of tasks.
     """
-    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    # A mark that no cell holds: with Spark's own, the empty text, empty texts are NULL as well.
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "nullValue": "\0"}
     names = spark.read.options(**options).csv(path).columns
     raw = spark.read.options(**options).schema(text_schema(names)).csv(path)
     wanted = fixed.ORDER_LINE_COLUMNS | {platform_order_id: "platform_order_id"}

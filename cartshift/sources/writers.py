@@ -34,14 +34,22 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").partitionBy(*LEDGER_FOLDERS).parquet(path)
 
 
-def first_rows(customers: DataFrame, rows: int = fixed.CSV_EXPORT_ROWS) -> DataFrame:
+def first_rows(
+    customers: DataFrame, rows: int = fixed.CSV_EXPORT_ROWS, collation: str | None = None
+) -> DataFrame:
     """The first rows by e-mail under the upload headings."""
-    return with_headings(slice_of(customers, ["email_address", *customers.columns], rows))
+    order_by = ["email_address", *customers.columns]
+    return with_headings(slice_of(customers, order_by, rows, collation=collation))
 
 
-def write_first_rows_csv(customers: DataFrame, path: str, rows: int = fixed.CSV_EXPORT_ROWS):
+def write_first_rows_csv(
+    customers: DataFrame,
+    path: str,
+    rows: int = fixed.CSV_EXPORT_ROWS,
+    collation: str | None = None,
+) -> None:
     """One CSV file with the upload headings: the first rows by e-mail."""
-    first_rows(customers, rows).coalesce(1).write.mode("overwrite").options(
+    first_rows(customers, rows, collation).coalesce(1).write.mode("overwrite").options(
         header=True, escape='"'
     ).csv(path)
 
@@ -50,9 +58,10 @@ def page_rows(
     customers: DataFrame,
     order_by: list[str] | None = None,
     rows_per_page: int = fixed.ROWS_PER_PAGE,
+    collation: str | None = None,
 ) -> DataFrame:
     """All rows under the upload headings with their ``page``; each page is in upload order."""
-    paged = with_pages(customers, order_by or ["email_address"], rows_per_page)
+    paged = with_pages(customers, order_by or ["email_address"], rows_per_page, collation)
     return (
         paged.repartition("page")
         .sortWithinPartitions("page", "row_index")
@@ -65,10 +74,11 @@ def write_pages_csv(
     path: str,
     order_by: list[str] | None = None,
     rows_per_page: int = fixed.ROWS_PER_PAGE,
+    collation: str | None = None,
 ) -> None:
     """One CSV file per page under ``page=<n>``, rows in upload order."""
     (
-        page_rows(customers, order_by, rows_per_page)
+        page_rows(customers, order_by, rows_per_page, collation)
         .write.mode("overwrite")
         .partitionBy("page")
         .options(header=True, escape='"')

@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from cartshift import fixed_values as fixed
 from cartshift.operators import ledger
 from cartshift.operators.ledger import LEDGER_SCHEMA
 from cartshift.operators.orders import OrderSettings
@@ -76,6 +77,74 @@ def test_a_rerun_creates_nothing_twice(store, empty_ledger, rows, collect):
     assert failed.count() == 0
 
 
+def exported_csv(folder, orders):
+    """A CSV export under the legacy headings: ``orders`` as dicts by the names used here."""
+    headings = {new: old for old, new in fixed.ORDER_LINE_COLUMNS.items() if new != "order_uid"}
+    headings["platform_order_id"] = "new id"
+    usual = {
+        "platform": "U", "unit_price": "10", "quantity": "1", "items_subtotal": "10",
+        "order_total": "10", "discount_total": "0", "shipping_fee": "0",
+        "created_at": "2023/03/17 21:26:29", "order_status": "新訂單", "recipient_name": "A",
+    }
+    text = ",".join(headings.values()) + "\n"
+    for order in orders:
+        text += ",".join((usual | order).get(name, "") for name in headings) + "\n"
+    folder.mkdir()
+    (folder / "orders.csv").write_text(text, encoding="utf-8")
+    return str(folder)
+
+
+def test_from_the_raw_export_to_requests(spark, tmp_path, empty_ledger, collect):
+    long_order = [
+        {"transaction_no": "1", "line_order_no": str(n), "item_name": f"item {n}"}
+        for n in range(2000, 0, -1)
+    ]
+    folder = exported_csv(tmp_path / "export", [
+        *long_order,
+        {"transaction_no": "1", "line_order_no": "7", "item_name": "again"},  # exported twice
+        {"transaction_no": "2", "recipient_name": '""', "delivery_type": fixed.UNCHOSEN_DELIVERY},
+        {"transaction_no": "3", "platform_order_id": "P3"},
+        {"transaction_no": "4", "recipient_address": "台北市1"},
+    ])
+    before = {key: spark.conf.get(key) for key in SMALL_PARTS}
+    for key, value in SMALL_PARTS.items():
+        spark.conf.set(key, value)
+    try:
+        read = readers.read_order_lines(spark, folder, "new id")
+        assert read.rdd.getNumPartitions() > 3  # the place of a line holds across parts of a file
+        lines = flows.prepare_orders(read)
+        uids = flows.prepare_order_uids(lines)
+        assert collect(uids) == [("U1",), ("U3",), ("U4",)]
+        plan = flows.create_orders(lines, uids, empty_ledger, SETTINGS, "first")
+        bodies = {
+            r.entity_id: json.loads(r.body_json)["order"] for r in plan.requests.collect()
+        }
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert set(bodies) == {"U1", "U4"} and plan.rejects.count() == 0
+    names = [i["item_data"]["name"] for i in bodies["U1"]["items"]]
+    assert names[:2000] == [f"null-item {n}" for n in range(2000, 0, -1)]
+    assert "null-again" not in names
+    assert bodies["U4"]["delivery_address"]["city"] == "台北市"
+
+
+# Parts of a file that a small test file has several of.
+SMALL_PARTS = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+
+
+def test_only_the_phase_asked_for_is_planned(store, empty_ledger, collect):
+    lines, uids = store
+    first, second = F.lit("first"), F.lit("second")
+    lines = lines.withColumn("phase", F.when(F.col("order_uid") == "U2", second).otherwise(first))
+    uids = uids.withColumn("phase", F.when(F.col("order_uid") == "U2", second).otherwise(first))
+    for phase, expected in (("first", [("U4",), ("U9",)]), ("second", [("U2",)])):
+        plan = flows.create_orders(lines, uids, empty_ledger, SETTINGS, phase)
+        assert collect(plan.requests, "entity_id") == expected
+    with pytest.raises(ValueError, match="unknown phase"):
+        flows.create_orders(lines, uids, empty_ledger, SETTINGS, "no-such-phase")
+
+
 def test_statuses_use_the_recorded_ids(store, rows, collect):
     book = rows(LEDGER_SCHEMA, ("order", "U2", "platform_order_id", "P2", NOW))
     plan = flows.sync_statuses(*store, book, "first", "U2", "U6")

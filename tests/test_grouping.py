@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from cartshift.operators import grouping
+from cartshift.operators import grouping, paging
 
 
 def test_duplicate_report_counts_nulls_as_one_group(rows, collect):
@@ -105,3 +105,33 @@ def test_tied_rows_are_numbered_alike_at_every_group_size(rows, collect):
         for h in (1_000_000, 2)
     )
     assert small == large == [(v, v) for v in range(1, 6)]
+
+
+def test_a_collation_decides_which_text_is_smallest(rows, collect):
+    df = rows("k string, o string", ("p", "a"), ("p", "B"), ("q", "a"), ("q", "A"))
+    binary = grouping.keep_on_smallest(df, "k", "o")
+    assert collect(binary) == [("p", "B"), ("q", "A"), (None, "a"), (None, "a")]
+    folded = grouping.keep_on_smallest(df, "k", "o", "UNICODE_CI")
+    assert collect(folded) == [("p", "a"), ("q", "A"), ("q", "a"), (None, "B")]
+
+
+def test_a_collation_orders_positions(rows):
+    df = rows("o string, v int", ("b", 1), ("A", 2), ("B", 3), ("a", 4))
+
+    def order(collation):
+        indexed = grouping.with_global_index(df, ["o"], slices=3, collation=collation)
+        return [r.o for r in sorted(indexed.collect(), key=lambda r: r.row_index)]
+
+    assert order(None) == ["A", "B", "a", "b"]
+    assert order("UNICODE_CI") == ["A", "a", "B", "b"]
+    first = paging.slice_of(df, ["o"], 3, collation="UNICODE_CI").collect()
+    assert [r.o for r in first] == ["A", "a", "B"]
+
+
+def test_a_key_list_is_computed_once(rows, monkeypatch):
+    stored = []
+    monkeypatch.setattr(grouping, "checkpointed", lambda d: stored.append(d) or d)
+    df = rows("k int", (1,), (2,))
+    grouping.key_list(df)
+    grouping.key_list(df, stored=True)
+    assert stored == [df]

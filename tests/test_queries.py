@@ -54,3 +54,34 @@ def test_plan_has_no_cross_join_no_python_and_no_one_task_step(spark, name):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
         assert bad not in plan
     assert ("SinglePartition" in plan) <= (name in REPORTS)
+
+
+# How often a plan may read a table file, and how often the line items.
+SCANS = {
+    "recon_full": (6, 0),
+    "recon_full_null_rejecting": (4, 0),
+    "customers_cleaned": (2, 0),
+    "flow_create_orders": (3, 1),
+    "flow_create_rejects": (0, 0),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_tables_are_not_read_more_often_than_needed(spark, name):
+    df = entry.queries()[name](spark, str(FOLDER))
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") <= SCANS[name][0]
+    assert plan.count("lineitem.parquet") <= SCANS[name][1]
+
+
+REASONS = {
+    "flow_create_rejects": ("reason", {"no_lines", "bad_amount"}),
+    "flow_sync_rejects": ("reason", {"no_lines", "no_platform_id", "unknown_status"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(REASONS))
+def test_every_reason_occurs(spark, name):
+    column, expected = REASONS[name]
+    found = entry.queries()[name](spark, str(FOLDER)).select(column).distinct().collect()
+    assert {r[0] for r in found} == expected

@@ -125,6 +125,18 @@ def test_every_part_of_the_full_join_splits_the_hot_key(large_scale):
     assert splits(swapped) == 2
 
 
+def test_null_keys_stay_in_the_full_join_and_are_split(large_scale):
+    key = F.when(F.col("id") % 3 != 0, (F.col("id") % 1000).cast("string"))
+    left = large_scale.range(0, 40_000, 1, 8).select(key.alias("k"), F.col("id").alias("v"))
+    right = large_scale.range(300).select(
+        F.when(F.col("id") > 9, F.col("id").cast("string")).alias("k"), F.col("id").alias("w")
+    )
+    joined = reconcile.full_join(left, right, "k")
+    assert splits(joined) >= 1
+    assert joined.count() == left.join(right, "k", "full").count()
+    assert joined.where("k is null and v is not null").count() == 13334
+
+
 def test_ledger_and_line_lookups_split_the_hot_key(large_scale):
     lines = hot_rows(large_scale).select(F.col("k").alias("order_uid"), "v")
     book = large_scale.range(900).select(
