@@ -12,6 +12,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartshift import fixed_values as fixed
 from cartshift.operators.orders import line_sum_columns, with_line_seq
 
 
@@ -71,7 +72,7 @@ def legacy_customers(spark: SparkSession, folder: str) -> DataFrame:
         F.when(n != 3, F.floor(F.col("c_acctbal") / 1000)).cast("int").alias("points"),
         (n % 3).cast("int").alias("credits"),
         _address(n, k).alias("address"),
-        F.when(segment == "MACHINERY", "一般")
+        F.when(segment == "MACHINERY", fixed.STANDARD_TIER)
         .when(segment != "BUILDING", segment)
         .alias("tier"),
         (k % 3 * 100).cast("decimal(18,4)").alias("total_spend"),
@@ -128,8 +129,8 @@ def customer_answers(spark: SparkSession, folder: str) -> DataFrame:
 # --- orders --------------------------------------------------------------------
 
 STATES = {
-    "1-URGENT": "交易終結",
-    "3-MEDIUM": "已取消",
+    "1-URGENT": fixed.FINISHED,
+    "3-MEDIUM": fixed.CANCELLED,
     "4-NOT SPECIFIED": "新訂單",
     "5-LOW": "待確認",
 }
@@ -174,7 +175,7 @@ def legacy_orders(spark: SparkSession, folder: str) -> DataFrame:
         by_case(c % 4, {0: "", 1: None}, day).alias("shipped_at"),
         none.alias("allocated_at"),
         F.lit("").alias("delivery_state"),
-        F.when(priority == "5-LOW", "尚未選擇").otherwise(priority).alias("delivery_type"),
+        F.when(priority == "5-LOW", fixed.UNCHOSEN_DELIVERY).otherwise(priority).alias("delivery_type"),
         by_case(k % 5, {0: "", 1: None}, F.concat(F.lit("memo "), text(k))).alias("shop_note"),
         none.alias("cancel_reason"),
         none.alias("buyer_note"),
@@ -191,7 +192,7 @@ def legacy_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.lpad(text(c % 1000), 3, "0").alias("postcode"),
         by_case(
             k % 9,
-            {0: None, 1: "", 2: F.concat(F.lit("x"), text(k), F.lit("註銷本帳號"))},
+            {0: None, 1: "", 2: F.concat(F.lit("x"), text(k), F.lit(fixed.CLOSED_ACCOUNT_MARK))},
             F.concat(F.lit("c"), text(c), F.lit("@example.com")),
         ).alias("customer_email"),
         *named(order_amounts()),

@@ -20,7 +20,7 @@ def products(rows):
 
 def test_products_with_and_without_variants(products, collect):
     prepared = flows.prepare_products(products, "logo.png")
-    assert prepared.columns == fixed.TARGET_PRODUCT_COLUMNS
+    assert prepared.columns == list(fixed.TARGET_PRODUCT_COLUMNS)
     columns = (
         "product_handle", "sku", "price", "quantity", "specification_name_a_chinese",
         "variation_name_a_chinese", "variation_price", "variation_quantity",
