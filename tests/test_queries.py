@@ -74,6 +74,22 @@ def test_tables_are_not_read_more_often_than_needed(spark, name):
     assert plan.count("lineitem.parquet") <= SCANS[name][1]
 
 
+# Jobs while a plan is built: reading a table's schema is one each, and nothing else runs here.
+JOBS = {"customers_cleaned": 1, "points_plan": 3, "recon_full": 2, "platform_ids_written_back": 2}
+
+
+@pytest.mark.parametrize("name", sorted(JOBS))
+def test_building_a_plan_runs_no_job_on_the_data(spark, name):
+    group = f"plan of {name}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        entry.queries()[name](spark, str(FOLDER))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) <= JOBS[name]
+
+
 REASONS = {
     "flow_create_rejects": ("reason", {"no_lines", "bad_amount"}),
     "flow_sync_rejects": ("reason", {"no_lines", "no_platform_id", "unknown_status"}),
