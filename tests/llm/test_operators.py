@@ -316,3 +316,20 @@ def test_main_text_of_pages(spark):
     assert [found[10 + i] for i in range(6)] == own  # the notice repeats on the host
     assert all(found[20 + i] == own[0] for i in range(4))  # copies of one page keep their text
     assert html.main_text(frame.where("false")).count() == 0
+
+
+def test_main_text_keeps_main_beside_cards_and_articles_with_comment_words(spark):
+    pages = [
+        "<main><p>Own text.</p><article>Card</article><nav>Menu</nav></main>",
+        "<main><p>Own text.</p></main><article>Card</article>",
+        '<article class="post comments-open"><p>Own text.</p><section id="discussion"><p>More.</p></section></article>',
+        '<main class="comments"><p>Own text.</p><div class="no-comments">More.</div></main>',
+        '<article><p>Own text.</p><ol class="comment-list"><li>First!</li></ol></article><article class="comment">Second!</article>',
+        '<div id="comments"><article class="comment">First!</article></div><article class="reply-open"><p>Own text.</p></article>',
+        '<article><p>Own text.</p><div class="related-posts">Card</div></article>',
+        '<article><p>Own text.</p><section class="related-work"><p>More.</p></section></article>',
+    ]
+    want = ["Own text.\nCard", "Own text.\nCard", "Own text.\nMore.", "Own text.\nMore.", "Own text.", "Own text.", "Own text.", "Own text.\nMore."]
+    rows = [(i, f"http://h{i}.example/", page) for i, page in enumerate(pages)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in sorted(got)] == want
