@@ -333,3 +333,21 @@ def test_main_text_keeps_main_beside_cards_and_articles_with_comment_words(spark
     rows = [(i, f"http://h{i}.example/", page) for i, page in enumerate(pages)]
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r["text"] for r in sorted(got)] == want
+
+
+def test_main_text_counts_copies_once_and_drops_boilerplate_of_any_share(spark):
+    rng = random.Random(4)
+    notice, other = (" ".join(f"{k}{i}" for i in range(100)) for k in "nm")
+    own = [" ".join(f"w{p}x{i}" for i in range(20)) for p in range(9)]
+    pages = [(i, f"http://a.example/{i}", f"<div>{notice}</div><p>{own[i]}</p>") for i in range(3)]
+    pages += [(10 + i, f"http://a.example/copy{i}", f"<div>{notice}</div><p>{own[3]}</p>") for i in range(3)]  # copies
+    pages += [(20, "http://b.example/0", f"<div>{other}</div><p>{own[4]}</p>")] * 3  # a row three times is one page
+    pages += [(30 + i, f"http://c.example/{i}", f"<div>{other}</div><p>{own[5]}</p><aside>Ad {i}</aside>") for i in range(4)]
+    rng.shuffle(pages)
+    got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    found = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(pages)
+    assert [found[i] for i in range(3)] == own[:3]
+    assert [found[10 + i] for i in range(3)] == [own[3]] * 3
+    assert found[20] == f"{other}\n{own[4]}"
+    assert [found[30 + i] for i in range(4)] == [f"{other}\n{own[5]}"] * 4
