@@ -1,5 +1,6 @@
 """The operators against plain Python and on the rows that break things."""
 
+import collections
 import math
 import random
 
@@ -351,3 +352,48 @@ def test_main_text_counts_copies_once_and_drops_boilerplate_of_any_share(spark):
     assert [found[10 + i] for i in range(3)] == [own[3]] * 3
     assert found[20] == f"{other}\n{own[4]}"
     assert [found[30 + i] for i in range(4)] == [f"{other}\n{own[5]}"] * 4
+
+
+def test_main_text_decides_beside_articles_on_two_pages_and_on_short_blocks(spark):
+    notice = " ".join(f"n{i}" for i in range(12))
+    pages = [(i, f"http://a.example/{i}", f"<div>{notice}</div><article>Text {i}</article><div>Own line {i}</div>") for i in range(3)]
+    pages += [(10 + i, f"http://b.example/{i}", f"<div>{notice}</div><p>Own line {i}</p>") for i in range(2)]
+    pages += [(20 + i, f"http://c.example/{i}", f"<div>Read more</div><p>Own line {i}</p>") for i in range(3)]
+    pages += [(30, "http://d.example/", f"<div>{notice}</div><article>Text</article>"), (31, "http://e.example/", f"<div>{notice}</div>")]
+    got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    found = {r["page_id"]: r["text"] for r in got}
+    assert [found[i] for i in range(3)] == [f"Text {i}\nOwn line {i}" for i in range(3)]
+    assert [found[10 + i] for i in range(2)] == [f"Own line {i}" for i in range(2)]
+    assert [found[20 + i] for i in range(3)] == [f"Own line {i}" for i in range(3)]
+    assert (found[30], found[31]) == ("Text", notice)
+
+
+def test_suffix_array_in_ranges_agrees_with_counting(spark):
+    rng = random.Random(8)
+    rules = html.Boilerplate(depth=2)
+    passages = [[rng.choice("abc") for _ in range(5)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        host = f"h{i % 3}"
+        line = "\n".join(" ".join(rng.choice([*passages, [f"w{i}"], [rng.choice("abc")]])) for _ in range(4))
+        rows.append((host, 3, i // 2 if i % 5 else 7, i, line))
+    where = collections.defaultdict(set)
+    for host, _, same, _, line in rows:
+        for start, _, _ in html.suffixes(line.split("\n"), 2):
+            where[host, start].add(same)
+    want = {}
+    for host, _, _, stream, line in rows:
+        starts = {html.digest(s) for s, _, _ in html.suffixes(line.split("\n"), 2) if len(where[host, s]) >= 3}
+        if starts:
+            want[stream] = starts
+    streams = spark.createDataFrame(rows, "host string, need long, same long, stream long, line string")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["stream"]: set(r["covered"]) for r in html.repeats(streams, rules).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
