@@ -88,6 +88,15 @@ def test_language_model(spark, database):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def test_language_model_scores(spark, database):
+    from cartshift.llm.katz import good_turing
+
+    ids, texts = zip(*database.execute("select doc_id, text from documents").fetchall())
+    want, *_ = brute.katz(ids, texts, 2, good_turing)
+    for a, b in zip(sorted(rows(spark, "op7_katz")), sorted(want), strict=True):
+        assert a[:5] == b[:5] and a[5:7] == pytest.approx(b[5:7], rel=1e-9)
+
+
 def test_pipeline_is_its_stages(spark, database):
     """Each stage held against the rules in plain Python, on what the stage before kept."""
     import collections
