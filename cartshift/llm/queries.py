@@ -6,6 +6,7 @@ from .automaton import op8_bpe
 from .embeddings import op5_embedding_dedup
 from .html import op1_main_text
 from .katz import op7_katz
+from .kmeans import OP12_SQL, op12_ns_bounds
 from .lines import OP4_SQL, op4_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .quality import OP9_SQL, op9_host_rules
@@ -26,6 +27,7 @@ QUERIES = {
         op8_bpe,
         op9_host_rules,
         op10_token_files,
+        op12_ns_bounds,
     )
 }
 
@@ -34,4 +36,5 @@ ORACLES = {
     "op4_line_dedup": OP4_SQL,
     "op6_token_rollup": OP6_SQL,
     "op9_host_rules": OP9_SQL,
+    "op12_ns_bounds": OP12_SQL,
 }
