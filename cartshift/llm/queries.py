@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .automaton import op8_bpe
 from .embeddings import op5_embedding_dedup
 from .html import op1_main_text
@@ -27,6 +28,7 @@ QUERIES = {
         op8_bpe,
         op9_host_rules,
         op10_token_files,
+        op11_alignment,
         op12_ns_bounds,
     )
 }

@@ -115,3 +115,56 @@ def katz(ids, texts, order, good_turing):
         known = sum(counts[1].get((w,), 0) > 0 for w in t)
         out.append((i, held(i), len(t), known, total, base, score))
     return out, p, after, distinct
+
+
+def alignment(ids, texts, byte_name="byte_bpe_50k.json", piece_name="piece_bpe_32k.model"):
+    """Per text, token by token; the counts of pairs over all texts."""
+    import sentencepiece
+
+    from cartshift.llm.automaton import byte_names
+
+    coder = tokenizer(byte_name)
+    coder.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(piece_name))
+    letters = byte_names()
+
+    def spelt(i):
+        p = pieces.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode()
+
+    def ends(parts):
+        at, out = 0, []
+        for p in parts:
+            at += len(p)
+            out.append(at)
+        return out
+
+    found = []
+    for t in texts:
+        a = coder.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = pieces.encode(t) if t else []
+        one, other = [bytes(letters[c] for c in coder.id_to_token(i)) for i in a], [spelt(i) for i in b]
+        raw = (" " + t).encode() if t else b""
+        if b"".join(one) != raw or b"".join(other) != raw:
+            a, b, one, other = [], [], [], []
+        ends_a, ends_b = ends(one), ends(other)
+        links, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            links.append((a[i], b[j]))
+            x, y = ends_a[i], ends_b[j]
+            i, j = i + (x <= y), j + (y <= x)
+        shown, i, j = [], 0, 0
+        for cut in sorted(set(ends_a) & set(ends_b)):
+            k, m = ends_a.index(cut, i) + 1, ends_b.index(cut, j) + 1
+            shown.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
+            i, j = k, m
+        found.append((len(a), len(b), shown, links))
+    counts = Counter(x for f in found for x in f[3])
+    most = Counter()
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    return [
+        (i, na, nb, len(shown), len(links), sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links),
+         sha(";".join(shown).encode()) if na else "")
+        for i, (na, nb, shown, links) in zip(ids, found)
+    ]
