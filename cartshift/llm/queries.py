@@ -10,6 +10,7 @@ from .katz import op7_katz
 from .kmeans import OP12_SQL, op12_ns_bounds
 from .lines import OP4_SQL, op4_line_dedup
 from .mixing import OP2_SQL, op2_mixing
+from .private import OP13_SQL, op13_private
 from .quality import OP9_SQL, op9_host_rules
 from .rollups import OP6_SQL, op6_token_rollup
 from .simhash import op3_simhash
@@ -30,6 +31,7 @@ QUERIES = {
         op10_token_files,
         op11_alignment,
         op12_ns_bounds,
+        op13_private,
     )
 }
 
@@ -39,4 +41,5 @@ ORACLES = {
     "op6_token_rollup": OP6_SQL,
     "op9_host_rules": OP9_SQL,
     "op12_ns_bounds": OP12_SQL,
+    "op13_private": OP13_SQL,
 }
