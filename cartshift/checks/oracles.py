@@ -317,7 +317,13 @@ select order_uid, recipient_name, phone as recipient_phone,
     case when city is not null then 'TW' end as country_code
 from addressed"""
 
-REQUEST_ID = "sha256(entity || '|' || entity_id || '|' || method || '|' || path || '|' || content)"
+
+
+def _canonical(*values: str) -> str:
+    return " || ".join(f"coalesce(length({v}::varchar) || ':' || {v}::varchar, '-')" for v in values)
+
+
+REQUEST_ID = f"sha256({_canonical('entity', 'entity_id', 'method', 'path', 'content')})"
 
 
 def _outbox(
@@ -327,7 +333,7 @@ def _outbox(
     return f"""
     requests as (select '{entity}' as entity, cast({entity_id} as varchar) as entity_id,
         cast({seq} as int) as seq, '{method}' as method, {path} as path, {body} as body_json,
-        {phase} as phase, {content or f"cast(cast({seq} as int) as varchar) || coalesce('|' || {body}, '')"} as content
+        {phase} as phase, {content or _canonical(f"cast({seq} as int)", body)} as content
         from {rows})"""
 
 
@@ -347,7 +353,11 @@ def _create_requests(tables: str, addressed: str) -> str:
         f"""
     texts as (select order_uid, string_agg({ITEM_JSON}, ',' order by position) as items_text
         from items group by order_uid),
-    around as (select f.order_uid, last_seq, unit_sum, line_sum,
+    digests as (select order_uid, md5({_canonical("line_seq", "l_partkey", "l_suppkey", "price", "units")}) as d
+        from lines),
+    contents as (select order_uid, {", ".join(f"cast(sum(cast('0x' || substr(d, {8 * i + 1}, 8) as bigint)) as bigint) as q{i}" for i in range(4))}
+        from digests group by order_uid),
+    around as (select f.order_uid, last_seq, f.balance, f.shipping_amount, f.deducted,
         '{{"order":{{"delivery_option_id":"delivery-1",'
         || '"payment_method_id":"payment-1","customer_email":"' || f.customer_email
         || '","subtotal":' || cast(subtotal as varchar) || ',"total":'
@@ -360,9 +370,10 @@ def _create_requests(tables: str, addressed: str) -> str:
         || '}},"order_remarks":"' || r.remarks || '"}}}}' as after
         from f join addressed a on f.order_uid = a.order_uid
         join (select order_uid as uid, {REMARK} as remarks from heads) r on f.order_uid = r.uid),
-    bodies as (select order_uid, before || items_text || after as body, before || '|' || after || '|'
-        || last_seq || '|' || cast(unit_sum as bigint) || '|' || cast(line_sum as bigint) as facts
-        from around join texts using (order_uid)),"""
+    bodies as (select order_uid, before || items_text || after as body,
+        {_canonical("before", "after", "cast(balance as bigint)", "shipping_amount", "shipping_amount",
+                    "cast(deducted as bigint)", "last_seq", "q0", "q1", "q2", "q3", "'null'")} as facts
+        from around join texts using (order_uid) join contents using (order_uid)),"""
         + _outbox("bodies", "order", "order_uid", "POST", "'/orders'", "body",
                   phase="'first'", content="facts"),
     ) + OUTBOX_SELECT

@@ -104,7 +104,7 @@ def order_balance_line(spark, folder):
 def create_order_json(spark, folder):
     lines = given.order_lines(spark, folder)
     heads = cleaning.order_city(given.legacy_orders(spark, folder))
-    folded = orders.book_amounts(given.summed_orders(heads, folder))
+    folded = orders.book_amounts(given.orders_of(heads, lines))
     documents = orders.order_documents(lines, folded, SETTINGS)
     return outbox.whole_bodies(outbox.create_order_requests(documents, "first"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
-from cartshift.operators.orders import line_sum_columns, with_line_seq
+from cartshift.operators.orders import line_sum_columns, line_sums, with_line_seq
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -268,6 +268,12 @@ def summed_orders(headers: DataFrame, folder: str) -> DataFrame:
     return _with_subtotal(headers, sums)
 
 
+def orders_of(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Order headers with all sums of their numbered lines, whose place counts."""
+    subtotals = lines.groupBy("order_uid").agg(_subtotal())
+    return _with_subtotal(headers, line_sums(lines).join(subtotals, "order_uid"))
+
+
 # --- the raw order export --------------------------------------------------------
 
 # The test orders are this much older than the months that were exported twice.

@@ -47,6 +47,13 @@ def join_skipping_nulls(*parts: Column) -> Column:
     return F.concat_ws("", *parts)
 
 
+def canonical(*values: Column) -> Column:
+    """One text for several values, different for different ones: each as ``length:text``, NULL as ``-``."""
+    texts = [v.cast("string") for v in values]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.concat(*parts)
+
+
 def contains(text: Column, mark: str) -> Column:
     return F.instr(text, mark) > 0
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
 from cartshift.functions.coercion import (
+    canonical,
     contains,
     fraction_of,
     has_text,
@@ -158,10 +159,25 @@ def line_sum_columns() -> list[Column]:
     ]
 
 
+CONTENT = tuple(f"content_{i}" for i in range(4))
+
+
+def content_sums() -> list[Column]:
+    """A digest of an order's lines that is made from partial aggregates.
+
+    Every line has a digest of 128 bits of its place and of all that the document shows of it; the four
+    quarters are summed. So the sums tell which line stands where, and neither blocks nor the order in
+    which they are added count. A sum of two billion lines fits a long.
+    """
+    digest = F.md5(canonical(*map(F.col, ITEM_COLUMNS)))
+    quarters = [F.conv(F.substr(digest, F.lit(8 * i + 1), F.lit(8)), 16, 10) for i in range(4)]
+    return [F.sum(q.cast("bigint")).alias(name) for q, name in zip(quarters, CONTENT, strict=True)]
+
+
 def line_sums(lines: DataFrame) -> DataFrame:
-    """Per order: :func:`line_sum_columns` and the last line."""
+    """Per order: :func:`line_sum_columns`, :func:`content_sums` and the last line."""
     last = F.max("line_seq").alias("last_seq")
-    return lines.groupBy("order_uid").agg(*line_sum_columns(), last)
+    return lines.groupBy("order_uid").agg(*line_sum_columns(), *content_sums(), last)
 
 
 def fold_orders(
@@ -337,6 +353,10 @@ def delivery_address_json() -> Column:
     )
 
 
+# What a document holds besides its head and its tail: the closing items, and its lines by their digest.
+DOCUMENT_FACTS = ("balance", "shipping_amount", "shipping_fee", "deducted", "last_seq", *CONTENT)
+
+
 def order_documents(
     lines: DataFrame, orders: DataFrame, settings: OrderSettings
 ) -> DataFrame:
@@ -344,7 +364,8 @@ def order_documents(
 
     The texts of an order's pieces, joined in order, are one JSON document: everything before the items
     stands in the first piece, everything after them in the last, and each piece has the items of one block of
-    lines. ``facts`` are the order's own fields and sums, the same whatever the size of a block.
+    lines. ``facts`` are the order's own fields and sums with the digest of its lines: they differ if the documents
+    do, and are the same whatever the size of a block. ``orders`` come with :func:`line_sums`.
     """
     bits = settings.block_bits
     line = F.struct(*ITEM_COLUMNS)
@@ -383,5 +404,5 @@ def order_documents(
             F.substr(items, F.lit(2), F.length(items) - 2),
             F.when(is_last, after).otherwise(""),
         ).alias("body_text"),
-        F.concat_ws("|", before, after, "last_seq", "unit_sum", "line_sum").alias("facts"),
+        canonical(before, after, *map(F.col, DOCUMENT_FACTS), F.lit(settings.null_text)).alias("facts"),
     )

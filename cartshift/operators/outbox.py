@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
+from cartshift.functions.coercion import canonical
 from cartshift.operators.status import OK
 
 OUTBOX_COLUMNS = (
@@ -30,8 +31,8 @@ def requests(
     content: Column | None = None,
 ) -> DataFrame:
     """Outbox rows. The id is a digest of method, path and content (``seq`` and body unless ``content`` is
-    given), so a sender that drops ids it has sent may be given a request again."""
-    own = F.concat_ws("|", "seq", "body_json") if content is None else F.col("content")
+    given), so a sender that drops ids it has sent may be given a request again; a corrected body is another one."""
+    own = canonical(F.col("seq"), F.col("body_json")) if content is None else F.col("content")
     built = rows.select(
         F.lit(entity).alias("entity"),
         F.col(entity_id).cast("string").alias("entity_id"),
@@ -42,7 +43,7 @@ def requests(
         F.lit(phase).cast("string").alias("phase"),
         (F.lit(None).cast("string") if content is None else content).alias("content"),
     )
-    digest = F.sha2(F.concat_ws("|", "entity", "entity_id", "method", "path", own), 256)
+    digest = F.sha2(canonical(*map(F.col, ("entity", "entity_id", "method", "path")), own), 256)
     return built.withColumn("request_id", digest).select(*OUTBOX_COLUMNS)
 
 

@@ -236,6 +236,57 @@ def test_a_giant_order_is_one_request_at_any_block_size(order_lines):
     assert '"recipient_name":null' in whole["U2"][1]
 
 
+def ids_of(lines, bits=13, **settings):
+    parsed = orders.parse_amounts(lines)
+    folded = orders.fold_orders(parsed)
+    chosen = OrderSettings("delivery", "payment", block_bits=bits, **settings)
+    requests = outbox.create_order_requests(orders.order_documents(parsed, folded, chosen))
+    return {r.entity_id: r.request_id for r in requests.select("entity_id", "request_id").distinct().collect()}
+
+
+LINES = [
+    {"order_uid": "U1", "item_code": "A", "item_name": "tea", "unit_price": "5", "quantity": "2"},
+    {"order_uid": "U1", "item_code": "B", "item_name": "cup", "unit_price": "7", "quantity": "2"},
+    {"order_uid": "U1", "item_code": "C", "item_name": "pot", "unit_price": "5", "quantity": "1"},
+]
+
+
+@pytest.mark.parametrize(
+    "line, change",
+    [
+        (1, {"item_name": "mug"}),
+        (1, {"item_code": "D"}),
+        (1, {"item_code": None}),
+        (0, {"item_code": "A|tea", "item_name": ""}),
+        (2, {"item_name": "pot-"}),
+        (0, {"shipping_fee": "60x"}),
+        (0, {"customer_email": "a|b@c.d"}),
+    ],
+)
+def test_a_changed_document_has_another_id(order_lines, line, change):
+    changed = [dict(d, **change) if i == line else d for i, d in enumerate(LINES)]
+    assert ids_of(order_lines(*LINES)) != ids_of(order_lines(*changed))
+
+
+def test_sums_that_stay_do_not_hide_a_change(order_lines):
+    """Same prices, same sums: units that move between lines, and lines that change places."""
+    moved = [dict(LINES[0], quantity="1"), LINES[1], dict(LINES[2], quantity="2")]
+    swapped = [LINES[2], LINES[1], LINES[0]]
+    assert len({ids_of(order_lines(*d))["U1"] for d in (LINES, moved, swapped, LINES)}) == 3
+
+
+def test_the_id_is_the_same_in_blocks_of_any_size_and_for_equal_documents(order_lines):
+    many = [dict(LINES[i % 3], item_name=f"n{i}") for i in range(20)]
+    assert len({ids_of(order_lines(*many), bits)["U1"] for bits in (1, 2, 13)}) == 1
+    assert ids_of(order_lines(*many)) != ids_of(order_lines(*many), null_text="-")
+
+
+def test_fields_cannot_run_into_each_other(order_lines):
+    one = dict(LINES[0], item_code="A|", item_name="B")
+    other = dict(LINES[0], item_code="A", item_name="|B")
+    assert ids_of(order_lines(one)) != ids_of(order_lines(other))
+
+
 def test_items_agree_with_the_documents(order_lines):
     lines = order_lines(
         *[{"order_uid": f"U{i % 3}", "unit_price": str(i), "items_subtotal": "20",
