@@ -790,6 +790,8 @@ union all
 select distinct 'order', l.order_uid, 'bad_amount'
 from export_lines l join export_heads h on l.order_uid = h.order_uid
 where bad_lines > 0 or h.subtotal_rounded is null or h.discount_amount is null"""
+for _part in ("orders", "rejects"):
+    ORACLES[f"flow_create_stored_{_part}"] = ORACLES[f"flow_create_{_part}"]
 SYNCED = {
     "heads": (
         """select * replace (coalesce(recorded, platform_order_id) as platform_order_id)

@@ -23,8 +23,8 @@ from cartshift.operators import (
     status,
 )
 from cartshift.plans import flows
-from cartshift.session import tune
-from cartshift.sources import readers, writers
+from cartshift.session import shared_folder, tune
+from cartshift.sources import order_store, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -802,6 +802,23 @@ def flow_create_orders(spark, folder):
     return outbox.whole_bodies(_create_plan(spark, folder).requests)
 
 
+def _stored_plan(spark, folder):
+    lines, uids = _exported(spark, folder)
+    store = order_store.store_orders(lines, shared_folder(spark))
+    return flows.create_stored_orders(store, uids, given.export_ledger(spark, folder), SETTINGS, phase="first")
+
+
+@query
+def flow_create_stored_orders(spark, folder):
+    """The same requests from order lines that are stored in buckets."""
+    return outbox.whole_bodies(_stored_plan(spark, folder).requests)
+
+
+@query
+def flow_create_stored_rejects(spark, folder):
+    return _stored_plan(spark, folder).rejects
+
+
 @query
 def flow_create_rejects(spark, folder):
     return _create_plan(spark, folder).rejects

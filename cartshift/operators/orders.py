@@ -180,6 +180,12 @@ def line_sums(lines: DataFrame) -> DataFrame:
     return lines.groupBy("order_uid").agg(*line_sum_columns(), *content_sums(), last)
 
 
+def added_sums(parts: DataFrame) -> DataFrame:
+    """:func:`line_sums` of orders from those of their blocks."""
+    added = ("unit_sum", "line_sum", "bad_lines", *CONTENT)
+    return parts.groupBy("order_uid").agg(*[F.sum(c).alias(c) for c in added], F.max("last_seq").alias("last_seq"))
+
+
 def fold_orders(
     lines: DataFrame, headers: DataFrame | None = None, basis: str = UNIT
 ) -> DataFrame:
@@ -365,13 +371,14 @@ def order_documents(
     The texts of an order's pieces, joined in order, are one JSON document: everything before the items
     stands in the first piece, everything after them in the last, and each piece has the items of one block of
     lines. ``facts`` are the order's own fields and sums with the digest of its lines: they differ if the documents
-    do, and are the same whatever the size of a block. ``orders`` come with :func:`line_sums`.
+    do, and are the same whatever the size of a block. ``orders`` come with :func:`line_sums`. Lines that are stored by
+    blocks of this size bring their ``block``, and are folded where they are.
     """
     bits = settings.block_bits
+    if "block" not in lines.columns:
+        lines = lines.withColumn("block", line_block(F.col("line_seq"), bits))
     line = F.struct(*ITEM_COLUMNS)
-    blocks = lines.groupBy("order_uid", line_block(F.col("line_seq"), bits).alias("block")).agg(
-        F.sort_array(F.collect_list(line)).alias("lines")
-    )
+    blocks = lines.groupBy("order_uid", "block").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     joined = blocks.join(per_block(orders, bits).hint("merge"), ["order_uid", "block"])
     is_first, is_last = F.col("block") == 0, F.col("block") == line_block(F.col("last_seq"), bits)
     products = F.transform("lines", lambda row: product_item(row.getField, settings.null_text))

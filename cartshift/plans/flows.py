@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +22,21 @@ from cartshift.operators.cleaning import (
 from cartshift.operators.grouping import join_side
 from cartshift.operators.orders import (
     OrderSettings,
+    added_sums,
     bad_amounts,
+    book_amounts,
     drop_repeated_lines,
     first_lines,
     fold_orders,
     in_duplicate_months,
     order_documents,
     parse_amounts,
+    per_block,
     with_line_seq,
 )
 from cartshift.operators.paging import id_range
 from cartshift.session import checkpointed
+from cartshift.sources.order_store import OrderStore
 from cartshift.sources.readers import FILE_ORDER, known_phase, lines_of_orders, of_phase
 
 ORDER, CUSTOMER = "order", "customer"
@@ -120,6 +124,42 @@ def create_orders(
     return Plan(outbox.create_order_requests(documents, phase), None, rejects)
 
 
+def create_stored_orders(
+    store: OrderStore,
+    order_uids: DataFrame,
+    ledger: DataFrame,
+    settings: OrderSettings,
+    phase: str,
+    start: str | None = None,
+    end: str | None = None,
+) -> Plan:
+    """:func:`create_orders` from stored order lines, with the same result and without a shuffle of lines.
+
+    What is looked up and added up are the rows of blocks. Lines meet their order's row in their own bucket,
+    where repeated ones leave and the rest is folded. ``settings.block_bits`` is that of the store.
+    """
+    spark = order_uids.sparkSession
+    settings = replace(settings, block_bits=store.block_bits)
+    blocks, lines = in_phase(store.read_blocks(spark), phase), in_phase(store.read_lines(spark), phase)
+    order_uids = in_phase(order_uids, phase)
+    wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
+    wanted = checkpointed(books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid"))
+    ours = id_range(blocks, "order_uid", start, end).join(join_side(wanted), "order_uid", "left_semi")
+    firsts = ours.where("header is not null").select("order_uid", "header.*")
+    heads = books.not_created(firsts).withColumn("affected", in_duplicate_months(F.col("created_at")))
+    counted = ours.join(join_side(heads.select("order_uid", "affected")), "order_uid").where("not (affected and again)")
+    orders = checkpointed(book_amounts(heads.join(join_side(added_sums(counted)), "order_uid"), settings.balance_basis))
+    good = orders.where(~bad_amounts())
+    per_line = per_block(good.select("order_uid", "last_seq", "affected"), settings.block_bits)
+    kept = lines.join(per_line.hint("merge"), ["order_uid", "block"]).where("not (affected and again)")
+    documents = order_documents(kept, good, settings)
+    no_lines = wanted.join(join_side(firsts.select("order_uid")), "order_uid", "left_anti")
+    rejects = _rejected(no_lines, ORDER, "order_uid", "no_lines").unionByName(
+        _rejected(orders.where(bad_amounts()), ORDER, "order_uid", "bad_amount")
+    )
+    return Plan(outbox.create_order_requests(documents, phase), None, rejects)
+
+
 def record_created(responses: DataFrame) -> DataFrame:
     """Ledger rows with the new order ids out of the create responses."""
     created = responses.where(status.failure_class(F.col("http_status")) == "success")
