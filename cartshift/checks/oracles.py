@@ -397,7 +397,7 @@ where copy = 1 or o_orderdate < timestamp '1995-01-01 00:00:00'
     or o_orderdate >= timestamp '1995-07-01 00:00:00'"""
 ORACLES["order_lines_of_ids"] = f"""
 select l_orderkey as order_uid, {LINE_ORDER} from lineitem
-where l_orderkey in (select o_orderkey * 2 from orders)"""
+where l_orderkey in (select o_orderkey from orders union all select -1 - o_orderkey from orders)"""
 ORACLES["amounts_parsed"] = """
 select event_id,
     case event_type when 'click' then 0 when 'error' then null
@@ -414,15 +414,20 @@ PRICES = """with p as (select l_orderkey as order_uid, l_linenumber, l_partkey,
         then cast(cast(floor(l_extendedprice) as bigint) as varchar)
         else cast(cast(l_extendedprice as decimal(18,2)) as varchar) end as price from lineitem),
 f as (select *, price like '%.%' as is_fraction, cast(case when price like '%.%'
-        then '0.' || split_part(price, '.', 2) else '0' end as decimal(18,4)) as fraction from p)
+        then '0.' || split_part(price, '.', 2) else '0' end as decimal(38,18)) as fraction from p)
 """
 ORACLES["fraction_amount_first"] = PRICES + """
 select order_uid, l_linenumber, l_partkey, l_suppkey, price as unit_price,
     price as items_subtotal, fraction from (
     select *, row_number() over (partition by order_uid order by l_linenumber, l_partkey,
         l_suppkey, price) as rn from f where is_fraction) where rn = 1"""
-ORACLES["subtotal_fractions"] = PRICES + """
-select order_uid, l_linenumber, l_partkey, l_suppkey, is_fraction, fraction from f"""
+ORACLES["subtotal_fractions"] = PRICES + r"""
+select order_uid, l_linenumber, l_partkey, l_suppkey, items_subtotal, items_subtotal like '%.%' as is_fraction,
+    cast(case when items_subtotal like '%.%'
+        then '0.' || regexp_extract(split_part(items_subtotal, '.', 2), '^[0-9]*') || '0' else '0' end
+        as decimal(38,18)) as fraction
+from (select *, price || case l_partkey % 5 when 0 then '99999' when 1 then 'x' when 2 then '.2'
+    when 3 then '.' else '' end as items_subtotal from p)"""
 
 UID = "platform || transaction_no"
 ORACLES["order_uid_range"] = with_tables("heads") + f"""

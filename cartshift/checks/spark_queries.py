@@ -140,10 +140,10 @@ def line_numbers(spark, folder):
 
 @query
 def order_lines_of_ids(spark, folder):
-    """The lines of a list of ids, which also names orders that do not exist."""
-    wanted = given.table(spark, folder, "orders").select(
-        (F.col("o_orderkey") * 2).alias("order_uid")
-    )
+    """The lines of all orders, by a list that also names as many that do not exist and one without an id."""
+    keys = given.table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_uid"))
+    unknown = keys.select((-1 - F.col("order_uid")).alias("order_uid"))
+    wanted = keys.unionAll(unknown).unionAll(spark.range(1).select(F.lit(None).cast("long")))
     lines = given.table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "order_uid")
     return readers.lines_of_orders(lines, wanted)
 
@@ -203,11 +203,16 @@ def fraction_amount_first(spark, folder):
 @query
 def subtotal_fractions(spark, folder):
     is_fraction, fraction = orders.subtotal_fraction(F.col("items_subtotal"))
-    return _price_texts(spark, folder).select(
+    # Subtotals as people leave them: further digits, letters, a second point, a point at the end.
+    endings = {0: "99999", 1: "x", 2: ".2", 3: "."}
+    ending = given.by_case(F.col("l_partkey") % 5, endings, "")
+    prices = _price_texts(spark, folder).withColumn("items_subtotal", F.concat("items_subtotal", ending))
+    return prices.select(
         "order_uid",
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
+        "items_subtotal",
         is_fraction.alias("is_fraction"),
         fraction.alias("fraction"),
     )

@@ -304,7 +304,7 @@ def export_heads(spark: SparkSession, folder: str) -> DataFrame:
             {
                 "platform": F.when(k % 43 != 0, F.col("platform")),
                 "platform_order_id": by_case(k % 10, {0: F.concat(F.lit("S"), text(k)), 1: ""}),
-                "created_at": F.concat(text(year), F.substring("created_at", 5, 100)),
+                "created_at": F.concat(text(year), F.substr("created_at", F.lit(5))),
                 "items_subtotal": by_case(k % 37, {0: "x", 1: ""}, F.col("price")),
                 "order_total": F.col("price"),
                 "discount_total": F.when(k % 41 == 0, "").otherwise(text(k % 50)),

@@ -73,8 +73,7 @@ def lenient_date(text: Column) -> Column:
 
 
 def fraction_of(text: Column) -> Column:
-    """Digits after the decimal point as a fraction, 0 without a point."""
-    digits = F.concat(F.lit("0."), F.split_part(text, F.lit("."), F.lit(2)))
-    return F.when(contains(text, "."), digits.try_cast("decimal(18,4)")).otherwise(
-        F.lit(0).cast("decimal(18,4)")
-    )
+    """The number that ``0.`` and what follows the first decimal point begin with, 0 without a point: ``5.99999`` gives
+    0.99999, ``5.5x`` 0.5, ``5.1.2`` 0.1 and ``5.`` 0."""
+    after = F.concat(F.lit("0."), F.split_part(text, F.lit("."), F.lit(2)))
+    return F.when(contains(text, "."), leading_number(after)).otherwise(F.lit(0).cast(AMOUNT))

@@ -55,8 +55,9 @@ def test_texts_and_zeros(rows):
     assert evaluate(rows, joined, ["-", "", None]) == ["a-b", "ab", "ab"]
     zeros = lambda c: coercion.zero_to_null(c.cast("int"))
     assert evaluate(rows, zeros, ["0", "5", None]) == [None, 5, None]
-    fractions = evaluate(rows, coercion.fraction_of, ["10.25", "10", "10."])
-    assert fractions == [Decimal("0.25"), 0, 0]
+    texts = ["10.25", "10", "10.", "5.99999", "5.5x", "5.1.2", "5.x", ".5", "5.25e1", "5.000000000000000001", ""]
+    wanted = ["0.25", "0", "0", "0.99999", "0.5", "0.1", "0", "0.5", "2.5", "0.000000000000000001", "0"]
+    assert evaluate(rows, coercion.fraction_of, texts) == list(map(Decimal, wanted))
 
 
 def test_every_digit_of_an_amount_counts(rows):
