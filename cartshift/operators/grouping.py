@@ -2,7 +2,7 @@
 
 One key may hold a third of all rows, so nothing here puts a whole group into one
 task: per-key facts are aggregates (combined map-side), rows get them back by a join
-AQE can split, and positions come from a range sort plus per-slice offsets.
+AQE can split, and positions come from slices with literal bounds and their offsets.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from cartshift.session import checkpointed
 
@@ -110,6 +110,10 @@ def first_per_key(rows: DataFrame, *keys: str, order_by: list[str]) -> DataFrame
     )
 
 
+# Rows of a slice, and rows that the sample has for each.
+SLICE_ROWS, SAMPLED = 1_000_000, 100
+
+
 def with_global_index(
     rows: DataFrame,
     order_by: list[str],
@@ -117,37 +121,119 @@ def with_global_index(
     slices: int | None = None,
     collation: str | None = None,
 ) -> DataFrame:
-    """Exact zero-based position in the global order, without a one-task window.
+    """Exact zero-based position in the global order, without a one-task window and without storing rows.
 
-    A range sort cuts the rows into slices; the slice sizes (one number per slice)
-    give each slice its start. The sorted rows are checkpointed because both uses of
-    them must see the same slices.
+    A seeded sample of bounded size, of the ordering columns only, gives the bounds of slices, which are literals. One
+    more pass over these columns counts the rows of each slice. The position is the slice's start plus
+    the rank inside the slice, so rows are shuffled once. Bounds only shape the slices; positions
+    do not depend on the sample.
 
-    All other columns break ties, so the positions are the same in every run. The row
-    id at the very end only spreads exact copies over several slices; it is stable
-    under a lost executor when ``rows`` is read from stored files.
+    All other columns break ties, so the positions are the same in every run. Only where one value of the
+    ordering columns fills a slice are these columns read for the bounds too. Rows that are equal in every
+    column and fill a slice are not sorted at all: one stands for them, and their positions are counted out.
     """
-    slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ties = [c for c in rows.columns if c not in order_by]
+    spark = rows.sparkSession
+    counted = rows.select(*order_by).count()
+    if not counted:
+        return rows.withColumn(name, F.lit(0).cast("bigint"))
+    slices = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), counted // SLICE_ROWS)
+    share = min(1.0, SAMPLED * slices / counted)
     binary = order_by if collation else []  # texts that are equal under the collation
-    key = [*collated(rows, order_by, collation), *binary, *ties, "spread"]
-    cut = checkpointed(
-        rows.withColumn("spread", F.monotonically_increasing_id())
-        .repartitionByRange(slices, *key)
-        .sortWithinPartitions(*key)
-        .drop("spread")
-        .withColumn("slice", F.spark_partition_id())
-        .withColumn("place", F.monotonically_increasing_id().bitwiseAND(2**33 - 1))
-    )
-    sizes = sorted(tuple(r) for r in cut.groupBy("slice").count().collect())
-    starts, start = [], 0
-    for slice_no, size in sizes:
-        starts.append((slice_no, start))
-        start += size
-    starts = rows.sparkSession.createDataFrame(starts, "slice int, start long")
-    return cut.join(F.broadcast(starts), "slice").select(
-        *rows.columns, (F.col("start") + F.col("place")).alias(name)
-    )
+    ties = [c for c in rows.columns if c not in order_by]
+    plain = [c for c in ties if not isinstance(rows.schema[c].dataType, (ArrayType, MapType, StructType))]
+    if plain != ties:  # bounds are literals of the first columns in order
+        plain = ties[: next(i for i, c in enumerate(ties) if c not in plain)]
+    order = [*collated(rows, order_by, collation), *map(F.col, binary)]
+    cut = _Cut(rows, order_by, collation, binary)
+    runs = _sampled(rows, cut, share)
+    fill = max(2, sum(n for _, n in runs) // slices)
+    if any(n >= fill for _, n in runs):
+        cut = _Cut(rows, order_by, collation, [*binary, *plain])
+        runs = _sampled(rows, cut, share)
+    cut.choose(runs, fill, whole=plain == ties)
+    sizes = {r["_slice"]: r["n"] for r in rows.select(cut.slice().alias("_slice")).groupBy("_slice").agg(F.count("*").alias("n")).collect()}
+    starts = [0]
+    for i in range(len(cut.bounds)):
+        starts.append(starts[-1] + sizes.get(i, 0))
+    marked = rows.withColumn("_slice", cut.slice())
+    in_slice = Window.partitionBy("_slice").orderBy(*order, *ties)
+    start = F.get(F.array(*[F.lit(n).cast("bigint") for n in starts]), F.col("_slice"))
+    copies = [i for i in cut.copies if sizes.get(i)]
+    sorted_rows = marked.where(~F.col("_slice").isin(copies)) if copies else marked
+    placed = sorted_rows.withColumn(name, start + F.row_number().over(in_slice) - 1).select(*rows.columns, name)
+    if not copies:
+        return placed
+    one_each = marked.where(F.col("_slice").isin(copies)).groupBy("_slice").agg(F.any_value(F.struct(*rows.columns)).alias("row"))
+    positions = [spark.range(starts[i], starts[i] + sizes[i]).select(F.col("id").alias(name), F.lit(i).alias("_slice")) for i in copies]
+    counted_out = reduce(DataFrame.unionAll, positions).join(F.broadcast(one_each), "_slice")  # a row per slice
+    return placed.unionByName(counted_out.select(*[F.col("row")[c].alias(c) for c in rows.columns], name))
+
+
+class _Cut:
+    """Slices by literal bounds on the first columns of an order."""
+
+    def __init__(self, rows: DataFrame, order_by: list[str], collation: str | None, more: list[str]):
+        self.names = [*order_by, *more]
+        self.types = [rows.schema[c].dataType for c in self.names]
+        self.collations = [collation] * len(order_by) + [None] * len(more)
+        self.bounds: list[tuple[tuple, int]] = []
+        self.copies: list[int] = []
+
+    def place(self, values: list[Column], after: int) -> Column:
+        """Values as they compare; ``after`` 1 is just behind all rows that have them."""
+        texts = [
+            F.collate(v, c) if c and isinstance(t, StringType) else v
+            for v, t, c in zip(values, self.types, self.collations, strict=True)
+        ]
+        return F.struct(*[t.alias(f"c{i}") for i, t in enumerate(texts)], F.lit(after).alias("after"))
+
+    def row(self) -> Column:
+        return self.place([F.col(c) for c in self.names], 0)
+
+    def choose(self, runs: list[tuple[tuple, int]], fill: int, whole: bool) -> None:
+        """Bounds after every ``fill`` rows of the sample; a run that long gets a slice of its own, and if the bounds
+        cover ``whole`` rows it holds copies of one row."""
+        gathered = 0
+        for value, n in runs:
+            if n >= fill:
+                self.bounds.append((value, 0))
+                if whole:
+                    self.copies.append(len(self.bounds))
+                self.bounds.append((value, 1))
+                gathered = 0
+            else:
+                gathered += n
+                if gathered >= fill:
+                    self.bounds.append((value, 1))
+                    gathered = 0
+
+    def slice(self) -> Column:
+        """How many bounds are not above the row, by halving."""
+        if not self.bounds:
+            return F.lit(0)
+        literals = F.array(
+            *[self.place([F.lit(v).cast(t) for v, t in zip(values, self.types, strict=True)], after) for values, after in self.bounds]
+        )
+        row, steps = self.row(), [1 << i for i in reversed(range(len(self.bounds).bit_length()))]
+        return F.aggregate(
+            F.lit(steps),
+            F.lit(0),
+            lambda at, step: F.when(F.get(literals, at + step - 1) <= row, at + step).otherwise(at),
+        )
+
+
+def _sampled(rows: DataFrame, cut: _Cut, share: float) -> list[tuple[tuple, int]]:
+    """Values of a seeded sample in order, each with how often it was drawn; some 100 for a slice."""
+    drawn = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cut.names)]).sample(share, seed=7)
+    place = cut.place([F.col(f"c{i}") for i in range(len(cut.names))], 0)
+    found: list[tuple[tuple, int]] = []
+    for r in drawn.orderBy(place).collect():
+        value = tuple(r)
+        if found and found[-1][0] == value:
+            found[-1] = (value, found[-1][1] + 1)
+        else:
+            found.append((value, 1))
+    return found
 
 
 def number_within(

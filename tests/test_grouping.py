@@ -59,13 +59,52 @@ def test_global_index_is_the_sorted_position(skewed):
     assert got == ordered
 
 
-def test_copies_spread_over_several_slices(rows, monkeypatch):
-    df = rows("k int", *[(1,)] * 400).repartition(4)
-    cuts = []
-    monkeypatch.setattr(grouping, "checkpointed", lambda d: cuts.append(d.cache()) or cuts[0])
-    grouping.with_global_index(df, ["k"], slices=4).count()
-    sizes = [r["count"] for r in cuts[0].groupBy("slice").count().collect()]
-    assert len(sizes) > 1 and max(sizes) < 300
+def test_copies_that_fill_a_slice_are_counted_out_and_not_sorted(rows):
+    df = rows("k int, v string", *[(1, "x")] * 400, (0, "a"), (1, "w"), (1, "y"), (2, "x"), (None, "n")).repartition(4)
+    indexed = grouping.with_global_index(df, ["k"], slices=4)
+    plan = indexed._jdf.queryExecution().executedPlan().toString()
+    assert "Range" in plan and "Union" in plan
+    got = sorted((r.row_index, r.k, r.v) for r in indexed.collect())
+    want = [(None, "n"), (0, "a"), (1, "w"), *[(1, "x")] * 400, (1, "y"), (2, "x")]
+    assert got == [(i, *row) for i, row in enumerate(want)]
+
+
+def test_a_key_that_fills_slices_is_cut_by_the_other_columns(rows):
+    df = rows("k int, v int", *[(1, i) for i in range(300)], *[(i, 0) for i in range(2, 40)]).repartition(4)
+    indexed = grouping.with_global_index(df, ["k"], slices=6)
+    got = [(r.k, r.v) for r in sorted(indexed.collect(), key=lambda r: r.row_index)]
+    assert got == [(1, i) for i in range(300)] + [(i, 0) for i in range(2, 40)]
+    runs = grouping._sampled(df, cut := grouping._Cut(df, ["k"], None, ["v"]), 1.0)
+    cut.choose(runs, 50, whole=True)
+    sizes = [r["count"] for r in df.groupBy(cut.slice().alias("s")).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 50 and not cut.copies
+
+
+def test_positions_store_nothing_and_read_only_the_order_for_the_bounds(spark, rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(grouping, "checkpointed", None)
+    spark.range(2000).selectExpr("id % 700 as k", "id as v", "repeat('x', 50) as wide").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    seen = []
+    counted = type(df).count
+    monkeypatch.setattr(type(df), "count", lambda d: seen.append(d.columns) or counted(d))
+    sampled = grouping._sampled
+    monkeypatch.setattr(grouping, "_sampled", lambda d, cut, share: seen.append(cut.names) or sampled(d, cut, share))
+    indexed = grouping.with_global_index(df, ["k"], slices=5)
+    assert seen == [["k"], ["k"]]
+    assert sorted(r.row_index for r in indexed.collect()) == list(range(2000))
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "decimal(9,2)", "double", "binary", "timestamp_ntz", "boolean"])
+def test_bounds_of_any_plain_type(spark, kind):
+    values = {
+        "timestamp": "timestamp_seconds(id * 7 % 50)", "date": "date_from_unix_date(int(id % 40))",
+        "decimal(9,2)": "cast(id % 30 / 7 as decimal(9,2))", "double": "id % 30 / 7", "binary": "cast(cast(id % 30 as string) as binary)",
+        "timestamp_ntz": "cast(timestamp_seconds(id * 7 % 50) as timestamp_ntz)", "boolean": "id % 2 = 0",
+    }
+    df = spark.range(300).selectExpr(f"if(id % 11 = 0, null, {values[kind]}) as k", "id as v", "array(id) as more")
+    got = sorted((r.row_index, r.v) for r in grouping.with_global_index(df, ["k"], slices=5).collect())
+    want = [r.v for r in df.coalesce(1).sortWithinPartitions("k", "v").collect()]
+    assert got == list(enumerate(want))
 
 
 def test_empty_table_has_no_positions(rows):
@@ -92,10 +131,11 @@ def test_attached_facts_keep_every_row(rows, collect):
     assert collect(grouping.attach(df, facts, "k"), "v", "f") == [(1, 10), (2, None), (3, None)]
 
 
-def test_no_window_without_a_key(skewed):
+def test_no_window_over_all_rows(skewed):
     _, df = skewed
     plan = grouping.with_global_index(df, ["k"])._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "SinglePartition" not in plan
+    assert "SinglePartition" not in plan
+    assert plan.count("hashpartitioning(_slice") >= 1
 
 
 def test_tied_rows_are_numbered_alike_at_every_group_size(rows, collect):
