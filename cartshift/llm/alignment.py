@@ -51,7 +51,8 @@ class Vocabularies:
         added = {t["id"] for t in spec["added_tokens"]}
         labels = {i: bytes(letters[c] for c in token) for token, i in ids.items() if i not in added}
         self.a_bytes = [labels.get(i, b"") for i in range(max(ids.values()) + 1)]
-        self.a_encode = byte_encoder(byte_path, spec, labels, ids)
+        self.a_encode, joined = byte_encoder(byte_path, spec, labels, ids)
+        self.a_joined = joined or (lambda found: b"".join(map(self.a_bytes.__getitem__, found)))
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.b_bytes = [self.piece_bytes(i) for i in range(self.pieces.vocab_size())]
         self.most = None if any(regex.search(rb"[A-Za-z0-9] ", x) for x in self.b_bytes) else SEGMENT_CHARS
@@ -77,7 +78,7 @@ class Vocabularies:
         for segment in segments(text, self.most or len(text)):
             raw = b" " + segment.encode()
             one, other = self.a_encode(" " + segment), self.pieces.encode(segment, num_threads=1)
-            if b"".join(map(self.a_bytes.__getitem__, one)) != raw or b"".join(map(self.b_bytes.__getitem__, other)) != raw:
+            if self.a_joined(one) != raw or b"".join(map(self.b_bytes.__getitem__, other)) != raw:
                 return none
             a.append(np.array(one, np.int64))
             b.append(np.array(other, np.int64))
@@ -85,7 +86,7 @@ class Vocabularies:
 
 
 def byte_encoder(path: str, spec: dict, labels: dict[int, bytes], ids: dict[str, int]):
-    """Encodes by the vocabulary file; strings of special tokens are plain text.
+    """Two functions, the second may be None: text to ids, strings of special tokens being plain text, and ids to bytes.
 
     Where ids rise with the rank of their merges and texts are split in the usual way, the ids are ranks, and the
     faster of two libraries gives the same ids.
@@ -103,12 +104,13 @@ def byte_encoder(path: str, spec: dict, labels: dict[int, bytes], ids: dict[str,
         import tiktoken
 
         ranks = {label: i for i, label in labels.items()}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranked = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return ranked.encode_ordinary, ranked.decode_bytes
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(path)
     coder.encode_special_tokens = True
-    return lambda text: coder.encode(text, add_special_tokens=False).ids
+    return (lambda text: coder.encode(text, add_special_tokens=False).ids), None
 
 
 def segments(text: str, most: int) -> list[str]:
@@ -156,23 +158,23 @@ def closed(words: Vocabularies, a: np.ndarray, b: np.ndarray) -> tuple[str, int,
     if not len(a) and not len(b):
         return "", 0, NO_TOKENS
     ends_a, ends_b = np.cumsum(words.a_lengths[a]), np.cumsum(words.b_lengths[b])
-    cuts = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    over_a, over_b = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)  # the other's token at an end
+    cut_a, cut_b = ends_b[over_a] == ends_a, ends_a[over_b] == ends_b
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
     # a group's tokens of the first tokenizer come before those of the second
-    place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-    place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+    place_a = np.arange(len(a)) + np.append(0, np.flatnonzero(cut_b) + 1)[group_a]
+    place_b = np.arange(len(b)) + (np.flatnonzero(cut_a) + 1)[group_b]
     shown = np.empty(len(a) + len(b), object)
-    shown[place_a] = np.where(np.append(np.diff(group_a), 1) > 0, words.middle[a], words.between[a])
-    shown[place_b] = np.where(np.append(np.diff(group_b), 1) > 0, words.end[b], words.between[b])
-    # between two ends that follow each other, one token of either side lies over the other
-    every = np.union1d(ends_a, ends_b)
-    pairs = a[np.searchsorted(ends_a, every)] << 32 | b[np.searchsorted(ends_b, every)]
-    return "".join(shown.tolist()), len(cuts), pairs
+    shown[place_a] = np.where(cut_a, words.middle[a], words.between[a])
+    shown[place_b] = np.where(cut_b, words.end[b], words.between[b])
+    # one token of either side lies over the bytes before every end; ends that both have count once
+    pairs = np.concatenate([a << 32 | b[over_a], (a[over_b] << 32 | b)[~cut_b]])
+    return "".join(shown.tolist()), int(cut_a.sum()), pairs
 
 
 def fragment(words: Vocabularies, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> Fragment:
     """The fragment of a range, from the tokens that end in it and their offsets."""
-    cuts = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
     if not len(cuts):
         return Fragment(a, b)
     (i, j), (k, m) = np.searchsorted(ends_a, cuts[[0, -1]]) + 1, np.searchsorted(ends_b, cuts[[0, -1]]) + 1
@@ -192,6 +194,11 @@ def composed(words: Vocabularies, left: Fragment, right: Fragment) -> Fragment:
                     join([left.pairs, pairs, right.pairs]), right.a_tail, right.b_tail)
 
 
+def single(words: Vocabularies, a: np.ndarray, b: np.ndarray) -> Fragment:
+    """A text of one range, which begins and ends with a cut."""
+    return Fragment(NO_TOKENS, NO_TOKENS, True, *closed(words, a, b))
+
+
 def whole(words: Vocabularies, inner: Fragment) -> Fragment:
     """A text's last fragment: its beginning and its end are cuts, so nothing stays open."""
     return composed(words, Fragment(cut=True), inner)
@@ -201,7 +208,7 @@ def ranges(words: Vocabularies, a: np.ndarray, b: np.ndarray, size: int) -> list
     """The fragments of a text's ranges of ``size`` bytes; a token is in the range that it ends in."""
     ends_a, ends_b = np.cumsum(words.a_lengths[a]), np.cumsum(words.b_lengths[b])
     if not len(a) or ends_a[-1] <= size:
-        return [fragment(words, a, b, ends_a, ends_b)]
+        return [single(words, a, b)]
     edges = np.arange(size, ends_a[-1] + size, size)
     at_a = [0, *np.searchsorted(ends_a, edges, side="right").tolist()]
     at_b = [0, *np.searchsorted(ends_b, edges, side="right").tolist()]
@@ -306,8 +313,6 @@ def encoding(paths: tuple[str, str], size: int):
                 found = ranges(words, a, b, size)
                 row += 1
                 for part, one in enumerate(found):
-                    if len(found) == 1:
-                        one = whole(words, one)
                     entry = {"row": row, "doc_id": doc_id, "n_groups": one.n_groups, "n_links": len(one.pairs)}
                     entry |= {"n_a": len(a) if part == 0 else 0, "n_b": len(b) if part == 0 else 0}
                     if len(found) == 1:
