@@ -348,8 +348,8 @@ def private_sql(trust: Trust = Trust()) -> str:
     ]
     address = "list_bool_and(list_transform(string_split(value, '.'), lambda p: coalesce(try_cast(p as hugeint) <= 255, false)))"
     luhn = (
-        "list_sum(list_transform(string_split(reverse(d), ''), lambda x, i: case when i % 2 = 1 then x::int"
-        " when x::int > 4 then 2 * x::int - 9 else 2 * x::int end)) % 10 = 0"
+        "list_sum(list_transform(list_transform(string_split(reverse(d), ''), lambda x: try_cast(x as int)),"
+        " lambda x, i: case when i % 2 = 1 then x when x > 4 then 2 * x - 9 else 2 * x end)) % 10 = 0"
     )
     lines = [
         f"""

@@ -34,7 +34,7 @@ def rows(spark, name):
 
 def test_each_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.LLM_QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.LLM_QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.LLM_QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(entry.LLM_ORACLES))
