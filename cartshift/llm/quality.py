@@ -1,7 +1,7 @@
 """Quality rules by host: failures per host, shrunk rates, verdicts joined back.
 
 All steps are DataFrame functions. A document is rejected outright by the base rule, and by a
-softer rule only where that rule fails on its host so often that the host is not trusted.
+softer rule only where that rule, or the base rule, fails on its host so often that the host is not trusted.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ class HostRules:
     """Limits of the rules.
 
     ``distrust`` is the shrunk failure rate from which a host's failing documents go.
-    The prior's strength (its count of pseudo documents) stays within ``strength``.
+    The prior's strength (its count of pseudo documents) stays within ``strength``; the lower end is what even
+    hosts that differ much are held against, so a few documents alone never make a host bad.
     """
 
     min_words: int = 50
@@ -31,7 +32,7 @@ class HostRules:
     min_word_chars: int = 2
     max_word_chars: int = 15
     distrust: float = 0.5
-    strength: tuple[float, float] = (1.0, 1e6)
+    strength: tuple[float, float] = (10.0, 1e6)
 
 
 def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -115,23 +116,44 @@ def soft_failures(rules: HostRules) -> dict[str, Column]:
     }
 
 
+def strength_of(hosts: int, documents: float, squares: float, failures: float, spread: float, rules: HostRules) -> float:
+    """The prior's count of pseudo documents, by moments of the beta-binomial distribution.
+
+    With p the share of all documents that fail and w = n / N the hosts' shares of the documents, the hosts' rates
+    vary by S = sum of w (k / n - p)^2. Of that sampling alone explains p (1 - p) A, A = sum of w (1 - w) / n, and a
+    correlation r within hosts adds r p (1 - p) (B - A), B = sum of w (1 - w). Solved for r, the strength is
+    1 / r - 1. Hosts that vary no more than by sampling, or that cannot tell the two apart (one document each), give
+    the greatest strength. ``squares`` is the sum of n^2, ``spread`` that of k^2 / n.
+    """
+    low, high = rules.strength
+    p = failures / documents
+    within = p * (1 - p)
+    by_sampling, by_hosts = (hosts - 1) / documents, 1 - squares / documents**2
+    if not within or by_hosts - by_sampling < 1e-12:
+        return high
+    correlation = (spread / documents - p * p - within * by_sampling) / (within * (by_hosts - by_sampling))
+    return high if correlation <= 0 else max(low, min(high, 1 / correlation - 1))
+
+
 def shrunk_rates(counts: DataFrame, names: list[str], rules: HostRules) -> DataFrame:
     """``counts`` (a row per host: ``n`` and failures ``k_<name>``) with ``rate_<name>``.
 
-    The prior is a beta distribution whose mean and variance are those of the hosts' rates:
-    mean m, strength m (1 - m) / variance - 1. Hosts that all fail alike give no variance and
-    the greatest strength. The rate is (k + m s) / (n + s).
+    The prior is a beta distribution with the mean m of all documents and the strength s of
+    :func:`strength_of`. The rate is (k + m s) / (n + s).
     """
-    low, high = rules.strength
-    prior = counts.agg(
-        *[F.avg(F.col(f"k_{r}") / F.col("n")).alias(f"m_{r}") for r in names],
-        *[F.var_pop(F.col(f"k_{r}") / F.col("n")).alias(f"v_{r}") for r in names],
+    n = F.col("n").cast("double")
+    sums = counts.agg(
+        F.count("*").alias("hosts"),
+        F.sum(n).alias("n"),
+        F.sum(n * n).alias("squares"),
+        *[F.sum(f"k_{r}").alias(f"k_{r}") for r in names],
+        *[F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / n).alias(f"spread_{r}") for r in names],
     ).first()  # a few numbers
     for r in names:
-        m, v = prior[f"m_{r}"], prior[f"v_{r}"]
-        if m is None:  # no hosts
-            m = 0.0
-        s = max(low, min(high, m * (1 - m) / v - 1)) if v else high
+        m, s = 0.0, rules.strength[1]
+        if sums["n"]:
+            m = sums[f"k_{r}"] / sums["n"]
+            s = strength_of(sums["hosts"], sums["n"], sums["squares"], sums[f"k_{r}"], sums[f"spread_{r}"], rules)
         counts = counts.withColumn(f"rate_{r}", (F.col(f"k_{r}") + F.lit(m * s)) / (F.col("n") + F.lit(s)))
     return counts
 
@@ -147,7 +169,8 @@ def judge(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source",
     The measures are stored once; hosts are summed map-side, and the host verdicts (one row per
     host) return by a join of narrow rows, in which a hot host is split by AQE.
     """
-    names = list(soft_failures(rules))
+    soft = list(soft_failures(rules))
+    names = ["base", *soft]
     keep = tuple(dict.fromkeys((id_column, host, *carry)))
     ids = docs.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(keep)], F.col("text").alias("_in_text"))
     measured = measures(ids, "_in_text", tuple(f"_in_{i}" for i in range(len(keep))))
@@ -161,14 +184,15 @@ def judge(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source",
     host_column = f"_in_{keep.index(host)}"
     counts = measured.groupBy(F.col(host_column).alias("_host")).agg(
         F.count("*").alias("n"),
-        *[F.sum(F.col(f"soft_{r}").cast("long")).alias(f"k_{r}") for r in names],
+        F.sum(F.col("base_failed").cast("long")).alias("k_base"),
+        *[F.sum(F.col(f"soft_{r}").cast("long")).alias(f"k_{r}") for r in soft],
     )
     rates = shrunk_rates(counts, names, rules)
     verdicts = rates.select("_host", *[(F.col(f"rate_{r}") >= rules.distrust).alias(f"bad_{r}") for r in names])
     judged = measured.join(verdicts, F.col(host_column).eqNullSafe(F.col("_host")), "left")
     rejected = F.lit(False)
-    for r in names:
-        rejected = rejected | (F.col(f"soft_{r}") & F.col(f"bad_{r}"))
+    for r in soft:
+        rejected = rejected | (F.col(f"soft_{r}") & (F.col(f"bad_{r}") | F.col("bad_base")))
     return judged.select(
         *[F.col(f"_in_{i}").alias(c) for i, c in enumerate(keep)],
         "n_words",
@@ -222,21 +246,26 @@ judged as (
          100 * n_symbols > 10 * n_words as f1, 100 * n_dup_lines > 30 * n_lines as f2,
          coalesce(chars, 0) < 2 * n_words or coalesce(chars, 0) > 15 * n_words as f3
   from counted),
+failed as (
+  select doc_id, source, rule, hit from (
+    select doc_id, source, base_failed as f0, f1, f2, f3 from judged) unpivot (hit for rule in (f0, f1, f2, f3))),
 hosts as (
-  select source, count(*) as n, count(*) filter (f1) as k1, count(*) filter (f2) as k2, count(*) filter (f3) as k3
-  from judged group by source),
+  select source, rule, count(*)::double as n, count(*) filter (hit)::double as k from failed group by source, rule),
+shares as (
+  select *, sum(k) over r / sum(n) over r as p, n / sum(n) over r as w from hosts window r as (partition by rule)),
+moments as (
+  select rule, any_value(p) as p, sum(w * (k / n - p) ** 2) as s, sum(w * (1 - w) / n) as a, sum(w * (1 - w)) as b
+  from shares group by rule),
 prior as (
-  select avg(k1 / n) as m1, avg(k2 / n) as m2, avg(k3 / n) as m3,
-         var_pop(k1 / n) as v1, var_pop(k2 / n) as v2, var_pop(k3 / n) as v3 from hosts),
-strength as (
-  select *, greatest(1.0, least(1e6, case when v1 > 0 then m1 * (1 - m1) / v1 - 1 else 1e6 end)) as s1,
-         greatest(1.0, least(1e6, case when v2 > 0 then m2 * (1 - m2) / v2 - 1 else 1e6 end)) as s2,
-         greatest(1.0, least(1e6, case when v3 > 0 then m3 * (1 - m3) / v3 - 1 else 1e6 end)) as s3 from prior),
+  select rule, p, case when p * (1 - p) = 0 or b - a < 1e-12 or s <= p * (1 - p) * a then 1e6
+    else greatest(10, least(1e6, p * (1 - p) * (b - a) / (s - p * (1 - p) * a) - 1)) end as strength from moments),
 verdicts as (
-  select source, (k1 + m1 * s1) / (n + s1) >= 0.5 as b1, (k2 + m2 * s2) / (n + s2) >= 0.5 as b2,
-         (k3 + m3 * s3) / (n + s3) >= 0.5 as b3 from hosts, strength)
+  select source, rule, (k + p * strength) / (n + strength) >= 0.5 as bad from hosts join prior using (rule)),
+distrusted as (
+  select source, bool_or(bad) filter (rule = 'f0') as b0, bool_or(bad) filter (rule = 'f1') as b1,
+         bool_or(bad) filter (rule = 'f2') as b2, bool_or(bad) filter (rule = 'f3') as b3 from verdicts group by source)
 select doc_id, n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
        n_repeat_words::bigint as n_repeat_words, base_failed,
-       not base_failed and not (f1 and b1) and not (f2 and b2) and not (f3 and b3) as kept
-from judged join verdicts on judged.source is not distinct from verdicts.source
+       not base_failed and not (f1 and (b0 or b1)) and not (f2 and (b0 or b2)) and not (f3 and (b0 or b3)) as kept
+from judged join distrusted on judged.source is not distinct from distrusted.source
 """
