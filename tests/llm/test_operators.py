@@ -243,6 +243,65 @@ def test_hosts_of_bad_pages_lose_failing_pages_only(spark):
     assert kept == {i for i, t, _ in rows if t == good} | {r[0] for r in rows if r[2] == "good.example"}
 
 
+def host_docs(spark, *hosts):
+    """``(name, documents, failing documents)`` per host; a failing one fails the symbol rule only."""
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(good + " ***" * 20 * (i < k), name) for name, n, k in hosts for i in range(n)]
+    docs = [(i, t, name) for i, (t, name) in enumerate(rows)]
+    return spark.createDataFrame(docs, "doc_id long, text string, source string")
+
+
+def lost_by_host(df):
+    return dict(collections.Counter(r["source"] for r in quality.judge(df).collect() if not r["kept"]))
+
+
+def test_single_documents_do_not_make_a_host_bad(spark):
+    assert lost_by_host(host_docs(spark, *[(f"h{i}", 1, int(i % 10 == 0)) for i in range(200)])) == {}
+
+
+def test_a_host_that_differs_loses_its_failing_documents(spark):
+    hosts = [("bad", 50, 40), *[(f"h{i}", 20, i % 3) for i in range(20)], *[(f"s{i}", 1, int(i == 0)) for i in range(30)]]
+    assert lost_by_host(host_docs(spark, *hosts)) == {"bad": 40}
+
+
+def test_failures_of_the_base_rule_make_a_host_bad(spark):
+    docs = host_docs(spark, ("bad", 10, 5), *[(f"h{i}", 30, 3) for i in range(10)])
+    short = spark.range(30).select((F.col("id") + 1000).alias("doc_id"), F.lit("too short").alias("text"), F.lit("bad").alias("source"))
+    assert lost_by_host(docs.unionByName(short)) == {"bad": 35}
+
+
+def test_the_prior_takes_sampling_for_what_it_is():
+    rules = quality.HostRules()
+    rng = np.random.default_rng(1)
+    for n, spread, low, high in ((50, 0, 300, 1e6), (50, 20, 12, 35), (3, 20, 8, 80)):
+        rates = rng.beta(0.2 * spread, 0.8 * spread, 4000) if spread else np.full(4000, 0.2)
+        k = rng.binomial(n, rates)
+        s = quality.strength_of(4000, 4000.0 * n, 4000.0 * n * n, float(k.sum()), float((k * k / n).sum()), rules)
+        assert low <= s <= high
+    assert quality.strength_of(7, 7.0, 7.0, 2.0, 2.0, rules) == 1e6  # one document each: nothing to learn
+    assert quality.strength_of(7, 70.0, 700.0, 0.0, 0.0, rules) == 1e6
+
+
+def test_many_shared_lines_take_linear_time(spark):
+    import time
+
+    for n, most in ((16_000, 20), (200_000, 60)):
+        text = "\n".join(f"line {i % (n // 2)} of all" for i in range(n))
+        docs = spark.range(10 if n < 100_000 else 1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+        start = time.time()
+        got = lines.drop_frequent_lines(docs, 10 if n < 100_000 else 1).agg(F.sum("n_dropped"), F.max("kept_text")).first()
+        assert got[0] == (10 * n if n < 100_000 else n) and got[1] == ""
+        assert time.time() - start < most
+
+
+def test_lines_are_put_together_by_position(spark):
+    rows = [(i, f"shared\n{i} own\n Shared \n\nlast {i}\nSHARED", 1) for i in range(10)] + [(3, "3 other\nshared\nend", 1), (None, "shared", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _pos int")
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept_text"]) for r in lines.drop_frequent_lines(df).collect())
+    want = [(str(i), 6, 3, f"{i} own\n\nlast {i}") for i in range(10)] + [("3", 3, 1, "3 other\nend"), ("None", 1, 1, "")]
+    assert got == sorted(want)
+
+
 def test_lines_on_odd_rows(docs):
     got = lines.drop_frequent_lines(docs, 5).select("doc_id", "text", "n_lines", "n_dropped", "kept_text").collect()
     assert len(got) == docs.count()
