@@ -691,6 +691,35 @@ select phase, count(*) as n, min(o_orderkey) as first_order
 from (select o_orderkey, {PHASED} from orders) group by phase"""
 ORACLES["phase_union_pruned"] = f"""
 select * from (select o_orderkey, o_orderpriority, {PHASED} from orders) where phase = 'third'"""
+ORACLES["phase_reloaded"] = ORACLES["phase_union_pruned"]
+ORACLES["ledger_compacted"] = ORACLES["ledger_latest"]
+ORACLES["jdbc_text_ranges"] = with_tables("legacy") + """
+select case when points is not null then nullif(email, '') end as email, name, 1 as ranges from legacy"""
+ORACLES["products_csv_read_back"] = """
+select *, case when try_cast(stock as int) is null or stock like '%.%' or price = '-' then 'not_a_whole_number' end as reason
+from (select 'P' || p_partkey as code,
+    case p_partkey % 3 when 0 then '"' || p_name || '",' || chr(10) || p_brand when 1 then p_name || ',x'
+        else p_name end as name,
+    p_type as style, cast(p_size as varchar) as size,
+    case p_size % 9 when 0 then 'n/a' when 1 then p_size || '.5' else cast(p_size as varchar) end as stock,
+    case when p_partkey % 11 = 0 then '-' else cast(cast(floor(p_retailprice) as bigint) as varchar) end as price
+    from part)"""
+ORACLES["search_resolution_as_of"] = """
+with e as (select *, left(event_type, 1) || event_id as ident from events),
+searches as (select user_id, date_trunc('day', ts) as seen, case when event_type in ('click', 'purchase') then ident end as hit
+    from e where event_type <> 'signup'),
+newest as (select user_id, seen, count(hit) as n, min(hit) as hit from searches s
+    where seen = (select max(seen) from searches o where o.user_id = s.user_id) group by user_id, seen),
+recorded as (select user_id, arg_max(ident, (ts, ident)) as known, max(ts) as known_at from e
+    where event_type = 'signup' group by user_id),
+both_ as (select c_custkey, coalesce(n, 0) as n, hit, seen, known, known_at,
+    known_at is not null and coalesce(seen <= known_at, true) as older
+    from customer left join newest on newest.user_id = c_custkey left join recorded r on r.user_id = c_custkey)
+select c_custkey as order_uid, case when not older then n end as n_hits,
+    case when older then 'recorded' when n = 0 then 'not_found' when n = 1 then 'matched' else 'ambiguous' end as outcome,
+    case when older then known when n = 1 then hit end as platform_order_id,
+    cast(floor(epoch(case when older then known_at else seen end)) as bigint) as as_of
+from both_"""
 ORACLES["purge_plan"] = _and(
     with_tables("platform"),
     _outbox(

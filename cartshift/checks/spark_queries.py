@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,6 +26,7 @@ from cartshift.operators import (
 from cartshift.plans import flows
 from cartshift.session import shared_folder, tune
 from cartshift.sources import order_store, readers, writers
+from cartshift.sources.ledger_store import LedgerStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -595,6 +597,30 @@ def search_resolution(spark, folder):
     return reconcile.resolve_hits(wanted, hits, "order_uid", "platform_order_id")
 
 
+@query
+def search_resolution_as_of(spark, folder):
+    """Events as searches that are repeated day by day, and as ids that were recorded in between."""
+    events = given.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kind = F.col("event_type")
+    ident = F.concat(F.left(kind, F.lit(1)), given.text(F.col("event_id")))
+    searches = events.where(kind != "signup").select(
+        F.col("user_id").alias("order_uid"),
+        F.date_trunc("day", "ts").alias("searched_at"),
+        F.when(kind.isin("click", "purchase"), ident).alias("platform_order_id"),
+    )
+    entered = events.where(kind == "signup").select(
+        F.lit("order").alias("entity"),
+        given.text(F.col("user_id")).alias("entity_id"),
+        F.lit("platform_order_id").alias("field"),
+        ident.alias("value"),
+        "ts",
+    )
+    recorded = ledger.latest(entered).select(F.col("entity_id").cast("long").alias("order_uid"), "value", "ts")
+    wanted = given.table(spark, folder, "customer").select(F.col("c_custkey").alias("order_uid"))
+    found = reconcile.resolve_as_of(wanted, searches, recorded, "order_uid", "platform_order_id")
+    return found.withColumn("as_of", F.unix_timestamp("as_of"))
+
+
 @query
 def found_balances(spark, folder):
     """Orders found by exactly one line, with the line's quantity as the balance."""
@@ -665,6 +691,19 @@ def ledger_latest(spark, folder):
     return newest.select("entity", "entity_id", "field", "value")
 
 
+@query
+def ledger_compacted(spark, folder):
+    """The newest outcomes out of a ledger that is appended to, compacted, and appended to again."""
+    written = given.event_ledger(spark, folder)
+    store = LedgerStore(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    month = F.month("ts") % 3
+    for part in (month == 0, month == 1):
+        store.append(written.where(part))
+    store.compact()
+    store.append(written.where(F.coalesce(month == 2, F.lit(True))))
+    return ledger.latest(store.read()).select("entity", "entity_id", "field", "value")
+
+
 @query
 def ledger_entries(spark, folder):
     orders_ = given.legacy_orders(spark, folder)
@@ -752,6 +791,57 @@ def phase_union_pruned(spark, folder):
     )
 
 
+@query
+def phase_reloaded(spark, folder):
+    """One phase of a stored table, after a first load of other rows that the second one replaces."""
+    path = f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}"
+    table = _phases(spark, folder).drop("phase")
+    for phase, mark in (("third", "1-URGENT"), ("second", "2-HIGH"), ("third", "3-MEDIUM")):
+        writers.load_phase(table.where(F.col("o_orderpriority") == mark), path, phase, sort_by="o_orderkey")
+    stored = readers.read_table(spark, path)
+    return readers.of_phase(stored, "third").select("o_orderkey", "o_orderpriority", "phase")
+
+
+@query
+def jdbc_text_ranges(spark, folder):
+    """The conditions by which a database is read in ranges of a text key, as filters: how many each row meets.
+
+    The bounds come from the keys of an earlier, smaller load; there are rows without a key and outside of these.
+    """
+    customers = given.legacy_customers(spark, folder).withColumn("email", F.nullif("email", F.lit("")))
+    earlier = given.table(spark, folder, "supplier").select(F.concat(F.lit("U"), "s_suppkey", F.lit("@Example.com")).alias("email"))
+    keyed = customers.select(F.when(F.col("points").isNotNull(), F.col("email")).alias("email"), "name")
+    bounds = readers.text_bounds(earlier, "email", 7, "UNICODE_CI")
+    hits = reduce(
+        lambda a, b: a + b,
+        [F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in readers.text_predicates("email", bounds, "UNICODE_CI")],
+    )
+    return keyed.select("email", "name", hits.alias("ranges"))
+
+
+@query
+def products_csv_read_back(spark, folder):
+    """Parts as a product export with quotes, line breaks and bad numbers, and what reading it gives."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    ring = F.concat(F.lit('"'), "p_name", F.lit('",\n'), "p_brand")
+    export = given.table(spark, folder, "part").select(
+        F.concat(F.lit("P"), key).alias("商品編號"),
+        given.by_case(key % 3, {0: ring, 1: F.concat("p_name", F.lit(",x"))}, F.col("p_name")).alias("商品名稱"),
+        F.col("p_type").alias("樣式"),
+        given.text(size).alias("尺寸"),
+        given.by_case(size % 9, {0: "n/a", 1: F.concat(given.text(size), F.lit(".5"))}, given.text(size)).alias(
+            fixed.PRODUCT_CSV_STOCK_HEADING
+        ),
+        given.by_case(key % 11, {0: "-"}, given.text(F.floor("p_retailprice"))).alias("售價"),
+    )
+    path = f"{shared_folder(spark)}/products-{uuid.uuid4().hex}"
+    export.write.options(header=True, escape='"').csv(path)
+    products, rejects = readers.read_products_csv(spark, path, multi_line=True)
+    good = products.withColumn("reason", F.lit(None).cast("string"))
+    texts = good.withColumns({c: given.text(F.col(c)) for c in ("stock", "price")})
+    return texts.unionByName(rejects.drop(*readers.REJECT_PLACE))
+
+
 @query
 def purge_plan(spark, folder):
     """The id bound is the operator: customers above a given id."""

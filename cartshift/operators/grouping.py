@@ -169,6 +169,23 @@ def with_global_index(
     return placed.unionByName(counted_out.select(*[F.col("row")[c].alias(c) for c in rows.columns], name))
 
 
+def sample_bounds(
+    rows: DataFrame, order_by: list[str], slices: int, collation: str | None = None
+) -> list[tuple]:
+    """Up to ``slices - 1`` different values of ``order_by``, in order, that share the rows out alike."""
+    counted = rows.select(*order_by).count()
+    if not counted or slices < 2:
+        return []
+    cut = _Cut(rows, order_by, collation, order_by if collation else [])
+    runs = _sampled(rows, cut, min(1.0, SAMPLED * slices / counted))
+    total, seen, bounds = sum(n for _, n in runs), 0, []
+    for value, n in runs:
+        if seen and seen * slices >= (len(bounds) + 1) * total:
+            bounds.append(value[: len(order_by)])
+        seen += n
+    return bounds[: slices - 1]
+
+
 class _Cut:
     """Slices by literal bounds on the first columns of an order."""
 

@@ -120,6 +120,37 @@ def resolve_hits(wanted: DataFrame, hits: DataFrame, key: str, found: str) -> Da
     )
 
 
+def latest_hits(searches: DataFrame, key: str) -> DataFrame:
+    """The hits of each key's last search. ``searches`` has ``searched_at`` and a row per hit; a search that found
+    nothing is a row without one, and so takes the place of an earlier one that did."""
+    last = searches.groupBy(key).agg(F.max("searched_at").alias("searched_at"))
+    same = ["searched_at", key]
+    return searches.join(join_side(last), same).select(*searches.columns)
+
+
+def resolve_as_of(
+    wanted: DataFrame, searches: DataFrame, recorded: DataFrame, key: str, found: str
+) -> DataFrame:
+    """:func:`resolve_hits` of each key's last search, held against what is recorded.
+
+    ``recorded`` has ``key``, ``value`` and ``ts``, a row per key: ids that the ledger holds as of ``ts``. A search that is not
+    later than the record knows less than it: the key is ``recorded`` with that id, whatever was found. A later
+    search settles a key anew; its outcome counts, and ``searched_at`` is the time from which it does.
+    """
+    newest = latest_hits(searches, key)
+    times = newest.groupBy(key).agg(F.max("searched_at").alias("searched_at"))
+    resolved = attach(resolve_hits(wanted, newest, key, found), times, key)
+    known = recorded.select(key, F.col("value").alias("known"), F.col("ts").alias("known_at"))
+    older = F.col("known_at").isNotNull() & F.coalesce(F.col("searched_at") <= F.col("known_at"), F.lit(True))
+    return attach(resolved, known, key).select(
+        key,
+        F.when(older, F.lit(None)).otherwise(F.col("n_hits")).alias("n_hits"),
+        F.when(older, "recorded").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(older, F.col("known")).otherwise(F.col(found)).alias(found),
+        F.when(older, F.col("known_at")).otherwise(F.col("searched_at")).alias("as_of"),
+    )
+
+
 def found_balances(wanted: DataFrame, hits: DataFrame, key: str, found_at: Column) -> DataFrame:
     """Snapshot rows of customers found by exactly one hit.
 

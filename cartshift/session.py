@@ -32,12 +32,18 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where it is not set, as in tests, one in the warehouse stands in, which they share as well.
+    On a cluster a missing setting is an error. Only for a local master one in the warehouse stands in; it
+    is removed at the end.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    setting = "spark.checkpoint.dir"
+    context = spark.sparkContext
+    folder = context.getConf().get(setting)
+    if folder is None and not context.master.startswith("local"):
+        raise RuntimeError(f"set {setting} to a shared folder")
+    folder = folder or spark.conf.get(setting, None)
     if folder is None:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set(setting, folder)
         atexit.register(shutil.rmtree, urlparse(folder).path, ignore_errors=True)
     return folder.rstrip("/")
 
@@ -46,5 +52,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        folder = shared_folder(df.sparkSession)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
-from cartshift.operators.grouping import key_list
+from cartshift.functions.coercion import has_text
+from cartshift.operators.grouping import key_list, sample_bounds
 from cartshift.operators.ledger import LEDGER_SCHEMA
 from cartshift.sources.schemas import text_schema
 
@@ -43,6 +44,47 @@ def read_jdbc(
     )
 
 
+def text_bounds(
+    keys: DataFrame, column: str, slices: int, collation: str | None = None
+) -> list[str]:
+    """Up to ``slices - 1`` keys that cut the texts of ``column`` into like shares, in the order of ``collation``.
+
+    They come from a bounded sample, of an earlier load for instance; texts are missing and repeated as they
+    like. Texts with a backslash are no bounds, as databases read these differently.
+    """
+    present = keys.select(column).where(has_text(F.col(column)) & ~F.contains(F.col(column), F.lit("\\")))
+    return [bounds[0] for bounds in sample_bounds(present, [column], slices, collation)]
+
+
+def text_predicates(column: str, bounds: list[str], collation: str | None = None) -> list[str]:
+    """Conditions that share out all rows of a table by a text key: every row meets exactly one.
+
+    The first also takes rows without a key, the first and the last what lies outside the bounds.
+    ``collation`` is the database's name for the order of the bounds; it is written out, so that the database
+    compares as the bounds were sorted, whatever its own default is.
+    """
+    key = f"{column} COLLATE {collation}" if collation else column
+    quoted = ["'" + b.replace("'", "''") + "'" for b in bounds]
+    if not quoted:
+        return ["1 = 1"]
+    between = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(quoted, quoted[1:])]
+    return [f"{key} < {quoted[0]} OR {column} IS NULL", *between, f"{key} >= {quoted[-1]}"]
+
+
+def read_jdbc_by_text(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    column: str,
+    bounds: list[str],
+    collation: str | None = None,
+    properties: dict[str, str] | None = None,
+) -> DataFrame:
+    """A live staging table, read by one query per range of a text key."""
+    predicates = text_predicates(column, bounds, collation)
+    return spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
+
+
 def known_phase(phase: str) -> str:
     if phase not in fixed.PHASES:
         raise ValueError(f"unknown phase {phase!r}, expected one of {fixed.PHASES}")
@@ -97,27 +139,39 @@ def read_order_lines(
     )
 
 
+# The columns of a reject that tell where it stands; ``record`` is the text of a row with too few or too many cells.
+REJECT_PLACE = (*FILE_ORDER, "record")
+
+
 def read_products_csv(
     spark: SparkSession, path: str, multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Products and rejects of a product file.
 
-    Stock and price must be whole numbers; any other text there, also none, is a
-    reject. ``multi_line`` allows line breaks inside quotes, but then a file is read
-    by one task.
+    Stock and price must be whole numbers; any other text there, also none, is a reject, and so is a row with too
+    few or too many cells. Rejects have a reason and the columns of :data:`REJECT_PLACE`. ``multi_line`` allows
+    line breaks inside quotes, but then a file is read by one task.
     """
     headings = {
         (fixed.PRODUCT_CSV_STOCK_HEADING if new == "stock" else old): new
         for old, new in fixed.PRODUCT_COLUMNS.items()
     }
-    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "columnNameOfCorruptRecord": "_record"}
     names = spark.read.options(**options).csv(path).columns
-    raw = spark.read.options(**options).schema(text_schema(names)).csv(path)
-    rows = raw.select(*[F.col(f"`{old}`").alias(new) for old, new in headings.items()])
+    raw = spark.read.options(**options).schema(text_schema([*names, "_record"])).csv(path)
+    rows = raw.select(
+        *[F.col(f"`{old}`").alias(new) for old, new in headings.items()],
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("file_part"),
+        F.monotonically_increasing_id().alias("file_row"),
+        F.col("_record").alias("record"),
+    )
     numbers = {c: F.col(c).try_cast("int") for c in ("stock", "price")}
+    broken = F.col("record").isNotNull()
     bad = numbers["stock"].isNull() | numbers["price"].isNull()
-    rejects = rows.where(bad).withColumn("reason", F.lit("not_a_whole_number"))
-    return rows.where(~bad).withColumns(numbers), rejects
+    reason = F.when(broken, "malformed_row").when(bad, "not_a_whole_number")
+    rejects = rows.where(broken | bad).withColumn("reason", reason)
+    return rows.where(~broken & ~bad).drop(*REJECT_PLACE).withColumns(numbers), rejects
 
 
 def first_products(products: DataFrame, page: int = 1, per_page: int = 5) -> DataFrame:

@@ -22,6 +22,18 @@ def append_phase(table: DataFrame, path: str, phase: str, sort_by: str | None =
     marked.write.mode("append").partitionBy("phase").parquet(path)
 
 
+def load_phase(table: DataFrame, path: str, phase: str, sort_by: str | None = None) -> None:
+    """Store a batch in a table partitioned by phase, in place of what that phase held; other phases stay.
+
+    A load that is run again, or after one that failed, leaves the phase once.
+    """
+    marked = table.withColumn("phase", F.lit(known_phase(phase)))
+    if sort_by is not None:
+        marked = marked.repartitionByRange(sort_by).sortWithinPartitions(sort_by)
+    writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("phase").parquet(path)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -227,3 +227,27 @@ def test_tag_verdict(rows, collect):
     assert collect(reconcile.tag_verdict(answered), "id", "status") == [
         ("a", "success"), ("b", "fail"), ("c", "fail")
     ]
+
+
+def test_the_last_search_counts_and_only_if_it_is_later_than_the_record(rows):
+    wanted = rows("k string", *[(k,) for k in "abcdefg"])
+    searches = rows(
+        "k string, searched_at int, id string",
+        ("a", 1, "A1"), ("a", 2, "A2"),  # the last one counts
+        ("b", 1, "B1"), ("b", 2, None),  # found nothing the last time
+        ("c", 1, "C1"),  # older than the record
+        ("d", 3, "D1"),  # later than the record
+        ("e", 2, "E1"), ("e", 2, "E2"),
+        ("f", 5, "F1"),  # as old as the record
+    )
+    recorded = rows("k string, value string, ts int", ("c", "C0", 2), ("d", "D0", 2), ("f", "F0", 5), ("g", "G0", 1))
+    got = reconcile.resolve_as_of(wanted, searches, recorded, "k", "id").collect()
+    assert sorted((r.k, r.n_hits, r.outcome, r.id, r.as_of) for r in got) == [
+        ("a", 1, "matched", "A2", 2),
+        ("b", 0, "not_found", None, 2),
+        ("c", None, "recorded", "C0", 2),
+        ("d", 1, "matched", "D1", 3),
+        ("e", 2, "ambiguous", None, 2),
+        ("f", None, "recorded", "F0", 5),
+        ("g", None, "recorded", "G0", 1),
+    ]

@@ -170,3 +170,74 @@ def test_checkpoint_folder_of_the_session_is_used(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     session.checkpointed(spark.range(3))
     assert folder in spark.sparkContext.getCheckpointDir()
+
+
+def met(df, predicates):
+    """How many of the conditions each row meets."""
+    hits = [F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in predicates]
+    return [r[0] for r in df.select(sum(hits, F.lit(0))).collect()]
+
+
+@pytest.mark.parametrize("collation", [None, "UTF8_LCASE", "UNICODE_CI"])
+def test_every_row_meets_one_text_range(rows, collation):
+    keys = ["", None, "A", "a", "é", "Z", "it's", "ünder", "0", "～", *[f"k{i:03}" for i in range(200)], *["K100"] * 30]
+    df = rows("id string", *[(k,) for k in keys])
+    for slices in (1, 2, 7, 40):
+        bounds = readers.text_bounds(df.where("id like 'k%' or id = 'it''s'"), "id", slices, collation)
+        assert len(bounds) == slices - 1
+        assert met(df, readers.text_predicates("id", bounds, collation)) == [1] * len(keys)
+    assert readers.text_bounds(df.limit(0), "id", 5) == [] and readers.text_predicates("id", []) == ["1 = 1"]
+
+
+def test_text_ranges_share_the_rows_out(rows):
+    df = rows("id string", *[(f"{i:05}",) for i in range(3000)])
+    predicates = readers.text_predicates("id", readers.text_bounds(df, "id", 6))
+    sizes = [df.where(p).count() for p in predicates]
+    assert sum(sizes) == 3000 and max(sizes) < 750
+
+
+def test_bounds_are_quoted_and_never_hold_a_backslash(rows):
+    df = rows("id string", *[(k,) for k in ("a\\", "b'b", "c\\'", "d") * 5])
+    bounds = readers.text_bounds(df, "id", 4)
+    assert bounds and all("\\" not in b for b in bounds)
+    assert met(df, readers.text_predicates("id", bounds)) == [1] * 20
+
+
+def test_jdbc_reads_text_ranges(monkeypatch):
+    asked = {}
+
+    class Session:
+        class read:
+            jdbc = staticmethod(lambda url, table, **options: asked.update(options, url=url, table=table))
+
+    readers.read_jdbc_by_text(Session(), "jdbc:x", "t", "id", ["b", "m'"], '"C"')
+    assert asked["predicates"] == [
+        "id COLLATE \"C\" < 'b' OR id IS NULL",
+        "id COLLATE \"C\" >= 'b' AND id COLLATE \"C\" < 'm'''",
+        "id COLLATE \"C\" >= 'm'''",
+    ]
+
+
+def test_a_phase_that_is_loaded_again_replaces_itself_only(spark, rows, tmp_path, collect):
+    path = str(tmp_path / "orders")
+    writers.load_phase(rows("k int", (1,), (2,)), path, "first", sort_by="k")
+    writers.load_phase(rows("k int", (7,)), path, "second")
+    for _ in range(2):
+        writers.load_phase(rows("k int", (3,), (4,), (5,)), path, "first", sort_by="k")
+    table = readers.read_table(spark, path)
+    assert collect(table, "k", "phase") == [(3, "first"), (4, "first"), (5, "first"), (7, "second")]
+    plan = readers.of_phase(table, "first")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(phase" in plan and "PushedFilters: []" in plan
+
+
+def test_rejects_of_a_product_file_tell_where_they_stand(spark, tmp_path, collect):
+    headings = ["商品編號", "商品名稱", "樣式", "尺寸", fixed.PRODUCT_CSV_STOCK_HEADING, "售價"]
+    lines = [",".join(headings), "A,cake,s,M,1,10", "B,tea,s,M", "C,tea,s,M,x,5", 'D,"a ""b"",\nc",s,M,3,7', "E,pie,s,M,1,2,3,4"]
+    (tmp_path / "p.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    products, rejects = readers.read_products_csv(spark, str(tmp_path / "p.csv"), multi_line=True)
+    assert collect(products, "code", "name", "stock") == [("A", "cake", 1), ("D", 'a "b",\nc', 3)]
+    found = {r["code"]: r for r in rejects.collect()}
+    assert {c: r["reason"] for c, r in found.items()} == {"B": "malformed_row", "C": "not_a_whole_number", "E": "malformed_row"}
+    assert found["B"]["record"].strip() == "B,tea,s,M" and found["C"]["record"] is None
+    assert all(r["file_path"].endswith("p.csv") for r in found.values())
+    assert found["B"]["file_row"] < found["C"]["file_row"] < found["E"]["file_row"]
