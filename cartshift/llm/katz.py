@@ -82,6 +82,33 @@ def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as one byte each, nearly all of which are the same few, and those that need more."""
+    return np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255].astype(np.int64)
+
+
+def large(low: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[out == 255] = rest
+    return out
+
+
+COUNTS = np.uint8, np.int64  # kinds of :func:`small`
+
+
+def listed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of which many are equal, as a list of the different ones and places in it, low and high halves."""
+    different, at = np.unique(values, return_inverse=True)
+    return different, (at & 0xFFFF).astype(np.uint16), (at >> 16).astype(np.uint16)
+
+
+def unlisted(different: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return different[low.astype(np.int64) | high.astype(np.int64) << 16] if len(low) else np.empty(0)
+
+
+LISTED = np.float64, np.uint16, np.uint16  # kinds of :func:`listed`
+
+
 def summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of whole numbers by index (exact: they stay below 2**53)."""
     return np.bincount(index, weights=values, minlength=n).astype(np.int64)
@@ -297,7 +324,8 @@ class Block:
         edges = np.searchsorted(owner[by_part], np.arange(-1, owner.max(initial=-1) + 2))
         for part, data in answers.items():
             asked = by_part[edges[part + 1] : edges[part + 2]]
-            counts, counts_all, unseen, lower = unpacked(data, np.int64, np.int64, np.int64, np.float64)
+            *found, unseen, lower = unpacked(data, *COUNTS, *COUNTS, np.int64, np.float64)
+            counts, counts_all = large(*found[:2]), large(*found[2:])
             self.counts[asked] = counts
             if len(counts_all):
                 self.counts_all[asked] = counts_all
@@ -337,7 +365,7 @@ def word_requests(blocks: DataFrame, parts: int) -> DataFrame:
     def one(number, data):
         block = Block(data)
         owner = (block.names % np.uint64(parts)).astype(np.int64)
-        return sent_batch(number, owner, lambda i: packed(block.names[i], block.local[i], block.local_all[i]))
+        return sent_batch(number, owner, lambda i: packed(block.names[i], *small(block.local[i]), *small(block.local_all[i])))
 
     def work(batches):
         for batch in batches:
@@ -361,7 +389,10 @@ def word_totals(requests: DataFrame, hot_above: int) -> DataFrame:
     """Totals of the words of each part, sent back to the blocks that asked; block -1 holds the sums."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [unpacked(s, np.uint64, np.int64, np.int64) for s in group["sent"]]
+        rows = []
+        for s in group["sent"]:
+            names, *counts = unpacked(s, np.uint64, *COUNTS, *COUNTS)
+            rows.append((names, large(*counts[:2]), large(*counts[2:])))
         keys, index = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
         counts = summed(index, np.concatenate([r[1] for r in rows]), len(keys))
         counts_all = summed(index, np.concatenate([r[2] for r in rows]), len(keys))
@@ -370,7 +401,7 @@ def word_totals(requests: DataFrame, hot_above: int) -> DataFrame:
         numbers = histogram(counts, np.zeros(len(keys), np.int64), 1)[0]
         stats["spread"] = [("", numbers.tolist(), 0.0)]
         edges = np.cumsum([len(r[0]) for r in rows])[:-1]
-        answers = [packed(counts[i], counts_all[i]) for i in np.split(index, edges)]
+        answers = [packed(*small(counts[i]), *small(counts_all[i])) for i in np.split(index, edges)]
         return answer_frame(group, answers, stats)
 
     return requests.groupBy("part").applyInPandas(work, ANSWERED)
@@ -397,8 +428,8 @@ def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool) -
             return answer_frame(group, [b""] * len(group), stats).iloc[-1:]
         rows = []
         for s in group["sent"]:
-            contexts, runs, words, local, local_all, lower = unpacked(s, np.uint64, np.int64, np.uint8, np.int64, np.int64, np.float64)
-            rows.append((np.repeat(contexts, runs), long(words), local, local_all, lower))
+            contexts, *runs, words, a, b, c, d, x, y, z = unpacked(s, np.uint64, *COUNTS, np.uint8, *COUNTS, *COUNTS, *LISTED)
+            rows.append((np.repeat(contexts, large(*runs)), long(words), large(a, b), large(c, d), unlisted(x, y, z)))
         context, word, local, local_all, lower = (np.concatenate([r[i] for r in rows]) for i in range(5))
         asked = [len(r[1]) for r in rows]
         del rows
@@ -423,7 +454,7 @@ def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool) -
         for i in np.split(index, edges):
             new = context_of[i[counts[i] == 0]]
             all_ = np.empty(0, np.int64) if last else counts_all[i]
-            answers.append(packed(counts[i], all_, numbers[new].ravel(), mass[new]))
+            answers.append(packed(*small(counts[i]), *small(all_), numbers[new].ravel(), mass[new]))
         return answer_frame(group, answers, stats)
 
     return requests.groupBy("part").applyInPandas(work, ANSWERED)
@@ -466,7 +497,8 @@ def restored(batch: pa.RecordBatch, row: int, known: list[tuple[Order, dict]], p
     counts, counts_all = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
     for part, data in answers_of(batch.column(first)[row]).items():
         asked = np.flatnonzero(owner == part)
-        counts[asked], counts_all[asked] = unpacked(data, np.int64, np.int64)
+        found = unpacked(data, *COUNTS, *COUNTS)
+        counts[asked], counts_all[asked] = large(*found[:2]), large(*found[2:])
     block.first_order(order, counts, counts_all)
     end = int(counts[block.names == END][0])
     block.known = counts
@@ -497,7 +529,8 @@ def gram_requests(blocks: DataFrame, steps: list[Step], hot: dict, parts: int, h
             all_ = np.empty(0, np.int64) if last else block.local_all[i]
             seen = i[block.local[i] > 0]
             return packed(
-                contexts[i][starts], runs, short(block.names[block.word[i]]), block.local[i], all_, block.lower[seen]
+                contexts[i][starts], *small(runs), short(block.names[block.word[i]]), *small(block.local[i]), *small(all_),
+                *listed(block.lower[seen]),
             )
 
         own = owner < 0
