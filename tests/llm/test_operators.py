@@ -395,6 +395,49 @@ def test_main_text_keeps_main_beside_cards_and_articles_with_comment_words(spark
     assert [r["text"] for r in sorted(got)] == want
 
 
+def test_main_text_of_odd_markup(spark):
+    pages = {
+        'See <a title="the hidden valley">this valley</a> now': "See this valley now",
+        '<section aria-label="Our hidden history"><p>Kept</p></section><p hidden>gone</p><p aria-hidden="true">gone</p><p style="color:red; DISPLAY : none">gone</p>': "Kept",
+        '<article><section id="social-history"><p>One</p></section><div class="long-form"><p>Two</p></div><h2 id="navigation">Three</h2></article>': "One\nTwo\nThree",
+        '<p class="promo">Buy<p>Real text one<p>Real text two': "Real text one\nReal text two",
+        '<ul><li class="share">Tweet<li>First<li>Second</ul>': "First\nSecond",
+        'a <span class="ad">Buy <span>now</span> cheap</span> b': "a\nb",
+        '<table><tr><td class="ad">x<td>y<tr><td>z</table>': "y\nz",
+        '<dl><dt class="promo">t<dd>d<dt>u</dl>': "d\nu",
+        '<div class="ad"><b>one<div>two</div></b> three</div>four': "four",
+        '<article><p>One <b>two <i>three</b> four</i> five</p><div class="share-buttons">x</div></article>': "One two three four five",
+        '<ul class="menu"><li><ul><li>a</ul><li>b</ul><p>Text</p>': "Text",
+        "<p>one<div>two</p>three</div>four": "one\ntwo\nthree\nfour",
+        "<div class=ad>x</div><div class='site-header'>y</div><p>z": "z",
+    }
+    rows = [(i, f"http://h{i}.example/", page) for i, page in enumerate(pages)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in sorted(got)] == list(pages.values())
+
+
+def test_main_text_of_long_pages_takes_linear_time(spark):
+    import time
+
+    n = 60_000
+    pages = ["<b>" * n + "<h1>x</h1>" * n, "<p class=ad>x" * n + "<p>end", "<li>x" * n, "<div>" * n + "x" + "</i>" * n, "<span class=ad>" * n + "</span>" * n + "end",
+             "<a href='" * n, "&amp;" * n, "<p>" + "word " * n]
+    start = time.time()
+    for page in pages:
+        html.blocks_of(page)
+    assert time.time() - start < 30
+    rows = [(i, None, page) for i, page in enumerate(pages)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages)
+
+
+def test_the_same_page_has_the_same_text_on_a_host_of_any_size(spark):
+    page = "<article>Text {0}</article><div>Own line here {0}</div>"
+    rows = [(i, f"http://{'one' if i == 0 else 'more'}.example/{i}", page.format(i)) for i in range(4)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in sorted(got)] == [f"Text {i}\nOwn line here {i}" for i in range(4)]
+
+
 def test_main_text_counts_copies_once_and_drops_boilerplate_of_any_share(spark):
     rng = random.Random(4)
     notice, other = (" ".join(f"{k}{i}" for i in range(100)) for k in "nm")
@@ -424,7 +467,7 @@ def test_main_text_decides_beside_articles_on_two_pages_and_on_short_blocks(spar
     assert [found[i] for i in range(3)] == [f"Text {i}\nOwn line {i}" for i in range(3)]
     assert [found[10 + i] for i in range(2)] == [f"Own line {i}" for i in range(2)]
     assert [found[20 + i] for i in range(3)] == [f"Own line {i}" for i in range(3)]
-    assert (found[30], found[31]) == ("Text", notice)
+    assert (found[30], found[31]) == (f"{notice}\nText", notice)  # one rule: what does not repeat stays
 
 
 def test_suffix_array_in_ranges_agrees_with_counting(spark):
