@@ -395,6 +395,7 @@ select order_uid, line_seq, {LINE_ORDER}, created_at from (
     from lineitem join orders on l_orderkey = o_orderkey)
 where copy = 1 or o_orderdate < timestamp '1995-01-01 00:00:00'
     or o_orderdate >= timestamp '1995-07-01 00:00:00'"""
+ORACLES["lines_deduped_by_list"] = ORACLES["lines_deduped_window"]
 ORACLES["order_lines_of_ids"] = f"""
 select l_orderkey as order_uid, {LINE_ORDER} from lineitem
 where l_orderkey in (select o_orderkey from orders union all select -1 - o_orderkey from orders)"""

@@ -129,6 +129,15 @@ def email_fallback(spark, folder):
 
 @query
 def lines_deduped_window(spark, folder):
+    dates = given.legacy_orders(spark, folder).select("order_uid", "created_at")
+    affected = dates.where(orders.in_duplicate_months(F.col("created_at"), 1995, (1, 6)))
+    lines = given.numbered_lines(spark, folder, "l_linenumber")
+    return orders.drop_repeated_lines(lines, affected, "l_linenumber").drop("again").join(dates, "order_uid")
+
+
+@query
+def lines_deduped_by_list(spark, folder):
+    """The same for lines that were not marked at ingest."""
     dates = given.legacy_orders(spark, folder).select("order_uid", "created_at")
     affected = dates.where(orders.in_duplicate_months(F.col("created_at"), 1995, (1, 6)))
     lines = given.numbered_lines(spark, folder)

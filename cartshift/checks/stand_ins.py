@@ -213,9 +213,9 @@ LINE_ORDER = [
 ]
 
 
-def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, folder: str, line_no: str | None = None) -> DataFrame:
     """Line items in file order; the table has no line key, so all columns order it."""
-    return with_line_seq(_line_items(spark, folder), LINE_ORDER)
+    return with_line_seq(_line_items(spark, folder), LINE_ORDER, line_no)
 
 
 def parsed(lines: DataFrame, *more: str) -> DataFrame:

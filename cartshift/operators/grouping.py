@@ -253,28 +253,54 @@ def _sampled(rows: DataFrame, cut: _Cut, share: float) -> list[tuple[tuple, int]
     return found
 
 
+def flag_later(rows: DataFrame, *keys: str, order: str, name: str) -> DataFrame:
+    """True where an earlier row by ``order`` has the same ``keys``; NULL is a value like any other.
+
+    By an aggregate that comes back in a join that AQE can split, for groups of any size.
+    """
+    first = (
+        rows.groupBy(*[F.col(k).alias(f"of_{k}") for k in keys])
+        .agg(F.count("*").alias("n"), F.min(order).alias("first"))
+        .where("n > 1")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    later = F.coalesce(F.col(order) > F.col("first"), F.lit(False))
+    return rows.join(join_side(first), same, "left").select(*rows.columns, later.alias(name))
+
+
 def number_within(
     rows: DataFrame,
     *keys: str,
     order_by: list[str],
     name: str,
     hot_rows: int = HOT_GROUP_ROWS,
+    again: str | None = None,
 ) -> DataFrame:
     """Exact 1-based position of every row within its key.
 
     Groups up to ``hot_rows`` go through a window. Larger ones, if there are any, are
     numbered from the global index, so they are sorted by many tasks. A key is hot only
     with that many rows, so a trillion rows have at most a million hot keys.
+
+    ``again`` names a column; the rows then also get ``again``, which is true where an earlier row of the key has the
+    same value there. That takes no further shuffle, but for hot keys.
     """
     rest = [c for c in rows.columns if c not in (*keys, *order_by)]  # ties, as in the global index
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by, *rest))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > hot_rows).select(*[F.col(k).alias(f"hot_{k}") for k in keys])
+
+    def in_windows(some: DataFrame) -> DataFrame:
+        placed = some.withColumn(name, position.cast("bigint"))
+        if again is None:
+            return placed
+        copy = F.row_number().over(Window.partitionBy(*keys, again).orderBy(name))
+        return placed.withColumn("again", copy > 1)
+
     if hot.isEmpty():
-        return rows.withColumn(name, position.cast("bigint"))
+        return in_windows(rows)
     hot = F.broadcast(hot)
     same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
-    cold = rows.join(hot, same, "left_anti").withColumn(name, position.cast("bigint"))
     indexed = with_global_index(
         rows.join(hot, same, "left_semi"), [*keys, *order_by], name="place_in_all"
     )
@@ -284,4 +310,6 @@ def number_within(
     numbered = indexed.join(join_side(firsts), same).select(
         *rows.columns, (F.col("place_in_all") - F.col("first_place") + 1).alias(name)
     )
-    return cold.unionByName(numbered)
+    if again is not None:
+        numbered = flag_later(numbered, *keys, again, order=name, name="again")
+    return in_windows(rows.join(hot, same, "left_anti")).unionByName(numbered)

@@ -28,7 +28,7 @@ from cartshift.functions.coercion import (
     round_half_up,
     whole_number,
 )
-from cartshift.operators.grouping import key_list, number_within
+from cartshift.operators.grouping import attach, key_list, number_within
 
 # A block is 2**13 lines: what one task may hold of one order.
 BLOCK_BITS = 13
@@ -56,9 +56,12 @@ class OrderSettings:
 # --- lines ---------------------------------------------------------------------
 
 
-def with_line_seq(lines: DataFrame, file_order: list[str]) -> DataFrame:
-    """Number the lines of each order once, at ingest."""
-    return number_within(lines, "order_uid", order_by=file_order, name="line_seq")
+def with_line_seq(
+    lines: DataFrame, file_order: list[str], line_no: str | None = None
+) -> DataFrame:
+    """Number the lines of each order once, at ingest; with ``line_no`` they also learn whether that number stood on
+    an earlier line of the order (``again``), which spares :func:`drop_repeated_lines` its search."""
+    return number_within(lines, "order_uid", order_by=file_order, name="line_seq", again=line_no)
 
 
 def parse_amounts(lines: DataFrame) -> DataFrame:
@@ -121,9 +124,12 @@ def drop_repeated_lines(
 
     Those are by default the orders whose first line was created in the months that
     were exported twice; other orders pass whole. A missing line number is a value of
-    its own. What is joined to the lines is only the list of line numbers that really
-    occur twice in such orders. ``stored`` says that ``affected`` comes from stored rows.
+    its own. Lines that were marked at ingest (``again``) only need to know whether their order is affected, which
+    comes to them where they are. For others the list of line numbers that really occur twice in such orders is
+    made and joined to them. ``stored`` says that ``affected`` comes from stored rows.
     """
+    if "again" in lines.columns:
+        return drop_marked_lines(lines, affected)
     if affected is None:
         affected = first_lines(lines).where(in_duplicate_months(F.col("created_at")))
     affected = key_list(affected.select("order_uid"), stored)
@@ -141,6 +147,15 @@ def drop_repeated_lines(
     return lines.join(key_list(twice), same_line, "left_anti")
 
 
+def drop_marked_lines(lines: DataFrame, affected: DataFrame | None) -> DataFrame:
+    """:func:`drop_repeated_lines` for lines that are marked."""
+    if affected is None:
+        affected = first_lines(lines).where(in_duplicate_months(F.col("created_at")))
+    uids = affected.select("order_uid").distinct().withColumn("affected", F.lit(True))
+    gone = F.col("again") & F.coalesce("affected", F.lit(False))
+    return attach(lines, uids, "order_uid").where(~gone).drop("affected")
+
+
 # --- orders --------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartshift.operators.grouping import join_side
+from cartshift.operators.grouping import flag_later
 from cartshift.operators.orders import (
     BLOCK_BITS,
     content_sums,
@@ -45,19 +45,6 @@ class OrderStore:
         return spark.table(self.blocks)
 
 
-def mark_again(lines: DataFrame, line_no: str = "line_order_no") -> DataFrame:
-    """``again``: the line's number, which may be missing, stands on an earlier line of the order."""
-    first = (
-        lines.groupBy("order_uid", line_no)
-        .agg(F.count("*").alias("n"), F.min("line_seq").alias("first_seq"))
-        .where("n > 1")
-        .select(F.col("order_uid").alias("uid"), F.col(line_no).alias("number"), "first_seq")
-    )
-    same = (F.col("order_uid") == F.col("uid")) & F.col(line_no).eqNullSafe(F.col("number"))
-    again = F.coalesce(F.col("line_seq") > F.col("first_seq"), F.lit(False))
-    return lines.join(join_side(first), same, "left").select(*lines.columns, again.alias("again"))
-
-
 def store_orders(
     lines: DataFrame,
     folder: str,
@@ -74,7 +61,9 @@ def store_orders(
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     mark = uuid.uuid4().hex
     store = OrderStore(f"order_lines_{mark}", f"order_blocks_{mark}", buckets, block_bits)
-    rows = mark_again(lines if parsed else parse_amounts(lines))
+    rows = lines if parsed else parse_amounts(lines)
+    if "again" not in rows.columns:
+        rows = flag_later(rows, "order_uid", "line_order_no", order="line_seq", name="again")
     rows = rows.withColumn("block", line_block(F.col("line_seq"), block_bits))
     _write(rows, store.lines, f"{folder}/{store.lines}", buckets, [*KEYS, "line_seq"])
     stored = store.read_lines(spark)

@@ -27,7 +27,7 @@ HOT_KEYS = {
 
 QUERIES = """
 order_items_long order_items_long_line_total order_balance_unit create_order_json line_numbers
-lines_deduped_window fraction_amount_first orders_purged dup_key_keep_min variant_flag
+lines_deduped_window lines_deduped_by_list fraction_amount_first orders_purged dup_key_keep_min variant_flag
 variant_projection recon_full points_plan search_resolution rows_per_customer ledger_latest
 pending_after_ledger platform_ids_written_back
 """.split()
@@ -173,3 +173,23 @@ def test_repeated_lines_of_one_order_with_and_without_a_broadcast(large_scale, m
         left = orders.drop_repeated_lines(lines)
         assert left.where("order_uid = 'hot'").agg(F.max("line_seq")).first()[0] == 10
         assert left.count() == 2010
+
+
+def test_lines_marked_at_ingest_lose_the_same_lines(spark, rows, collect):
+    lines = rows(
+        "order_uid string, at int, line_order_no string, created_at string",
+        *[(u, i, None if i % 4 == 0 else str(i % 3), f"2023/{m}/01 00:00:00") for u, m in (("a", "02"), ("b", "09"), ("c", "02")) for i in range(30)],
+    )
+    for hot in (1_000_000, 10):
+        marked = grouping.number_within(lines, "order_uid", order_by=["at"], name="line_seq", hot_rows=hot, again="line_order_no")
+        plain = marked.drop("again")
+        want = collect(orders.drop_repeated_lines(plain), "order_uid", "line_seq", "line_order_no")
+        assert collect(orders.drop_repeated_lines(marked).drop("again"), "order_uid", "line_seq", "line_order_no") == want
+        assert len(want) == 30 + 2 * 4
+
+
+def test_marking_takes_no_further_shuffle(spark, rows):
+    lines = rows("order_uid string, at int, line_order_no string", ("a", 1, "x"), ("a", 2, "x"))
+    marked = grouping.number_within(lines, "order_uid", order_by=["at"], name="line_seq", again="line_order_no")
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window") >= 2
