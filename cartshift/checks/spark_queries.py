@@ -108,7 +108,7 @@ def create_order_json(spark, folder):
     heads = cleaning.order_city(given.legacy_orders(spark, folder))
     folded = orders.book_amounts(given.orders_of(heads, lines))
     documents = orders.order_documents(lines, folded, SETTINGS)
-    return outbox.whole_bodies(outbox.create_order_requests(documents, "first"))
+    return outbox.whole_order_requests(documents, "first")
 
 
 @query

@@ -381,7 +381,7 @@ DOCUMENT_FACTS = ("balance", "shipping_amount", "shipping_fee", "deducted", "las
 def order_documents(
     lines: DataFrame, orders: DataFrame, settings: OrderSettings
 ) -> DataFrame:
-    """Order documents as text: ``order_uid, piece, body_text, facts``.
+    """Order documents as text: ``order_uid, piece, pieces, body_text, facts``.
 
     The texts of an order's pieces, joined in order, are one JSON document: everything before the items
     stands in the first piece, everything after them in the last, and each piece has the items of one block of
@@ -421,6 +421,7 @@ def order_documents(
     return joined.select(
         "order_uid",
         (F.col("block") + 1).alias("piece"),
+        (line_block(F.col("last_seq"), bits) + 1).alias("pieces"),
         F.concat(
             F.when(is_first, before).otherwise(","),
             F.substr(items, F.lit(2), F.length(items) - 2),

@@ -63,6 +63,14 @@ def create_order_requests(documents: DataFrame, phase: str | None = None) -> Dat
     )
 
 
+def whole_order_requests(documents: DataFrame, phase: str | None = None) -> DataFrame:
+    """:func:`create_order_requests` with one row and one text per order. Only bodies that stand in several pieces are
+    gathered; all others are whole where they were made, and are not shuffled again."""
+    single = create_order_requests(documents.where("pieces = 1"), phase)
+    several = create_order_requests(documents.where("pieces > 1"), phase)
+    return single.unionByName(whole_bodies(several))
+
+
 def whole_bodies(pieces: DataFrame) -> DataFrame:
     """Requests with their bodies in one text each, as the sender needs them; ``seq`` is 1."""
     rest = [c for c in OUTBOX_COLUMNS if c not in ("seq", "body_json")]

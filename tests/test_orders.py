@@ -229,6 +229,9 @@ def test_a_giant_order_is_one_request_at_any_block_size(order_lines):
 
     whole = {r.entity_id: (r.request_id, r.body_json) for r in requests(13).collect()}
     pieces = requests(2)
+    settings = OrderSettings("delivery", "payment", block_bits=2)
+    at_once = outbox.whole_order_requests(orders.order_documents(parsed, folded, settings)).collect()
+    assert {r.entity_id: (r.request_id, r.body_json) for r in at_once} == whole and {r.seq for r in at_once} == {1}
     assert pieces.where("entity_id = 'U1'").count() == 3
     joined = {r.entity_id: (r.request_id, r.body_json) for r in outbox.whole_bodies(pieces).collect()}
     assert joined == whole and len(whole) == 2
