@@ -53,7 +53,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     given = docs.drop("n_lines", "n_dropped", "kept_text")
     placed = placed_lines(given)
     gone = (
-        placed.join(frequent_lines(placed, min_docs), "_hash", "left_semi")
+        placed.join(stored(frequent_lines(placed, min_docs)), "_hash", "left_semi")  # both sides shuffled: AQE can split
         .select("_doc", "_text", "_pos")
         .distinct()
         .groupBy("_doc", "_text")
