@@ -351,6 +351,55 @@ def test_rollup_applies_each_batch_once(spark, rows, tmp_path):
     assert store.apply("3", first.where("false")) and totals() == {("b", "en", "v1", 1, 12), (None, None, "v1", 1, 2)}
 
 
+CHANGES = "op string, doc_id long, source string, lang string, version string, tokens long, seq long, sign int, old_version string"
+
+
+def change(op, doc, version, tokens, seq=0):
+    return (op, doc, "a", "en", version, tokens, seq, 9, "clash")
+
+
+def test_rollup_deletes_what_the_same_batch_put_in(spark, rows, tmp_path):
+    store = rollups.TokenRollup(spark, str(tmp_path / "store"))
+    store.apply("1", rows(CHANGES, change("insert", 1, "v1", 10), change("delete", 1, None, None, 1), change("insert", 2, "v1", 4, 0),
+                          change("delete", 2, None, None, 1), change("insert", 2, "v2", 6, 2), change("delete", 3, "v1", None)))
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v2", 1, 6)]
+
+
+def test_rollup_of_two_batches_at_once_is_right_or_refused(spark, rows, tmp_path, monkeypatch):
+    store = rollups.TokenRollup(spark, str(tmp_path / "store"))
+    store.apply("0", rows(CHANGES, change("insert", 1, "v1", 10)))
+    seen = store.state()
+    other = rollups.TokenRollup(spark, store.path)
+    store.apply("1", rows(CHANGES, change("revise", 1, "v1", 12)))
+    monkeypatch.setattr(other, "state", lambda: seen)  # it has read before the other one was committed
+    with pytest.raises(rollups.Overtaken):
+        other.apply("2", rows(CHANGES, change("revise", 1, "v1", 15)))
+    assert [r["n_tokens"] for r in store.totals().collect()] == [12]
+    monkeypatch.undo()
+    assert other.apply("2", rows(CHANGES, change("revise", 1, "v1", 15))) and not store.apply("2", rows(CHANGES, change("insert", 9, "v1", 1)))
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v1", 1, 15)]
+
+
+def test_rollup_reads_a_snapshot_and_what_came_after(spark, rows, tmp_path, monkeypatch):
+    store = rollups.TokenRollup(spark, str(tmp_path / "store"))
+    totals = lambda: sorted(map(tuple, store.totals().collect()))
+    for batch in range(4):
+        store.apply(str(batch), rows(CHANGES, *[change("insert", i, f"v{batch % 2}", 10 * batch + i) for i in range(5)]))
+    before, kind = totals(), rows(CHANGES).schema["doc_id"].dataType
+    seen = store.state()
+    store.compact(kind)
+    assert totals() == before and len(store.state()[1]) == 1
+    store.apply("more", rows(CHANGES, change("delete", 1, None, None)))
+    assert len(store.state()[1]) == 2 and not store.apply("2", rows(CHANGES, change("insert", 7, "v1", 1)))
+    want = [(s, lang, v, n - 1, tokens - {"v0": 21, "v1": 31}[v]) for s, lang, v, n, tokens in before]
+    assert totals() == want
+    monkeypatch.setattr(store, "state", lambda: seen)
+    with pytest.raises(rollups.Overtaken):
+        store.compact(kind)
+    monkeypatch.undo()
+    assert totals() == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header>Site</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="cookie-banner">We use cookies</div><div class="with-sidebar">
 <article><h1>Head &lt;1&gt;</h1><p><b>One &amp; two.<br><p>Three&nbsp;four
