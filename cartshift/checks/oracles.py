@@ -169,11 +169,10 @@ TABLES = {
             when coalesce(legacy_points, 0) = b.balance then 'no_diff' else 'change' end as outcome
     from recon r left join balances b on r.customer_id = b.customer_id""",
     "answers": """
-    select 'P' || cast(user_id as varchar) as customer_id, event_type,
+    select 'P' || cast(user_id as varchar) as customer_id, event_id, event_type,
         case event_type when 'error' then 422 when 'click' then 500 else 200 end as http_status,
         cast(cast(floor(value) as bigint) % 10 as int) as point_balance
-    from (select *, row_number() over (partition by user_id order by event_id) as rn from events)
-    where rn = 1""",
+    from events""",
     # --- orders
     "heads": f"""
     select o_orderkey as order_uid, o_orderstatus as platform,
@@ -433,6 +432,10 @@ from (select *, price || case l_partkey % 5 when 0 then '99999' when 1 then 'x'
 UID = "platform || transaction_no"
 ORACLES["order_uid_range"] = with_tables("heads") + f"""
 select {UID} as order_uid, transaction_no from heads where {UID} >= 'F100' and {UID} < 'F200'"""
+ORACLES["order_uid_range_collated"] = """
+select * from (select case when o_orderkey % 41 <> 0 then case when o_orderkey % 3 = 0 then lower(o_orderstatus)
+        else o_orderstatus end || o_orderkey end as order_uid, o_orderkey from orders)
+where lower(order_uid) >= 'f100' and lower(order_uid) < 'f9'"""
 ORACLES["order_uids_distinct"] = """
 select distinct l_returnflag || cast(l_orderkey as varchar) as order_uid from lineitem"""
 ORACLES["orders_purged"] = """
@@ -562,7 +565,7 @@ ORACLES["points_outbox"] = _and(
 ORACLES["points_below_id"] = with_tables("plan") + """
 select customer_id, point_diff, outcome from plan where customer_id < 'P5'"""
 ORACLES["points_verdict"] = with_tables("recon", "answers") + """
-select r.customer_id, http_status, point_balance, legacy_points,
+select r.customer_id, event_id, http_status, point_balance, legacy_points,
     case when http_status <> 200 then 'fail' when point_balance = legacy_points then 'success'
         else 'wrong' end as status
 from recon r join answers a on r.customer_id = a.customer_id"""
@@ -595,7 +598,7 @@ ORACLES["tag_outbox"] = _and(
     ),
 ) + OUTBOX_SELECT
 ORACLES["tag_verdict"] = with_tables("answers") + """
-select customer_id, case when event_type in ('error', 'click') then 'fail' else 'success' end
+select customer_id, event_id, case when event_type in ('error', 'click') then 'fail' else 'success' end
     as status from answers"""
 ORACLES["search_resolution"] = """
 select o_orderkey as order_uid, count(l_partkey) as n_hits,

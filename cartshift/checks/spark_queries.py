@@ -243,6 +243,17 @@ def order_uid_range(spark, folder):
     return paging.id_range(uids, "order_uid", "F100", "F200")
 
 
+@query
+def order_uid_range_collated(spark, folder):
+    """An id range without regard to case, from a table that is stored in slices of that order."""
+    k = F.col("o_orderkey")
+    key = F.concat(given.by_case(k % 3, {0: F.lower("o_orderstatus")}, F.col("o_orderstatus")), given.text(k))
+    uids = given.table(spark, folder, "orders").select(F.when(k % 41 != 0, key).alias("order_uid"), "o_orderkey")
+    path = f"{shared_folder(spark)}/uids-{uuid.uuid4().hex}"
+    writers.write_collated(uids, path, "order_uid", "UTF8_LCASE", 16)
+    return readers.read_collated_range(spark, path, "F100", "f9")
+
+
 @query
 def order_uids_distinct(spark, folder):
     lines = given.table(spark, folder, "lineitem").select(
@@ -557,7 +568,7 @@ def points_verdict(spark, folder):
     answers = given.customer_answers(spark, folder).drop("tags")
     answered = _recon(spark, folder).join(answers, "customer_id")
     return reconcile.points_verdict(answered).select(
-        "customer_id", "http_status", "point_balance", "legacy_points", "status"
+        "customer_id", "event_id", "http_status", "point_balance", "legacy_points", "status"
     )
 
 
@@ -596,7 +607,7 @@ def tag_outbox(spark, folder):
 @query
 def tag_verdict(spark, folder):
     judged = reconcile.tag_verdict(given.customer_answers(spark, folder))
-    return judged.select("customer_id", "status")
+    return judged.select("customer_id", "event_id", "status")
 
 
 @query

@@ -112,14 +112,13 @@ def balance_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customer_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """One answer per platform customer: the first event of each user."""
-    first = F.min_by(F.struct("event_type", "value"), "event_id").alias("e")
-    users = table(spark, folder, "events").groupBy("user_id").agg(first)
-    kind = F.col("e.event_type")
-    return users.select(
+    """Every event as an answer of a platform customer."""
+    kind = F.col("event_type")
+    return table(spark, folder, "events").select(
         F.concat(F.lit("P"), text(F.col("user_id"))).alias("customer_id"),
+        "event_id",
         F.when(kind == "error", 422).when(kind == "click", 500).otherwise(200).alias("http_status"),
-        (F.floor("e.value") % 10).cast("int").alias("point_balance"),
+        (F.floor("value") % 10).cast("int").alias("point_balance"),
         F.when(kind == "error", F.array().cast("array<string>"))
         .when(kind != "click", F.array(kind))
         .alias("tags"),

@@ -186,6 +186,13 @@ def sample_bounds(
     return bounds[: slices - 1]
 
 
+def slice_number(rows: DataFrame, column: str, bounds: list[str], collation: str | None = None) -> Column:
+    """How many of the sorted ``bounds`` lie below ``column``; texts that a collation takes for equal are in one slice."""
+    cut = _Cut(rows, [column], collation, [])
+    cut.bounds = [((b,), 1) for b in bounds]
+    return cut.slice()
+
+
 class _Cut:
     """Slices by literal bounds on the first columns of an order."""
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
 from cartshift.functions.coercion import has_text
-from cartshift.operators.grouping import key_list, sample_bounds
+from cartshift.operators.grouping import key_list, sample_bounds, slice_number
 from cartshift.operators.ledger import LEDGER_SCHEMA
+from cartshift.operators.paging import id_range
 from cartshift.sources.schemas import text_schema
 
 
@@ -85,6 +86,29 @@ def read_jdbc_by_text(
     return spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
 
 
+# The slice of a stored row, and where a table keeps the bounds of its slices.
+SLICE, BOUNDS = "key_slice", "_bounds"
+
+
+def read_collated_range(
+    spark: SparkSession, path: str, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Rows of a table by ``writers.write_collated`` with ``start <= key < end`` in its collation.
+
+    Statistics know nothing of collations, so a collated comparison alone reads everything. The bounds tell the
+    slices that a range can lie in; that is a filter on a number, which is pushed down.
+    """
+    kept = spark.read.parquet(f"{path}/{BOUNDS}").first()
+    key, collation, bounds = kept["key"], kept["collation"], kept["bounds"]
+    rows = spark.read.parquet(f"{path}/rows")
+    for text, compare in ((start, "__ge__"), (end, "__le__")):
+        if text is not None:
+            one = spark.createDataFrame([(text,)], f"`{key}` string")
+            slice_no = one.select(slice_number(one, key, bounds, collation)).first()[0]
+            rows = rows.where(getattr(F.col(SLICE), compare)(F.lit(slice_no)))
+    return id_range(rows, key, start, end, collation).drop(SLICE)
+
+
 def known_phase(phase: str) -> str:
     if phase not in fixed.PHASES:
         raise ValueError(f"unknown phase {phase!r}, expected one of {fixed.PHASES}")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
+from cartshift.operators.grouping import sample_bounds, slice_number
 from cartshift.operators.paging import slice_of, with_headings, with_pages
-from cartshift.sources.readers import known_phase
+from cartshift.sources.readers import BOUNDS, SLICE, known_phase
 
 
 def append_phase(table: DataFrame, path: str, phase: str, sort_by: str | None = None) -> None:
@@ -34,6 +35,20 @@ def load_phase(table: DataFrame, path: str, phase: str, sort_by: str | None = No
     writer.partitionBy("phase").parquet(path)
 
 
+def write_collated(rows: DataFrame, path: str, key: str, collation: str, slices: int) -> None:
+    """Store rows in slices of the order that ``collation`` gives their ``key``, for ``readers.read_collated_range``.
+
+    The bounds come from a bounded sample; rows of one slice lie together, one slice or a few to a file. Rows
+    without a key are in the first slice.
+    """
+    bounds = [b[0] for b in sample_bounds(rows.where(F.col(key).isNotNull()), [key], slices, collation)]
+    spark = rows.sparkSession
+    kept = spark.createDataFrame([(key, collation, bounds)], "key string, collation string, bounds array<string>")
+    kept.coalesce(1).write.parquet(f"{path}/{BOUNDS}")
+    marked = rows.withColumn(SLICE, slice_number(rows, key, bounds, collation))
+    marked.repartitionByRange(SLICE).sortWithinPartitions(SLICE).write.parquet(f"{path}/rows")
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -241,3 +241,17 @@ def test_rejects_of_a_product_file_tell_where_they_stand(spark, tmp_path, collec
     assert found["B"]["record"].strip() == "B,tea,s,M" and found["C"]["record"] is None
     assert all(r["file_path"].endswith("p.csv") for r in found.values())
     assert found["B"]["file_row"] < found["C"]["file_row"] < found["E"]["file_row"]
+
+
+@pytest.mark.parametrize("collation", ["UTF8_LCASE", "UNICODE_CI", "UNICODE"])
+def test_a_collated_range_reads_its_slices_only(spark, rows, tmp_path, collation):
+    keys = [f"{a}{i:03}" for i in range(200) for a in ("k" if i % 2 else "K", "É" if i % 3 else "é")] + ["k050", "K050", "", "z", None]
+    df = rows("uid string, v int", *[(k, i) for i, k in enumerate(keys)])
+    path = str(tmp_path / "t")
+    writers.write_collated(df, path, "uid", collation, 8)
+    for start, end in ((None, None), ("K050", "k100"), ("k050", None), (None, "é"), ("zz", None), ("x", "y")):
+        got = readers.read_collated_range(spark, path, start, end)
+        want = paging.id_range(df, "uid", start, end, collation)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = readers.read_collated_range(spark, path, "K050", "k100")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key_slice" in plan and "LessThanOrEqual(key_slice" in plan
