@@ -8,9 +8,11 @@ the words that never followed h, so that every distribution sums to one exactly.
 its leftover to one unknown word.
 
 How it runs: texts become blocks of some million tokens, stored once, whose tokens are numbers of the
-block's own dictionary. For each order a block sends every distinct n-gram once, as digests, to the part
+block's own dictionary. For each order a block sends every distinct n-gram once to the part
 that owns the n-gram's context; the part adds up, stores its totals and sends back those that the block
-asked about. So the n-gram tables are stored by part, a very common word, pair or context is one row per
+asked about. Parts number what they own, common ones first, and these numbers name words and contexts from then on: an
+n-gram is a context's number and a word's, exact and of a few bytes. What a block sends depends on the block
+alone, so the messages grow with the corpus and no faster. So the n-gram tables are stored by part, a very common word, pair or context is one row per
 block before it is shuffled, and nothing but a few sums per part reaches the driver. Contexts with more
 than a thousandth of all tokens (a thousand at most, whatever the corpus) are spread over all parts, and
 their sums are put together from them.
@@ -41,11 +43,12 @@ HOT_SHARE = 1000  # a context is spread if it has more than one in so many token
 LOW = 5  # counts up to this are discounted by Good-Turing
 HELD_BACK = 1e-3  # of one count, taken from higher counts, so that no context leaves nothing over
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))  # no word holds a space
-START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
+START = 0  # number of the context before the first token; parts number from 1 on
 
 
-def mix(a, b):
-    """Digest of an n-gram from its context's and its last word's."""
+def mix(a: np.ndarray, b) -> np.ndarray:
+    """Spreads pairs of numbers evenly."""
+    a, b = a.astype(np.uint64), np.asarray(b, np.uint64)
     with np.errstate(over="ignore"):
         x = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(0x632BE59BD9B4E019)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -53,18 +56,19 @@ def mix(a, b):
         return x ^ (x >> np.uint64(31))
 
 
-WORD = np.uint64((1 << 48) - 1)  # bits of a word's digest that tell the words after one context apart
+def planes(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers by byte, the lowest bytes of all first, without the bytes that none needs."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    data = np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.ascontiguousarray(data.T).ravel()
 
 
-def short(digests: np.ndarray) -> np.ndarray:
-    """48-bit digests as six bytes each."""
-    return np.ascontiguousarray(digests).view(np.uint8).reshape(-1, 8)[:, :6].copy()
-
-
-def long(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = data.reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def joined(data: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        found = data.reshape(-1, n)
+        out[:, : len(found)] = found.T
+    return out.view(np.int64).ravel()
 
 
 def packed(*arrays) -> bytes:
@@ -199,8 +203,8 @@ class Order:
     total: int  # training n-grams
     distinct: int
     discounts: tuple[float, ...]  # for counts 0 .. LOW
-    hot: dict  # digest of a very common n-gram -> nothing; of the next order's contexts
-    spread: dict  # digest of a spread context -> (numbers of counts 1 .. LOW and above, lower mass)
+    hot: dict  # number of a very common n-gram -> nothing; of the next order's contexts
+    spread: dict  # number of a spread context -> (numbers of counts 1 .. LOW and above, lower mass)
 
 
 def good_turing(n: list[int]) -> tuple[float, ...]:
@@ -271,78 +275,68 @@ class Block:
         self.text_of = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.trained = ~self.held[self.text_of]
-        self.gram = self.codes  # number of the n-gram that ends at each token
-        self.digests = self.names
-        self.local = np.bincount(self.gram, weights=self.trained, minlength=len(self.names)).astype(np.int64)
-        self.local_all = np.bincount(self.gram, minlength=len(self.names)).astype(np.int64)
+        self.gram = self.codes  # which of the block's n-grams ends at each token
+        self.count_own(len(self.names))
 
-    def first_order(self, order: Order, counts: np.ndarray, counts_all: np.ndarray) -> None:
-        self.counts, self.counts_all = counts, counts_all
+    def count_own(self, n: int) -> None:
+        self.local = np.bincount(self.gram, weights=self.trained, minlength=n).astype(np.int64)
+        self.local_all = np.bincount(self.gram, minlength=n).astype(np.int64)
+
+    def first_order(self, order: Order, counts: np.ndarray, numbers: np.ndarray) -> None:
+        self.counts, self.numbers, self.word_numbers = counts, numbers, numbers
         if order.total:
             unknown = left_over(np.array(self.unigram_histogram(order)), order) / order.total
         else:
             unknown = 1.0
-        self.unknown = unknown
         self.p = np.where(counts > 0, kept_counts(counts, order) / max(order.total, 1), unknown)
 
     @staticmethod
     def unigram_histogram(order: Order) -> list[int]:
         return order.spread[""][0]
 
-    def next_order(self, starts: int, start_digest) -> None:
+    def next_order(self, starts: int) -> None:
         """The n-grams one longer: distinct pairs of a context (what ended one token earlier) and a word.
         ``starts``: how many training texts there are, the count of the context before the first token."""
-        n = len(self.digests)
+        n = len(self.numbers)
         pairs = np.empty(len(self.gram), np.int64)
         pairs[1:] = self.gram[:-1]
         pairs[self.first] = n  # before the first token
         pairs *= len(self.names)
         pairs += self.codes
         pairs, where, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-        self.context, self.word = ((f(pairs, len(self.names))).astype(np.int32) for f in (np.floor_divide, np.remainder))
-        self.context_digests = np.append(self.digests, start_digest)
+        self.context, word = ((f(pairs, len(self.names))).astype(np.int32) for f in (np.floor_divide, np.remainder))
+        self.contexts = np.append(self.numbers, START)[self.context]
+        self.words = self.word_numbers[word]
         self.context_counts = np.append(self.counts, starts)
-        self.complete = np.append(self.counts_all == self.local_all, False)[self.context]
         self.lower = self.p[self.gram[where]]
         self.gram = inverse.astype(np.int32)
-        self.digests = mix(self.context_digests[self.context], self.names[self.word] & WORD)
-        self.local = np.bincount(inverse, weights=self.trained, minlength=len(pairs)).astype(np.int64)
-        self.local_all = np.bincount(inverse, minlength=len(pairs)).astype(np.int64)
+        self.count_own(len(pairs))
 
     def owners(self, parts: int, hot: dict) -> np.ndarray:
-        """The part that owns each n-gram; -1 where all of the context's occurrences are in this block."""
-        contexts = self.context_digests[self.context]
-        spread = np.isin(contexts, np.array([int(k) for k in hot], np.uint64))
-        owner = np.where(spread, self.digests, contexts) % np.uint64(parts)
-        return np.where(self.complete, -1, owner.astype(np.int64))
+        """The part that owns each n-gram."""
+        spread = np.isin(self.contexts, np.array([int(k) for k in hot], np.int64))
+        return (mix(self.contexts, np.where(spread, self.words, 0)) % np.uint64(parts)).astype(np.int64)
 
     def settle(self, order: Order, owner: np.ndarray, answers: dict, hot: dict) -> None:
-        """Probabilities of this order, from the parts' answers and the block's own counts."""
-        self.counts, self.counts_all = self.local.copy(), self.local_all.copy()
+        """Probabilities of this order, from the parts' answers."""
+        self.counts, self.numbers = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
         left, mass = np.zeros(len(owner)), np.zeros(len(owner))  # of the contexts of unseen n-grams
         by_part = np.argsort(owner, kind="stable")
-        edges = np.searchsorted(owner[by_part], np.arange(-1, owner.max(initial=-1) + 2))
+        edges = np.searchsorted(owner[by_part], np.arange(owner.max(initial=0) + 2))
         for part, data in answers.items():
-            asked = by_part[edges[part + 1] : edges[part + 2]]
-            *found, unseen, lower = unpacked(data, *COUNTS, *COUNTS, np.int64, np.float64)
-            counts, counts_all = large(*found[:2]), large(*found[2:])
+            asked = by_part[edges[part] : edges[part + 1]]
+            low, rest, numbers, unseen, lower = unpacked(data, *COUNTS, np.uint8, np.int64, np.float64)
+            counts = large(low, rest)
             self.counts[asked] = counts
-            if len(counts_all):
-                self.counts_all[asked] = counts_all
+            if len(numbers):
+                self.numbers[asked] = joined(numbers, len(counts))
             new = asked[counts == 0]
             left[new] = left_over(unseen.reshape(-1, LOW + 1), order)
             mass[new] = lower
-        own = by_part[: edges[1]]
-        if len(own):
-            which, index = np.unique(self.context[own], return_inverse=True)
-            counts = self.counts[own]
-            left[own] = left_over(histogram(counts, index, len(which)), order)[index]
-            mass[own] = np.bincount(index, weights=np.where(counts > 0, self.lower[own], 0), minlength=len(which))[index]
         unseen = np.flatnonzero(self.counts == 0)
-        contexts = self.context_digests[self.context[unseen]]
         for key in hot:
             if key in order.spread:
-                here = unseen[contexts == np.uint64(int(key))]
+                here = unseen[self.contexts[unseen] == int(key)]
                 left[here], mass[here] = left_over(order.spread[key][0], order), order.spread[key][1]
         c = self.context_counts[self.context].astype(np.float64)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -378,15 +372,22 @@ def word_requests(blocks: DataFrame, parts: int) -> DataFrame:
 def sent_batch(number: int, owner: np.ndarray, payload) -> pa.RecordBatch:
     order = np.argsort(owner, kind="stable")
     which, at = np.unique(owner[order], return_index=True)
-    rows = [(number, int(p), payload(i)) for p, i in zip(which, np.split(order, at[1:])) if p >= 0]
+    rows = [(number, int(p), payload(i)) for p, i in zip(which, np.split(order, at[1:]))]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
         ["block", "part", "sent"],
     )
 
 
-def word_totals(requests: DataFrame, hot_above: int) -> DataFrame:
-    """Totals of the words of each part, sent back to the blocks that asked; block -1 holds the sums."""
+def numbered(counts: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Numbers of what a part owns, which no other part gives: small ones for what is common."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    return rank * parts + part + 1
+
+
+def word_totals(requests: DataFrame, hot_above: int, parts: int) -> DataFrame:
+    """Totals and numbers of the words of each part, sent back to the blocks that asked; block -1 holds the sums."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -396,12 +397,12 @@ def word_totals(requests: DataFrame, hot_above: int) -> DataFrame:
         keys, index = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
         counts = summed(index, np.concatenate([r[1] for r in rows]), len(keys))
         counts_all = summed(index, np.concatenate([r[2] for r in rows]), len(keys))
+        numbers = numbered(counts_all, int(group["part"].iloc[0]), parts)
         stats = count_stats(counts)
-        stats["hot"] = [str(k) for k in keys[counts_all > hot_above]]
-        numbers = histogram(counts, np.zeros(len(keys), np.int64), 1)[0]
-        stats["spread"] = [("", numbers.tolist(), 0.0)]
+        stats["hot"] = [str(k) for k in numbers[counts_all > hot_above]]
+        stats["spread"] = [("", histogram(counts, np.zeros(len(keys), np.int64), 1)[0].tolist(), 0.0)]
         edges = np.cumsum([len(r[0]) for r in rows])[:-1]
-        answers = [packed(*small(counts[i]), *small(counts_all[i])) for i in np.split(index, edges)]
+        answers = [packed(*small(counts[i]), planes(numbers[i])) for i in np.split(index, edges)]
         return answer_frame(group, answers, stats)
 
     return requests.groupBy("part").applyInPandas(work, ANSWERED)
@@ -417,44 +418,46 @@ def answer_frame(group: pd.DataFrame, answers: list[bytes], stats: dict) -> pd.D
     )
 
 
-def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool) -> DataFrame:
+def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool, parts: int) -> DataFrame:
     """As :func:`word_totals` for longer n-grams, with what unseen ones need to know of their context."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        if group["part"].iloc[0] < 0:  # what blocks have settled on their own
-            found = [json.loads(s) for s in group["sent"]]
-            stats = {k: sum(s[k] for s in found) for k in ("total", "distinct")}
-            stats |= {"few": np.sum([s["few"] for s in found], axis=0).tolist(), "hot": [h for s in found for h in s["hot"]], "spread": []}
-            return answer_frame(group, [b""] * len(group), stats).iloc[-1:]
         rows = []
         for s in group["sent"]:
-            contexts, *runs, words, a, b, c, d, x, y, z = unpacked(s, np.uint64, *COUNTS, np.uint8, *COUNTS, *COUNTS, *LISTED)
-            rows.append((np.repeat(contexts, large(*runs)), long(words), large(a, b), large(c, d), unlisted(x, y, z)))
+            a, b, contexts, c, d, words, e, f, x, y, z = unpacked(s, *COUNTS, np.uint8, *COUNTS, np.uint8, *COUNTS, *LISTED)
+            runs, local = large(a, b), large(c, d)
+            rows.append((np.repeat(joined(contexts, len(runs)), runs), joined(words, len(local)), local, large(e, f), unlisted(x, y, z)))
         context, word, local, local_all, lower = (np.concatenate([r[i] for r in rows]) for i in range(5))
         asked = [len(r[1]) for r in rows]
         del rows
-        keys, where, index = np.unique(mix(context, word), return_index=True, return_inverse=True)
-        counts = summed(index, local, len(keys))
-        counts_all = counts if last else summed(index, local_all, len(keys))
-        below = np.zeros(len(keys))
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        first = np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))
+        index = np.empty(len(order), np.int64)
+        index[order] = np.cumsum(first) - 1
+        context = context[first]
+        del order, word, first
+        counts = summed(index, local, len(context))
+        below = np.zeros(len(context))
         below[index[local > 0]] = lower  # equal in all blocks
-        del local, local_all, lower
-        contexts, context_of = np.unique(context[where], return_inverse=True)
-        numbers = histogram(counts, context_of, len(contexts))
+        contexts, context_of = np.unique(context, return_inverse=True)
+        unseen = histogram(counts, context_of, len(contexts))
         mass = np.bincount(context_of, weights=np.where(counts > 0, below, 0), minlength=len(contexts))
-        stats = count_stats(counts)
+        stats, numbers = count_stats(counts), np.zeros(0, np.int64)
         if not last:
-            stats["hot"] = [str(k) for k in keys[counts_all > hot_above]]
-        shared = np.isin(contexts, np.array([int(k) for k in spread], np.uint64))
+            counts_all = summed(index, local_all, len(context))
+            numbers = numbered(counts_all, int(group["part"].iloc[0]), parts)
+            stats["hot"] = [str(k) for k in numbers[counts_all > hot_above]]
+        del local, local_all, lower
+        shared = np.isin(contexts, np.array([int(k) for k in spread], np.int64))
         stats["spread"] = [
-            (str(k), n.tolist(), float(m)) for k, n, m in zip(contexts[shared], numbers[shared], mass[shared])
+            (str(k), n.tolist(), float(m)) for k, n, m in zip(contexts[shared], unseen[shared], mass[shared])
         ]
-        edges = np.cumsum(asked)[:-1]
         answers = []
-        for i in np.split(index, edges):
+        for i in np.split(index, np.cumsum(asked)[:-1]):
             new = context_of[i[counts[i] == 0]]
-            all_ = np.empty(0, np.int64) if last else counts_all[i]
-            answers.append(packed(*small(counts[i]), *small(all_), numbers[new].ravel(), mass[new]))
+            own = planes(numbers[i]) if not last else np.zeros(0, np.uint8)
+            answers.append(packed(*small(counts[i]), own, unseen[new].ravel(), mass[new]))
         return answer_frame(group, answers, stats)
 
     return requests.groupBy("part").applyInPandas(work, ANSWERED)
@@ -481,30 +484,21 @@ def with_answers(blocks: DataFrame, steps: list[Step]) -> DataFrame:
     return blocks
 
 
-def start_digests(n: int) -> list:
-    """Digests of the contexts before the first token, by length."""
-    out = [START]
-    for _ in range(n):
-        out.append(np.uint64(mix(out[-1], START)))
-    return out
-
-
 def restored(batch: pa.RecordBatch, row: int, known: list[tuple[Order, dict]], parts: int, first: int) -> tuple[Block, int]:
     """The block of ``row`` with the orders in ``known`` settled; ``first``: column of the first answers."""
     block = Block(batch.column("data")[row].as_py())
     order, _ = known[0]
     owner = (block.names % np.uint64(parts)).astype(np.int64)
-    counts, counts_all = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+    counts, numbers = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
     for part, data in answers_of(batch.column(first)[row]).items():
         asked = np.flatnonzero(owner == part)
-        found = unpacked(data, *COUNTS, *COUNTS)
-        counts[asked], counts_all[asked] = large(*found[:2]), large(*found[2:])
-    block.first_order(order, counts, counts_all)
+        low, rest, given = unpacked(data, *COUNTS, np.uint8)
+        counts[asked], numbers[asked] = large(low, rest), joined(given, len(asked))
+    block.first_order(order, counts, numbers)
     end = int(counts[block.names == END][0])
     block.known = counts
-    starts = start_digests(len(known))
     for k, (order, hot) in enumerate(known[1:], 1):
-        block.next_order(end, starts[k - 1])
+        block.next_order(end)
         block.settle(order, block.owners(parts, hot), answers_of(batch.column(first + k)[row]), hot)
     return block, end
 
@@ -513,40 +507,30 @@ def answers_of(scalar) -> dict:
     return {a["part"]: a["answer"] for a in scalar.as_py() or ()}
 
 
-def gram_requests(blocks: DataFrame, steps: list[Step], hot: dict, parts: int, hot_above: int, last: bool) -> DataFrame:
+def gram_requests(blocks: DataFrame, steps: list[Step], hot: dict, parts: int, last: bool) -> DataFrame:
     known = [(s.order, s.hot) for s in steps]
-    digest = start_digests(len(known))[len(known) - 1]
 
     def one(batch, row, number):
         block, end = restored(batch, row, known, parts, 2)
-        block.next_order(end, digest)
-        owner = block.owners(parts, hot)
-        contexts = block.context_digests[block.context]
+        block.next_order(end)
 
         def payload(i):  # sorted by context, as n-grams are numbered
-            starts = np.flatnonzero(np.append(True, contexts[i][1:] != contexts[i][:-1]))
+            contexts = block.contexts[i]
+            starts = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
             runs = np.diff(np.append(starts, len(i)))
-            all_ = np.empty(0, np.int64) if last else block.local_all[i]
+            all_ = np.zeros(0, np.int64) if last else block.local_all[i]
             seen = i[block.local[i] > 0]
             return packed(
-                contexts[i][starts], *small(runs), short(block.names[block.word[i]]), *small(block.local[i]), *small(all_),
+                *small(runs), planes(contexts[starts]), *small(block.local[i]), planes(block.words[i]), *small(all_),
                 *listed(block.lower[seen]),
             )
 
-        own = owner < 0
-        stats = count_stats(block.local[own])
-        if not last:
-            stats["hot"] = [str(k) for k in block.digests[own & (block.local_all > hot_above)]]
-        settled = pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([json.dumps(stats).encode()], pa.binary())],
-            ["block", "part", "sent"],
-        )
-        return sent_batch(number, owner, payload), settled
+        return sent_batch(number, block.owners(parts, hot), payload)
 
     def work(batches):  # a block's arrays are gone before the next one's are made
         for batch in batches:
             for row, number in enumerate(batch.column("block").to_pylist()):
-                yield from one(batch, row, number)
+                yield one(batch, row, number)
 
     return with_answers(blocks.select("block", "data"), steps).mapInArrow(work, SENT)
 
@@ -576,11 +560,11 @@ def score_texts(docs: DataFrame, held_out, order: int = 2, block_tokens: int = B
         answers = stored(answers)
         return Step(read_order(answers.where("block < 0").select("answer").toLocalIterator()), hot, answers)
 
-    steps = [step(word_totals(word_requests(blocks, parts), hot_above), {})]
+    steps = [step(word_totals(word_requests(blocks, parts), hot_above, parts), {})]
     for k in range(2, order + 1):
-        hot = dict(steps[-1].order.hot) | {str(start_digests(k)[k - 2]): None}
-        sent = gram_requests(blocks, steps, hot, parts, hot_above, k == order)
-        steps.append(step(gram_totals(sent, hot_above, hot, k == order), hot))
+        hot = dict(steps[-1].order.hot) | {str(START): None}
+        sent = gram_requests(blocks, steps, hot, parts, k == order)
+        steps.append(step(gram_totals(sent, hot_above, hot, k == order, parts), hot))
     known = [(s.order, s.hot) for s in steps]
     total, distinct = known[0][0].total, known[0][0].distinct
     base = total + 0.1 * (distinct + 1)
