@@ -269,8 +269,7 @@ def summed_orders(headers: DataFrame, folder: str) -> DataFrame:
 
 def orders_of(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Order headers with all sums of their numbered lines, whose place counts."""
-    subtotals = lines.groupBy("order_uid").agg(_subtotal())
-    return _with_subtotal(headers, line_sums(lines).join(subtotals, "order_uid"))
+    return _with_subtotal(headers, line_sums(lines, _subtotal()))
 
 
 # --- the raw order export --------------------------------------------------------

@@ -177,22 +177,29 @@ def line_sum_columns() -> list[Column]:
 CONTENT = tuple(f"content_{i}" for i in range(4))
 
 
+LINE_DIGEST = "line_digest"
+
+
+def with_digest(lines: DataFrame) -> DataFrame:
+    """The digest of each line, in a column so that it is worked out once."""
+    return lines.withColumn(LINE_DIGEST, F.md5(canonical(*map(F.col, ITEM_COLUMNS))))
+
+
 def content_sums() -> list[Column]:
-    """A digest of an order's lines that is made from partial aggregates.
+    """A digest of an order's lines that is made from partial aggregates, of lines :func:`with_digest`.
 
     Every line has a digest of 128 bits of its place and of all that the document shows of it; the four
     quarters are summed. So the sums tell which line stands where, and neither blocks nor the order in
     which they are added count. A sum of two billion lines fits a long.
     """
-    digest = F.md5(canonical(*map(F.col, ITEM_COLUMNS)))
-    quarters = [F.conv(F.substr(digest, F.lit(8 * i + 1), F.lit(8)), 16, 10) for i in range(4)]
+    quarters = [F.conv(F.substr(LINE_DIGEST, F.lit(8 * i + 1), F.lit(8)), 16, 10) for i in range(4)]
     return [F.sum(q.cast("bigint")).alias(name) for q, name in zip(quarters, CONTENT, strict=True)]
 
 
-def line_sums(lines: DataFrame) -> DataFrame:
-    """Per order: :func:`line_sum_columns`, :func:`content_sums` and the last line."""
+def line_sums(lines: DataFrame, *more: Column) -> DataFrame:
+    """Per order: :func:`line_sum_columns`, :func:`content_sums`, the last line and ``more``."""
     last = F.max("line_seq").alias("last_seq")
-    return lines.groupBy("order_uid").agg(*line_sum_columns(), *content_sums(), last)
+    return with_digest(lines).groupBy("order_uid").agg(*line_sum_columns(), *content_sums(), last, *more)
 
 
 def added_sums(parts: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from cartshift.operators.orders import (
     line_block,
     line_sum_columns,
     parse_amounts,
+    with_digest,
 )
 
 KEYS = ("order_uid", "block")
@@ -70,7 +71,7 @@ def store_orders(
     header = [c for c in stored.columns if c not in {"line_seq", "again", *KEYS}]
     first = F.max(F.when(F.col("line_seq") == 1, F.struct(*header))).alias("header")
     last = F.max("line_seq").alias("last_seq")
-    sums = stored.groupBy(*KEYS, "again").agg(*line_sum_columns(), *content_sums(), last, first)
+    sums = with_digest(stored).groupBy(*KEYS, "again").agg(*line_sum_columns(), *content_sums(), last, first)
     _write(sums, store.blocks, f"{folder}/{store.blocks}", buckets, [*KEYS, "again"])
     return store
 
