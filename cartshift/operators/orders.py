@@ -29,6 +29,7 @@ from cartshift.functions.coercion import (
     whole_number,
 )
 from cartshift.operators.grouping import attach, key_list, number_within
+from cartshift.session import checkpointed
 
 # A block is 2**13 lines: what one task may hold of one order.
 BLOCK_BITS = 13
@@ -114,6 +115,10 @@ def onto_lines(
     )
 
 
+# Up to so many repeated numbers of one order come to each of its lines in one row.
+NUMBERS_PER_ORDER = 64
+
+
 def drop_repeated_lines(
     lines: DataFrame,
     affected: DataFrame | None = None,
@@ -126,7 +131,8 @@ def drop_repeated_lines(
     were exported twice; other orders pass whole. A missing line number is a value of
     its own. Lines that were marked at ingest (``again``) only need to know whether their order is affected, which
     comes to them where they are. For others the list of line numbers that really occur twice in such orders is
-    made and joined to them. ``stored`` says that ``affected`` comes from stored rows.
+    made and joined to them, by the order alone unless an order has very many of them: lines that were numbered by order
+    are then not moved. ``stored`` says that ``affected`` comes from stored rows.
     """
     if "again" in lines.columns:
         return drop_marked_lines(lines, affected)
@@ -139,12 +145,22 @@ def drop_repeated_lines(
         .agg(F.count("*").alias("n"), F.min("line_seq").alias("first_seq"))
         .where("n > 1")
     )
+    twice = checkpointed(twice)
+    most = twice.groupBy("uid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= NUMBERS_PER_ORDER:
+        found = F.collect_list(F.struct("number", "first_seq")).alias("repeated")
+        per_order = key_list(twice.groupBy(F.col("uid").alias("order_uid")).agg(found), stored=True)
+        later = F.exists(
+            "repeated", lambda r: r["number"].eqNullSafe(F.col(line_no)) & (F.col("line_seq") > r["first_seq"])
+        )
+        kept = lines.join(per_order, "order_uid", "left").where(~F.coalesce(later, F.lit(False)))
+        return kept.select(*lines.columns)
     same_line = (
         (F.col("order_uid") == F.col("uid"))
         & F.col(line_no).eqNullSafe(F.col("number"))
         & (F.col("line_seq") > F.col("first_seq"))
     )
-    return lines.join(key_list(twice), same_line, "left_anti")
+    return lines.join(key_list(twice, stored=True), same_line, "left_anti")
 
 
 def drop_marked_lines(lines: DataFrame, affected: DataFrame | None) -> DataFrame:
@@ -192,8 +208,59 @@ def content_sums() -> list[Column]:
     quarters are summed. So the sums tell which line stands where, and neither blocks nor the order in
     which they are added count. A sum of two billion lines fits a long.
     """
-    quarters = [F.conv(F.substr(LINE_DIGEST, F.lit(8 * i + 1), F.lit(8)), 16, 10) for i in range(4)]
-    return [F.sum(q.cast("bigint")).alias(name) for q, name in zip(quarters, CONTENT, strict=True)]
+    return [F.sum(_number_in(F.col(LINE_DIGEST), i)).alias(name) for i, name in enumerate(CONTENT)]
+
+
+def _number_in(line: Column, i: int) -> Column:
+    return F.conv(F.substr(line, F.lit(8 * i + 1), F.lit(8)), 16, 10).cast("bigint")
+
+
+# An order's header and lines in one row: its first block of lines, and whether there are lines behind it.
+FIRST_BLOCK, HEADER = "first_block", "header"
+SUMS = ("unit_sum", "line_sum", "bad_lines", *CONTENT, "last_seq")
+
+
+def order_rows(lines: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """One row per order, out of one aggregate on the order: ``header`` (its first line, NULL without one), the sums
+    of :func:`line_sums` and the lines of its first block, without repeated lines in the ``affected`` orders.
+
+    Lines are marked (``again``). As no other fact about the order has to meet them first, lines that were numbered in
+    a window are not moved again. A row holds one block of lines at most, whatever the order's size.
+    """
+    fields = [c for c in lines.columns if c not in {"order_uid", "line_seq", "again", *ITEM_COLUMNS}]
+    price, units = F.col("unit_amount"), F.col("units")
+    rows = with_digest(lines).select(
+        "order_uid",
+        "again",
+        "line_seq",
+        F.when(F.col("line_seq") == 1, F.struct(*fields)).alias(HEADER),
+        F.when(line_block(F.col("line_seq"), block_bits) == 0, F.struct(*ITEM_COLUMNS, "again")).alias("line"),
+        price.alias("unit_sum"),
+        (price * units).alias("line_sum"),
+        F.when(price.isNull() | units.isNull(), 1).otherwise(0).alias("bad_lines"),
+        *[_number_in(F.col(LINE_DIGEST), i).alias(name) for i, name in enumerate(CONTENT)],
+        F.col("line_seq").alias("last_seq"),
+    )
+
+    def added(name: str, value: Column) -> Column:
+        return (F.max if name == "last_seq" else F.sum)(value)
+
+    once = ~F.col("again")
+    summed = rows.groupBy("order_uid").agg(
+        F.max(HEADER).alias(HEADER),
+        F.collect_list("line").alias(FIRST_BLOCK),
+        *[added(name, F.col(name)).alias(f"all_{name}") for name in SUMS],
+        *[added(name, F.when(once, F.col(name))).alias(f"once_{name}") for name in SUMS],
+    )
+    affected = in_duplicate_months(F.col(HEADER)["created_at"])
+    block = F.when(F.col("affected"), F.filter(FIRST_BLOCK, lambda row: ~row["again"])).otherwise(F.col(FIRST_BLOCK))
+    return summed.withColumn("affected", affected).select(
+        "order_uid",
+        HEADER,
+        "affected",
+        F.sort_array(F.transform(block, lambda row: row.dropFields("again"))).alias(FIRST_BLOCK),
+        *[F.when(F.col("affected"), F.col(f"once_{n}")).otherwise(F.col(f"all_{n}")).alias(n) for n in SUMS],
+    )
 
 
 def line_sums(lines: DataFrame, *more: Column) -> DataFrame:
@@ -401,7 +468,17 @@ def order_documents(
         lines = lines.withColumn("block", line_block(F.col("line_seq"), bits))
     line = F.struct(*ITEM_COLUMNS)
     blocks = lines.groupBy("order_uid", "block").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    joined = blocks.join(per_block(orders, bits).hint("merge"), ["order_uid", "block"])
+    return _documents(blocks.join(per_block(orders, bits).hint("merge"), ["order_uid", "block"]), settings)
+
+
+def first_block_documents(orders: DataFrame, settings: OrderSettings) -> DataFrame:
+    """:func:`order_documents` of orders that have no line behind their ``first_block``: each is made from its row."""
+    return _documents(orders.withColumns({"block": F.lit(0).cast("bigint"), "lines": F.col(FIRST_BLOCK)}), settings)
+
+
+def _documents(joined: DataFrame, settings: OrderSettings) -> DataFrame:
+    """Blocks of ``lines`` with the order's row, as pieces of documents."""
+    bits = settings.block_bits
     is_first, is_last = F.col("block") == 0, F.col("block") == line_block(F.col("last_seq"), bits)
     products = F.transform("lines", lambda row: product_item(row.getField, settings.null_text))
     items = F.to_json(F.when(is_last, F.concat(products, closing_items())).otherwise(products))

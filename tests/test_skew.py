@@ -193,3 +193,17 @@ def test_marking_takes_no_further_shuffle(spark, rows):
     marked = grouping.number_within(lines, "order_uid", order_by=["at"], name="line_seq", again="line_order_no")
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window") >= 2
+
+
+def test_a_list_of_repeated_lines_moves_no_numbered_line(spark, rows, monkeypatch, collect):
+    """The list comes to the lines by their order alone, unless an order has very many repeated numbers."""
+    lines = rows("order_uid string, at int, line_order_no string", *[(f"U{i}", n, None if n == 3 else str(n % 2)) for i in range(4) for n in range(8)])
+    numbered = grouping.number_within(lines, "order_uid", order_by=["at"], name="line_seq")
+    affected = rows("order_uid string", ("U1",), ("U2",))
+    monkeypatch.setattr(grouping, "BROADCAST_ROWS", 0)
+    by_order = orders.drop_repeated_lines(numbered, affected)
+    monkeypatch.setattr(orders, "NUMBERS_PER_ORDER", 0)
+    by_number = orders.drop_repeated_lines(numbered, affected)
+    assert collect(by_order) == collect(by_number) and by_order.count() == 16 + 2 * 3
+    joined = by_order._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (order_uid#" in joined and "coalesce(line_order_no#" not in joined.split("Join LeftOuter")[1].splitlines()[0]
