@@ -914,7 +914,7 @@ def _create_plan(spark, folder):
 
 @query
 def flow_create_orders(spark, folder):
-    return outbox.whole_bodies(_create_plan(spark, folder).requests)
+    return outbox.whole_order_requests(_create_plan(spark, folder).documents, "first")
 
 
 def _stored_plan(spark, folder):
@@ -926,7 +926,7 @@ def _stored_plan(spark, folder):
 @query
 def flow_create_stored_orders(spark, folder):
     """The same requests from order lines that are stored in buckets."""
-    return outbox.whole_bodies(_stored_plan(spark, folder).requests)
+    return outbox.whole_order_requests(_stored_plan(spark, folder).documents, "first")
 
 
 @query

@@ -315,16 +315,19 @@ def export_heads(spark: SparkSession, folder: str) -> DataFrame:
 def export_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as exported: each line repeats its order's columns."""
     unreadable = (F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40)
-    items = table(spark, folder, "lineitem").select(
-        text(F.col("l_orderkey")).alias("transaction_no"),
+    items = table(spark, folder, "lineitem").select(text(F.col("l_orderkey")).alias("transaction_no"), *LINE_ORDER)
+    heads = export_heads(spark, folder)
+    # The texts are made after the join, so that it shuffles numbers only.
+    return heads.join(items, "transaction_no").select(
+        "transaction_no",
         *LINE_ORDER,
         text(F.col("l_linenumber")).alias("line_order_no"),
         text(F.col("l_partkey")).alias("item_code"),
         text(F.col("l_suppkey")).alias("item_name"),
         F.when(unreadable, "n/a").otherwise(_money("l_extendedprice")).alias("unit_price"),
         F.concat(text(F.col("l_quantity").cast("bigint")), F.lit(" pcs")).alias("quantity"),
+        *[c for c in heads.columns if c != "transaction_no"],
     )
-    return items.join(export_heads(spark, folder), "transaction_no")
 
 
 def export_ledger(spark: SparkSession, folder: str) -> DataFrame:

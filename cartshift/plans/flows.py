@@ -19,17 +19,20 @@ from cartshift.operators.cleaning import (
     purge_order_uids,
     without_recipient,
 )
-from cartshift.operators.grouping import join_side
+from cartshift.operators.grouping import flag_later, join_side
 from cartshift.operators.orders import (
+    FIRST_BLOCK,
+    SUMS,
     OrderSettings,
     added_sums,
     bad_amounts,
     book_amounts,
-    drop_repeated_lines,
+    first_block_documents,
     first_lines,
-    fold_orders,
     in_duplicate_months,
+    line_block,
     order_documents,
+    order_rows,
     parse_amounts,
     per_block,
     with_line_seq,
@@ -51,6 +54,7 @@ class Plan:
     requests: DataFrame | None
     settled: DataFrame | None
     rejects: DataFrame
+    documents: DataFrame | None = None  # of orders to be created, what the requests were made of
 
 
 def _rejected(rows: DataFrame, entity: str, key: str, reason: str | Column) -> DataFrame:
@@ -74,13 +78,13 @@ def in_phase(table: DataFrame, phase: str) -> DataFrame:
 def prepare_orders(
     exported: DataFrame, file_order: list[str] | None = None, normalize_first: bool = False
 ) -> DataFrame:
-    """Exported order lines, cleaned and numbered within their order.
+    """Exported order lines, cleaned, numbered within their order and marked (``again``).
 
     ``file_order`` names the columns that give the place of a line in the export; those of
     ``readers.read_order_lines`` by default. They are not part of the result.
     """
     file_order = list(FILE_ORDER) if file_order is None else file_order
-    return with_line_seq(clean_orders(exported, normalize_first), file_order).drop(*file_order)
+    return with_line_seq(clean_orders(exported, normalize_first), file_order, "line_order_no").drop(*file_order)
 
 
 def prepare_order_uids(lines: DataFrame, order_uids: DataFrame | None = None) -> DataFrame:
@@ -101,27 +105,32 @@ def create_orders(
     """Create requests for the orders of an id range that do not exist yet.
 
     ``lines`` are cleaned, numbered lines; of a table of all phases only the asked one counts. Orders already created, by
-    their own column or by the ledger, need nothing. Wanted ids, heads and folded orders are
-    stored while the plan is built, so the rejects read no line and the requests read them once.
+    their own column or by the ledger, need nothing. Wanted ids and one row per order, with its header, sums and
+    first block of lines, are stored while the plan is built. Rejects and the documents of orders of one
+    block come from these rows; lines are read again only if there are longer orders.
     """
     lines, order_uids = in_phase(lines, phase), in_phase(order_uids, phase)
     wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
     wanted = checkpointed(books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid"))
-    in_range = parse_amounts(id_range(lines, "order_uid", start, end))
-    # Lists of one row per order, each read several times below.
-    heads = checkpointed(lines_of_orders(first_lines(in_range), wanted, stored=True))
-    open_heads = books.not_created(heads).drop("line_seq")
-    affected = open_heads.where(in_duplicate_months(F.col("created_at")))
-    # An order's first line is never a repeated one, so the heads need no clean-up.
-    ours = lines_of_orders(in_range, open_heads, stored=True)
-    kept = drop_repeated_lines(ours, affected, stored=True)
-    orders = checkpointed(fold_orders(kept, open_heads, settings.balance_basis))
-    documents = order_documents(kept, orders.where(~bad_amounts()), settings)
-    no_lines = wanted.join(join_side(heads.select("order_uid")), "order_uid", "left_anti")
+    ours = id_range(lines, "order_uid", start, end).join(join_side(wanted), "order_uid", "left_semi")
+    if "again" not in ours.columns:
+        ours = flag_later(ours, "order_uid", "line_order_no", order="line_seq", name="again")
+    ours = parse_amounts(ours)
+    found = checkpointed(order_rows(ours, settings.block_bits))
+    firsts = found.where("header is not null").select("order_uid", "header.*", "affected", FIRST_BLOCK, *SUMS)
+    orders = book_amounts(books.not_created(firsts), settings.balance_basis)
+    good = orders.where(~bad_amounts())
+    longer = line_block(F.col("last_seq"), settings.block_bits) > 0
+    documents = first_block_documents(good.where(~longer), settings)
+    long = good.where(longer)
+    if not long.isEmpty():
+        marked = ours.join(join_side(long.select("order_uid", "affected")), "order_uid")
+        documents = documents.unionByName(order_documents(marked.where("not (affected and again)"), long, settings))
+    no_lines = wanted.join(join_side(firsts.select("order_uid")), "order_uid", "left_anti")
     rejects = _rejected(no_lines, ORDER, "order_uid", "no_lines").unionByName(
         _rejected(orders.where(bad_amounts()), ORDER, "order_uid", "bad_amount")
     )
-    return Plan(outbox.create_order_requests(documents, phase), None, rejects)
+    return Plan(outbox.create_order_requests(documents, phase), None, rejects, documents)
 
 
 def create_stored_orders(
@@ -157,7 +166,7 @@ def create_stored_orders(
     rejects = _rejected(no_lines, ORDER, "order_uid", "no_lines").unionByName(
         _rejected(orders.where(bad_amounts()), ORDER, "order_uid", "bad_amount")
     )
-    return Plan(outbox.create_order_requests(documents, phase), None, rejects)
+    return Plan(outbox.create_order_requests(documents, phase), None, rejects, documents)
 
 
 def record_created(responses: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
-from cartshift.operators import ledger
+from cartshift.operators import ledger, outbox
 from cartshift.operators.ledger import LEDGER_SCHEMA
 from cartshift.operators.orders import OrderSettings
 from cartshift.plans import flows
@@ -314,3 +314,33 @@ def test_customers_end_to_end(rows, collect):
         ("a@example.com", "0900000001", "舊站電話-0900000001。", None),
         ("b@example.com", None, "舊站-會員備註-,舊站電話-0900-000-001。", "大安區"),
     ]
+
+
+def test_numbered_lines_are_folded_where_they_are(spark, order_lines, empty_ledger, monkeypatch):
+    """One exchange of the lines, in one job; orders of one block need no line after that."""
+    lines = order_lines(
+        *[{"order_uid": f"U{i}", "line_order_no": str(n % 2), "created_at": m} for i, m in ((1, "2023/02/01 0:0:0"), (2, "2022/02/01 0:0:0")) for n in range(5)]
+    ).withColumnRenamed("line_seq", "at").withColumn("platform", F.lit("U")).withColumn("transaction_no", F.col("order_uid"))
+    prepared = flows.prepare_orders(lines, ["at"])
+    uids = prepared.select("order_uid").distinct()
+    plans = []
+    stored = flows.checkpointed
+    monkeypatch.setattr(flows, "checkpointed", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or stored(d))
+    plan = flows.create_orders(prepared, uids, empty_ledger, SETTINGS, phase="first")
+    assert len(plans) == 2 and plans[1].count("Exchange hashpartitioning(order_uid") <= 2  # lines, and wanted ids if not broadcast
+    text = plan.requests._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Window" not in text
+    bodies = {r.entity_id: r.body_json for r in plan.requests.collect()}
+    assert {u: body.count("cake") for u, body in bodies.items()} == {"UU1": 2, "UU2": 5}
+
+
+def test_long_orders_are_in_pieces_beside_short_ones(spark, order_lines, empty_ledger, collect):
+    lines = order_lines(*[{"order_uid": u, "line_order_no": str(n)} for u, k in (("U1", 7), ("U2", 2)) for n in range(k)])
+    settings = OrderSettings("delivery", "payment", block_bits=2)
+    whole = {}
+    for chosen in (settings, SETTINGS):
+        plan = flows.create_orders(lines, lines.select("order_uid"), empty_ledger, chosen, phase="first")
+        whole[chosen.block_bits] = [r[-1].replace("delivery-id", "").replace("payment-id", "") for r in collect(outbox.whole_order_requests(plan.documents), "entity_id", "body_json")]
+        assert plan.requests.count() == (3 if chosen is settings else 2)
+    cakes = [[body.count("cake") for body in bodies] for bodies in whole.values()]
+    assert cakes == [[7, 2], [7, 2]]
