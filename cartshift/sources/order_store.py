@@ -5,6 +5,9 @@ block's lines, apart for repeated ones, and the order's header with its first bl
 blocks, so no bucket grows with one order. Looking up orders, adding them up and folding their documents
 shuffle the rows of blocks and orders only; the lines are joined and folded where they lie.
 
+A line keeps what is its own; the columns that an export repeats on every line of an order stand in ``header``, on
+the first line, which speaks for its order.
+
 What a plan would otherwise work out from all lines each time is stored with them: their number in the order, their
 amounts, and whether their line number stood on an earlier line (``again``).
 """
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from cartshift.operators.grouping import flag_later
 from cartshift.operators.orders import (
     BLOCK_BITS,
+    ITEM_COLUMNS,
     content_sums,
     line_block,
     line_sum_columns,
@@ -62,27 +66,33 @@ def store_orders(
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     mark = uuid.uuid4().hex
     store = OrderStore(f"order_lines_{mark}", f"order_blocks_{mark}", buckets, block_bits)
-    rows = lines if parsed else parse_amounts(lines)
+    rows = lines
     if "again" not in rows.columns:
         rows = flag_later(rows, "order_uid", "line_order_no", order="line_seq", name="again")
-    rows = rows.withColumn("block", line_block(F.col("line_seq"), block_bits))
-    _write(rows, store.lines, f"{folder}/{store.lines}", buckets, [*KEYS, "line_seq"])
+    rows = rows.withColumn("block", line_block(F.col("line_seq"), block_bits)).repartition(buckets, *KEYS)
+    rows = rows if parsed else parse_amounts(rows)  # numbers are wider than the texts that are shuffled
+    header = [c for c in rows.columns if c not in {"line_seq", "again", *KEYS}]
+    own = [c for c in rows.columns if c in {"again", "phase", "line_order_no", *KEYS, *ITEM_COLUMNS}]
+    speaks = F.when(F.col("line_seq") == 1, F.struct(*header)).alias("header")
+    _write(rows.select(*own, speaks), store.lines, f"{folder}/{store.lines}", buckets, [*KEYS, "line_seq"])
     stored = store.read_lines(spark)
-    header = [c for c in stored.columns if c not in {"line_seq", "again", *KEYS}]
-    first = F.max(F.when(F.col("line_seq") == 1, F.struct(*header))).alias("header")
     last = F.max("line_seq").alias("last_seq")
-    sums = with_digest(stored).groupBy(*KEYS, "again").agg(*line_sum_columns(), *content_sums(), last, first)
-    _write(sums, store.blocks, f"{folder}/{store.blocks}", buckets, [*KEYS, "again"])
+    sums = with_digest(stored).groupBy(*KEYS, "again").agg(*line_sum_columns(), *content_sums(), last)
+    firsts = stored.where("line_seq = 1").select(*KEYS, F.col("header").alias("first"))
+    sums = sums.join(firsts.hint("merge"), list(KEYS), "left")  # where the lines lie
+    sums = sums.withColumn("header", F.when(~F.col("again"), F.col("first"))).drop("first")
+    _write(sums.repartition(buckets, *KEYS), store.blocks, f"{folder}/{store.blocks}", buckets, [*KEYS, "again"])
     return store
 
 
 def _write(rows: DataFrame, table: str, path: str, buckets: int, order: list[str]) -> None:
+    """``rows`` come partitioned into ``buckets`` by the keys."""
     (
-        rows.repartition(buckets, *KEYS)
-        .sortWithinPartitions(*order)
+        rows.sortWithinPartitions(*order)
         .write.bucketBy(buckets, *KEYS)
         .sortBy(*order)
         .option("path", path)
+        .option("compression", "zstd")
         .format("parquet")
         .saveAsTable(table)
     )

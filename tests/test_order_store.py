@@ -96,3 +96,10 @@ def test_blocks_hold_the_sums_and_one_header(spark, lines, tmp_path):
     assert blocks.where("header is not null").count() == 7
     assert blocks.agg(F.sum("unit_sum")).first()[0] == store.read_lines(spark).agg(F.sum("unit_amount")).first()[0]
     assert blocks.where("again").count() > 0
+
+
+def test_a_header_is_stored_once_and_lines_are_shuffled_by_their_texts(spark, lines, tmp_path):
+    store = order_store.store_orders(lines, str(tmp_path), 3, block_bits=1)
+    stored = store.read_lines(spark)
+    assert stored.count() == lines.count() and "recipient_name" not in stored.columns
+    assert stored.where("header is not null").count() == stored.where("line_seq = 1").count() == 7
