@@ -24,7 +24,8 @@ from itertools import groupby
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stored
@@ -278,51 +279,71 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """Every page with its blocks and their kinds; ``same`` is equal for copies, ``stream`` for equal token streams.
-    Where nothing is left to decide, ``text`` is the main text and ``blocks`` has the stream alone."""
+def page_parts(html: str | None) -> tuple[list[tuple[str, int]], str, int]:
+    """A page's blocks with their kinds, its token stream (a line per block) and a digest that is equal for copies."""
+    found = [(text, MARKED if skip else KEPT if level else FREE) for text, level, skip in blocks_of(html or "")]
+    line = "\n".join(text for text, kind in found if kind != KEPT)
+    unmarked = "\n".join(text for text, kind in found if kind != MARKED)
+    return found, line, digest(unmarked or line)
+
+
+def packed(found: list[tuple[str, int]]) -> bytes:
+    """Blocks with their kinds; no block holds a line break."""
+    return zstandard.compress("\n".join(f"{kind}{text}" for text, kind in found).encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(page: bytes) -> tuple[list[str], list[int]]:
+    found = [b for b in zstandard.decompress(page).decode("utf-8", "surrogatepass").split("\n") if b]
+    return [b[1:] for b in found], [int(b[0]) for b in found]
+
+
+def parsed(pages: DataFrame, kinds: dict[str, str], columns) -> DataFrame:
+    """Columns ``kinds`` (names and types) of all pages; ``columns`` makes them of a piece of ``page_id``, ``url``, host
+    and the parts of its pages."""
     ship(pages.sparkSession)
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^/]*//(?:[^/@]*@)?([^/?#:]*)", 1)), F.lit(""))
     given = pages.select(
-        F.col("page_id").alias("page_id"),
-        F.col("url").alias("url"),
-        F.coalesce(F.lower(F.regexp_extract("url", r"^[^/]*//(?:[^/@]*@)?([^/?#:]*)", 1)), F.lit("")).alias("host"),
-        F.col("html").alias("_html"),
-    )
-    kinds = dict(given.dtypes)
-    schema = (
-        f"page_id {kinds['page_id']}, url {kinds['url']}, host string, same long, stream long, text string,"
-        " blocks array<string>, kinds array<tinyint>"
+        F.col("page_id").alias("page_id"), F.col("url").alias("url"), host.alias("host"), F.col("html").alias("_html")
     )
 
     def work(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                same, stream, texts, blocks, marks = [], [], [], [], []
-                for html in batch.column(3).to_pylist():
-                    found = [(text, MARKED if skip else KEPT if level else FREE) for text, level, skip in blocks_of(html or "")]
-                    line = "\n".join(text for text, kind in found if kind != KEPT)
-                    unmarked = "\n".join(text for text, kind in found if kind != MARKED)
-                    same.append(digest(unmarked or line))
-                    stream.append(digest(f"{same[-1]} {line}"))
-                    done = all(kind != FREE for _, kind in found)
-                    texts.append(unmarked if done else None)
-                    found = [b for b in found if not done or b[1] != KEPT]
-                    blocks.append([text for text, _ in found])
-                    marks.append([kind for _, kind in found])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i) for i in range(3)),
-                        pa.array(same, pa.int64()),
-                        pa.array(stream, pa.int64()),
-                        pa.array(texts, pa.string()),
-                        pa.array(blocks, pa.list_(pa.string())),
-                        pa.array(marks, pa.list_(pa.int8())),
-                    ],
-                    ["page_id", "url", "host", "same", "stream", "text", "blocks", "kinds"],
-                )
-
-    return given.mapInArrow(work, schema)
+                parts = [page_parts(html) for html in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays(columns(batch, parts), list(kinds))
+
+    return given.mapInArrow(work, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def stream_of(batch: pa.RecordBatch, parts: list) -> pa.Array:
+    return pa.array([digest(f"{host} {p[1]}") for host, p in zip(batch.column(2).to_pylist(), parts)], pa.int64())
+
+
+def read_streams(pages: DataFrame) -> DataFrame:
+    """Every page's token stream, ``line``: ``stream`` is equal for equal streams of a host, ``same`` for copies."""
+
+    def columns(batch, parts):
+        return [
+            batch.column(2),
+            pa.array([p[2] for p in parts], pa.int64()),
+            stream_of(batch, parts),
+            pa.array([p[1] for p in parts], pa.string()),
+        ]
+
+    return parsed(pages, {"host": "string", "same": "long", "stream": "long", "line": "string"}, columns)
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Every page with its stream and all its blocks with their kinds (``page``)."""
+    given = dict(pages.dtypes)
+
+    def columns(batch, parts):
+        page = pa.array([packed(p[0]) for p in parts], pa.binary())
+        return [batch.column(0), batch.column(1), stream_of(batch, parts), page]
+
+    kinds = {"page_id": given["page_id"], "url": given["url"], "stream": "long", "page": "binary"}
+    return parsed(pages, kinds, columns)
 
 
 def dealt(streams: DataFrame, rules: Boilerplate) -> DataFrame:
@@ -438,33 +459,35 @@ def main_text(pages: DataFrame, rules: Boilerplate = Boilerplate()) -> DataFrame
     """Per row of ``pages``: ``page_id``, ``url`` and ``text``, the main text (empty if there is none).
 
     A null or empty ``html`` has no text; pages without a URL or host share one host. Repeated rows each get a
-    row and count as one page; other columns are ignored; an empty table gives an empty result. Equal streams
-    meet before suffixes are made of them. The ranges of the suffix array are cut by page within equal beginnings,
-    so neither a host with very many pages nor a very common passage gathers in a task. Only hosts with a block to
-    decide on and two distinct pages are sorted, as nothing depends on the others' repeats.
+    row and count as one page; other columns are ignored; an empty table gives an empty result.
+
+    The streams of all pages go through the suffix array, and every text is made of what it says; markup is held against
+    that page by page. Equal streams of a host meet before suffixes are made of them, as one row for each of their
+    first ``rules.pages`` distinct pages, which is all that a repeat asks for. The ranges of the suffix array are cut by
+    page within equal beginnings, so neither a host with very many pages nor a very common passage gathers in a
+    task. A host's only page has nothing to repeat. Pages are read twice, for their streams and for their texts: that
+    moves and stores the texts once instead of twice.
     """
-    read = stored(read_pages(pages))
-    kinds = dict(read.dtypes)
-    hosts = read.groupBy("host", "same").agg(F.max(F.col("text").isNull()).alias("asks"))
-    hosts = hosts.groupBy("host").agg(F.count("*").alias("n"), F.max("asks").alias("asks"))
-    hosts = stored(hosts.where("asks and n >= 2").select("host", F.least("n", F.lit(rules.pages)).cast("long").alias("need")))
-    line = F.array_join(F.transform(F.arrays_zip("blocks", "kinds"), lambda b: F.when(b["kinds"] != KEPT, b["blocks"])), "\n")
-    streams = read.join(hosts, "host").select("host", "need", "same", "stream", line.alias("line")).distinct()
+    read = stored(read_streams(pages).distinct())
+    hosts = read.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    hosts = stored(hosts.where("n >= 2").select("host", F.least("n", F.lit(rules.pages)).cast("long").alias("need")))
+    first = F.row_number().over(Window.partitionBy("stream").orderBy("same"))
+    few = read.withColumn("_n", first).where(F.col("_n") <= rules.pages)  # the limit holds before the shuffle too
+    streams = few.join(hosts, "host").select("host", "need", "same", "stream", "line")
     covered = repeats(streams, rules)
-    open_ = read.where("text is null").drop("host", "same", "text")
-    joined = open_.join(covered, "stream", "left").select("page_id", "url", "blocks", "kinds", "covered")
+    told = read_pages(pages).join(covered, "stream", "left").select("page_id", "url", "page", "covered")
 
     def work(batches):
         for batch in batches:
             texts = []
-            for blocks, marks, hashes in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                texts.append(own_text(blocks, marks, hashes, rules))
+            for page, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                texts.append(own_text(*unpacked(page), hashes, rules))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
             )
 
-    rest = joined.mapInArrow(work, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
-    return read.where("text is not null").select("page_id", "url", "text").unionByName(rest)
+    kinds = dict(told.dtypes)
+    return told.mapInArrow(work, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def op1_main_text(spark, sf_dir: str) -> DataFrame:

@@ -548,3 +548,24 @@ def test_suffix_array_in_ranges_agrees_with_counting(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == want
+
+
+def test_streams_of_pages_without_unmarked_blocks_are_sorted_too(spark, monkeypatch):
+    rows = [
+        (i, f"http://{'one' if i == 9 else 'more'}.example/{i}", f"<nav>Home Menu</nav><article>Text {i}</article>")
+        for i in range(10)
+    ]
+    sorted_ones, repeats = [], html.repeats
+
+    def seen(streams, rules):
+        sorted_ones.extend(streams.collect())
+        covered = repeats(streams, rules)
+        sorted_ones.append(covered.collect())
+        return covered
+
+    monkeypatch.setattr(html, "repeats", seen)
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    *streams, covered = sorted_ones
+    assert [(r["host"], r["need"], r["line"]) for r in streams] == [("more.example", 3, "Home Menu")] * 3
+    assert [r["covered"] for r in covered] == [[html.digest(html.END + "Home Menu")]]
+    assert sorted(r["text"] for r in got) == [f"Text {i}" for i in range(10)]
