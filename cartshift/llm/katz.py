@@ -11,7 +11,9 @@ How it runs: texts become blocks of some million tokens, stored once, whose toke
 block's own dictionary. For each order a block sends every distinct n-gram once to the part
 that owns the n-gram's context; the part adds up, stores its totals and sends back those that the block
 asked about. Parts number what they own, common ones first, and these numbers name words and contexts from then on: an
-n-gram is a context's number and a word's, exact and of a few bytes. What a block sends depends on the block
+n-gram is a context's number and a word's, exact and of a few bytes. A message lists its contexts and its words in
+order of their numbers, by the steps between them, and an n-gram is a place in the list of words; what a part needs to
+know of a word stands there once. What a block sends depends on the block
 alone, so the messages grow with the corpus and no faster. So the n-gram tables are stored by part, a very common word, pair or context is one row per
 block before it is shuffled, and nothing but a few sums per part reaches the driver. Contexts with more
 than a thousandth of all tokens (a thousand at most, whatever the corpus) are spread over all parts, and
@@ -71,6 +73,17 @@ def joined(data: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def steps_of(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers that hardly differ from one to the next, by the steps between them; see :func:`planes`."""
+    steps = np.diff(numbers.astype(np.int64), prepend=0)
+    return planes((steps << 1) ^ (steps >> 63))
+
+
+def walked(data: np.ndarray, n: int) -> np.ndarray:
+    steps = joined(data, n)
+    return np.cumsum((steps >> 1) ^ -(steps & 1))
+
+
 def packed(*arrays) -> bytes:
     sizes = np.array([a.nbytes for a in arrays], np.int64)
     return zstandard.compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
@@ -229,6 +242,11 @@ def kept_counts(c: np.ndarray, order: Order) -> np.ndarray:
     return np.where(c <= LOW, d[np.minimum(c, LOW)] * c, c - HELD_BACK)
 
 
+def word_p(counts: np.ndarray, order: Order) -> np.ndarray:
+    """Probabilities of seen words, given the lowest order."""
+    return kept_counts(counts, order) / max(order.total, 1)
+
+
 def left_over(histogram: np.ndarray, order: Order) -> np.ndarray:
     """What discounting takes from n-grams, given their numbers by count (1 .. LOW, above), as counts."""
     r = np.arange(1, LOW + 1)
@@ -284,18 +302,19 @@ class Block:
 
     def first_order(self, order: Order, counts: np.ndarray, numbers: np.ndarray) -> None:
         self.counts, self.numbers, self.word_numbers = counts, numbers, numbers
+        self.word_counts = counts
         if order.total:
             unknown = left_over(np.array(self.unigram_histogram(order)), order) / order.total
         else:
             unknown = 1.0
-        self.p = np.where(counts > 0, kept_counts(counts, order) / max(order.total, 1), unknown)
+        self.p = np.where(counts > 0, word_p(counts, order), unknown)
 
     @staticmethod
     def unigram_histogram(order: Order) -> list[int]:
         return order.spread[""][0]
 
     def next_order(self, starts: int) -> None:
-        """The n-grams one longer: distinct pairs of a context (what ended one token earlier) and a word.
+        """The n-grams one longer: distinct pairs of a context (what ended one token earlier) and a word, sorted by number.
         ``starts``: how many training texts there are, the count of the context before the first token."""
         n = len(self.numbers)
         pairs = np.empty(len(self.gram), np.int64)
@@ -304,12 +323,15 @@ class Block:
         pairs *= len(self.names)
         pairs += self.codes
         pairs, where, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-        self.context, word = ((f(pairs, len(self.names))).astype(np.int32) for f in (np.floor_divide, np.remainder))
-        self.contexts = np.append(self.numbers, START)[self.context]
-        self.words = self.word_numbers[word]
+        context, word = ((f(pairs, len(self.names))).astype(np.int32) for f in (np.floor_divide, np.remainder))
+        contexts, words = np.append(self.numbers, START)[context], self.word_numbers[word]
+        order = np.lexsort((words, contexts))
+        self.context, self.word, self.contexts, self.words = context[order], word[order], contexts[order], words[order]
         self.context_counts = np.append(self.counts, starts)
-        self.lower = self.p[self.gram[where]]
-        self.gram = inverse.astype(np.int32)
+        self.lower = self.p[self.gram[where[order]]]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.gram = rank[inverse]
         self.count_own(len(pairs))
 
     def owners(self, parts: int, hot: dict) -> np.ndarray:
@@ -325,14 +347,15 @@ class Block:
         edges = np.searchsorted(owner[by_part], np.arange(owner.max(initial=0) + 2))
         for part, data in answers.items():
             asked = by_part[edges[part] : edges[part + 1]]
-            low, rest, numbers, unseen, lower = unpacked(data, *COUNTS, np.uint8, np.int64, np.float64)
+            low, rest, numbers, unseen, lower = unpacked(data, *COUNTS, np.uint8, np.uint8, np.float64)
             counts = large(low, rest)
             self.counts[asked] = counts
             if len(numbers):
                 self.numbers[asked] = joined(numbers, len(counts))
             new = asked[counts == 0]
-            left[new] = left_over(unseen.reshape(-1, LOW + 1), order)
-            mass[new] = lower
+            _, context = np.unique(self.contexts[new], return_inverse=True)
+            left[new] = left_over(joined(unseen, len(lower) * (LOW + 1)).reshape(-1, LOW + 1), order)[context]
+            mass[new] = lower[context]
         unseen = np.flatnonzero(self.counts == 0)
         for key in hot:
             if key in order.spread:
@@ -418,15 +441,23 @@ def answer_frame(group: pd.DataFrame, answers: list[bytes], stats: dict) -> pd.D
     )
 
 
-def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool, parts: int) -> DataFrame:
-    """As :func:`word_totals` for longer n-grams, with what unseen ones need to know of their context."""
+def gram_totals(
+    requests: DataFrame, hot_above: int, spread: dict, last: bool, parts: int, words_of: Order | None
+) -> DataFrame:
+    """As :func:`word_totals` for longer n-grams, with what unseen ones need to know of their context. Of pairs,
+    ``words_of`` and the counts of words give the lower order's probabilities; of longer n-grams they are sent."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for s in group["sent"]:
-            a, b, contexts, c, d, words, e, f, x, y, z = unpacked(s, *COUNTS, np.uint8, *COUNTS, np.uint8, *COUNTS, *LISTED)
+            a, b, contexts, c, d, places, words, known, e, f, x, y, z = unpacked(
+                s, *COUNTS, np.uint8, *COUNTS, np.uint8, np.uint8, np.uint8, *COUNTS, *LISTED
+            )
             runs, local = large(a, b), large(c, d)
-            rows.append((np.repeat(joined(contexts, len(runs)), runs), joined(words, len(local)), local, large(e, f), unlisted(x, y, z)))
+            at = joined(places, len(local))
+            n = int(at.max()) + 1
+            lower = word_p(walked(known, n), words_of)[at[local > 0]] if words_of else unlisted(x, y, z)
+            rows.append((np.repeat(walked(contexts, len(runs)), runs), walked(words, n)[at], local, large(e, f), lower))
         context, word, local, local_all, lower = (np.concatenate([r[i] for r in rows]) for i in range(5))
         asked = [len(r[1]) for r in rows]
         del rows
@@ -455,9 +486,9 @@ def gram_totals(requests: DataFrame, hot_above: int, spread: dict, last: bool, p
         ]
         answers = []
         for i in np.split(index, np.cumsum(asked)[:-1]):
-            new = context_of[i[counts[i] == 0]]
+            new = np.unique(context_of[i[counts[i] == 0]])  # contexts, as numbered
             own = planes(numbers[i]) if not last else np.zeros(0, np.uint8)
-            answers.append(packed(*small(counts[i]), own, unseen[new].ravel(), mass[new]))
+            answers.append(packed(*small(counts[i]), own, planes(unseen[new].ravel()), mass[new]))
         return answer_frame(group, answers, stats)
 
     return requests.groupBy("part").applyInPandas(work, ANSWERED)
@@ -509,20 +540,23 @@ def answers_of(scalar) -> dict:
 
 def gram_requests(blocks: DataFrame, steps: list[Step], hot: dict, parts: int, last: bool) -> DataFrame:
     known = [(s.order, s.hot) for s in steps]
+    pairs = len(steps) == 1
 
     def one(batch, row, number):
         block, end = restored(batch, row, known, parts, 2)
         block.next_order(end)
 
-        def payload(i):  # sorted by context, as n-grams are numbered
+        def payload(i):  # sorted by context, as n-grams are
             contexts = block.contexts[i]
             starts = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
             runs = np.diff(np.append(starts, len(i)))
+            words, one_of, places = np.unique(block.words[i], return_index=True, return_inverse=True)
+            known = block.word_counts[block.word[i[one_of]]] if pairs else np.zeros(0, np.int64)
             all_ = np.zeros(0, np.int64) if last else block.local_all[i]
-            seen = i[block.local[i] > 0]
+            lower = np.zeros(0) if pairs else block.lower[i[block.local[i] > 0]]
             return packed(
-                *small(runs), planes(contexts[starts]), *small(block.local[i]), planes(block.words[i]), *small(all_),
-                *listed(block.lower[seen]),
+                *small(runs), steps_of(contexts[starts]), *small(block.local[i]), planes(places), steps_of(words),
+                steps_of(known), *small(all_), *listed(lower),
             )
 
         return sent_batch(number, block.owners(parts, hot), payload)
@@ -564,7 +598,8 @@ def score_texts(docs: DataFrame, held_out, order: int = 2, block_tokens: int = B
     for k in range(2, order + 1):
         hot = dict(steps[-1].order.hot) | {str(START): None}
         sent = gram_requests(blocks, steps, hot, parts, k == order)
-        steps.append(step(gram_totals(sent, hot_above, hot, k == order, parts), hot))
+        words_of = steps[0].order if k == 2 else None
+        steps.append(step(gram_totals(sent, hot_above, hot, k == order, parts, words_of), hot))
     known = [(s.order, s.hot) for s in steps]
     total, distinct = known[0][0].total, known[0][0].distinct
     base = total + 0.1 * (distinct + 1)

@@ -569,3 +569,19 @@ def test_streams_of_pages_without_unmarked_blocks_are_sorted_too(spark, monkeypa
     assert [(r["host"], r["need"], r["line"]) for r in streams] == [("more.example", 3, "Home Menu")] * 3
     assert [r["covered"] for r in covered] == [[html.digest(html.END + "Home Menu")]]
     assert sorted(r["text"] for r in got) == [f"Text {i}" for i in range(10)]
+
+
+def test_katz_messages_say_once_what_a_part_needs_of_a_word(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{int(i)}" for i in np.exp(rng.random(120_000) * np.log(20_000))]
+    texts = [(i, " ".join(words[i * 400 : (i + 1) * 400])) for i in range(300)]
+    docs = spark.createDataFrame(texts, "_id long, _text string").withColumn("_held", F.lit(False))
+    blocks = katz.text_blocks(docs.coalesce(1)).localCheckpoint()
+
+    def sent(parts):
+        total = katz.stored(katz.word_totals(katz.word_requests(blocks, parts), 1 << 40, parts))
+        step = katz.Step(katz.read_order(total.where("block < 0").collect()), {}, total)
+        return katz.gram_requests(blocks, [step], {}, parts, True).agg(F.sum(F.length("sent"))).first()[0]
+
+    pairs = len({p for _, text in texts for p in zip(text.split(), text.split()[1:])})
+    assert sent(40) < 2.6 * pairs  # bytes; 3.6 or more if every message lists what its pairs need
