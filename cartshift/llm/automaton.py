@@ -30,7 +30,8 @@ from .common import ship
 
 # Fixed value: how byte-level vocabularies split text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORDS_KEPT = 600_000  # of pieces, of runs and of table entries that a worker keeps
+WORDS_KEPT = 150_000  # of pieces, of runs and of table entries: a worker keeps twice as many at most
+LONG = 40  # pieces and runs of so many characters or more are not kept
 
 
 def byte_names() -> dict[str, int]:
@@ -44,6 +45,27 @@ def byte_names() -> dict[str, int]:
     return names
 
 
+class Kept(dict):
+    """What was looked up lately: once ``WORDS_KEPT`` entries have come, those that were not used meanwhile go."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def again(self, key):
+        """An older entry, from now on a new one; None if there is none."""
+        found = self.older.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Automaton:
     """Built from a byte-level BPE vocabulary file (its vocabulary, merges and added tokens)."""
 
@@ -63,7 +85,7 @@ class Automaton:
         for gadget, (a, b) in enumerate(map(self.parts, spec["model"]["merges"]), 1):
             self.merge(gadget, ids[a], ids[b], ids[a + b])
         self.longest = max(map(len, self.arcs))
-        self.table: dict[int, bool] = {}
+        self.table = Kept()
 
     @staticmethod
     def parts(merge) -> list[str]:
@@ -83,9 +105,10 @@ class Automaton:
         place = state << 20 | token
         known = self.table.get(place)
         if known is None:
-            if len(self.table) > WORDS_KEPT:
-                self.table.clear()
-            known = self.table[place] = self.entry(state, token)
+            known = self.table.again(place)
+        if known is None:
+            known = self.entry(state, token)
+            self.table.keep(place, known)
         return known
 
     def entry(self, state: int, token: int) -> bool:
@@ -133,7 +156,7 @@ class Automaton:
         return path
 
 
-class Codec(dict):
+class Codec(Kept):
     """Pieces to their ids as little-endian bytes, kept; the pieces of a text are looked up at once.
 
     Most texts part at single spaces, and a space before other characters always begins a piece; so a run between
@@ -151,12 +174,19 @@ class Codec(dict):
         self.special_ids = {s: np.array([i], "<u4").tobytes() for s, i in self.automaton.added.items()}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        ids = self.automaton.tokens(word.encode("utf-8"))
-        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        found = self.again(word)
+        if found is None:
+            found = self.runs.get(word[1:]) if word[0] == " " else None
+        if found is None:
+            found = self.ids(word)
+            if len(word) < LONG:
+                self.keep(word, found)
         return found
 
+    def ids(self, word: str) -> bytes:
+        tokens = self.automaton.tokens(word.encode("utf-8"))
+        return struct.pack(f"<{len(tokens)}I", *tokens)
+
     def plain(self, text: str) -> bytes:
         runs = text.split(" ")
         if len(runs) > 1 and not irregular(runs[0]):
@@ -183,21 +213,25 @@ def irregular(run: str) -> bool:
     return not run or run[0].isspace() or run[-1].isspace()
 
 
-class Runs(dict):
+class Runs(Kept):
     """Runs between single spaces to the ids of the run with the space before it; None for irregular ones."""
 
     def __init__(self, pieces: Codec):
         super().__init__()
-        self.split = pieces.split
+        self.codec = pieces
 
     def __missing__(self, run: str) -> bytes | None:
         if irregular(run):
             return None
-        found = self.split(" " + run)
-        if len(run) < 40:
-            if len(self) > WORDS_KEPT:
-                self.clear()
-            self[run] = found
+        found = self.again(run)
+        if found is None:
+            pieces = self.codec.pieces(" " + run)
+            if len(pieces) == 1:
+                found = self.codec.get(pieces[0]) or self.codec.ids(pieces[0])  # kept here alone
+            else:
+                found = b"".join(map(self.codec.__getitem__, pieces))
+            if len(run) < LONG:
+                self.keep(run, found)
         return found
 
 

@@ -585,3 +585,24 @@ def test_katz_messages_say_once_what_a_part_needs_of_a_word(spark):
 
     pairs = len({p for _, text in texts for p in zip(text.split(), text.split()[1:])})
     assert sent(40) < 2.6 * pairs  # bytes; 3.6 or more if every message lists what its pairs need
+
+
+def test_kept_pieces_are_bounded_and_common_ones_stay(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(automaton, "WORDS_KEPT", 50)
+    own = automaton.Codec(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, tokens = collections.Counter(), own.automaton.tokens
+
+    def counted(word):
+        asked[word] += 1
+        return tokens(word)
+
+    own.automaton.tokens = counted
+    for i in range(2000):
+        own.encode(f"common word{i:04d}x common")
+    own.encode("y" * 5000)
+    assert asked[b" common"] == asked[b"common"] == 1
+    for kept in (own, own.runs, own.automaton.table):
+        assert len(kept) + len(kept.older) <= 100
+    assert max(map(len, own)) < 100
