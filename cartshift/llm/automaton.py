@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ from .common import ship
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORDS_KEPT = 150_000  # of pieces, of runs and of table entries: a worker keeps twice as many at most
 LONG = 40  # pieces and runs of so many characters or more are not kept
+START = 1 << 20  # above all tokens: the empty prefix of labels
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(LONG)]
+WIDE = ("  ", " \n", "\n ")  # most texts where a space meets other white space have one of these
+TOGETHER = 1 << 20  # characters of texts whose runs are looked up at once
 
 
 def byte_names() -> dict[str, int]:
@@ -65,6 +70,13 @@ class Kept(dict):
             self.clear()
         self[key] = value
 
+    def keep_all(self, entries: dict) -> None:
+        if len(self) + len(entries) <= WORDS_KEPT:
+            self.update(entries)
+        else:
+            for key, value in entries.items():
+                self.keep(key, value)
+
 
 class Automaton:
     """Built from a byte-level BPE vocabulary file (its vocabulary, merges and added tokens)."""
@@ -85,6 +97,11 @@ class Automaton:
         for gadget, (a, b) in enumerate(map(self.parts, spec["model"]["merges"]), 1):
             self.merge(gadget, ids[a], ids[b], ids[a + b])
         self.longest = max(map(len, self.arcs))
+        self.size = {token: len(label) for label, token in self.arcs.items()}
+        self.step: dict[int, int] = {}
+        self.threes: dict[bytes, tuple[int, int | None]] = {}
+        self.shorter: dict[int, int | None] = {}
+        self.read_labels()
         self.table = Kept()
 
     @staticmethod
@@ -100,6 +117,25 @@ class Automaton:
         if reached:
             self.arcs[self.labels[ab]] = ab
 
+    def read_labels(self) -> None:
+        """How labels are read byte by byte: ``step`` leads from a prefix of labels (shifted by eight bits) and
+        a byte to the next prefix, which is the token if it is a label itself; ``threes`` are the prefixes of
+        three bytes with the longest token in each; ``shorter`` is the longest other token that a token's
+        label begins with."""
+        prefixes = dict(self.arcs)
+        for label, token in self.arcs.items():
+            at, longest, self.shorter[token] = START, None, None
+            for end in range(1, len(label) + 1):
+                to = prefixes.setdefault(label[:end], START + len(prefixes))
+                self.step[at << 8 | label[end - 1]] = to
+                if to < START:
+                    if to != token:
+                        self.shorter[token] = to
+                    longest = to
+                if end == 3:
+                    self.threes[label[:3]] = to, longest
+                at = to
+
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the state that ``state``'s arcs lead to has an arc ``token``."""
         place = state << 20 | token
@@ -128,31 +164,47 @@ class Automaton:
         """The tokens on the path that spells ``word``.
 
         Every prefix is spelt by one path at most, so the state at a place does not depend on how it was reached
-        and a place that leads nowhere is tried once. Longer arcs are tried first.
+        and a place that leads nowhere is tried once. Longer arcs are tried first: the longest one is found by
+        one pass over the bytes, the others are known from it.
         """
-        arcs, has_arc, longest, n = self.arcs, self.has_arc, self.longest, len(word)
-        whole = arcs.get(word)
+        n = len(word)
+        whole = self.arcs.get(word)
         if whole is not None or not n:
             return [whole] if n else []
+        threes, step, size, shorter = self.threes, self.step, self.size, self.shorter
+        table, has_arc = self.table, self.has_arc
         path: list[int] = []  # tokens
-        ends: list[int] = [0]
         dead: set[int] = set()
-        reach = min(n, longest)
-        while ends[-1] < n:
-            at = ends[-1]
-            last = path[-1] if path else None
-            for end in range(min(reach, n), at, -1):
-                token = arcs.get(word[at:end])
-                if token is not None and end not in dead and (last is None or has_arc(last, token)):
-                    path.append(token)
-                    ends.append(end)
-                    reach = end + longest
+        at, last = 0, None
+        while at < n:
+            begun = threes.get(word[at : at + 3])
+            if begun is None:
+                prefix, token, ahead = START, None, word[at : at + 2]
+            else:
+                prefix, token = begun
+                ahead = word[at + 3 : at + self.longest]
+            for byte in ahead:
+                prefix = step.get(prefix << 8 | byte)
+                if prefix is None:
                     break
-            else:  # nothing goes on from here: back to the place before, and on with shorter arcs
-                dead.add(at)
-                path.pop()
-                ends.pop()
-                reach = at - 1
+                if prefix < START:
+                    token = prefix
+            while True:
+                if token is None:  # nothing goes on from here: back to the place before, and on with shorter arcs
+                    dead.add(at)
+                    token = path.pop()
+                    at -= size[token]
+                    last = path[-1] if path else None
+                elif at + size[token] not in dead:
+                    if last is None:
+                        break
+                    known = table.get(last << 20 | token)
+                    if known or known is None and has_arc(last, token):
+                        break
+                token = shorter[token]
+            path.append(token)
+            last = token
+            at += size[token]
         return path
 
 
@@ -160,8 +212,8 @@ class Codec(Kept):
     """Pieces to their ids as little-endian bytes, kept; the pieces of a text are looked up at once.
 
     Most texts part at single spaces, and a space before other characters always begins a piece; so a run between
-    two spaces is looked up as a whole, with the space before it. A text where a space meets other white space is
-    split by the pattern alone.
+    two spaces is looked up as a whole, with the space before it, and the new runs of many texts are learnt
+    together. A text where a space meets other white space is split by the pattern alone.
     """
 
     def __init__(self, path: str):
@@ -185,10 +237,11 @@ class Codec(Kept):
 
     def ids(self, word: str) -> bytes:
         tokens = self.automaton.tokens(word.encode("utf-8"))
+        if len(tokens) < len(PACKS):
+            return PACKS[len(tokens)](*tokens)
         return struct.pack(f"<{len(tokens)}I", *tokens)
 
-    def plain(self, text: str) -> bytes:
-        runs = text.split(" ")
+    def joined(self, text: str, runs: list[str]) -> bytes:
         if len(runs) > 1 and not irregular(runs[0]):
             try:
                 return self.split(runs[0]) + b"".join(map(self.runs.__getitem__, runs[1:]))
@@ -199,10 +252,34 @@ class Codec(Kept):
     def split(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pieces(text)))
 
+    def marked(self, text: str) -> bytes:
+        """The ids of a text with added tokens."""
+        return b"".join(self.special_ids.get(p) or self.joined(p, p.split(" ")) for p in self.special.split(text))
+
     def encode(self, text: str) -> bytes:
-        if self.special is None or not any(s in text for s in self.special_ids):
-            return self.plain(text)
-        return b"".join(self.special_ids.get(part) or self.plain(part) for part in self.special.split(text))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; runs that are new are learnt at once for texts of ``TOGETHER`` characters."""
+        near: list[str] = []
+        size = 0
+        for text in texts:
+            near.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self.encode_near(near)
+                near, size = [], 0
+        yield from self.encode_near(near)
+
+    def encode_near(self, texts: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []  # None: with added tokens; empty: not to be looked up by runs
+        for text in texts:
+            if any(s in text for s in self.special_ids):
+                split.append(None)
+            else:
+                split.append([] if any(s in text for s in WIDE) else text.split(" "))
+        self.runs.learn(set().union(*(runs[1:] for runs in split if runs)))
+        return [self.marked(t) if runs is None else self.joined(t, runs) for t, runs in zip(texts, split)]
 
     def decode(self, ids: bytes) -> str:
         labels = self.automaton.labels
@@ -225,15 +302,33 @@ class Runs(Kept):
             return None
         found = self.again(run)
         if found is None:
-            pieces = self.codec.pieces(" " + run)
-            if len(pieces) == 1:
-                found = self.codec.get(pieces[0]) or self.codec.ids(pieces[0])  # kept here alone
-            else:
-                found = b"".join(map(self.codec.__getitem__, pieces))
+            found = self.ids(self.codec.pieces(" " + run))
             if len(run) < LONG:
                 self.keep(run, found)
         return found
 
+    def ids(self, pieces: list[str]) -> bytes:
+        if len(pieces) == 1:
+            return self.codec.get(pieces[0]) or self.codec.ids(pieces[0])  # kept here alone
+        return b"".join(map(self.codec.__getitem__, pieces))
+
+    def learn(self, runs: set[str]) -> None:
+        """Keeps those of ``runs`` that are not known. They are split by the pattern as one text, where the
+        piece that begins with a space begins a run; in order, as words that begin alike read the same
+        entries of the automaton."""
+        older = self.older
+        fresh = [run for run in runs if run not in self]
+        new = sorted(run for run in fresh if run not in older and len(run) < LONG and not irregular(run))
+        self.keep_all({run: older[run] for run in fresh if run in older})
+        if not new:
+            return
+        pieces = self.codec.pieces(" " + " ".join(new))
+        begins = [i for i, piece in enumerate(pieces) if piece[0] == " "]
+        ends = [*begins[1:], len(pieces)]
+        self.keep_all({
+            run: self.ids(pieces[begin:end]) for run, begin, end in zip(new, begins, ends, strict=True)
+        })
+
 
 CODECS: dict[str, Codec] = {}
 
@@ -264,7 +359,7 @@ def encoded(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [coder.encode(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+                ids = list(coder.encode_all([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]))
                 columns = [
                     *(batch.column(i) for i in range(batch.num_columns - 1)),
                     pa.array(ids, pa.binary()),

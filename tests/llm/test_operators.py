@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import sys
 
 import brute
 import numpy as np
@@ -606,3 +607,35 @@ def test_kept_pieces_are_bounded_and_common_ones_stay(monkeypatch):
     for kept in (own, own.runs, own.automaton.table):
         assert len(kept) + len(kept.older) <= 100
     assert max(map(len, own)) < 100
+
+
+def test_bpe_of_rare_words_takes_few_calls():
+    import public_tokenizers
+
+    own = automaton.Codec(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    parts = ["an", "er", "sch", "heit", "tion", "re", "th", "ha", "ou", "wh", "in", "ly"]
+    rare = {"".join(rng.choice(parts) for _ in range(rng.randint(3, 5))) for _ in range(2000)}
+    text, calls = "the " + " ".join(sorted(rare)), collections.Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        own.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 70 * len(rare)  # 88 each when every length was looked up
+
+
+def test_bpe_of_many_texts_together_is_that_of_each(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, rng = brute.tokenizer("byte_bpe_50k.json"), random.Random(9)
+    parts = [" ", " ", " ", "  ", "\n", " \n", "\x1c", "the", "ing", "é", "12", "'s", "!!", "😀", "<|endoftext|>", "y" * 50]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    want = [coder.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept, together in ((7, 1), (7, 300), (7, 1 << 20), (150_000, 300)):
+        monkeypatch.setattr(automaton, "WORDS_KEPT", kept)
+        monkeypatch.setattr(automaton, "TOGETHER", together)
+        own = automaton.Codec(path)
+        assert [np.frombuffer(i, "<u4").tolist() for i in own.encode_all(texts)] == want
+        assert len(own.runs) + len(own.runs.older) <= 2 * kept
