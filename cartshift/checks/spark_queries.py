@@ -899,13 +899,17 @@ def export_page_rows(spark, folder):
 # --- whole flows ---------------------------------------------------------------
 
 
-def _exported(spark, folder):
+def _exported(spark, folder, laid_by=()):
     """Lines and ids of the raw export, ready for the flows."""
-    lines = flows.prepare_orders(given.export_lines(spark, folder), given.LINE_ORDER)
+    lines = flows.prepare_orders(given.export_lines(spark, folder), given.LINE_ORDER, laid_by=laid_by)
     heads = cleaning.compose_order_uid(given.export_heads(spark, folder))
     return lines, flows.prepare_order_uids(lines, heads)
 
 
+# The export's lines come by these columns, which make the order's id.
+LAID_BY = ("platform", "transaction_no")
+
+
 def _create_plan(spark, folder):
     lines, uids = _exported(spark, folder)
     recorded = given.export_ledger(spark, folder)
@@ -918,7 +922,7 @@ def flow_create_orders(spark, folder):
 
 
 def _stored_plan(spark, folder):
-    lines, uids = _exported(spark, folder)
+    lines, uids = _exported(spark, folder, LAID_BY)
     store = order_store.store_orders(lines, shared_folder(spark))
     return flows.create_stored_orders(store, uids, given.export_ledger(spark, folder), SETTINGS, phase="first")
 

@@ -7,6 +7,7 @@ same columns in SQL.
 
 from __future__ import annotations
 
+import uuid
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
 from cartshift.operators.orders import line_sum_columns, line_sums, with_line_seq
+from cartshift.session import shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -157,45 +159,45 @@ def amount_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 def legacy_orders(spark: SparkSession, folder: str) -> DataFrame:
     """One header row per order, as on an order's first line."""
+    return table(spark, folder, "orders").select(*named(legacy_columns()))
+
+
+def legacy_columns() -> dict[str, Column]:
     k, c, priority = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
     day = F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss")
     shipping = F.when(F.col("o_orderstatus") == "P", "已出貨").otherwise("出貨中")
     states = F.create_map(*[F.lit(x) for x in chain.from_iterable(STATES.items())])
     none = F.lit(None).cast("string")
-    return table(spark, folder, "orders").select(
-        k.alias("order_uid"),
-        F.col("o_orderstatus").alias("platform"),
-        text(k).alias("transaction_no"),
-        by_case(k % 10, {0: None, 1: ""}, F.concat(F.lit("S"), text(k))).alias("platform_order_id"),
-        day.alias("created_at"),
-        F.coalesce(F.try_element_at(states, priority), shipping).alias("order_status"),
-        priority.alias("payment_info"),
-        by_case(c % 3, {0: None, 1: ""}, day).alias("paid_at"),
-        by_case(c % 4, {0: "", 1: None}, day).alias("shipped_at"),
-        none.alias("allocated_at"),
-        F.lit("").alias("delivery_state"),
-        F.when(priority == "5-LOW", fixed.UNCHOSEN_DELIVERY).otherwise(priority).alias("delivery_type"),
-        by_case(k % 5, {0: "", 1: None}, F.concat(F.lit("memo "), text(k))).alias("shop_note"),
-        none.alias("cancel_reason"),
-        none.alias("buyer_note"),
-        none.alias("delivery_note"),
-        F.when(c % 25 == 0, "")
-        .otherwise(F.concat(F.lit("Name "), text(c)))
-        .alias("recipient_name"),
-        by_case(c % 6, {0: None, 1: ""}, F.concat(F.lit("tel"), text(c))).alias("recipient_phone"),
-        by_case(
-            c % 5, {0: None, 1: ""}, F.concat(F.lit("9"), F.lpad(text(c), 8, "0"))
-        ).alias("recipient_phone_no0"),
-        none.alias("recipient_city"),
-        _address(k, c).alias("recipient_address"),
-        F.lpad(text(c % 1000), 3, "0").alias("postcode"),
-        by_case(
+    return {
+        "order_uid": k,
+        "platform": F.col("o_orderstatus"),
+        "transaction_no": text(k),
+        "platform_order_id": by_case(k % 10, {0: None, 1: ""}, F.concat(F.lit("S"), text(k))),
+        "created_at": day,
+        "order_status": F.coalesce(F.try_element_at(states, priority), shipping),
+        "payment_info": priority,
+        "paid_at": by_case(c % 3, {0: None, 1: ""}, day),
+        "shipped_at": by_case(c % 4, {0: "", 1: None}, day),
+        "allocated_at": none,
+        "delivery_state": F.lit(""),
+        "delivery_type": F.when(priority == "5-LOW", fixed.UNCHOSEN_DELIVERY).otherwise(priority),
+        "shop_note": by_case(k % 5, {0: "", 1: None}, F.concat(F.lit("memo "), text(k))),
+        "cancel_reason": none,
+        "buyer_note": none,
+        "delivery_note": none,
+        "recipient_name": F.when(c % 25 == 0, "").otherwise(F.concat(F.lit("Name "), text(c))),
+        "recipient_phone": by_case(c % 6, {0: None, 1: ""}, F.concat(F.lit("tel"), text(c))),
+        "recipient_phone_no0": by_case(c % 5, {0: None, 1: ""}, F.concat(F.lit("9"), F.lpad(text(c), 8, "0"))),
+        "recipient_city": none,
+        "recipient_address": _address(k, c),
+        "postcode": F.lpad(text(c % 1000), 3, "0"),
+        "customer_email": by_case(
             k % 9,
             {0: None, 1: "", 2: F.concat(F.lit("x"), text(k), F.lit(fixed.CLOSED_ACCOUNT_MARK))},
             F.concat(F.lit("c"), text(c), F.lit("@example.com")),
-        ).alias("customer_email"),
-        *named(order_amounts()),
-    )
+        ),
+        **order_amounts(),
+    }
 
 
 LINE_ORDER = [
@@ -276,6 +278,8 @@ def orders_of(headers: DataFrame, lines: DataFrame) -> DataFrame:
 
 # The test orders are this much older than the months that were exported twice.
 EXPORT_YEARS_LATER = 24
+# The number is there already, and amounts are texts of other names.
+UNEXPORTED = ("transaction_no", "order_uid", "total_amount", "discount_amount", "shipping_amount")
 
 
 def _money(column: str) -> Column:
@@ -289,15 +293,14 @@ def _order_key() -> Column:
 def export_heads(spark: SparkSession, folder: str) -> DataFrame:
     """Order headers as exported: amounts are texts, some unreadable, and some platforms are missing."""
     k = _order_key()
-    prices = table(spark, folder, "orders").select(
-        text(F.col("o_orderkey")).alias("transaction_no"), _money("o_totalprice").alias("price")
-    )
+    number = text(F.col("o_orderkey")).alias("transaction_no")
+    orders, prices = table(spark, folder, "orders"), table(spark, folder, "orders")
+    # The texts are made after the join, so that it shuffles numbers only.
+    priced = orders.select(number, "*").join(prices.select(number, F.col("o_totalprice").alias("price")), "transaction_no")
     year = F.left("created_at", F.lit(4)).cast("int") + EXPORT_YEARS_LATER
-    heads = legacy_orders(spark, folder).drop(
-        "order_uid", "total_amount", "discount_amount", "shipping_amount"
-    )
+    exported = {name: column for name, column in legacy_columns().items() if name not in UNEXPORTED}
     return (
-        heads.join(prices, "transaction_no")
+        priced.select("transaction_no", *named(exported), _money("price").alias("price"))
         .withColumns(
             {
                 "platform": F.when(k % 43 != 0, F.col("platform")),
@@ -312,13 +315,23 @@ def export_heads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _by_transaction(rows: DataFrame) -> DataFrame:
+    """Rows that come partitioned by their transaction, stored in buckets of it: what is read several times is not
+    shuffled again."""
+    spark = rows.sparkSession
+    name, buckets = f"export_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.write.bucketBy(buckets, "transaction_no").option("path", f"{shared_folder(spark)}/{name}")
+    writer.option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def export_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as exported: each line repeats its order's columns."""
     unreadable = (F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40)
     items = table(spark, folder, "lineitem").select(text(F.col("l_orderkey")).alias("transaction_no"), *LINE_ORDER)
-    heads = export_heads(spark, folder)
-    # The texts are made after the join, so that it shuffles numbers only.
-    return heads.join(items, "transaction_no").select(
+    heads = _by_transaction(export_heads(spark, folder))
+    # The texts of lines are made after the join, so that numbers are shuffled and stored.
+    return heads.join(_by_transaction(items.repartition("transaction_no")), "transaction_no").select(
         "transaction_no",
         *LINE_ORDER,
         text(F.col("l_linenumber")).alias("line_order_no"),

@@ -275,6 +275,10 @@ def flag_later(rows: DataFrame, *keys: str, order: str, name: str) -> DataFrame:
     return rows.join(join_side(first), same, "left").select(*rows.columns, later.alias(name))
 
 
+# So many keys that are treated apart are compared as literals, so that the filter reaches the tables; more are joined.
+LITERAL_KEYS = 100
+
+
 def number_within(
     rows: DataFrame,
     *keys: str,
@@ -282,41 +286,70 @@ def number_within(
     name: str,
     hot_rows: int = HOT_GROUP_ROWS,
     again: str | None = None,
+    laid_by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Exact 1-based position of every row within its key.
 
     Groups up to ``hot_rows`` go through a window. Larger ones, if there are any, are
     numbered from the global index, so they are sorted by many tasks. A key is hot only
-    with that many rows, so a trillion rows have at most a million hot keys.
+    with that many rows, so a trillion rows have at most a million hot keys. Hot rows are stored first, as the index
+    reads them several times.
 
     ``again`` names a column; the rows then also get ``again``, which is true where an earlier row of the key has the
     same value there. That takes no further shuffle, but for hot keys.
+
+    ``laid_by`` names columns by which the rows lie together already. Keys that stand under one value of these only
+    are then numbered without a shuffle, all others by their key.
     """
     rest = [c for c in rows.columns if c not in (*keys, *order_by)]  # ties, as in the global index
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by, *rest))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > hot_rows).select(*[F.col(k).alias(f"hot_{k}") for k in keys])
+    counted = rows.groupBy(*keys, *[c for c in laid_by if c not in keys]).agg(F.count("*").alias("n"))
+    if laid_by:
+        counted = counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("places"))
+        apart = counted.where((F.col("n") > hot_rows) | (F.col("places") > 1))
+    else:
+        apart = counted.where(F.col("n") > hot_rows)
 
     def in_windows(some: DataFrame) -> DataFrame:
+        group = list(dict.fromkeys([*keys, *laid_by]))
+        position = F.row_number().over(Window.partitionBy(*group).orderBy(*order_by, *rest))
         placed = some.withColumn(name, position.cast("bigint"))
         if again is None:
             return placed
-        copy = F.row_number().over(Window.partitionBy(*keys, again).orderBy(name))
+        copy = F.row_number().over(Window.partitionBy(*group, again).orderBy(name))
         return placed.withColumn("again", copy > 1)
 
-    if hot.isEmpty():
+    parts = _parted(rows, apart.select(*keys), keys)
+    if parts is None:
         return in_windows(rows)
-    hot = F.broadcast(hot)
+    usual, others = parts
+    if laid_by:
+        numbered = number_within(others, *keys, order_by=order_by, name=name, hot_rows=hot_rows, again=again)
+        return in_windows(usual).unionByName(numbered)
+    others = checkpointed(others)
     same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
-    indexed = with_global_index(
-        rows.join(hot, same, "left_semi"), [*keys, *order_by], name="place_in_all"
-    )
+    indexed = with_global_index(others, [*keys, *order_by], name="place_in_all")
     firsts = indexed.groupBy(*[F.col(k).alias(f"hot_{k}") for k in keys]).agg(
         F.min("place_in_all").alias("first_place")
     )
-    numbered = indexed.join(join_side(firsts), same).select(
+    numbered = indexed.join(F.broadcast(firsts), same).select(  # a row per hot key
         *rows.columns, (F.col("place_in_all") - F.col("first_place") + 1).alias(name)
     )
     if again is not None:
         numbered = flag_later(numbered, *keys, again, order=name, name="again")
-    return in_windows(rows.join(hot, same, "left_anti")).unionByName(numbered)
+    return in_windows(usual).unionByName(numbered)
+
+
+def _parted(rows: DataFrame, found: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame] | None:
+    """Rows without and with the ``found`` keys, NULL being a key like any other; nothing if there is no such key."""
+    few = found.take(LITERAL_KEYS + 1)
+    if not few:
+        return None
+    if len(few) <= LITERAL_KEYS:
+        def is_key(key) -> Column:
+            return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(key[k]).cast(rows.schema[k].dataType)) for k in keys])
+
+        among = reduce(lambda a, b: a | b, map(is_key, few))
+        return rows.where(~among), rows.where(among)
+    listed = key_list(found.select(*[F.col(k).alias(f"of_{k}") for k in keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    return rows.join(listed, same, "left_anti"), rows.join(listed, same, "left_semi")

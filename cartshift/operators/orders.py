@@ -58,26 +58,36 @@ class OrderSettings:
 
 
 def with_line_seq(
-    lines: DataFrame, file_order: list[str], line_no: str | None = None
+    lines: DataFrame, file_order: list[str], line_no: str | None = None, laid_by: tuple[str, ...] = ()
 ) -> DataFrame:
     """Number the lines of each order once, at ingest; with ``line_no`` they also learn whether that number stood on
-    an earlier line of the order (``again``), which spares :func:`drop_repeated_lines` its search."""
-    return number_within(lines, "order_uid", order_by=file_order, name="line_seq", again=line_no)
+    an earlier line of the order (``again``), which spares :func:`drop_repeated_lines` its search. ``laid_by`` names
+    columns by which the lines lie together already."""
+    return number_within(lines, "order_uid", order_by=file_order, name="line_seq", again=line_no, laid_by=laid_by)
+
+
+def line_amounts() -> dict[str, Column]:
+    """The amounts that each line has for itself."""
+    return {
+        "unit_amount": round_half_up(whole_number(F.col("unit_price"))),
+        "units": leading_int(F.col("quantity")),
+    }
+
+
+ORDER_AMOUNTS = ("subtotal_amount", "subtotal_rounded", "total_amount", "discount_amount", "shipping_amount")
+
+
+def order_amounts(field: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """The amounts of the order, which each of its lines repeats."""
+    subtotal, total = field("items_subtotal"), leading_int(field("order_total"))
+    discount, shipping = leading_int(field("discount_total")), leading_int(field("shipping_fee"))
+    found = (leading_number(subtotal), round_half_up(whole_number(subtotal)), total, discount, shipping)
+    return dict(zip(ORDER_AMOUNTS, found, strict=True))
 
 
 def parse_amounts(lines: DataFrame) -> DataFrame:
     """Numbers out of the text amounts; NULL where there is none."""
-    return lines.withColumns(
-        {
-            "unit_amount": round_half_up(whole_number(F.col("unit_price"))),
-            "units": leading_int(F.col("quantity")),
-            "subtotal_amount": leading_number(F.col("items_subtotal")),
-            "subtotal_rounded": round_half_up(whole_number(F.col("items_subtotal"))),
-            "total_amount": leading_int(F.col("order_total")),
-            "discount_amount": leading_int(F.col("discount_total")),
-            "shipping_amount": leading_int(F.col("shipping_fee")),
-        }
-    )
+    return lines.withColumns(line_amounts() | order_amounts())
 
 
 def in_duplicate_months(
@@ -242,25 +252,30 @@ def order_rows(lines: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
         F.col("line_seq").alias("last_seq"),
     )
 
+    block = F.when(F.col("affected"), F.filter(FIRST_BLOCK, lambda row: ~row["again"])).otherwise(F.col(FIRST_BLOCK))
+    first = F.sort_array(F.transform(block, lambda row: row.dropFields("again"))).alias(FIRST_BLOCK)
+    return summed_orders(rows, F.collect_list("line").alias(FIRST_BLOCK)).select(
+        "order_uid", HEADER, "affected", first, *SUMS
+    )
+
+
+def summed_orders(parts: DataFrame, *more: Column, by: tuple[str, ...] = ("order_uid",)) -> DataFrame:
+    """One row per order of lines or of their blocks: the ``header``, whether it is ``affected``, the sums without
+    repeated lines (``again``) if it is, and ``more``. ``by`` may name more that all parts of an order share."""
+
     def added(name: str, value: Column) -> Column:
         return (F.max if name == "last_seq" else F.sum)(value)
 
     once = ~F.col("again")
-    summed = rows.groupBy("order_uid").agg(
+    summed = parts.groupBy(*by).agg(
         F.max(HEADER).alias(HEADER),
-        F.collect_list("line").alias(FIRST_BLOCK),
+        *more,
         *[added(name, F.col(name)).alias(f"all_{name}") for name in SUMS],
         *[added(name, F.when(once, F.col(name))).alias(f"once_{name}") for name in SUMS],
     )
     affected = in_duplicate_months(F.col(HEADER)["created_at"])
-    block = F.when(F.col("affected"), F.filter(FIRST_BLOCK, lambda row: ~row["again"])).otherwise(F.col(FIRST_BLOCK))
-    return summed.withColumn("affected", affected).select(
-        "order_uid",
-        HEADER,
-        "affected",
-        F.sort_array(F.transform(block, lambda row: row.dropFields("again"))).alias(FIRST_BLOCK),
-        *[F.when(F.col("affected"), F.col(f"once_{n}")).otherwise(F.col(f"all_{n}")).alias(n) for n in SUMS],
-    )
+    chosen = {n: F.when(F.col("affected"), F.col(f"once_{n}")).otherwise(F.col(f"all_{n}")) for n in SUMS}
+    return summed.withColumn("affected", affected).withColumns(chosen)
 
 
 def line_sums(lines: DataFrame, *more: Column) -> DataFrame:
@@ -269,12 +284,6 @@ def line_sums(lines: DataFrame, *more: Column) -> DataFrame:
     return with_digest(lines).groupBy("order_uid").agg(*line_sum_columns(), *content_sums(), last, *more)
 
 
-def added_sums(parts: DataFrame) -> DataFrame:
-    """:func:`line_sums` of orders from those of their blocks."""
-    added = ("unit_sum", "line_sum", "bad_lines", *CONTENT)
-    return parts.groupBy("order_uid").agg(*[F.sum(c).alias(c) for c in added], F.max("last_seq").alias("last_seq"))
-
-
 def fold_orders(
     lines: DataFrame, headers: DataFrame | None = None, basis: str = UNIT
 ) -> DataFrame:
@@ -450,6 +459,8 @@ def delivery_address_json() -> Column:
 
 # What a document holds besides its head and its tail: the closing items, and its lines by their digest.
 DOCUMENT_FACTS = ("balance", "shipping_amount", "shipping_fee", "deducted", "last_seq", *CONTENT)
+# What is worked out for an order; the rest of its document stands in its header.
+ORDER_FACTS = ("subtotal", "total", *DOCUMENT_FACTS)
 
 
 def order_documents(
@@ -461,14 +472,20 @@ def order_documents(
     stands in the first piece, everything after them in the last, and each piece has the items of one block of
     lines. ``facts`` are the order's own fields and sums with the digest of its lines: they differ if the documents
     do, and are the same whatever the size of a block. ``orders`` come with :func:`line_sums`. Lines that are stored by
-    blocks of this size bring their ``block``, and are folded where they are.
+    blocks of this size bring their ``block``, and are folded where they are. If they bring the ``header`` too, on the first
+    line of orders of one block, ``orders`` need not have what stands in it.
     """
     bits = settings.block_bits
     if "block" not in lines.columns:
         lines = lines.withColumn("block", line_block(F.col("line_seq"), bits))
     line = F.struct(*ITEM_COLUMNS)
-    blocks = lines.groupBy("order_uid", "block").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return _documents(blocks.join(per_block(orders, bits).hint("merge"), ["order_uid", "block"]), settings)
+    header = [F.max(HEADER).alias(HEADER)] if HEADER in lines.columns else []
+    blocks = lines.groupBy("order_uid", "block").agg(F.sort_array(F.collect_list(line)).alias("lines"), *header)
+    joined = blocks.join(per_block(orders, bits).hint("merge"), ["order_uid", "block"])
+    if header:
+        fields = [c for c in joined.select(f"{HEADER}.*").columns if c not in joined.columns]
+        joined = joined.select("*", *[F.col(HEADER)[c].alias(c) for c in fields])
+    return _documents(joined, settings)
 
 
 def first_block_documents(orders: DataFrame, settings: OrderSettings) -> DataFrame:

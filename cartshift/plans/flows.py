@@ -22,19 +22,19 @@ from cartshift.operators.cleaning import (
 from cartshift.operators.grouping import flag_later, join_side
 from cartshift.operators.orders import (
     FIRST_BLOCK,
+    ORDER_FACTS,
     SUMS,
     OrderSettings,
-    added_sums,
     bad_amounts,
     book_amounts,
     first_block_documents,
     first_lines,
-    in_duplicate_months,
     line_block,
     order_documents,
     order_rows,
     parse_amounts,
     per_block,
+    summed_orders,
     with_line_seq,
 )
 from cartshift.operators.paging import id_range
@@ -76,15 +76,20 @@ def in_phase(table: DataFrame, phase: str) -> DataFrame:
 
 
 def prepare_orders(
-    exported: DataFrame, file_order: list[str] | None = None, normalize_first: bool = False
+    exported: DataFrame,
+    file_order: list[str] | None = None,
+    normalize_first: bool = False,
+    laid_by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Exported order lines, cleaned, numbered within their order and marked (``again``).
 
     ``file_order`` names the columns that give the place of a line in the export; those of
-    ``readers.read_order_lines`` by default. They are not part of the result.
+    ``readers.read_order_lines`` by default. They are not part of the result. ``laid_by`` names columns by which the
+    lines of an export lie together already, so that most orders are numbered where they lie.
     """
     file_order = list(FILE_ORDER) if file_order is None else file_order
-    return with_line_seq(clean_orders(exported, normalize_first), file_order, "line_order_no").drop(*file_order)
+    cleaned = clean_orders(exported, normalize_first)
+    return with_line_seq(cleaned, file_order, "line_order_no", laid_by).drop(*file_order)
 
 
 def prepare_order_uids(lines: DataFrame, order_uids: DataFrame | None = None) -> DataFrame:
@@ -144,8 +149,9 @@ def create_stored_orders(
 ) -> Plan:
     """:func:`create_orders` from stored order lines, with the same result and without a shuffle of lines.
 
-    What is looked up and added up are the rows of blocks. Lines meet their order's row in their own bucket,
-    where repeated ones leave and the rest is folded. ``settings.block_bits`` is that of the store.
+    What is looked up and added up are the rows of blocks; one row per order of sums and amounts is stored. Lines meet
+    it in their own bucket, where repeated ones leave and the rest is folded, with the header on the first of them.
+    ``settings.block_bits`` is that of the store.
     """
     spark = order_uids.sparkSession
     settings = replace(settings, block_bits=store.block_bits)
@@ -153,15 +159,23 @@ def create_stored_orders(
     order_uids = in_phase(order_uids, phase)
     wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
     wanted = checkpointed(books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid"))
-    ours = id_range(blocks, "order_uid", start, end).join(join_side(wanted), "order_uid", "left_semi")
-    firsts = ours.where("header is not null").select("order_uid", "header.*")
-    heads = books.not_created(firsts).withColumn("affected", in_duplicate_months(F.col("created_at")))
-    counted = ours.join(join_side(heads.select("order_uid", "affected")), "order_uid").where("not (affected and again)")
-    orders = checkpointed(book_amounts(heads.join(join_side(added_sums(counted)), "order_uid"), settings.balance_basis))
+    found = checkpointed(_wanted_sums(id_range(blocks, "order_uid", start, end), wanted))
+    firsts = found.where("header is not null").select("order_uid", "header.*", "affected", *SUMS)
+    orders = book_amounts(books.not_created(firsts), settings.balance_basis)
     good = orders.where(~bad_amounts())
-    per_line = per_block(good.select("order_uid", "last_seq", "affected"), settings.block_bits)
-    kept = lines.join(per_line.hint("merge"), ["order_uid", "block"]).where("not (affected and again)")
-    documents = order_documents(kept, good, settings)
+    longer = line_block(F.col("last_seq"), settings.block_bits) > 0
+
+    def kept(some: DataFrame) -> DataFrame:
+        per_line = per_block(some.select("order_uid", "last_seq", "affected"), settings.block_bits).drop("last_seq")
+        return lines.join(per_line.hint("merge"), ["order_uid", "block"]).where("not (affected and again)")
+
+    short, long = good.where(~longer), good.where(longer)
+    documents = order_documents(kept(short), short.select("order_uid", *ORDER_FACTS), settings)
+    if not long.isEmpty():  # their header is needed with every block
+        heads = lines.join(_at_first_block(long.select("order_uid")).hint("merge"), ["order_uid", "block"])
+        heads = heads.where("header is not null").select("order_uid", "header.*").drop(*ORDER_FACTS)
+        whole = heads.join(join_side(long.select("order_uid", *ORDER_FACTS)), "order_uid")
+        documents = documents.unionByName(order_documents(kept(long).drop("header"), whole, settings))
     no_lines = wanted.join(join_side(firsts.select("order_uid")), "order_uid", "left_anti")
     rejects = _rejected(no_lines, ORDER, "order_uid", "no_lines").unionByName(
         _rejected(orders.where(bad_amounts()), ORDER, "order_uid", "bad_amount")
@@ -169,6 +183,28 @@ def create_stored_orders(
     return Plan(outbox.create_order_requests(documents, phase), None, rejects, documents)
 
 
+def _at_first_block(orders: DataFrame) -> DataFrame:
+    """With a ``block`` to join by; a literal would be taken out of the join, and with it the place of the rows."""
+    return orders.withColumn("block", F.explode(F.array(F.lit(0).cast("bigint"))))
+
+
+def _wanted_sums(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row per wanted order of its blocks. Those of one block stay in their bucket; only blocks of longer orders
+    are gathered."""
+    columns = ("order_uid", "header", "affected", *SUMS)
+    long = blocks.where("block > 0 and order_uid is not null").select("order_uid").distinct()
+    longer = not long.isEmpty()
+    if longer:
+        long = checkpointed(long)
+    short = wanted.join(join_side(long), "order_uid", "left_anti") if longer else wanted
+    ours = blocks.join(_at_first_block(short).hint("merge"), ["order_uid", "block"], "left_semi")
+    found = summed_orders(ours, by=("order_uid", "block")).select(*columns)
+    if longer:
+        gathered = blocks.join(join_side(wanted.join(join_side(long), "order_uid", "left_semi")), "order_uid", "left_semi")
+        found = found.unionByName(summed_orders(gathered).select(*columns))
+    return found
+
+
 def record_created(responses: DataFrame) -> DataFrame:
     """Ledger rows with the new order ids out of the create responses."""
     created = responses.where(status.failure_class(F.col("http_status")) == "success")

@@ -175,3 +175,28 @@ def test_a_key_list_is_computed_once(rows, monkeypatch):
     grouping.key_list(df)
     grouping.key_list(df, stored=True)
     assert stored == [df]
+
+
+def test_hot_keys_are_counted_once(skewed):
+    _, df = skewed
+    numbered = grouping.number_within(df, "k", order_by=["o", "v"], name="n", hot_rows=50)
+    assert "count(1)" not in numbered._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("literals", [100, 0])
+def test_rows_that_lie_together_are_numbered_where_they_lie(spark, rows, collect, tmp_path, monkeypatch, literals):
+    """Keys that stand under several places, missing and hot ones are numbered by their key."""
+    monkeypatch.setattr(grouping, "LITERAL_KEYS", literals)
+    keys = [("a", "p1"), ("b", "p1"), ("c", "p2"), ("c", "p3"), (None, "p4"), (None, "p5"), ("h", "p6")]
+    values = [(k, p, o % 5, str(o % 3), o) for k, p in keys for o in range(30 if k == "h" else 7)]
+    df = rows("k string, place string, o int, no string, v int", *values).repartition(4, "place")
+    df.write.bucketBy(4, "place").option("path", str(tmp_path / "laid")).format("parquet").saveAsTable(f"laid_{literals}")
+    table = spark.table(f"laid_{literals}")
+    of = {"order_by": ["o"], "name": "n", "again": "no", "hot_rows": 20}
+    plain = grouping.number_within(table, "k", **of)
+    laid = grouping.number_within(table, "k", laid_by=("place",), **of)
+    assert collect(laid, *sorted(laid.columns)) == collect(plain, *sorted(laid.columns))
+    assert sorted(r.n for r in laid.where("k = 'c'").collect()) == list(range(1, 15))
+    single = grouping.number_within(table.where("k in ('a', 'b')"), "k", laid_by=("place",), **of)
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") >= 2 and "Exchange" not in plan

@@ -103,3 +103,42 @@ def test_a_header_is_stored_once_and_lines_are_shuffled_by_their_texts(spark, li
     stored = store.read_lines(spark)
     assert stored.count() == lines.count() and "recipient_name" not in stored.columns
     assert stored.where("header is not null").count() == stored.where("line_seq = 1").count() == 7
+
+
+def test_headers_leave_the_lines_before_their_one_shuffle(spark, lines, tmp_path, monkeypatch):
+    plans, write = [], order_store._write
+
+    def seen(rows, *more):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, *more)
+
+    monkeypatch.setattr(order_store, "_write", seen)
+    store = order_store.store_orders(lines.withColumn("again", F.lit(False)), str(tmp_path), 3)
+    moved = [row for row in plans[0].splitlines() if "Exchange" in row]
+    assert len(moved) == 1 and "Exchange" not in plans[1]
+    below = plans[0].split("Exchange")[1]
+    assert "(line_seq#" in below and "THEN struct(" in below and "regexp_extract" not in below
+    blocks = store.read_blocks(spark).select("header.*").columns
+    assert "recipient_name" not in blocks and "created_at" in blocks
+
+
+def test_blocks_of_short_orders_stay_in_their_bucket(spark, lines, uids, empty_ledger, tmp_path, monkeypatch):
+    plans, stored = [], flows.checkpointed
+    monkeypatch.setattr(flows, "checkpointed", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or stored(d))
+    store = order_store.store_orders(lines, str(tmp_path), 6)
+    flows.create_stored_orders(store, uids, empty_ledger, SETTINGS, "first")
+    assert len(plans) == 2
+    above = ancestors(plans[1], store.blocks)
+    assert any("SortMergeJoin" in row for row in above) and not any("Exchange" in row for row in above)
+
+
+def test_long_orders_among_short_ones_and_lines_without_an_id(spark, order_lines, empty_ledger, tmp_path):
+    many = [{"order_uid": u, "line_order_no": str(n % 4), "created_at": "2023/03/01 10:00:00" if u == "L2" else "2022/03/17 21:26:29"}
+            for u, k in (("L1", 9), ("L2", 9), ("S1", 2), (None, 7)) for n in range(k)]
+    lines = order_lines(*many)
+    wanted = lines.select("order_uid")
+    store = order_store.store_orders(lines, str(tmp_path), 4, block_bits=2)
+    stored = found(flows.create_stored_orders(store, wanted, empty_ledger, SETTINGS, "first"))
+    assert stored == found(flows.create_orders(lines, wanted, empty_ledger, SETTINGS, "first"))
+    assert [(u, body.count("cake")) for u, _, body in stored[0]] == [("L1", 9), ("L2", 4), ("S1", 2)]
+    assert ("None", "no_lines") in stored[1]
