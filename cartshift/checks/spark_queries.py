@@ -911,7 +911,7 @@ LAID_BY = ("platform", "transaction_no")
 
 
 def _create_plan(spark, folder):
-    lines, uids = _exported(spark, folder)
+    lines, uids = _exported(spark, folder, LAID_BY)
     recorded = given.export_ledger(spark, folder)
     return flows.create_orders(lines, uids, recorded, SETTINGS, phase="first")
 
@@ -940,7 +940,8 @@ def flow_create_stored_rejects(spark, folder):
 
 @query
 def flow_create_rejects(spark, folder):
-    return _create_plan(spark, folder).rejects
+    """A short list, kept as rows: the query that returns it reads no file."""
+    return _create_plan(spark, folder).rejects.checkpoint()
 
 
 def _status_plan(spark, folder):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
 from cartshift.operators import ledger as books
-from cartshift.operators import outbox, reconcile, status
+from cartshift.operators import grouping, outbox, reconcile, status
 from cartshift.operators.catalog import flag_variants, project_products
 from cartshift.operators.cleaning import (
     clean_customers,
@@ -29,10 +29,11 @@ from cartshift.operators.orders import (
     book_amounts,
     first_block_documents,
     first_lines,
+    line_amounts,
     line_block,
+    order_amounts,
     order_documents,
     order_rows,
-    parse_amounts,
     per_block,
     summed_orders,
     with_line_seq,
@@ -112,17 +113,23 @@ def create_orders(
     ``lines`` are cleaned, numbered lines; of a table of all phases only the asked one counts. Orders already created, by
     their own column or by the ledger, need nothing. Wanted ids and one row per order, with its header, sums and
     first block of lines, are stored while the plan is built. Rejects and the documents of orders of one
-    block come from these rows; lines are read again only if there are longer orders.
+    block come from these rows; lines are read again only if there are longer orders. A long list of wanted ids meets
+    the orders when they are made: they take less than their lines, if these have to move to them.
     """
     lines, order_uids = in_phase(lines, phase), in_phase(order_uids, phase)
     wanted = id_range(order_uids.select("order_uid").distinct(), "order_uid", start, end)
     wanted = checkpointed(books.pending(wanted, ledger, ORDER, PLATFORM_ORDER_ID, "order_uid"))
-    ours = id_range(lines, "order_uid", start, end).join(join_side(wanted), "order_uid", "left_semi")
+    ours = id_range(lines, "order_uid", start, end)
     if "again" not in ours.columns:
         ours = flag_later(ours, "order_uid", "line_order_no", order="line_seq", name="again")
-    ours = parse_amounts(ours)
-    found = checkpointed(order_rows(ours, settings.block_bits))
+    few = wanted.count() <= grouping.BROADCAST_ROWS
+    if few:
+        ours = ours.join(F.broadcast(wanted), "order_uid", "left_semi")
+    ours = ours.withColumns(line_amounts())
+    rows = order_rows(ours, settings.block_bits)
+    found = checkpointed(rows if few else rows.join(join_side(wanted), "order_uid", "left_semi"))
     firsts = found.where("header is not null").select("order_uid", "header.*", "affected", FIRST_BLOCK, *SUMS)
+    firsts = firsts.withColumns(order_amounts())  # once per order
     orders = book_amounts(books.not_created(firsts), settings.balance_basis)
     good = orders.where(~bad_amounts())
     longer = line_block(F.col("last_seq"), settings.block_bits) > 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartshift import fixed_values as fixed
-from cartshift.operators import ledger, outbox
+from cartshift.operators import grouping, ledger, outbox
 from cartshift.operators.ledger import LEDGER_SCHEMA
 from cartshift.operators.orders import OrderSettings
 from cartshift.plans import flows
@@ -344,3 +344,27 @@ def test_long_orders_are_in_pieces_beside_short_ones(spark, order_lines, empty_l
         assert plan.requests.count() == (3 if chosen is settings else 2)
     cakes = [[body.count("cake") for body in bodies] for bodies in whole.values()]
     assert cakes == [[7, 2], [7, 2]]
+
+
+def test_lines_that_lie_together_are_folded_before_they_are_moved(spark, order_lines, empty_ledger, monkeypatch, tmp_path):
+    lines = order_lines(
+        *[{"order_uid": f"{i}", "line_order_no": str(n % 2), "created_at": m, "items_subtotal": "20"} for i, m in ((1, "2023/02/01 0:0:0"), (2, "2022/02/01 0:0:0")) for n in range(5)]
+    ).withColumnRenamed("line_seq", "at").withColumn("platform", F.lit("U")).withColumn("transaction_no", F.col("order_uid")).drop("order_uid")
+    lines.repartition(3, "transaction_no").write.bucketBy(3, "transaction_no").option("path", str(tmp_path / "laid")).format("parquet").saveAsTable("laid_lines")
+    exported = spark.table("laid_lines")
+    plain = flows.prepare_orders(exported, ["at"])
+    uids = plain.select("order_uid").distinct()
+    bodies = []
+    plans, stored = [], flows.checkpointed
+    monkeypatch.setattr(grouping, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "200")
+    monkeypatch.setattr(flows, "checkpointed", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or stored(d))
+    for prepared in (plain, flows.prepare_orders(exported, ["at"], laid_by=("platform", "transaction_no"))):
+        plan = flows.create_orders(prepared, uids, empty_ledger, SETTINGS, phase="first")
+        bodies.append(sorted((r.entity_id, r.request_id, r.body_json) for r in plan.requests.collect()))
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert bodies[0] == bodies[1] and len(bodies[0]) == 2
+    before_exchange = [plan.split("FileScan")[0].rsplit("Exchange hashpartitioning(order_uid", 1)[1] for plan in (plans[1], plans[3])]
+    assert "Window" not in before_exchange[0] and "Window" in before_exchange[1]
+    assert "Aggregate" in before_exchange[1]
+    assert not any("regexp_extract(items_subtotal" in plan for plan in plans)  # amounts of an order are read once
