@@ -192,11 +192,11 @@ def test_rows_that_lie_together_are_numbered_where_they_lie(spark, rows, collect
     df = rows("k string, place string, o int, no string, v int", *values).repartition(4, "place")
     df.write.bucketBy(4, "place").option("path", str(tmp_path / "laid")).format("parquet").saveAsTable(f"laid_{literals}")
     table = spark.table(f"laid_{literals}")
-    of = {"order_by": ["o"], "name": "n", "again": "no", "hot_rows": 20}
+    of = {"order_by": ["o"], "name": "seq", "again": "no", "hot_rows": 20}
     plain = grouping.number_within(table, "k", **of)
     laid = grouping.number_within(table, "k", laid_by=("place",), **of)
     assert collect(laid, *sorted(laid.columns)) == collect(plain, *sorted(laid.columns))
-    assert sorted(r.n for r in laid.where("k = 'c'").collect()) == list(range(1, 15))
+    assert sorted(r.seq for r in laid.where("k = 'c'").collect()) == list(range(1, 15))
     single = grouping.number_within(table.where("k in ('a', 'b')"), "k", laid_by=("place",), **of)
     plan = single._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window") >= 2 and "Exchange" not in plan
